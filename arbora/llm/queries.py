@@ -5,8 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from arbora.llm import licenses, pii, runtime, toxicity
+from arbora.llm import decontaminate, itq, jaccard, licenses, packing, pii, rans, runtime, toxicity, warc
+
+
+def tokenizer_path() -> str:
+    """The vocabulary of the registered queries; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -14,24 +22,53 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = runtime.scratch_path(spark, "tokens")
+    rans.write_tokens(_table(spark, sf_dir, "documents"), path, tokenizer_path(), end_id=2)
+    return rans.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = runtime.scratch_path(spark, "warc")
+    warc.write_warc(_table(spark, sf_dir, "pages"), path)
+    return warc.read_warc(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path(), end_id=1)
+
+
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return pii.digest_spans(pii.find_pii(docs.select("doc_id", "text")))
 
 
+def op6_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return itq.near_duplicates(_table(spark, sf_dir, "embeddings"))
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"))
     return toxicity.score_toxicity(docs, model)
 
 
+def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(_table(spark, sf_dir, "documents"))
+
+
 def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
+def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.digest(decontaminate.find_contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_pii, op7_toxicity, op9_licenses)}
+    every = (op1_rans, op3_warc, op4_packing, op5_pii, op6_itq, op7_toxicity, op8_jaccard, op9_licenses, op10_winnowing)
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_warc": warc.ORACLE_SQL, "op6_itq": itq.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL, "op10_winnowing": decontaminate.ORACLE_SQL}
