@@ -78,6 +78,16 @@ def _row_key() -> Column:
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items (sorted item ids as strings), contaminated, for each row of ``docs``."""
+    return _judge(docs, benchmark, window, k).drop("row_key")
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, k: int = 5) -> DataFrame:
+    """``docs`` without the contaminated rows; columns stay as they are."""
+    bad = _judge(docs, benchmark, window, k).filter("contaminated").select(F.col("row_key").alias("_bad")).distinct()
+    return docs.join(bad, _row_key() == F.col("_bad"), "left_anti")
+
+
+def _judge(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     items = benchmark.select("item_id", exact_words(F.col("text")).alias("words")).filter("item_id IS NOT NULL AND size(words) > 0")
     lengths = F.least(F.size("words"), F.lit(window))
@@ -112,6 +122,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = 13,
     items_found = F.coalesce(F.col("items"), F.array().cast("array<string>"))
     return marked.select("doc_id", "row_key", "n_words").join(found, "row_key", "left").select(
         "doc_id",
+        "row_key",
         n_words.alias("n_words"),
         n_hit.alias("n_hit"),
         F.size(items_found).cast("long").alias("n_items"),

@@ -7,14 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import decontaminate, itq, jaccard, licenses, packing, pii, rans, runtime, toxicity, warc
+import corpus_pipeline
+from arbora.llm import decontaminate, itq, jaccard, licenses, packing, pii, rans, runtime, suffixes, toxicity, warc
 
 
-def tokenizer_path() -> str:
-    """The vocabulary of the registered queries; operators take any path."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+tokenizer_path = corpus_pipeline.tokenizer_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +25,10 @@ def op1_rans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read_tokens(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = runtime.scratch_path(spark, "warc")
     warc.write_warc(_table(spark, sf_dir, "pages"), path)
@@ -66,8 +67,8 @@ def op10_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_rans, op3_warc, op4_packing, op5_pii, op6_itq, op7_toxicity, op8_jaccard, op9_licenses, op10_winnowing)
-    return {f.__name__: f for f in every}
+    every = (op1_rans, op2_suffixes, op3_warc, op4_packing, op5_pii, op6_itq, op7_toxicity, op8_jaccard, op9_licenses, op10_winnowing)
+    return {f.__name__: f for f in every} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
