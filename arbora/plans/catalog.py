@@ -1,21 +1,17 @@
-"""All registered queries of the tree-data engine, with their SQL."""
+"""All registered queries of the tree-data engine."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-
-def _key_unique_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    items = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    return items.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1")
+from arbora.plans import queries_documents, queries_navigation, queries_validation, queries_xpath, registry  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"key_unique_lineitem": _key_unique_lineitem}
+    return dict(registry.QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"key_unique_lineitem": "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1"}
+    return dict(registry.SQL)
