@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arbora.llm import runtime
@@ -11,22 +11,29 @@ from arbora.llm import runtime
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for each node of ``edges`` (a, b); the component is its smallest node.
 
-    Each round takes the smallest label among neighbours and then follows labels twice (pointer jumping), so chains
-    shrink by powers of two.  Self-loops, repeated edges and nulls change nothing.  Neighbours are never collected:
-    minima are aggregated before the shuffle, and skewed joins are left to adaptive execution.
+    Each round, every edge offers the label of its far end to its near end and to the near end's label (so whole trees
+    hook on at once), and labels are then followed one step; chains shrink by powers.  Self-loops, repeated edges and
+    nulls change nothing.  Neighbours are never collected: minima are aggregated before the shuffle, and skewed joins
+    are left to adaptive execution.
     """
-    edges = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b")
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct()
+    edges = edges.filter("a IS NOT NULL AND b IS NOT NULL AND a <> b").select("a", "b")
+    turned = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+    own = edges.select("a", F.col("a").alias("b"))
+    both = edges.unionByName(turned).unionByName(own).unionByName(turned.select("a", F.col("a").alias("b"))).distinct()
     both = runtime.materialize(both, "edges")
-    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("component"))
+    labels = both.groupBy("a").agg(F.min("b").alias("component")).withColumnRenamed("a", "node")
     labels = runtime.materialize(labels, "labels")
     for _ in range(max_rounds):
-        near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
-        step = labels.join(near, labels.node == near.a).select("node", F.col("component").alias("old"), F.least("component", "m").alias("new"))
+        # each node is its own neighbour too, so its old label comes along
+        ends = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("far")), "b").join(labels.select(F.col("node").alias("a"), F.col("component").alias("near")), "a")
+        own = F.when(F.col("a") == F.col("b"), F.col("near"))
+        offers = F.array(F.struct(F.col("a").alias("node"), "far", own.alias("old")), F.struct(F.col("near").alias("node"), "far", F.lit(None).cast("long").alias("old")))
+        best = ends.select(F.explode(offers).alias("o")).groupBy("o.node").agg(F.min("o.far").alias("new"), F.max("o.old").alias("old"))
         hop = labels.select(F.col("node").alias("new"), F.col("component").alias("next"))
-        labels = step.join(hop, "new").select("node", "old", F.least("new", "next").alias("component"))
-        labels = runtime.materialize(labels, "labels")
-        if labels.filter("old <> component").isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+        step = best.join(hop, "new").select("node", "old", F.least("new", "next").alias("component"))
+        changed = Observation()
+        step = step.observe(changed, F.count_if(F.col("old") != F.col("component")).alias("n"))
+        labels = runtime.materialize(step, "labels").select("node", "component")
+        if not changed.get["n"]:
+            return labels
     raise RuntimeError("components did not settle")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from arbora.llm import components, runtime
 from arbora.llm import textkit as tk
 
-BLOCK = 256
+BLOCK = 512
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
 BITMAP_BITS = 1024
@@ -72,7 +72,7 @@ def bitmaps(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
     return np.packbits((np.bincount(cell, minlength=n_docs * BITMAP_BITS) & 1).astype(bool).reshape(n_docs, BITMAP_BITS), axis=1)
 
 
-_DIGEST = "doc_id long, n long, cls long, bitmap binary, part int, counts binary"
+_DIGEST = "doc_id long, key long, n long, cls long, bitmap binary, part int, counts binary"
 
 
 def digest_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -82,7 +82,7 @@ def digest_sets(docs: DataFrame, size: int) -> DataFrame:
         names = [c.split()[0] for c in _DIGEST.split(", ")]
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
-            data, offsets = tk.string_buffers(batch.column(1))
+            data, offsets = tk.string_buffers(batch.column(2))
             for i, j in tk.slices(offsets):
                 doc, h = doc_sets(data, offsets, i, j, size)
                 sketch += np.bincount(bucket(h), minlength=len(sketch))
@@ -93,14 +93,14 @@ def digest_sets(docs: DataFrame, size: int) -> DataFrame:
                     cls[full] = set_class(h, (np.cumsum(n) - n)[full])
                 bits = bitmaps(doc, h, j - i)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(cls), pa.array([b.tobytes() for b in bits], pa.binary()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names=names
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(cls), pa.array([b.tobytes() for b in bits], pa.binary()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names=names
                 )
         if sketch.any():
             pieces = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(sketch, SKETCH_PARTS)]
             nothing = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(pieces, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(pieces, pa.binary())], names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(digest, _DIGEST)
+    return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(digest, _DIGEST)
 
 
 def sketch_counts(digests: DataFrame) -> np.ndarray:
@@ -222,7 +222,7 @@ class PrefixTree:
 
 
 def join_block(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among these sets of hashes."""
+    """The groups that links form among these sets of hashes, each as a star of edges."""
     every = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
     order = np.lexsort((every, counts[bucket(every)]))
     rank = np.empty(len(every), np.int64)
@@ -236,7 +236,7 @@ def join_block(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list
             a = parent[a]
         return a
 
-    tree, links, has = PrefixTree(np.zeros(0, np.int64)), [], np.zeros(len(every), bool)
+    tree, has = PrefixTree(np.zeros(0, np.int64)), np.zeros(len(every), bool)
     for k in sorted(range(len(local)), key=lambda k: len(local[k])):
         x = local[k]
         if not len(x):
@@ -245,20 +245,28 @@ def join_block(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list
         for other in tree.search(x, has, percent, lambda o, k=k: find(o) == find(k)):
             if find(other) != find(k):
                 parent[find(other)] = find(k)
-                links.append((other, k))
         has[x] = False
         tree.insert(x, k)
-    return links
+    return [(find(k), k) for k in range(len(sets)) if find(k) != k]
 
 
 def verify(stars: DataFrame, docs: DataFrame, classes: DataFrame, counts, size: int, percent: int) -> DataFrame:
-    """Edges (a, b) between classes, from (hub, cls) candidates; ``classes`` has (cls, doc_id, key) of one text each."""
-    sized = stars.groupBy("hub").agg(F.count("*").alias("members"))
+    """Edges (a, b) between classes, from (hub, cls, typical) candidates; ``classes`` has the (cls, key) of a text of each.
+
+    A hub with more than ``BLOCK`` classes is split into blocks; the hub and its most typical class go to each of them.
+    """
+    sized = stars.groupBy("hub").agg(F.count("*").alias("members"), F.max(F.struct("typical", "cls")).alias("centre"))
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
     dealt = stars.join(sized, "hub").select("hub", "cls", F.pmod(F.xxhash64("cls"), blocks).cast("int").alias("block"))
-    dealt = dealt.unionByName(dealt.select("hub", F.col("hub").alias("cls"), "block").distinct()).distinct()
-    dealt = runtime.materialize(dealt, "blocks")
-    wanted = dealt.select("cls").distinct().join(classes, "cls")
+    every = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
+    shared = sized.select("hub", F.explode(F.array_compact(F.array(F.col("hub"), F.when(F.col("members") > BLOCK, F.col("centre.cls"))))).alias("cls"), "members").select("hub", "cls", every)
+    dealt = runtime.materialize(dealt.unionByName(shared), "blocks")
+    wanted = dealt.select("cls").distinct().join(classes.select("cls", "key"), "cls")
+    # a bitmap of the wanted keys, of 2**17 rows at most, keeps the other texts out of the shuffle
+    word, bit = (F.col("key").bitwiseAND((1 << 23) - 1) / 64).cast("int"), F.col("key").bitwiseAND(63).cast("int")
+    bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
+    likely = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").withColumn("word", word).join(F.broadcast(bitmap), "word")
+    likely = likely.filter(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(1) == 1)
 
     def hashed(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -269,7 +277,7 @@ def verify(stars: DataFrame, docs: DataFrame, classes: DataFrame, counts, size:
                 raw = [h[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(raw, pa.binary())], names=["cls", "hashes"])
 
-    texts = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").join(wanted.select("cls", "key"), "key").select("cls", "text")
+    texts = likely.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("cls", "text")
     sets = texts.mapInArrow(hashed, "cls long, hashes binary")
 
     def join(own: pd.DataFrame) -> pd.DataFrame:
@@ -292,7 +300,6 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     digests = runtime.materialize(digest_sets(docs, size), "digests")
     counts = spark.sparkContext.broadcast(sketch_counts(digests))
     rows = digests.filter("part IS NULL").select("doc_id", "n", "cls")
-    keys = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"))
     found = prefixes(docs, counts, size, percent)
 
     in_order = W.partitionBy("token").orderBy("n", "cls")
@@ -304,19 +311,21 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
 
     options = shared.filter("prev IS NOT NULL").select("cls", F.when(_near("n", "first_n", percent), F.col("first")).when(_near("n", "prev_n", percent), F.col("prev")).alias("hub"))
     votes = options.filter("hub <> cls").groupBy("cls", "hub").agg(F.count("*").alias("votes"))
-    stars = votes.groupBy("cls").agg(F.max(F.struct("votes", "hub")).alias("best")).select(F.col("best.hub").alias("hub"), "cls")
+    best = votes.groupBy("cls").agg(F.max(F.struct("votes", "hub")).alias("best"), F.sum("votes").alias("all"))
+    stars = best.select(F.col("best.hub").alias("hub"), "cls", F.col("all").alias("typical"))
 
-    one = digests.filter("part IS NULL AND n > 0").groupBy("cls").agg(F.min("doc_id").alias("doc_id"), F.first("bitmap").alias("bitmap"), F.first("n").alias("n"))
+    one = digests.filter("part IS NULL AND n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("bitmap").alias("bitmap"), F.first("n").alias("n"))
     one = runtime.materialize(one, "classes")
-    classes = _text_keys(keys, one, digests)
-    edges = runtime.materialize(verify(stars, docs, classes, counts, size, percent), "links")
+    edges = runtime.materialize(verify(stars, docs, one, counts, size, percent), "links")
 
     parts = components.connected_components(edges)
     rest = _pairs_between(shared, parts, one, percent)
     rest = runtime.materialize(rest, "pairs")
     if not rest.isEmpty():
-        more = verify(rest.select(F.col("a").alias("hub"), F.col("b").alias("cls")), docs, classes, counts, size, percent)
-        parts = components.connected_components(edges.unionByName(more))
+        more = verify(rest.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.lit(0).alias("typical")), docs, one, counts, size, percent)
+        more = runtime.materialize(more, "links")
+        if not more.isEmpty():
+            parts = components.connected_components(edges.unionByName(more))
 
     placed = rows.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
     least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
@@ -324,11 +333,6 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _text_keys(keys: DataFrame, one: DataFrame, digests: DataFrame) -> DataFrame:
-    """(cls, key): a key of one text of each class."""
-    return one.select("cls", "doc_id").join(keys, "doc_id").groupBy("cls").agg(F.min("key").alias("key"))
-
-
 def _pairs_between(shared: DataFrame, parts: DataFrame, one: DataFrame, percent: int) -> DataFrame:
     """(a, b): pairs in different components that share a prefix token and pass all filters."""
     labelled = shared.select("token", "cls", "n", "pos").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
