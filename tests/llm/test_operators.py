@@ -1,0 +1,380 @@
+"""Each operator against brute force or an exact round trip, with nulls, empty and long texts, ties and repeated rows."""
+
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import pytest
+
+from arbora.llm import components, decontaminate, itq, jaccard, licenses, packing, pii, rans, runtime, suffixes, tokens, toxicity, warc
+from arbora.llm.queries import tokenizer_path
+
+DOC = "doc_id long, text string"
+
+
+def words(rnd, n, letters="abcdefg", longest=6):
+    return " ".join("".join(rnd.choice(letters) for _ in range(rnd.randint(1, longest))) for _ in range(n))
+
+
+def odd_texts(rnd):
+    """Texts that operators must bear: nulls, empty, blank, non-ASCII, long, equal ones."""
+    return [None, "", "   \n\t ", "é Ünï çode ÀÉ 日本語", "x", words(rnd, 9000), "same text here now", "same text here now", "a" * 3000, "1" * 3000]
+
+
+def with_extra(df):
+    """Columns whose names clash with those that operators use inside."""
+    from pyspark.sql import functions as F
+
+    for name in ("n", "cls", "token", "words", "start", "key", "row_key", "grp", "label", "block"):
+        df = df.withColumn(name, F.lit("clash"))
+    return df
+
+
+def frame(spark, rows, schema=DOC):
+    return with_extra(spark.createDataFrame(rows, schema)).repartition(3)
+
+
+# 1
+
+
+def test_tokens_equal_the_library(spark):
+    rnd = random.Random(1)
+    enc = tokens.Encoder(tokenizer_path())
+    extra = ["It's we'll DON'T 12,5%", "a<|endoftext|>b", "x\x0b y\x1cz\xa0w", "é é ÀÉÎÿŸ ßẞ", "İstanbul ΣΑΣ", "a\r\nb", "w." * 50]
+    for t in [*odd_texts(rnd), *extra]:
+        assert enc.encode(t) == enc.whole(t or "")
+
+
+def test_rans_round_trip_and_partial_decoding():
+    rng = np.random.default_rng(2)
+    for n, top in ((0, 10), (1, 10), (63, 5), (70_000, 49_000), (200_000, 300), (5000, 1)):
+        ids = rng.zipf(1.3, n).clip(0, top - 1).astype("<u4") if n else np.zeros(0, "<u4")
+        data = rans.encode_segment([7], np.array([n]), ids)
+        seg = rans.open_segment(data)
+        assert np.array_equal(rans.decode_blocks(seg), ids)
+        if len(seg.index) > 1:
+            size = seg.steps * rans.LANES
+            assert np.array_equal(rans.decode_blocks(seg, 1, 2), ids[size : 2 * size])
+            assert np.array_equal(rans.decode_blocks(seg, 0, 1, from_half=True), ids[seg.steps // 2 * rans.LANES : size])
+        with pytest.raises(rans.CorruptSegment):
+            rans.open_segment(data[:-9] + bytes([data[-9] ^ 1]) + data[-8:])
+
+
+def test_token_files(spark):
+    rnd = random.Random(3)
+    rows = [(i, t) for i, t in enumerate(odd_texts(rnd))] + [(None, "no id"), (5, "again")]
+    path = runtime.scratch_path(spark, "t")
+    rans.write_tokens(frame(spark, rows), path, tokenizer_path(), end_id=2)
+    got = rans.read_tokens(spark, path).collect()
+    enc = tokens.Encoder(tokenizer_path())
+    want = sorted((((d is not None, d or 0), enc.whole(t or "") + b"\2\0\0\0") for d, t in rows), key=lambda x: x[0])
+    got = sorted(got, key=lambda r: r.start)
+    assert sorted(((r.doc_id is not None, r.doc_id or 0), bytes(r.ids)) for r in got) == sorted(want)
+    assert [(r.doc_id is not None, r.doc_id or 0) for r in got] == [d for d, _ in want]
+    assert [r.start for r in got] == np.cumsum([0, *[r.n_tokens for r in got]])[:-1].tolist()
+    empty = runtime.scratch_path(spark, "t")
+    rans.write_tokens(frame(spark, []), empty, tokenizer_path(), end_id=2)
+    assert rans.read_tokens(spark, empty).count() == 0
+
+
+# 2
+
+
+def test_suffixes(spark):
+    rnd = random.Random(4)
+    shared = [words(rnd, 140) for _ in range(3)]
+    rows = [(i, words(rnd, rnd.randint(1, 150)) + " " + rnd.choice(shared)[rnd.randint(0, 90) :] + words(rnd, rnd.randint(0, 40))) for i in range(25)]
+    rows += [(100 + i, t) for i, t in enumerate(odd_texts(rnd))]
+    rows += [(300, rows[3][1]), (300, rows[3][1]), (None, shared[0]), (301, shared[1][:399]), (302, shared[1][:400]), (303, "ab" * 500)]
+    got = [tuple(r) for r in suffixes.remove_repeats(frame(spark, rows)).drop("kept").collect()]
+    assert sorted(got, key=str) == sorted(suffixes.brute_force(rows), key=str)
+    assert suffixes.remove_repeats(frame(spark, [])).count() == 0
+
+
+# 3
+
+
+def test_warc(spark):
+    big = "<p>" + "é" * 800
+    noisy = "".join(chr(31) + chr(139) + chr(8) for _ in range(400))
+    rows = [(1, "u", big), (9, "v", big), (4, None, big), (2, "w", "small"), (3, "w", "small"), (5, "x", None), (6, "y", ""), (None, "z", big), (7, "n", noisy), (8, "n", noisy), (9, "v", big)]
+    path = runtime.scratch_path(spark, "w")
+    warc.write_warc(frame(spark, rows, "page_id long, url string, html string"), path)
+    want = []
+    for p, _, html in rows:
+        raw = (html or "").encode()
+        same = [q for q, _, h in rows if (h or "") == (html or "") and q is not None]
+        refers = max(same) if p is not None and len(raw) >= 1000 and max(same) > p else None
+        want.append((p, "response" if refers is None else "revisit", len(raw), hashlib.sha1(raw).hexdigest(), refers))
+    for size in (97, 1000, 1 << 22):  # ranges of any size own each record once
+        got = warc.read_warc(spark, path, range_bytes=size).collect()
+        assert sorted([(r.page_id, r.record_type, r.payload_bytes, r.payload_digest, r.refers_to) for r in got], key=str) == sorted(want, key=str)
+    assert all(hashlib.sha1(bytes(r.payload)).hexdigest() == r.payload_digest for r in got if r.record_type == "response")
+    empty = runtime.scratch_path(spark, "w")
+    warc.write_warc(frame(spark, [], "page_id long, url string, html string"), empty)
+    assert warc.read_warc(spark, empty).count() == 0
+
+
+# 4
+
+
+def test_packing(spark):
+    rnd = random.Random(5)
+    rows = [(i, words(rnd, rnd.randint(1, 1500))) for i in range(120)] + [(200 + i, t) for i, t in enumerate(odd_texts(rnd))]
+    got = packing.pack_documents(frame(spark, rows), tokenizer_path(), end_id=1).collect()
+    enc = tokens.Encoder(tokenizer_path())
+    want = []
+    for d, t in rows:
+        ids = enc.whole(t or "") + b"\1\0\0\0"
+        want += [(d, k, a, min(4096, len(ids) // 4 - a), zlib.crc32(ids[4 * a : 4 * (a + 4096)])) for k, a in enumerate(range(0, len(ids) // 4, 4096))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for places in by.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 4096
+    assert len(by) <= -(-sum(r.length for r in got) // 4096) + 2
+    assert packing.pack_documents(frame(spark, []), tokenizer_path()).count() == 0
+
+
+def test_vector_best_fit_holds_every_capacity():
+    rng = np.random.default_rng(6)
+    lengths = np.sort(rng.integers(1, 100, 300))[::-1]
+    for rule in ("norm", "dot"):
+        cap = packing.Capacity(tokens=128, documents=3, attention=12000, weights=(1.0, 1.0, 1.0), rule=rule)
+        where, offset = packing.vector_best_fit(lengths, cap)
+        for b in np.unique(where):
+            own = lengths[where == b]
+            assert own.sum() <= 128 and len(own) <= 3 and (own.astype(int) ** 2).sum() <= 12000
+            assert sorted(offset[where == b].tolist()) == np.cumsum([0, *own.tolist()])[:-1].tolist()
+
+
+# 5
+
+
+def test_pii(spark):
+    rnd = random.Random(7)
+    alphabet = "ab1234567890.@+- ()_%é\n"
+    texts = ["".join(rnd.choice(alphabet) for _ in range(rnd.randint(0, 120))) for _ in range(400)]
+    texts += ["mail a@b.c_x@d.e now", "x@y@z.com", "card 4111 1111-1111 1111.", "call +49 (30) 1234-5678 x", "1.2.3.4.5 256.1.1.1 010.0.0.1", "IBAN GB82 WEST 1234 5698 7654 32", "ssn 123-45-6789", "1" * 20_000, "a" * 200_000 + "@b.c"]
+    rows = [(i, t) for i, t in enumerate([*texts, *odd_texts(rnd)])]
+    found = pii.find_pii(spark.createDataFrame(rows, DOC))
+    got = {r.doc_id: (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) for r in pii.digest_spans(found).collect()}
+    # the plain patterns take quadratic time on the two long runs
+    for d, t in rows:
+        if not t or len(t) < 10_000 or " " in t:
+            assert got[d] == pii.reference_digest(t), t
+    kinds = {s.kind for r in found.collect() for s in r.spans}
+    assert {"iban", "ssn"} <= kinds
+    cleaned = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, DOC)).collect()}
+    assert cleaned[rows[401][0]] == "x@[EMAIL]"
+    with pytest.raises(ValueError):
+        pii.find_pii(found)
+
+
+# 6
+
+
+def test_itq_finds_all_near_pairs(spark):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(120, 32))
+    rows, x = [], []
+    for i in range(400):
+        v = base[i % 120] + (rng.normal(size=32) * 0.12 if i >= 120 else 0)
+        x.append(v)
+    x += [x[0], x[0] * 2]
+    labels = [i % 3 for i in range(len(x))]
+    rows = [(i, v.astype(np.float32).tolist(), labels[i % 120] if i < 400 else labels[0]) for i, v in enumerate(x)]
+    rows += [(500, None, 1), (501, [0.0] * 32, 1), (502, [float("nan")] * 32, 1), (503, rows[0][1], None), (504, [1.0, None], 1), (505, [1.0, 2.0], 1), (506, [1.0, 2.0], 1), (None, rows[0][1], 0), (507, [float("inf")] * 32, 1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(3)
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in itq.near_duplicates(df).collect()}
+    good = [(d, np.array(v, float), y) for d, v, y in rows if d is not None and v and y is not None and None not in v and np.isfinite(v).all() and np.any(v)]
+    links, parent = {d: set() for d, _, _ in good}, {d: d for d, _, _ in good}
+    for a, v, y in good:
+        for b, w, z in good:
+            if a != b and y == z and len(v) == len(w) and v @ w / np.linalg.norm(v) / np.linalg.norm(w) >= 0.93:
+                links[a].add(b)
+    for _ in parent:
+        for a in parent:
+            parent[a] = min([parent[a], *[parent[b] for b in links[a]]])
+    found = sum(got[d][0] for d in links)
+    assert 0.9 * sum(map(len, links.values())) <= found <= sum(map(len, links.values()))
+    exact = [d for d in links if got[d] == (len(links[d]), parent[d], parent[d] == d)]
+    assert len(exact) >= 0.9 * len(links)
+    assert all(got[d] == (0, d, True) for d in (500, 501, 502, 503, 504, 507)) and got[None] == (0, None, True)
+    assert got[505] == (1, 505, True) and got[506] == (1, 505, False)
+    assert itq.near_duplicates(df.limit(0)).count() == 0
+
+
+def test_components(spark):
+    edges = [(i, i + 1) for i in range(60) if i != 30] + [(5, 5), (None, 3), (3, 1), (100, 90), (90, 100)]
+    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {**{i: 0 for i in range(31)}, **{i: 31 for i in range(31, 61)}, 90: 90, 100: 90}
+
+
+# 7
+
+
+def toxic_rows(rnd, n):
+    rows = []
+    for i in range(n):
+        bad = i % 5 == 0
+        own = words(rnd, 40, "abcdefghij", 5).split()
+        if bad:
+            for _ in range(4):
+                own.insert(rnd.randint(0, len(own)), rnd.choice(["grimling", "vexword", "zorko" + words(rnd, 1)]))
+        rows.append((i, " ".join(own), int(bad)))
+    return rows
+
+
+def test_toxicity_learns_words_and_beginnings(spark):
+    rnd = random.Random(9)
+    rows = toxic_rows(rnd, 800)
+    docs = frame(spark, [(d, t) for d, t, _ in rows] + [(5000 + i, t) for i, t in enumerate(odd_texts(rnd))])
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows] + [(None, 1), (3, None)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: r for r in toxicity.score_toxicity(docs, model).collect()}
+    out = [(got[d].predicted, y) for d, _, y in rows if zlib.crc32(str(d).encode()) % 4 == 2]
+    assert sum(p == y for p, y in out) >= 0.97 * len(out)
+    assert all(r.held_out == (zlib.crc32(str(d).encode()) % 4 == 2) for d, r in got.items())
+    assert all(0 <= r.score <= 1 for r in got.values()) and got[5000].predicted == 0
+    kept = toxicity.drop_toxic(docs, model)
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {d for d, r in got.items() if not r.predicted}
+    plain = toxicity.fit(docs, labels.limit(0))
+    assert toxicity.score_toxicity(docs, plain).count() == docs.count()
+
+
+def test_clause_grammar():
+    ins, tar, neg, rep = toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT
+    assert toxicity.run_clause([(3, ins, 2.0)], 5) == (2.0, 0.0, 0.0, 0.0, 1)
+    assert toxicity.run_clause([(1, tar, 0), (3, ins, 2.0)], 5) == (2.0, 2.0, 0.0, 0.0, 1)
+    assert toxicity.run_clause([(3, ins, 2.0), (4, tar, 0)], 5) == (2.0, 2.0, 0.0, 0.0, 1)
+    assert toxicity.run_clause([(1, neg, 0), (3, ins, 2.0)], 5) == (0.0, 0.0, 2.0, 0.0, 1)
+    assert toxicity.run_clause([(1, rep, 0), (30, ins, 2.0)], 5) == (0.0, 0.0, 0.0, 2.0, 1)
+    assert toxicity.run_clause([(1, neg, 0), (30, ins, 2.0)], 5) == (2.0, 0.0, 0.0, 0.0, 1)
+
+
+# 8
+
+
+def test_jaccard(spark):
+    rnd = random.Random(10)
+    base = [words(rnd, rnd.choice([3, 20, 60, 200])) for _ in range(30)]
+    rows = [(i, t) for i, t in enumerate(base)]
+    for i in range(150):
+        own = rnd.choice(base).split()
+        for _ in range(rnd.randint(0, 4)):
+            own[rnd.randrange(len(own))] = words(rnd, 1)
+        rows.append((100 + i, " ".join(own)))
+    rows += [(400 + i, t) for i, t in enumerate(odd_texts(rnd))] + [(500, "SAME Text here NOW"), (501, "é ÀB ç"), (502, "é Àb ç"), (503, "é àb ç")]
+    for size, percent in ((4, 85), (5, 80)):
+        got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, rows), size, percent).collect()}
+        assert got == jaccard.pairs_from_sets(dict(rows), size, percent)
+    assert jaccard.jaccard_components(frame(spark, [])).count() == 0
+
+
+def test_prefix_tree_blocks_equal_all_pairs():
+    rnd = random.Random(11)
+    counts = np.zeros(1 << jaccard.SKETCH_BITS, np.int64)
+    sets = [np.unique(np.array([rnd.randrange(40) for _ in range(rnd.randint(1, 25))], np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for _ in range(120)]
+    parent = list(range(len(sets)))
+
+    def find(a):
+        while parent[a] != a:
+            a = parent[a]
+        return a
+
+    for a, b in jaccard.join_block(sets, counts, 70):
+        parent[find(a)] = find(b)
+    for i, x in enumerate(sets):
+        for k, y in enumerate(sets):
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 70 * (len(x) + len(y) - both):
+                assert find(i) == find(k)
+
+
+# 9
+
+
+def test_licenses(spark):
+    rnd = random.Random(12)
+    rows = [(1, "The MIT License. x mit\nlicense GENERAL public license"), (2, "mit licenses apache-license"), (3, licenses.TEMPLATES["bsd"].upper()), (4, "foo\n" + " ".join(licenses.TEMPLATES["isc"].split()[:-3]) + "\nbar"), (5, "permission is hereby granted")]
+    rows += [(10 + i, t) for i, t in enumerate(odd_texts(rnd))]
+    got = {r.doc_id: r for r in licenses.scan_licenses(frame(spark, rows)).collect()}
+    assert (got[1].n_words, got[1].n_base, got[1].first_word, got[1].last_word, got[1].base_labels) == (9, 3, 1, 6, "gpl,mit")
+    assert (got[2].n_base, got[2].base_labels, got[2].first_word) == (1, "apache", 2)
+    assert (got[3].labels, got[3].base_labels) == ("bsd", "") and got[3].score == 1.0
+    assert got[4].labels == "isc" and 0.8 <= got[4].score < 1
+    assert got[5].labels == "" and got[5].score == 0
+    assert got[10].n_words == 0 and got[13].n_words == 5
+    assert licenses.scan_licenses(frame(spark, [])).count() == 0
+
+
+def test_license_join_equals_brute_force():
+    rnd = random.Random(13)
+    vocabulary = sorted({w for t in licenses.TEMPLATES.values() for w in t.split()})
+    counts = {licenses.tk.hash_word(w): rnd.randint(0, 50) for w in vocabulary}
+    index = licenses.TemplateIndex(counts, 0.6)
+    for _ in range(300):
+        block = set(rnd.choice(list(licenses.TEMPLATES.values())).split())
+        block = {w for w in block if rnd.random() < 0.75} | {rnd.choice(vocabulary) for _ in range(3)}
+        ranks = index.ranks(np.array([licenses.tk.hash_word(w) for w in block], np.uint64))
+        got = dict(index.matches(np.unique(ranks[ranks >= 0]), len(block)))
+        want = {}
+        for name, text in licenses.TEMPLATES.items():
+            own = set(np.frombuffer(b"", np.uint8)) or set(licenses._template_words({name: text})[name])
+            c = len(own & {licenses.tk.hash_word(w) for w in block}) / len(own)
+            if c >= 0.6 - 1e-9:
+                want[name] = c
+        assert got == want
+
+
+# 10
+
+
+def brute_contamination(docs, items):
+    import re
+
+    table = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    split = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (t or "").translate(table))
+    wins = {}
+    for i, t in items:
+        w = split(t)
+        n = min(13, len(w))
+        wins[i] = {tuple(w[k : k + n]) for k in range(len(w) - n + 1)} if w else set()
+    out = []
+    for d, t in docs:
+        w, hit, found = split(t), set(), set()
+        for i, own in wins.items():
+            for g in own:
+                for k in range(len(w) - len(g) + 1):
+                    if tuple(w[k : k + len(g)]) == g:
+                        hit |= set(range(k, k + len(g)))
+                        found.add(str(i))
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit) and 20 * len(hit) >= len(w)))
+    return out
+
+
+def test_winnowing(spark):
+    rnd = random.Random(14)
+    items = [(i, words(rnd, n)) for i, n in enumerate([40, 25, 13, 14, 12, 5, 1, 60])] + [(50, None), (51, ""), (52, "É ÀB c d e f g h i j k l m n")]
+    docs = []
+    for i in range(60):
+        own = rnd.choice(items[:8])[1].split()
+        a = rnd.randint(0, max(0, len(own) - 13))
+        docs.append((i, words(rnd, rnd.randint(0, 60)) + ", " + ". ".join(own[a : a + rnd.randint(5, 30)]).upper() + "! " + words(rnd, rnd.randint(0, 60))))
+    docs += [(100 + i, t) for i, t in enumerate([t for t in odd_texts(rnd) if not t or len(t) < 5000])] + [(3, "two rows of one id"), (None, items[0][1]), (200, "é àb c d e f g h i j k l m n"), (201, "É Àb C D e f g h i j k l m n")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.digest(decontaminate.find_contamination(frame(spark, docs), bench)).collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute_contamination(docs, items), key=str)
+    kept = decontaminate.drop_contaminated(frame(spark, docs), bench)
+    want = [d for (d, _), x in zip(docs, brute_contamination(docs, items), strict=True) if not x[5]]
+    assert kept.columns == frame(spark, docs).columns
+    assert sorted([str(r.doc_id) for r in kept.collect()]) == sorted(map(str, want))
+    assert decontaminate.find_contamination(frame(spark, docs), bench.limit(0)).filter("contaminated").count() == 0
+    assert decontaminate.find_contamination(frame(spark, []), bench).count() == 0
