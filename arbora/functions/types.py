@@ -7,6 +7,7 @@ string.  Integers are decoded wide, so a number out of range is a type error, no
 from __future__ import annotations
 
 from dataclasses import dataclass
+from decimal import Decimal
 from functools import reduce
 
 from pyspark.sql import Column
@@ -66,7 +67,8 @@ def restrict(base: tuple[tuple[str, int], ...], keep: set[str]) -> tuple[tuple[s
 
 def within(x: Column, ranges: tuple[tuple, ...]) -> Column:
     """Whether x is in one of the intervals; None is an open end."""
-    one = lambda lo, hi: (F.lit(True) if lo is None else x >= F.lit(lo)) & (F.lit(True) if hi is None else x <= F.lit(hi))
+    bound = lambda n: F.lit(Decimal(n) if isinstance(n, int) else n)
+    one = lambda lo, hi: (F.lit(True) if lo is None else x >= bound(lo)) & (F.lit(True) if hi is None else x <= bound(hi))
     return reduce(lambda a, b: a | b, [one(lo, hi) for lo, hi in ranges])
 
 
@@ -108,7 +110,7 @@ def parse(s: Column, t: Type) -> Column:
 def valid(x: Column, t: Type) -> Column:
     """Whether a decoded value is in the type; never NULL."""
     if t.base in BOUNDS or t.base == "decimal64":
-        ok = within(x, (BOUNDS[t.base],)) if t.base in BOUNDS else F.abs(x) < F.lit(10 ** (19 - t.digits)).cast("decimal(38,0)")
+        ok = within(x, (BOUNDS[t.base],)) if t.base in BOUNDS else F.abs(x) < F.lit(Decimal(10 ** (19 - t.digits))).cast("decimal(38,0)")
         ok = ok & within(x, t.ranges) if t.ranges else ok
     elif t.base in ("string", "binary"):
         size = F.length(x) if t.base == "string" else F.octet_length(x)
