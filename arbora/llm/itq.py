@@ -45,12 +45,20 @@ def fit_itq(x: np.ndarray, bits: int = BITS, rounds: int = 30, seed: int = 0) ->
     return mean, basis @ r
 
 
-def tables(n: int, bits: int) -> tuple[list[tuple[int, int]], int]:
-    """(bit ranges of the tables of one code, number of rotations) for labels of about n vectors."""
-    width = min(16, max(6, math.ceil(math.log2(max(2, n)))))
+def tables(n: int, bits: int, threshold: float, target: float = 0.98) -> tuple[list[tuple[int, int]], int]:
+    """(bit ranges of the tables of one code, number of codes) for labels of about n vectors.
+
+    Tables are a few bits wider than log2(n), so most buckets hold one vector.  There are as many as it takes for a
+    pair at the threshold to meet with probability ``target``: a bit of theirs differs with chance angle / pi.
+    """
+    width = min(bits, 32, max(6, math.ceil(math.log2(max(2, n))) + 3))
+    flips = width * math.acos(threshold) / math.pi
+    meet = math.exp(-flips) * (1 + flips)
+    wanted = math.ceil(math.log(1 - target) / math.log(1 - meet)) if meet < 1 else 1
     count = max(1, bits // width)
-    cuts = [bits * k // count for k in range(count + 1)]
-    return list(zip(cuts[:-1], cuts[1:], strict=True)), 1 if width < 14 else 2
+    codes = -(-wanted // count)
+    count = min(count, -(-wanted // codes))
+    return [(width * k, width * (k + 1)) for k in range(count)], codes
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -89,83 +97,100 @@ def _linked(classes: DataFrame, threshold: float, max_sample: int) -> DataFrame
         # at most max_sample vectors
         sample = classes.filter(F.col("dim") == row.dim).orderBy(F.xxhash64("cls")).limit(max_sample).select("embedding").collect()
         x = _unit(np.array([r.embedding for r in sample], dtype=float))
-        spans, rotations = tables(per_label[row.dim], min(BITS, row.dim, len(x)))
+        spans, rotations = tables(per_label[row.dim], min(BITS, row.dim, len(x)), threshold)
         models[row.dim] = [(*fit_itq(x, seed=s), spans) for s in range(rotations)]
     if not models:
         return None
 
     def index(batches):
-        names = ["label", "dim", "cls", "n", "tab", "bucket", "home", "codes", "vector"]
         for frame in batches:
             for dim, own in frame.groupby("dim"):
-                x = np.array(own["embedding"].tolist(), dtype=float)
-                unit, rows = _unit(x), []
+                unit = _unit(np.array(own["embedding"].tolist(), dtype=float))
                 keys = []
                 for mean, proj, spans in models[dim]:
                     bits = (unit - mean) @ proj >= 0
-                    for lo, hi in spans:
-                        keys.append((bits[:, lo:hi] @ (1 << np.arange(min(hi, bits.shape[1]) - lo)), hi - lo))
+                    keys += [(bits[:, lo:hi] @ (1 << np.arange(hi - lo)), hi - lo) for lo, hi in spans]
                 table = np.column_stack([k for k, _ in keys]).astype("<u4")
-                codes = [t.tobytes() for t in table]
-                vectors = [v.tobytes() for v in unit]
+                codes, vectors = [t.tobytes() for t in table], [v.tobytes() for v in unit]
+                places = []
                 for t, (key, width) in enumerate(keys):
-                    rows.append((t, key, True, np.arange(len(own))))
+                    places.append((t, key, True, np.arange(len(own))))
                     for b in range(width):  # the smaller of two keys that differ in one bit
                         at = np.flatnonzero(key >> b & 1)
-                        rows.append((t, key[at] ^ (1 << b), False, at))
-                labels, cls, n = own["label"].to_numpy(), own["cls"].to_numpy(), own["n"].to_numpy()
-                for t, key, home, at in rows:
-                    yield pd.DataFrame(dict(zip(names, [labels[at], np.full(len(at), dim), cls[at], n[at], np.full(len(at), t), key, np.full(len(at), home), [codes[i] for i in at], [vectors[i] for i in at]], strict=True)))
+                        places.append((t, key[at] ^ (1 << b), False, at))
+                spots = [[] for _ in codes]
+                for t, key, home, at in places:
+                    for i, k in zip(at.tolist(), key.tolist(), strict=True):
+                        spots[i].append({"tab": t, "bucket": k, "home": home})
+                yield pd.DataFrame({"label": own["label"].to_numpy(), "dim": dim, "cls": own["cls"].to_numpy(), "n": own["n"].to_numpy(), "codes": codes, "vector": vectors, "spots": spots})
 
     label = classes.schema["label"].dataType.simpleString()
-    placed = classes.select("label", "dim", "cls", "n", "embedding").mapInPandas(index, f"label {label}, dim int, cls long, n long, tab int, bucket long, home boolean, codes binary, vector binary")
+    placed = classes.select("label", "dim", "cls", "n", "embedding").mapInPandas(index, f"label {label}, dim int, cls long, n long, codes binary, vector binary, spots array<struct<tab:int,bucket:long,home:boolean>>")
     placed = runtime.materialize(placed, "buckets")
     cell = ["label", "dim", "tab", "bucket"]
-    counts = placed.groupBy(*cell).agg(F.count_if("home").alias("homes"), F.count("*").alias("all")).filter("homes > 0 AND all > 1")
-    dealt = placed.join(counts, cell)
+    spots = placed.select("label", "dim", "cls", F.explode("spots").alias("s")).select("label", "dim", "cls", "s.*")
+    # buckets where someone is at home and someone else is, too; vectors only go there
+    counts = spots.groupBy(*cell).agg(F.count_if("home").alias("homes"), F.count("*").alias("all")).filter("homes > 0 AND all > 1")
     blocks = F.ceil(F.col("homes") / F.lit(BLOCK)).cast("int")
     own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
     every = F.sequence(F.lit(0), blocks - 1)
     # homes go to each pair of blocks with theirs, visitors to each block of homes
     pairs = F.when(F.col("home"), F.transform(every, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))).otherwise(F.transform(every, lambda k: F.struct(k.alias("i"), k.alias("j"))))
-    dealt = dealt.select(*cell, "cls", "n", "home", "codes", "vector", own.alias("block"), F.explode(pairs).alias("pair")).select("*", "pair.i", "pair.j").drop("pair")
+    dealt = spots.join(counts, cell).select("dim", "tab", F.xxhash64(*cell).alias("at"), "cls", "home", own.alias("block"), F.explode(pairs).alias("pair"))
+    dealt = dealt.select("dim", "tab", "at", "cls", "home", "block", "pair.i", "pair.j")
+    # small buckets share a group; each pair of blocks of a large one is a group of its own
+    groups = max(1, classes.count() // 512)
+    alone = F.xxhash64("at", "i", "j")
+    dealt = dealt.withColumn("grp", F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(alone, F.lit(groups))).otherwise(alone))
+    dealt = dealt.join(placed.select("cls", "n", "codes", "vector"), "cls")
 
     def rerank(frame: pd.DataFrame) -> pd.DataFrame:
-        homes, guests = frame[frame["home"]], frame[~frame["home"]]
-        i, j, tab, dim = (int(frame[c].iloc[0]) for c in ("i", "j", "tab", "dim"))
-        left = homes[homes["block"] == i]
-        right = homes[homes["block"] == j] if i != j else pd.concat([left, guests])
-        if not len(left) or not len(right):
+        dim = int(frame["dim"].iloc[0])
+        frame = frame.sort_values(["at", "i", "j", "home"], ascending=[True, True, True, False], kind="stable")
+        x = np.frombuffer(b"".join(frame["vector"]), float).reshape(len(frame), dim)
+        codes = np.frombuffer(b"".join(frame["codes"]), "<u4").reshape(len(frame), -1)
+        at, i, j, home, block, tab, cls, n = (frame[c].to_numpy() for c in ("at", "i", "j", "home", "block", "tab", "cls", "n"))
+        new = np.ones(len(frame), bool)
+        new[1:] = (at[1:] != at[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])
+        edges = np.append(np.flatnonzero(new), len(frame))
+        left, right = [], []
+        for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if b - a < 2 or not home[a]:
+                continue
+            if i[a] == j[a]:
+                p, q = np.arange(a, a + int(home[a:b].sum())), np.arange(a, b)
+            else:
+                own = np.arange(a, b)
+                p, q = own[block[a:b] == i[a]], own[block[a:b] == j[a]]
+            near = x[p] @ x[q].T >= threshold
+            if not near.any():
+                continue
+            for t in range(tab[a]):  # met in an earlier table
+                near &= np.bitwise_count(codes[p, t][:, None] ^ codes[q, t][None, :]) > 1
+            if i[a] == j[a]:
+                near &= q[None, :] > p[:, None]
+            u, v = np.nonzero(near)
+            left.append(p[u])
+            right.append(q[v])
+        if not left:
             return pd.DataFrame({"a": [], "links": [], "b": []}).astype("int64")
-        x, y = (np.frombuffer(b"".join(f["vector"]), float).reshape(-1, dim) for f in (left, right))
-        cx, cy = (np.frombuffer(b"".join(f["codes"]), "<u4").reshape(len(f), -1) for f in (left, right))
-        near = x @ y.T >= threshold
-        for t in range(tab):  # met in an earlier table
-            near &= np.bitwise_count(cx[:, t][:, None] ^ cy[:, t][None, :]) > 1
-        if i == j:
-            k = len(left)
-            near[:, :k] = np.triu(near[:, :k], 1)
-        ids = np.concatenate([left["cls"].to_numpy(), right["cls"].to_numpy()])
-        names, local = np.unique(ids, return_inverse=True)
-        a, b = local[: len(left)], local[len(left) :]
-        links = np.zeros(len(names), np.int64)
-        np.add.at(links, a, near @ right["n"].to_numpy())
-        np.add.at(links, b, left["n"].to_numpy() @ near)
+        p, q = np.concatenate(left), np.concatenate(right)
+        names, local = np.unique(cls, return_inverse=True)
+        u, v = local[p], local[q]
+        links = np.bincount(u, weights=n[q], minlength=len(names)) + np.bincount(v, weights=n[p], minlength=len(names))
         forest = np.arange(len(names))
-        p, q = np.nonzero(near)
-        p, q = a[p], b[q]
         while True:  # smallest label of each connected part
             before = forest.copy()
-            m = np.minimum(forest[p], forest[q])
-            np.minimum.at(forest, p, m)
-            np.minimum.at(forest, q, m)
+            m = np.minimum(forest[u], forest[v])
+            np.minimum.at(forest, u, m)
+            np.minimum.at(forest, v, m)
             forest = forest[forest]
             if (forest == before).all():
                 break
         hit = np.flatnonzero(links)
-        return pd.DataFrame({"a": names[hit], "links": links[hit], "b": names[forest[hit]]})
+        return pd.DataFrame({"a": names[hit], "links": links[hit].astype(np.int64), "b": names[forest[hit]]})
 
-    return runtime.materialize(dealt.groupBy(*cell, "i", "j").applyInPandas(rerank, "a long, links long, b long"), "near")
+    return runtime.materialize(dealt.groupBy("dim", "grp").applyInPandas(rerank, "a long, links long, b long"), "near")
 
 
 ORACLE_SQL = """
