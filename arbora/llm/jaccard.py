@@ -250,10 +250,36 @@ def join_block(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list
     return [(find(k), k) for k in range(len(sets)) if find(k) != k]
 
 
+def near_by_bitmap(bits: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which of these sets can reach the threshold with another, by their sizes and parity bitmaps."""
+    near = np.zeros(len(n), bool)
+    for k in range(len(n) - 1):
+        own, other = n[k], n[k + 1 :]
+        differ = np.bitwise_count(bits[k] ^ bits[k + 1 :]).sum(axis=1, dtype=np.int64)
+        ok = (100 * np.minimum(own, other) >= percent * np.maximum(own, other)) & (differ <= own + other - 2 * need_overlap(own, other, percent))
+        near[k] |= ok.any()
+        near[k + 1 :] |= ok
+    return near
+
+
+def _blocks_of(own: pd.DataFrame) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with equal (hub, block) in a sorted frame."""
+    hub, block = own["hub"].to_numpy(), own["block"].to_numpy()
+    edges = np.flatnonzero((hub[1:] != hub[:-1]) | (block[1:] != block[:-1])) + 1
+    return zip([0, *edges.tolist()], [*edges.tolist(), len(own)], strict=True)
+
+
+def _grouped(frame: DataFrame, rows: int) -> DataFrame:
+    """``frame`` with a ``grp`` of about this many rows; a block is in one group."""
+    groups = max(1, -(-frame.count() // rows))
+    return frame.withColumn("grp", F.pmod(F.xxhash64("hub", "block"), F.lit(groups)))
+
+
 def verify(stars: DataFrame, docs: DataFrame, classes: DataFrame, counts, size: int, percent: int) -> DataFrame:
-    """Edges (a, b) between classes, from (hub, cls, typical) candidates; ``classes`` has the (cls, key) of a text of each.
+    """Edges (a, b) between classes, from (hub, cls, typical) candidates; ``classes`` has cls, n, bitmap and the key of a text of each.
 
     A hub with more than ``BLOCK`` classes is split into blocks; the hub and its most typical class go to each of them.
+    Classes that by the bitmaps cannot link with any other of their block leave it before texts are sent.
     """
     sized = stars.groupBy("hub").agg(F.count("*").alias("members"), F.max(F.struct("typical", "cls")).alias("centre"))
     blocks = F.ceil(F.col("members") / F.lit(BLOCK)).cast("int")
@@ -261,32 +287,35 @@ def verify(stars: DataFrame, docs: DataFrame, classes: DataFrame, counts, size:
     every = F.explode(F.sequence(F.lit(0), blocks - 1)).alias("block")
     shared = sized.select("hub", F.explode(F.array_compact(F.array(F.col("hub"), F.when(F.col("members") > BLOCK, F.col("centre.cls"))))).alias("cls"), "members").select("hub", "cls", every)
     dealt = runtime.materialize(dealt.unionByName(shared), "blocks")
-    wanted = dealt.select("cls").distinct().join(classes.select("cls", "key"), "cls")
+
+    def sift(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values(["hub", "block", "cls"], kind="stable").drop_duplicates(["hub", "block", "cls"])
+        bits = np.frombuffer(b"".join(own["bitmap"]), np.uint64).reshape(len(own), -1)
+        n = own["n"].to_numpy()
+        near = np.concatenate([near_by_bitmap(bits[a:b], n[a:b], percent) for a, b in _blocks_of(own)])
+        return own.loc[near, ["hub", "block", "cls", "key"]]
+
+    sifted = _grouped(dealt, 4096).join(classes.select("cls", "key", "n", "bitmap"), "cls").groupBy("grp").applyInPandas(sift, "hub long, block int, cls long, key long")
+    wanted = runtime.materialize(sifted, "wanted")
     # a bitmap of the wanted keys, of 2**17 rows at most, keeps the other texts out of the shuffle
     word, bit = (F.col("key").bitwiseAND((1 << 23) - 1) / 64).cast("int"), F.col("key").bitwiseAND(63).cast("int")
     bitmap = wanted.groupBy(word.alias("word")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit)).alias("bits"))
     likely = docs.select(F.xxhash64("doc_id", "text").alias("key"), "text").withColumn("word", word).join(F.broadcast(bitmap), "word")
     likely = likely.filter(F.call_function("shiftrightunsigned", F.col("bits"), bit).bitwiseAND(1) == 1)
-
-    def hashed(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = tk.string_buffers(batch.column(1))
-            for i, j in tk.slices(offsets):
-                doc, h = doc_sets(data, offsets, i, j, size)
-                ends = np.searchsorted(doc, np.arange(j - i + 1))
-                raw = [h[a:b].tobytes() for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(raw, pa.binary())], names=["cls", "hashes"])
-
-    texts = likely.select("key", "text").join(wanted, "key").dropDuplicates(["key"]).select("cls", "text")
-    sets = texts.mapInArrow(hashed, "cls long, hashes binary")
+    texts = likely.select("key", "text").dropDuplicates(["key"])
 
     def join(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.drop_duplicates("cls")
+        own = own.sort_values(["hub", "block", "cls"], kind="stable")
+        data, offsets = tk.string_buffers(pa.array(own["text"], pa.large_string()))
+        sets: list[np.ndarray] = []
+        for i, j in tk.slices(offsets):
+            doc, h = doc_sets(data, offsets, i, j, size)
+            sets += np.split(h, np.searchsorted(doc, np.arange(1, j - i)))
         names = own["cls"].to_numpy()
-        found = join_block([np.frombuffer(b, np.uint64) for b in own["hashes"]], counts.value, percent)
-        return pd.DataFrame({"a": [names[a] for a, _ in found], "b": [names[b] for _, b in found]}, dtype="int64")
+        found = [(names[a + p], names[a + q]) for a, b in _blocks_of(own) for p, q in join_block(sets[a:b], counts.value, percent)]
+        return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype="int64")
 
-    return dealt.join(sets, "cls").groupBy("hub", "block").applyInPandas(join, "a long, b long")
+    return _grouped(wanted, BLOCK // 2).join(texts, "key").groupBy("grp").applyInPandas(join, "a long, b long")
 
 
 def _near(a: str, b: str, percent: int):
@@ -328,7 +357,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
             parts = components.connected_components(edges.unionByName(more))
 
     placed = rows.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
-    least = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least"))
+    least = runtime.materialize(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     out = placed.join(least, "component", "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
