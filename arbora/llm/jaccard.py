@@ -9,7 +9,8 @@ Sets are the hashes of word n-grams, globally ordered rarest first (by a count s
 4. In a block, sets are stored in a prefix tree.  Each set walks the tree once, sharing the overlaps counted on the
    way, and leaves a subtree when its overlap plus the shorter remainder cannot reach the threshold.
 5. *The rest*: classes that share a prefix token but are in different components so far are paired, filtered by
-   length, position and a parity bitmap (a lower bound of the symmetric difference), and verified in blocks too.
+   length, position and parity bitmaps (a lower bound of the symmetric difference: 128 bits in the join, all bits
+   after it), and verified in blocks too.  A pair meets at the first of each run of tokens that both have in a row.
    So every link between components is looked at; links inside one component cannot change the result.
 
 Only connected components are returned, so near-copies need no quadratic list of pairs.  Hashes are 64-bit.
@@ -72,7 +73,7 @@ def bitmaps(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
     return np.packbits((np.bincount(cell, minlength=n_docs * BITMAP_BITS) & 1).astype(bool).reshape(n_docs, BITMAP_BITS), axis=1)
 
 
-_DIGEST = "doc_id long, key long, n long, cls long, bitmap binary, part int, counts binary"
+_DIGEST = "doc_id long, key long, n long, cls long, bitmap binary, fold_a long, fold_b long, part int, counts binary"
 
 
 def digest_sets(docs: DataFrame, size: int) -> DataFrame:
@@ -92,13 +93,14 @@ def digest_sets(docs: DataFrame, size: int) -> DataFrame:
                 if len(full):
                     cls[full] = set_class(h, (np.cumsum(n) - n)[full])
                 bits = bitmaps(doc, h, j - i)
+                fold = np.bitwise_xor.reduce(bits.view(np.int64).reshape(j - i, -1, 2), axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(cls), pa.array([b.tobytes() for b in bits], pa.binary()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names=names
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(cls), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(fold[:, 0]), pa.array(fold[:, 1]), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names=names
                 )
         if sketch.any():
             pieces = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(sketch, SKETCH_PARTS)]
             nothing = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(SKETCH_PARTS, pa.binary()), pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(pieces, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(SKETCH_PARTS, pa.binary()), nothing, nothing, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(pieces, pa.binary())], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(digest, _DIGEST)
 
@@ -343,7 +345,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     best = votes.groupBy("cls").agg(F.max(F.struct("votes", "hub")).alias("best"), F.sum("votes").alias("all"))
     stars = best.select(F.col("best.hub").alias("hub"), "cls", F.col("all").alias("typical"))
 
-    one = digests.filter("part IS NULL AND n > 0").groupBy("cls").agg(F.min("key").alias("key"), F.first("bitmap").alias("bitmap"), F.first("n").alias("n"))
+    one = digests.filter("part IS NULL AND n > 0").groupBy("cls").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("bitmap", "n", "fold_a", "fold_b")])
     one = runtime.materialize(one, "classes")
     edges = runtime.materialize(verify(stars, docs, one, counts, size, percent), "links")
 
@@ -367,15 +369,21 @@ def _pairs_between(shared: DataFrame, parts: DataFrame, one: DataFrame, percent:
     labelled = shared.select("token", "cls", "n", "pos").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "cls"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    labelled = runtime.materialize(labelled.join(mixed, "token", "left_semi"), "mixed")
+    # a pair that also shares the token before has met there
+    before = F.lag("token").over(W.partitionBy("cls").orderBy("pos")).alias("before")
+    labelled = labelled.join(mixed, "token", "left_semi").join(one.select("cls", "fold_a", "fold_b"), "cls").select("*", before)
+    labelled = runtime.materialize(labelled, "mixed")
     x, y = labelled.alias("x"), labelled.alias("y")
     need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
+    differ = sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("fold_a", "fold_b"))
     close = (
         (F.col("x.token") == F.col("y.token"))
         & (F.col("x.component") != F.col("y.component"))
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls"))))
         & (100 * F.col("x.n") >= percent * F.col("y.n"))
         & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need)
+        & ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
+        & (differ <= F.col("x.n") + F.col("y.n") - 2 * need)
     )
     pairs = x.join(y, close).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     for side in ("a", "b"):
