@@ -8,7 +8,9 @@ Sets are the hashes of word n-grams, globally ordered rarest first (by a count s
    most frequent such partner becomes its hub.  Hubs and their classes meet in blocks of at most ``BLOCK`` sets.
 4. In a block, sets are stored in a prefix tree.  Each set walks the tree once, sharing the overlaps counted on the
    way, and leaves a subtree when its overlap plus the shorter remainder cannot reach the threshold.
-5. *The rest*: classes that share a prefix token but are in different components so far are paired, filtered by
+5. *Neighbours*: each class is verified with the few classes of other components that most often stand next to it
+   when a token's classes are in the order of size.
+6. *The rest*: classes that share a prefix token but are in different components so far are paired, filtered by
    length, position and parity bitmaps (a lower bound of the symmetric difference: 128 bits in the join, all bits
    after it), and verified in blocks too.  A pair meets at the first of each run of tokens that both have in a row.
    So every link between components is looked at; links inside one component cannot change the result.
@@ -350,13 +352,14 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     edges = runtime.materialize(verify(stars, docs, one, counts, size, percent), "links")
 
     parts = components.connected_components(edges)
-    rest = _pairs_between(shared, parts, one, percent)
-    rest = runtime.materialize(rest, "pairs")
-    if not rest.isEmpty():
-        more = verify(rest.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.lit(0).alias("typical")), docs, one, counts, size, percent)
+    for choose in (_neighbours, _pairs_between):
+        pairs = runtime.materialize(choose(_mixed(shared, parts, one), one, percent), "pairs")
+        if pairs.isEmpty():
+            continue
+        more = verify(pairs.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.lit(0).alias("typical")), docs, one, counts, size, percent)
         more = runtime.materialize(more, "links")
         if not more.isEmpty():
-            parts = components.connected_components(edges.unionByName(more))
+            parts = runtime.materialize(_joined(parts, more), "parts")
 
     placed = rows.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
     least = runtime.materialize(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
@@ -364,26 +367,60 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
-def _pairs_between(shared: DataFrame, parts: DataFrame, one: DataFrame, percent: int) -> DataFrame:
-    """(a, b): pairs in different components that share a prefix token and pass all filters."""
+def _joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
+    """``parts`` (node, component) with the components that ``edges`` (a, b) join made one."""
+    ends = edges.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component"))
+    nodes = runtime.materialize(parts.unionByName(ends).groupBy("node").agg(F.min("component").alias("component")), "nodes")
+    for end in ("a", "b"):
+        edges = edges.join(nodes.select(F.col("node").alias(end), F.col("component").alias(f"{end}_part")), end)
+    top = components.connected_components(edges.select(F.col("a_part").alias("a"), F.col("b_part").alias("b")).distinct())
+    placed = nodes.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    return placed.select("node", F.coalesce("top", "component").alias("component"))
+
+
+def _mixed(shared: DataFrame, parts: DataFrame, one: DataFrame) -> DataFrame:
+    """Prefix tokens that classes of different components share, with ``before``: the class's token before it here."""
     labelled = shared.select("token", "cls", "n", "pos").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "cls"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
-    # a pair that also shares the token before has met there
     before = F.lag("token").over(W.partitionBy("cls").orderBy("pos")).alias("before")
     labelled = labelled.join(mixed, "token", "left_semi").join(one.select("cls", "fold_a", "fold_b"), "cls").select("*", before)
-    labelled = runtime.materialize(labelled, "mixed")
-    x, y = labelled.alias("x"), labelled.alias("y")
-    need = F.ceil(F.lit(percent) * (F.col("x.n") + F.col("y.n")) / F.lit(100 + percent))
-    differ = sum(F.bit_count(F.col(f"x.{c}").bitwiseXOR(F.col(f"y.{c}"))) for c in ("fold_a", "fold_b"))
+    return runtime.materialize(labelled, "mixed")
+
+
+def _may_link(x, y, percent: int):
+    """Whether two rows of ``_mixed`` pass the filters by component, length, position and folded bitmap; ``x``, ``y`` give a column by name."""
+    need = F.ceil(F.lit(percent) * (x("n") + y("n")) / F.lit(100 + percent))
+    differ = sum(F.bit_count(x(c).bitwiseXOR(y(c))) for c in ("fold_a", "fold_b"))
+    near = _near(x("n"), y("n"), percent) & (F.least(x("n") - x("pos"), y("n") - y("pos")) >= need)
+    return (x("component") != y("component")) & near & (differ <= x("n") + y("n") - 2 * need)
+
+
+def _neighbours(mixed: DataFrame, one: DataFrame, percent: int, reach: int = 4, best: int = 3) -> DataFrame:
+    """(a, b): for each class the ``best`` others that most often stand within ``reach`` places of it at a token.
+
+    They join most of what belongs together, at a cost in proportion to the tokens; the pairs that this leaves out are
+    looked at by ``_pairs_between``.
+    """
+    in_order = W.partitionBy("token").orderBy("n", "cls")
+    fields = ("cls", "n", "pos", "component", "fold_a", "fold_b")
+    others = F.array(*[F.lag(F.struct(*fields), k).over(in_order) for k in range(1, reach + 1)])
+    near = F.filter("others", lambda o: o.isNotNull() & _may_link(F.col, lambda c: o[c], percent))
+    met = mixed.select("*", others.alias("others")).select("cls", F.explode(F.transform(near, lambda o: o["cls"])).alias("other"))
+    votes = met.groupBy("cls", "other").agg(F.count("*").alias("votes"))
+    place = F.row_number().over(W.partitionBy("cls").orderBy(F.desc("votes"), "other"))
+    return votes.withColumn("place", place).filter(F.col("place") <= best).select(F.col("other").alias("a"), F.col("cls").alias("b"))
+
+
+def _pairs_between(mixed: DataFrame, one: DataFrame, percent: int) -> DataFrame:
+    """(a, b): pairs in different components that share a prefix token and pass all filters."""
+    x, y = mixed.alias("x"), mixed.alias("y")
     close = (
         (F.col("x.token") == F.col("y.token"))
-        & (F.col("x.component") != F.col("y.component"))
         & ((F.col("x.n") < F.col("y.n")) | ((F.col("x.n") == F.col("y.n")) & (F.col("x.cls") < F.col("y.cls"))))
-        & (100 * F.col("x.n") >= percent * F.col("y.n"))
-        & (F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) >= need)
+        # a pair that also shares the token before has met there
         & ~F.coalesce(F.col("x.before") == F.col("y.before"), F.lit(False))
-        & (differ <= F.col("x.n") + F.col("y.n") - 2 * need)
+        & _may_link(lambda c: F.col(f"x.{c}"), lambda c: F.col(f"y.{c}"), percent)
     )
     pairs = x.join(y, close).select(F.col("x.cls").alias("a"), F.col("y.cls").alias("b")).distinct()
     for side in ("a", "b"):
