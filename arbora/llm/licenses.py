@@ -1,12 +1,14 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text.  A template matches a block when the block holds at least ``threshold`` of the
-template's distinct words (containment).  The join is exact:
+A block is a line of a text, or any run of as many words as the template has, over line breaks too (a window at every
+word).  A template matches a block when the block holds at least ``threshold`` of the template's distinct words
+(containment).  The join is exact:
 
 * one pass over all texts counts how often each template word occurs; that is the global order, rarest first;
 * prefix filter: a block can only match if it holds one of the first ``n - ceil(threshold * n) + 1`` words of the
   template in that order;
-* length filter: a block with fewer distinct words than ``ceil(threshold * n)`` cannot match;
+* length filter: a block with fewer distinct words than ``ceil(threshold * n)`` cannot match, nor can a window with
+  fewer words of the template, repeats included;
 * positional filter: with the first shared word at position p, at most ``n - p`` words can be shared.
 
 Base: the places of fixed phrases, word by word (``phrases``); these always stay.
@@ -40,17 +42,19 @@ TEMPLATES = {
     "mpl": "this source code form is subject to the terms of the mozilla public license",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "cc": "this work is licensed under a creative commons attribution license",
+    "cc-short": "licensed under cc by nc 4.0",
     "mit-short": "released under the mit license",
 }
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
+def _template_hashes(text: str) -> np.ndarray:
+    raw = np.frombuffer(text.encode(), dtype=np.uint8)
+    return tk.Words(raw, np.array([0, len(raw)]), 0, 1, tk.ALNUM).hashes
+
+
 def _template_words(templates: dict[str, str]) -> dict[str, list[int]]:
-    out = {}
-    for name, text in templates.items():
-        raw = np.frombuffer(text.encode(), dtype=np.uint8)
-        out[name] = sorted({int(h) for h in tk.Words(raw, np.array([0, len(raw)]), 0, 1, tk.ALNUM).hashes})
-    return out
+    return {name: sorted({int(h) for h in _template_hashes(text)}) for name, text in templates.items()}
 
 
 def token_counts(df: DataFrame, tokens: list[int], text: str = "text") -> dict[int, int]:
@@ -88,6 +92,12 @@ class TemplateIndex:
                 self.prefix_of.setdefault(r, []).append(t)
         self.in_prefix = np.zeros(len(order), dtype=bool)
         self.in_prefix[list(self.prefix_of)] = True
+        self.sizes = [len(_template_hashes(templates[name])) for name, _, _ in self.templates]
+        self.member = np.zeros((len(self.templates), len(order)), dtype=bool)
+        self.prefix = np.zeros_like(self.member)
+        for t, (_, ranks, need) in enumerate(self.templates):
+            self.member[t, ranks] = True
+            self.prefix[t, ranks[: len(ranks) - need + 1]] = True
 
     def ranks(self, hashes: np.ndarray) -> np.ndarray:
         """The global rank of each word, -1 for words of no template."""
@@ -109,6 +119,36 @@ class TemplateIndex:
                 found.append((name, n / len(ranks)))
         return found
 
+    def windows(self, ranks: np.ndarray, doc: np.ndarray, first_of: np.ndarray) -> list[tuple[str, int, float]]:
+        """(template, text, containment) for the best window of each text, from the ranks of all words of the texts."""
+        found = []
+        known = np.flatnonzero(ranks >= 0)
+        for t, (name, own, need) in enumerate(self.templates):
+            size = self.sizes[t]
+            at = known[self.member[t, ranks[known]]]
+            hot = at[self.prefix[t, ranks[at]]]
+            if not len(hot):
+                continue
+            # words that share a window with a word of the prefix
+            k = np.searchsorted(hot, at)
+            at = at[(at - hot[np.maximum(k - 1, 0)] < size) & (k > 0) | (hot[np.minimum(k, len(hot) - 1)] - at < size) & (k < len(hot))]
+            each = np.arange(len(at))
+            if (np.searchsorted(at, at + size) - each).max() < need:
+                continue
+            # a word counts in the windows that begin behind its last occurrence, up to itself
+            order = np.argsort(ranks[at], kind="stable")
+            again = np.flatnonzero(ranks[at[order[1:]]] == ranks[at[order[:-1]]])
+            behind = np.zeros(len(at), np.int64)
+            behind[order[again + 1]] = order[again] + 1
+            behind = np.maximum(behind, np.searchsorted(at, np.maximum(at - size + 1, first_of[doc[at]])))
+            n = np.cumsum(np.bincount(behind, minlength=len(at) + 1) - np.bincount(each + 1, minlength=len(at) + 1))[:-1]
+            hit = np.flatnonzero(n >= need)
+            best: dict[int, int] = {}
+            for x, c in zip(doc[at[hit]].tolist(), n[hit].tolist(), strict=True):
+                best[x] = max(c, best.get(x, 0))
+            found += [(name, x, c / len(own)) for x, c in best.items()]
+        return found
+
 
 def scan_licenses(df: DataFrame, threshold: float = 0.8, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per text: see ``SCHEMA``.  ``score``: the best containment, 1 where a base phrase occurs."""
@@ -151,7 +191,7 @@ def _scan_slice(data, offsets, i, j, index: TemplateIndex, phrases) -> list[pa.A
     extra: dict[int, dict[str, float]] = {}
     ranks = index.ranks(h)
     hot = np.flatnonzero((ranks >= 0) & index.in_prefix[ranks])
-    if len(hot):  # blocks that pass the prefix filter
+    if len(hot):  # lines and windows that pass the prefix filter
         newlines = np.flatnonzero(data[w.base : int(offsets[j])] == 10)
         line = np.searchsorted(newlines, w.starts) + d  # a text begins a line of its own
         for b in np.unique(line[hot]).tolist():
@@ -160,6 +200,9 @@ def _scan_slice(data, offsets, i, j, index: TemplateIndex, phrases) -> list[pa.A
             for name, c in index.matches(np.unique(own[own >= 0]), len(np.unique(h[lo:hi]))):
                 got = extra.setdefault(int(d[lo]), {})
                 got[name.split("-")[0]] = max(c, got.get(name.split("-")[0], 0.0))
+        for name, x, c in index.windows(ranks, d, first_of):
+            got = extra.setdefault(x, {})
+            got[name.split("-")[0]] = max(c, got.get(name.split("-")[0], 0.0))
     n_base = np.zeros(n, np.int64)
     first, last, base_labels, all_labels, score = [None] * n, [None] * n, [""] * n, [""] * n, np.zeros(n)
     for x in base.keys() | extra.keys():

@@ -334,6 +334,48 @@ def test_license_join_equals_brute_force():
         assert got == want
 
 
+def test_licenses_over_line_breaks(spark):
+    def wrapped(name, lines, lead="", end="\n"):
+        own = licenses.TEMPLATES[name].split()
+        size = -(-len(own) // lines)
+        return "import x\n\n" + end.join(lead + " ".join(own[k : k + size]) for k in range(0, len(own), size)) + "\n\nbody of the file"
+
+    names = list(licenses.TEMPLATES)
+    rows = [(100 * k + i, wrapped(name, *how)) for k, how in enumerate([(2,), (3, "# "), (2, " * ", "\r\n")]) for i, name in enumerate(names)]
+    rows += [(900, "Text.\nLicensed under\nCC BY-NC 4.0."), (901, licenses.TEMPLATES["isc"][:60]), (902, licenses.TEMPLATES["isc"][60:]), (903, "mozilla\n" + "x " * 30 + "\n" + licenses.TEMPLATES["mpl"][:40])]
+    got = {r.doc_id: r for r in licenses.scan_licenses(spark.createDataFrame(rows, DOC).coalesce(1)).collect()}
+    for k in range(3):
+        for i, name in enumerate(names):
+            assert name.split("-")[0] in got[100 * k + i].labels.split(","), (k, name)
+            assert got[100 * k + i].score == 1.0
+    assert got[900].labels == "cc"
+    assert [got[d].labels for d in (901, 902, 903)] == ["", "", ""]
+
+
+def test_license_windows_equal_brute_force():
+    rnd = random.Random(15)
+    vocabulary = sorted({w for t in licenses.TEMPLATES.values() for w in t.split() if w.isalpha()})
+    index = licenses.TemplateIndex({licenses.tk.hash_word(w): rnd.randint(0, 50) for w in vocabulary}, 0.6)
+    texts = []
+    for _ in range(120):
+        own = [w for _ in range(rnd.randint(0, 3)) for w in [*rnd.choice(list(licenses.TEMPLATES.values())).split(), *rnd.choices(vocabulary, k=5)] if w.isalpha() and rnd.random() < 0.8]
+        for _ in range(rnd.randint(0, 6)):
+            own.insert(rnd.randint(0, len(own)), "other")
+        texts.append([licenses.tk.hash_word(w) for w in own])
+    n = np.array([len(t) for t in texts])
+    ranks = index.ranks(np.array([h for t in texts for h in t], np.uint64))
+    got = {(name, x): c for name, x, c in index.windows(ranks, np.repeat(np.arange(len(texts)), n), np.cumsum(n) - n)}
+    want = {}
+    for name, text in licenses.TEMPLATES.items():
+        own = set(licenses._template_words({name: text})[name])
+        size = len(licenses._template_hashes(text))
+        for x, t in enumerate(texts):
+            c = max((len(own & set(t[k : k + size])) for k in range(len(t))), default=0) / len(own)
+            if c >= 0.6 - 1e-9:
+                want[name, x] = c
+    assert got == want and len({name for name, _ in want}) > 5
+
+
 # 10
 
 
