@@ -6,8 +6,8 @@
    one bit: each vector is at home in its own bucket and visits those one bit below (the smaller of two keys), so a
    pair meets once a table.
 3. In a bucket, pairs that already met in an earlier table are left out, and the others are reranked by the cosine in
-   double precision.  Only counts and a spanning forest leave a bucket, never its pairs.  Buckets of more than
-   ``BLOCK`` vectors are split into pairs of blocks.
+   double precision.  Only counts and a spanning forest leave a bucket, never its pairs.  Those at home in a bucket
+   and its visitors are each dealt to blocks of about ``BLOCK``; a group holds two blocks at most.
 
 Vectors link only when labels and dimensions are equal.  Equal vectors with equal labels become one class first.
 Null labels, null ids, null or zero vectors, and vectors with null or non-finite components link with nothing.
@@ -131,17 +131,21 @@ def _linked(classes: DataFrame, threshold: float, max_sample: int) -> DataFrame
     spots = placed.select("label", "dim", "cls", F.explode("spots").alias("s")).select("label", "dim", "cls", "s.*")
     # buckets where someone is at home and someone else is, too; vectors only go there
     counts = spots.groupBy(*cell).agg(F.count_if("home").alias("homes"), F.count("*").alias("all")).filter("homes > 0 AND all > 1")
+    counts = runtime.materialize(counts, "cells")
     blocks = F.ceil(F.col("homes") / F.lit(BLOCK)).cast("int")
-    own = F.pmod(F.xxhash64("cls"), blocks).cast("int")
-    every = F.sequence(F.lit(0), blocks - 1)
-    # homes go to each pair of blocks with theirs, visitors to each block of homes
-    pairs = F.when(F.col("home"), F.transform(every, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j")))).otherwise(F.transform(every, lambda k: F.struct(k.alias("i"), k.alias("j"))))
-    dealt = spots.join(counts, cell).select("dim", "tab", F.xxhash64(*cell).alias("at"), "cls", "home", own.alias("block"), F.explode(pairs).alias("pair"))
-    dealt = dealt.select("dim", "tab", "at", "cls", "home", "block", "pair.i", "pair.j")
-    # small buckets share a group; each pair of blocks of a large one is a group of its own
-    groups = max(1, classes.count() // 512)
+    visits = F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("homes")) / F.lit(BLOCK))).cast("int")
+    own = F.pmod(F.xxhash64("cls"), F.when(F.col("home"), blocks).otherwise(visits)).cast("int")
+    every, others = F.sequence(F.lit(0), blocks - 1), F.filter(F.sequence(F.lit(0), visits - 1), lambda k: k > 0)
+    # a group (i, j) holds two blocks of homes, (i, i) one and the first block of visitors, (i, -k) one and visitors' block k
+    homes = F.concat(F.transform(every, lambda k: F.struct(F.least(own, k).alias("i"), F.greatest(own, k).alias("j"))), F.transform(others, lambda k: F.struct(own.alias("i"), (-k).alias("j"))))
+    visitors = F.transform(every, lambda k: F.struct(k.alias("i"), F.when(own == 0, k).otherwise(-own).alias("j")))
+    dealt = spots.join(counts, cell).select("dim", "tab", F.xxhash64(*cell).alias("at"), "cls", "home", (F.col("all") <= BLOCK).alias("small"), own.alias("block"), F.explode(F.when(F.col("home"), homes).otherwise(visitors)).alias("pair"))
+    dealt = dealt.select("dim", "tab", "at", "cls", "home", "small", "block", "pair.i", "pair.j")
+    # small buckets share groups of about a block; each pair of blocks of a large one is a group of its own
+    few = counts.filter(F.col("all") <= BLOCK).agg(F.sum("all").alias("n")).first().n or 0
+    groups = -(-few // BLOCK) + 1
     alone = F.xxhash64("at", "i", "j")
-    dealt = dealt.withColumn("grp", F.when((F.col("i") == 0) & (F.col("j") == 0), F.pmod(alone, F.lit(groups))).otherwise(alone))
+    dealt = dealt.withColumn("grp", F.when(F.col("small"), F.pmod(alone, F.lit(groups))).otherwise(alone)).drop("small")
     dealt = dealt.join(placed.select("cls", "n", "codes", "vector"), "cls")
 
     def rerank(frame: pd.DataFrame) -> pd.DataFrame:
@@ -157,8 +161,11 @@ def _linked(classes: DataFrame, threshold: float, max_sample: int) -> DataFrame
         for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
             if b - a < 2 or not home[a]:
                 continue
+            first = a + int(home[a:b].sum())
             if i[a] == j[a]:
-                p, q = np.arange(a, a + int(home[a:b].sum())), np.arange(a, b)
+                p, q = np.arange(a, first), np.arange(a, b)
+            elif j[a] < 0:
+                p, q = np.arange(a, first), np.arange(first, b)
             else:
                 own = np.arange(a, b)
                 p, q = own[block[a:b] == i[a]], own[block[a:b] == j[a]]

@@ -6,6 +6,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from arbora.llm import components, decontaminate, itq, jaccard, licenses, packing, pii, rans, runtime, suffixes, tokens, toxicity, warc
 from arbora.llm.queries import tokenizer_path
@@ -211,6 +212,30 @@ def test_itq_finds_all_near_pairs(spark):
     assert itq.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_itq_groups_hold_two_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(16)
+    center = rng.normal(size=32)
+    x = np.array([*(center + rng.normal(size=(500, 32)) * 0.15), *rng.normal(size=(700, 32))])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    kind, sizes = type(df), []
+    plain = kind.groupBy
+
+    def spy(self, *cols):
+        if [c for c in cols if isinstance(c, str)] == ["dim", "grp"]:
+            sizes.extend((r["count"], r.homes) for r in plain(self, "at", "i", "j").agg(F.count("*").alias("count"), F.count_if("home").alias("homes")).collect())
+        return plain(self, *cols)
+
+    monkeypatch.setattr(itq, "BLOCK", 32)
+    monkeypatch.setattr(kind, "groupBy", spy)
+    got = {r.vec_id: r.n_links for r in itq.near_duplicates(df).collect()}
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.93).sum(axis=1) - 1
+    assert want.sum() > 50_000 and 0.95 * want.sum() <= sum(got.values())
+    assert all(got[i] <= n for i, n in enumerate(want.tolist()))
+    # blocks are dealt by hash: half as much again is allowed
+    assert max(n for n, _ in sizes) <= 3 * 32 and max(n - h for n, h in sizes) > 0
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60) if i != 30] + [(5, 5), (None, 3), (3, 1), (100, 90), (90, 100)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
