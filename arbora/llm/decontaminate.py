@@ -8,8 +8,8 @@ text is compared (by two 64-bit hashes) with the runs of the items, and the runs
 Items of fewer than ``window`` words, but some, are one run of their own length; each such length is looked up over
 all texts directly.
 
-Fingerprints are taken over fully lower-cased words, a superset of matches under the stated A-Z lower-casing, which
-the extension then applies.  Nulls have no words.  Rows that share an id but not the text are judged apart; rows
+Fingerprints and the extension take the same words, with A-Z lower-cased and nothing else changed: a lower-casing of
+whole texts gives some letters (the Greek capital sigma) by what follows the word.  Nulls have no words.  Rows that share an id but not the text are judged apart; rows
 that share both give equal results.  Empty tables: no hits, or no rows.  Only ids and texts are read, so other
 columns cannot clash.  No join is hinted: Spark broadcasts the items' side only while it is small by its statistics,
 and splits skewed partitions of a sort-merge join otherwise.
@@ -94,11 +94,11 @@ def _judge(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFr
     # at most window - 1 numbers
     short = sorted(r.n for r in items.select(lengths.alias("n")).filter(F.col("n") < window).distinct().collect())
 
-    loose = docs.select("doc_id", _row_key().alias("row_key"), split_words(F.lower("text")).alias("words"))
-    marked = loose.select("doc_id", "row_key", F.size("words").alias("n_words"), winnow(F.col("words"), k, window).alias("prints"))
+    split = docs.select("doc_id", _row_key().alias("row_key"), exact_words(F.col("text")).alias("words"))
+    marked = split.select("doc_id", "row_key", F.size("words").alias("n_words"), winnow(F.col("words"), k, window).alias("prints"))
     marked = runtime.materialize(marked, "prints")
     item_prints = (
-        benchmark.select(split_words(F.lower("text")).alias("words"))
+        benchmark.select(exact_words(F.col("text")).alias("words"))
         .select(F.explode(winnow(F.col("words"), k, window)).alias("print"))
         .distinct()
     )

@@ -445,3 +445,15 @@ def test_winnowing(spark):
     assert sorted([str(r.doc_id) for r in kept.collect()]) == sorted(map(str, want))
     assert decontaminate.find_contamination(frame(spark, docs), bench.limit(0)).filter("contaminated").count() == 0
     assert decontaminate.find_contamination(frame(spark, []), bench).count() == 0
+
+
+def test_winnowing_of_greek_capitals(spark):
+    rnd = random.Random(17)
+    own = [words(rnd, 1, "ΑΒΓΔΕΟ") + "Σ" for _ in range(20)]
+    items = [(1, " ".join(own))]
+    docs = [(1, ".".join(own)), (2, "x " + "'".join(own[3:17]) + " y"), (3, " ".join(own[:12])), (4, " ".join(own).lower())]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = decontaminate.digest(decontaminate.find_contamination(frame(spark, docs), bench)).collect()
+    want = brute_contamination(docs, items)
+    assert [x[2] for x in want] == [20, 14, 0, 0]
+    assert sorted(map(tuple, got)) == sorted(want)
