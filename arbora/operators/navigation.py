@@ -23,10 +23,24 @@ def entry_path(name: str, keys: list[str]) -> Column:
     return F.concat(F.lit(f"/{name}"), *parts)
 
 
-def json_pointer(name: str, order: list[str]) -> Column:
-    """``/name/i`` with the entry's place (from 0); for lists of one document, whose order is by key."""
-    at = F.row_number().over(W.orderBy(*order)) - 1
-    return F.concat(F.lit(f"/{name}/"), at.cast("string"))
+def json_pointers(df: DataFrame, name: str, order: list[str], sample: int = 4096) -> DataFrame:
+    """``df`` with ``pointer``, ``/name/i`` by the entry's place (from 0) in the order of its key.
+
+    Entries are dealt to ranges of keys, cut at a sample of them; a place is the size of the ranges before plus the place
+    in its own range, so no task sees the whole list.
+    """
+    kinds = {c: df.schema[c].dataType for c in order}
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = df.select(*order).orderBy(F.xxhash64(*order)).limit(sample).orderBy(*order).collect()
+    cuts = [some[k * len(some) // parts] for k in range(1, parts) if some]
+    bounds = [F.struct(*[F.lit(r[c]).cast(kinds[c]).alias(c) for c in order]) for r in dict.fromkeys(cuts)]
+    key = F.struct(*order)
+    part = F.size(F.filter(F.array(*bounds), lambda b: b <= key)) if bounds else F.lit(0)
+    dealt = df.withColumn("_part", part)
+    sizes = {r["_part"]: r["count"] for r in dealt.groupBy("_part").count().collect()}  # one row a range
+    before = [sum(n for q, n in sizes.items() if q < p) for p in range(len(bounds) + 1)]
+    at = F.row_number().over(W.partitionBy("_part").orderBy(*order)) - 1 + F.get(F.array(*[F.lit(n).cast("long") for n in before]), F.col("_part"))
+    return dealt.withColumn("pointer", F.concat(F.lit(f"/{name}/"), at.cast("string"))).drop("_part")
 
 
 def json_pointer_within(name: str, child: str, parent_keys: list[str], order: list[str]) -> Column:

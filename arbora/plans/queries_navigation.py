@@ -14,7 +14,12 @@ from arbora.plans.warehouse import EVENT, WAREHOUSE
 
 @query("SELECT n_nationkey, '/nation/' || (row_number() OVER (ORDER BY n_nationkey) - 1) AS pointer FROM nation")
 def json_pointer_nation(t):
-    return t["nation"].select("n_nationkey", nav.json_pointer("nation", ["n_nationkey"]).alias("pointer"))
+    return nav.json_pointers(t["nation"].select("n_nationkey"), "nation", ["n_nationkey"])
+
+
+@query("SELECT l_orderkey, l_linenumber, '/lineitem/' || (row_number() OVER (ORDER BY l_orderkey, l_linenumber) - 1) AS pointer FROM lineitem")
+def json_pointer_lineitem(t):
+    return nav.json_pointers(t["lineitem"].select("l_orderkey", "l_linenumber"), "lineitem", ["l_orderkey", "l_linenumber"])
 
 
 @query("SELECT conv_id, turn, '/conversations[conv_id=''' || conv_id || ''']/turn/' || (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) AS pointer FROM conversations")

@@ -182,6 +182,11 @@ def val_counts(t):
     return v.value_counts(t, type(root)(root.name, root.kind, keep))
 
 
+@query(" UNION ALL ".join(f"SELECT '/{lst.name}/{leaf.name}' AS schema_path, count({leaf.name}) AS n FROM {lst.name}" for lst in WAREHOUSE.data_children() for leaf in lst.data_children()))
+def val_counts_warehouse(t):
+    return v.value_counts(t, WAREHOUSE)
+
+
 @query("SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY conv_id, role HAVING count(*) > 1 AND bool_or(text IS NULL OR length(text) > 0)")
 def non_unique_roles(t):
     return t["conversations"].groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.bool_or(F.col("text").isNull() | (F.length("text") > 0)).alias("full")).filter("n > 1 AND full").drop("full")

@@ -200,3 +200,22 @@ def test_catalog_has_sql_for_each_query():
     from arbora.plans import catalog
 
     assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"schema_catalog"}
+
+
+def test_counts_and_pointers_cover_whole_tables(spark):
+    from arbora.plans import catalog
+    from arbora.plans.warehouse import WAREHOUSE
+
+    d = "/root/testdata/sf0.001"
+    got = {r.schema_path: r.n for r in catalog.queries()["val_counts_warehouse"](spark, d).collect()}
+    want = {f"/{x.name}/{c.name}": spark.read.parquet(f"{d}/{x.name}.parquet").filter(F.col(c.name).isNotNull()).count() for x in WAREHOUSE.data_children() for c in x.data_children()}
+    assert got == want and {p.split("/")[1] for p in got} == {"region", "nation", "supplier", "customer", "part", "orders", "lineitem"}
+    items = catalog.queries()["json_pointer_lineitem"](spark, d)
+    keys = sorted((r.l_orderkey, r.l_linenumber) for r in items.collect())
+    places = {int(r.pointer.removeprefix("/lineitem/")): (r.l_orderkey, r.l_linenumber) for r in items.collect()}
+    assert [places[i] for i in range(len(keys))] == keys
+    for df in (items, catalog.queries()["json_pointer_nation"](spark, d)):
+        assert "SinglePartition" not in df._jdf.queryExecution().toString()
+    odd = spark.createDataFrame([(None, "a"), (2, "b"), (1, "c"), (1, None)], "k int, x string")
+    assert [(r.k, r.x, r.pointer) for r in nav.json_pointers(odd, "o", ["k", "x"]).orderBy("pointer").collect()] == [(None, "a", "/o/0"), (1, None, "/o/1"), (1, "c", "/o/2"), (2, "b", "/o/3")]
+    assert nav.json_pointers(odd.limit(0), "o", ["k"]).count() == 0
