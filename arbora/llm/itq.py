@@ -49,7 +49,8 @@ def tables(n: int, bits: int, threshold: float, target: float = 0.98) -> tuple[l
     """(bit ranges of the tables of one code, number of codes) for labels of about n vectors.
 
     Tables are a few bits wider than log2(n), so most buckets hold one vector.  There are as many as it takes for a
-    pair at the threshold to meet with probability ``target``: a bit of theirs differs with chance angle / pi.
+    pair at the threshold to meet with probability ``target``: a bit of theirs differs with chance angle / pi where the
+    vectors have no common mean; ``fit_codes`` adds codes where they have one.
     """
     width = min(bits, 32, max(6, math.ceil(math.log2(max(2, n))) + 3))
     flips = width * math.acos(threshold) / math.pi
@@ -65,6 +66,24 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+def fit_codes(x: np.ndarray, spans: list[tuple[int, int]], codes: int, threshold: float, target: float = 0.98, most: int = 64) -> list[tuple]:
+    """(mean, projection, spans) of ``codes`` codes or more: until ``target`` of the vectors x meet one at the threshold.
+
+    Each x is paired with a unit vector of cosine ``threshold`` in a random direction, and the pairs that meet are
+    counted on the centred bits.
+    """
+    y = np.random.default_rng(0).normal(size=x.shape)
+    y = x if x.shape[1] < 2 else threshold * x + math.sqrt(1 - threshold**2) * _unit(y - (y * x).sum(axis=1, keepdims=True) * x)
+    met, out = np.zeros(len(x), bool), []
+    while len(out) < codes or (met.mean() < target and len(out) < most):
+        mean, proj = fit_itq(x, seed=len(out))
+        out.append((mean, proj, spans))
+        differ = ((x - mean) @ proj >= 0) != ((y - mean) @ proj >= 0)
+        for lo, hi in spans:
+            met |= differ[:, lo:hi].sum(axis=1) <= 1
+    return out
+
+
 def near_duplicates(df: DataFrame, threshold: float = 0.93, max_sample: int = 4096) -> DataFrame:
     """vec_id, n_links, component_id, kept for every row of (vec_id, embedding, label)."""
     df = df.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), "label")
@@ -98,7 +117,7 @@ def _linked(classes: DataFrame, threshold: float, max_sample: int) -> DataFrame
         sample = classes.filter(F.col("dim") == row.dim).orderBy(F.xxhash64("cls")).limit(max_sample).select("embedding").collect()
         x = _unit(np.array([r.embedding for r in sample], dtype=float))
         spans, rotations = tables(per_label[row.dim], min(BITS, row.dim, len(x)), threshold)
-        models[row.dim] = [(*fit_itq(x, seed=s), spans) for s in range(rotations)]
+        models[row.dim] = fit_codes(x, spans, rotations, threshold)
     if not models:
         return None
 

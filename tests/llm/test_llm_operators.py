@@ -236,6 +236,20 @@ def test_itq_groups_hold_two_blocks(spark, monkeypatch):
     assert max(n for n, _ in sizes) <= 3 * 32 and max(n - h for n, h in sizes) > 0
 
 
+def test_itq_recall_with_a_common_mean(spark):
+    rng = np.random.default_rng(18)
+    mean = itq._unit(rng.normal(size=(1, 64)))
+    x = itq._unit(0.9 * mean + 0.436 * itq._unit(rng.normal(size=(1000, 64))))
+    u = rng.normal(size=x.shape)
+    u = itq._unit(u - (u * x).sum(axis=1, keepdims=True) * x)
+    x = np.concatenate([x, 0.932 * x + np.sqrt(1 - 0.932**2) * u])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<double>, label int")
+    got = sum(r.n_links for r in itq.near_duplicates(df).collect())
+    want = (x @ x.T >= 0.93).sum() - len(x)
+    print(got, want, got / want)
+    assert want >= 2000 and 0.95 * want <= got <= want
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60) if i != 30] + [(5, 5), (None, 3), (3, 1), (100, 90), (90, 100)]
     got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
