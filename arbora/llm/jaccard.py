@@ -15,7 +15,11 @@ Sets are the hashes of word n-grams, globally ordered rarest first (by a count s
    after it), and verified in blocks too.  A pair meets at the first of each run of tokens that both have in a row.
    So every link between components is looked at; links inside one component cannot change the result.
 
-Only connected components are returned, so near-copies need no quadratic list of pairs.  Hashes are 64-bit.
+Only connected components are returned, so near-copies need no quadratic list of pairs.  Hashes of 64 bits find
+candidates; every link that joins two classes is confirmed on the words themselves, and a block in which one is not
+takes shingles instead of hashes.  Classes are equal sets by one hash, checked by a second, independent one; where they
+disagree, everything is done anew with other hashes.  A token that more than ``HOT`` texts have is dealt to several
+tasks, whose first classes then meet among themselves.
 
 Nulls and empty texts have the empty set and link with nothing.  Rows with a null id take part, and a component's id
 is its smallest id that is not null.  Repeated rows are equal sets.  Empty tables give empty results.  Only the id
@@ -38,6 +42,7 @@ from arbora.llm import components, runtime
 from arbora.llm import textkit as tk
 
 BLOCK = 512
+HOT = 1024
 SKETCH_BITS = 20
 SKETCH_PARTS = 16
 BITMAP_BITS = 1024
@@ -49,17 +54,29 @@ def need_overlap(a: np.ndarray | int, b: np.ndarray | int, percent: int):
     return -(-percent * (a + b) // (100 + percent))
 
 
-def doc_sets(data: np.ndarray, offsets: np.ndarray, i: int, j: int, size: int, counts: np.ndarray | None = None):
-    """(doc, hash) of the distinct shingles of texts i..j, by doc and then in the global order."""
-    doc, h = tk.shingles(tk.Words(data, offsets, i, j, tk.NONSPACE), size)
+def doc_sets(data: np.ndarray, offsets: np.ndarray, i: int, j: int, size: int, counts: np.ndarray | None = None, seed: int = 0, twin: bool = False):
+    """(doc, hash) of the distinct shingles of texts i..j, by doc and then in the global order; with ``twin`` a second hash, too."""
+    words = tk.Words(data, offsets, i, j, tk.NONSPACE, seed)
+    doc, h = tk.shingles(words, size)
     c = np.zeros(len(h), np.int64) if counts is None else counts[bucket(h)]
     order = np.lexsort((h, c, doc))
     doc, h = doc[order], h[order]
     new = np.ones(len(h), bool)
     new[1:] = (h[1:] != h[:-1]) | (doc[1:] != doc[:-1])
+    if twin:
+        _, other = tk.shingles(words, size, words.span_hash(words.starts, words.ends, seed + 1))
+        return doc[new], h[new], other[order][new]
     return doc[new], h[new]
 
 
+def exact_set(text: str | None, size: int) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    words = (text or "").encode().lower().split()
+    if len(words) < size:
+        return {tuple(words)} if words else set()
+    return set(zip(*(words[k:] for k in range(size)), strict=False))
+
+
 def bucket(h: np.ndarray) -> np.ndarray:
     return (h >> _U(64 - SKETCH_BITS)).astype(np.int64)
 
@@ -75,11 +92,11 @@ def bitmaps(doc: np.ndarray, h: np.ndarray, n_docs: int) -> np.ndarray:
     return np.packbits((np.bincount(cell, minlength=n_docs * BITMAP_BITS) & 1).astype(bool).reshape(n_docs, BITMAP_BITS), axis=1)
 
 
-_DIGEST = "doc_id long, key long, n long, cls long, bitmap binary, fold_a long, fold_b long, part int, counts binary"
+_DIGEST = "doc_id long, key long, n long, cls long, twin long, bitmap binary, fold_a long, fold_b long, part int, counts binary"
 
 
-def digest_sets(docs: DataFrame, size: int) -> DataFrame:
-    """A row per text (n, class, bitmap) and, with ``part`` set, the pieces of each task's count sketch."""
+def digest_sets(docs: DataFrame, size: int, seed: int) -> DataFrame:
+    """A row per text (n, class, second hash of the class, bitmap) and, with ``part`` set, the pieces of each task's count sketch."""
 
     def digest(batches) -> Iterator[pa.RecordBatch]:
         names = [c.split()[0] for c in _DIGEST.split(", ")]
@@ -87,22 +104,23 @@ def digest_sets(docs: DataFrame, size: int) -> DataFrame:
         for batch in batches:
             data, offsets = tk.string_buffers(batch.column(2))
             for i, j in tk.slices(offsets):
-                doc, h = doc_sets(data, offsets, i, j, size)
+                doc, h, other = doc_sets(data, offsets, i, j, size, seed=seed, twin=True)
                 sketch += np.bincount(bucket(h), minlength=len(sketch))
                 n = np.bincount(doc, minlength=j - i)
                 full = np.flatnonzero(n)
-                cls = np.zeros(j - i, np.int64)
+                cls, twin = np.zeros(j - i, np.int64), np.zeros(j - i, np.int64)
                 if len(full):
                     cls[full] = set_class(h, (np.cumsum(n) - n)[full])
+                    twin[full] = set_class(other, (np.cumsum(n) - n)[full])
                 bits = bitmaps(doc, h, j - i)
                 fold = np.bitwise_xor.reduce(bits.view(np.int64).reshape(j - i, -1, 2), axis=1)
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(cls), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(fold[:, 0]), pa.array(fold[:, 1]), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names=names
+                    [batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n.astype(np.int64)), pa.array(cls), pa.array(twin), pa.array([b.tobytes() for b in bits], pa.binary()), pa.array(fold[:, 0]), pa.array(fold[:, 1]), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names=names
                 )
         if sketch.any():
             pieces = [zlib.compress(p.astype("<u4").tobytes(), 1) for p in np.split(sketch, SKETCH_PARTS)]
             nothing = pa.nulls(SKETCH_PARTS, pa.int64())
-            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, pa.nulls(SKETCH_PARTS, pa.binary()), nothing, nothing, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(pieces, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([nothing, nothing, nothing, nothing, nothing, pa.nulls(SKETCH_PARTS, pa.binary()), nothing, nothing, pa.array(range(SKETCH_PARTS), pa.int32()), pa.array(pieces, pa.binary())], names=names)
 
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64("doc_id", "text").alias("key"), "text").mapInArrow(digest, _DIGEST)
 
@@ -134,15 +152,19 @@ def sketch_counts(digests: DataFrame) -> np.ndarray:
     return out
 
 
-def prefixes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
-    """(token, cls, n, pos) for the prefix of each class; a task emits a class once."""
+def prefixes(docs: DataFrame, counts, size: int, percent: int, seed: int) -> DataFrame:
+    """(token, cls, n, pos, salts, salt) for the prefix of each class; a task emits a class once.
+
+    A token of many texts has several ``salts``, and a class one of them.
+    """
+    hot = HOT
 
     def emit(batches) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             data, offsets = tk.string_buffers(batch.column(0))
             for i, j in tk.slices(offsets):
-                doc, h = doc_sets(data, offsets, i, j, size, counts.value)
+                doc, h = doc_sets(data, offsets, i, j, size, counts.value, seed)
                 if not len(h):
                     continue
                 n = np.bincount(doc, minlength=j - i)
@@ -162,9 +184,11 @@ def prefixes(docs: DataFrame, counts, size: int, percent: int) -> DataFrame:
                 pos = np.arange(len(h)) - first[doc]
                 keep = fresh[doc] & (pos <= (n - -(-percent * n // 100))[doc])
                 d = doc[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(cls[d]), pa.array(n[d].astype(np.int32)), pa.array(pos[keep].astype(np.int32))], names=["token", "cls", "n", "pos"])
+                salts = counts.value[bucket(h[keep])] // hot + 1
+                salt = (tk.mix(cls[d].view(_U)) % salts.astype(_U)).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(h[keep].view(np.int64)), pa.array(cls[d]), pa.array(n[d].astype(np.int32)), pa.array(pos[keep].astype(np.int32)), pa.array(salts.astype(np.int32)), pa.array(salt)], names=["token", "cls", "n", "pos", "salts", "salt"])
 
-    return docs.select("text").mapInArrow(emit, "token long, cls long, n int, pos int")
+    return docs.select("text").mapInArrow(emit, "token long, cls long, n int, pos int, salts int, salt int")
 
 
 class PrefixTree:
@@ -225,10 +249,10 @@ class PrefixTree:
             stack += [(kid, overlap, depth) for kid in node.kids.values()]
 
 
-def join_block(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """The groups that links form among these sets of hashes, each as a star of edges."""
+def join_block(sets: list[np.ndarray], counts: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links among these sets of hashes (or, with ``counts`` None, of small numbers): a spanning forest of their groups."""
     every = np.unique(np.concatenate(sets)) if sets else np.zeros(0, np.uint64)
-    order = np.lexsort((every, counts[bucket(every)]))
+    order = np.arange(len(every)) if counts is None else np.lexsort((every, counts[bucket(every)]))
     rank = np.empty(len(every), np.int64)
     rank[order] = np.arange(len(every))
     local = [np.sort(rank[np.searchsorted(every, s)]) for s in sets]
@@ -240,7 +264,7 @@ def join_block(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list
             a = parent[a]
         return a
 
-    tree, has = PrefixTree(np.zeros(0, np.int64)), np.zeros(len(every), bool)
+    tree, has, links = PrefixTree(np.zeros(0, np.int64)), np.zeros(len(every), bool), []
     for k in sorted(range(len(local)), key=lambda k: len(local[k])):
         x = local[k]
         if not len(x):
@@ -249,9 +273,28 @@ def join_block(sets: list[np.ndarray], counts: np.ndarray, percent: int) -> list
         for other in tree.search(x, has, percent, lambda o, k=k: find(o) == find(k)):
             if find(other) != find(k):
                 parent[find(other)] = find(k)
+                links.append((other, k))
         has[x] = False
         tree.insert(x, k)
-    return [(find(k), k) for k in range(len(sets)) if find(k) != k]
+    return links
+
+
+def confirmed_links(links: list[tuple[int, int]], texts: list[str], size: int, percent: int) -> list[tuple[int, int]]:
+    """``links`` of a block, each checked on the words; if one fails, the block is joined anew on its shingles."""
+    own: dict[int, set] = {}
+
+    def exact(k: int) -> set:
+        if k not in own:
+            own[k] = exact_set(texts[k], size)
+        return own[k]
+
+    for a, b in links:
+        both = len(exact(a) & exact(b))
+        if 100 * both < percent * (len(exact(a)) + len(exact(b)) - both):
+            names: dict[tuple, int] = {}
+            sets = [np.array(sorted({names.setdefault(g, len(names)) for g in exact(k)}), np.int64) for k in range(len(texts))]
+            return join_block(sets, None, percent)
+    return links
 
 
 def near_by_bitmap(bits: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
@@ -279,7 +322,7 @@ def _grouped(frame: DataFrame, rows: int) -> DataFrame:
     return frame.withColumn("grp", F.pmod(F.xxhash64("hub", "block"), F.lit(groups)))
 
 
-def verify(stars: DataFrame, docs: DataFrame, classes: DataFrame, counts, size: int, percent: int) -> DataFrame:
+def verify(stars: DataFrame, docs: DataFrame, classes: DataFrame, counts, size: int, percent: int, seed: int) -> DataFrame:
     """Edges (a, b) between classes, from (hub, cls, typical) candidates; ``classes`` has cls, n, bitmap and the key of a text of each.
 
     A hub with more than ``BLOCK`` classes is split into blocks; the hub and its most typical class go to each of them.
@@ -313,10 +356,10 @@ def verify(stars: DataFrame, docs: DataFrame, classes: DataFrame, counts, size:
         data, offsets = tk.string_buffers(pa.array(own["text"], pa.large_string()))
         sets: list[np.ndarray] = []
         for i, j in tk.slices(offsets):
-            doc, h = doc_sets(data, offsets, i, j, size)
+            doc, h = doc_sets(data, offsets, i, j, size, seed=seed)
             sets += np.split(h, np.searchsorted(doc, np.arange(1, j - i)))
-        names = own["cls"].to_numpy()
-        found = [(names[a + p], names[a + q]) for a, b in _blocks_of(own) for p, q in join_block(sets[a:b], counts.value, percent)]
+        names, texts = own["cls"].to_numpy(), own["text"].tolist()
+        found = [(names[a + p], names[a + q]) for a, b in _blocks_of(own) for p, q in confirmed_links(join_block(sets[a:b], counts.value, percent), texts[a:b], size, percent)]
         return pd.DataFrame({"a": [a for a, _ in found], "b": [b for _, b in found]}, dtype="int64")
 
     return _grouped(wanted, BLOCK // 2).join(texts, "key").groupBy("grp").applyInPandas(join, "a long, b long")
@@ -330,33 +373,43 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     """doc_id, n_shingles, component_id for every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    digests = runtime.materialize(digest_sets(docs, size), "digests")
+    for seed in (0, 1000, 2000, 3000):
+        digests = runtime.materialize(digest_sets(docs, size, seed), "digests")
+        one = digests.filter("part IS NULL AND n > 0").groupBy("cls").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("bitmap", "n", "fold_a", "fold_b")], (F.min("twin") == F.max("twin")).alias("sound"))
+        one = runtime.materialize(one, "classes")
+        if one.filter("NOT sound").isEmpty():
+            break
+    else:
+        raise RuntimeError("classes of sets cannot be told apart by their hashes")
     counts = spark.sparkContext.broadcast(sketch_counts(digests))
     rows = digests.filter("part IS NULL").select("doc_id", "n", "cls")
-    found = prefixes(docs, counts, size, percent)
+    found = prefixes(docs, counts, size, percent, seed)
 
-    in_order = W.partitionBy("token").orderBy("n", "cls")
+    in_order = W.partitionBy("token", "salt").orderBy("n", "cls")
     hub = F.first("cls").over(in_order)
     near = found.select("*", hub.alias("first"), F.first("n").over(in_order).alias("first_n"), F.lag("cls").over(in_order).alias("prev"), F.lag("n").over(in_order).alias("prev_n"), F.lead("cls").over(in_order).alias("next"))
     # one row for each class (tasks may repeat one), where a token has two classes at least
-    shared = near.filter("(next IS NULL OR next <> cls) AND (cls <> first OR next IS NOT NULL)")
+    shared = near.filter("(next IS NULL OR next <> cls) AND (cls <> first OR next IS NOT NULL OR salts > 1)")
     shared = runtime.materialize(shared, "shared")
 
-    options = shared.filter("prev IS NOT NULL").select("cls", F.when(_near("n", "first_n", percent), F.col("first")).when(_near("n", "prev_n", percent), F.col("prev")).alias("hub"))
+    hub_of = F.when(_near("n", "first_n", percent), F.col("first")).when(_near("n", "prev_n", percent), F.col("prev"))
+    options = shared.filter("prev IS NOT NULL").select("cls", hub_of.alias("hub"))
+    # the first class of each salt, a row for every HOT texts at most
+    of_salts = W.partitionBy("token").orderBy("n", "cls")
+    firsts = shared.filter("salts > 1 AND cls = first").select("token", "cls", "n", F.first("cls").over(of_salts).alias("first"), F.first("n").over(of_salts).alias("first_n"), F.lag("cls").over(of_salts).alias("prev"), F.lag("n").over(of_salts).alias("prev_n"))
+    options = options.unionByName(firsts.filter("prev IS NOT NULL").select("cls", hub_of.alias("hub")))
     votes = options.filter("hub <> cls").groupBy("cls", "hub").agg(F.count("*").alias("votes"))
     best = votes.groupBy("cls").agg(F.max(F.struct("votes", "hub")).alias("best"), F.sum("votes").alias("all"))
     stars = best.select(F.col("best.hub").alias("hub"), "cls", F.col("all").alias("typical"))
 
-    one = digests.filter("part IS NULL AND n > 0").groupBy("cls").agg(F.min("key").alias("key"), *[F.first(c).alias(c) for c in ("bitmap", "n", "fold_a", "fold_b")])
-    one = runtime.materialize(one, "classes")
-    edges = runtime.materialize(verify(stars, docs, one, counts, size, percent), "links")
+    edges = runtime.materialize(verify(stars, docs, one, counts, size, percent, seed), "links")
 
     parts = components.connected_components(edges)
     for choose in (_neighbours, _pairs_between):
         pairs = runtime.materialize(choose(_mixed(shared, parts, one), one, percent), "pairs")
         if pairs.isEmpty():
             continue
-        more = verify(pairs.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.lit(0).alias("typical")), docs, one, counts, size, percent)
+        more = verify(pairs.select(F.col("a").alias("hub"), F.col("b").alias("cls"), F.lit(0).alias("typical")), docs, one, counts, size, percent, seed)
         more = runtime.materialize(more, "links")
         if not more.isEmpty():
             parts = runtime.materialize(_joined(parts, more), "parts")
@@ -380,7 +433,7 @@ def _joined(parts: DataFrame, edges: DataFrame) -> DataFrame:
 
 def _mixed(shared: DataFrame, parts: DataFrame, one: DataFrame) -> DataFrame:
     """Prefix tokens that classes of different components share, with ``before``: the class's token before it here."""
-    labelled = shared.select("token", "cls", "n", "pos").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
+    labelled = shared.select("token", "cls", "n", "pos", "salt").join(parts.withColumnRenamed("node", "cls"), "cls", "left")
     labelled = labelled.withColumn("component", F.coalesce("component", "cls"))
     mixed = labelled.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("token")
     before = F.lag("token").over(W.partitionBy("cls").orderBy("pos")).alias("before")
@@ -402,7 +455,7 @@ def _neighbours(mixed: DataFrame, one: DataFrame, percent: int, reach: int = 4,
     They join most of what belongs together, at a cost in proportion to the tokens; the pairs that this leaves out are
     looked at by ``_pairs_between``.
     """
-    in_order = W.partitionBy("token").orderBy("n", "cls")
+    in_order = W.partitionBy("token", "salt").orderBy("n", "cls")
     fields = ("cls", "n", "pos", "component", "fold_a", "fold_b")
     others = F.array(*[F.lag(F.struct(*fields), k).over(in_order) for k in range(1, reach + 1)])
     near = F.filter("others", lambda o: o.isNotNull() & _may_link(F.col, lambda c: o[c], percent))

@@ -51,6 +51,20 @@ MESSAGE = "stage int, bucket int, shard long, keys binary, extra binary, counts
 REPLY = "shard long, stage int, bucket int, bits binary"
 
 
+_tables: dict[str, np.ndarray] = {}
+
+
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd base and of its inverse, up to ``n``; kept and grown as needed."""
+    if len(_tables.get("up", ())) < n:
+        base = 0x9E3779B97F4A7C15
+        for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
+            table = np.full(max(n, 1 << 20), b, dtype=np.uint64)
+            table[0] = 1
+            _tables[name] = np.cumprod(table, dtype=np.uint64)
+    return _tables["up"], _tables["down"]
+
+
 def cut_window(length: int) -> int:
     """The largest window whose cuts leave DEPTH whole phrases inside each string of ``length`` bytes."""
     return (length - GRAM + 2) // (DEPTH + 3)
@@ -88,7 +102,7 @@ class Shard:
         self.bounds = np.concatenate([[0], np.cumsum(self.lens)])
         n = len(self.text)
         self.hash8 = _grams(self.text)
-        up, self.down = tk.powers(n + 1)
+        up, self.down = powers(n + 1)
         self.sums = np.zeros(n + 1, tk.U64)
         np.cumsum((self.text.astype(tk.U64) + tk.U64(1)) * up[:n], out=self.sums[1:])
         cuts = np.unique(_window_minima(self.hash8, cut_window(length)))

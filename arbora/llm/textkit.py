@@ -1,20 +1,19 @@
 """Vectorised text primitives on Arrow string buffers: words, word hashes, shingles.
 
-All functions work on UTF-8 bytes.  A 64-bit polynomial hash over each word comes from one prefix sum
-per slice, so no Python object is made per word.
+All functions work on UTF-8 bytes.  Words are hashed to 64 bits, eight bytes at a time and mixed after each eight, so
+no Python object is made per word but for those of more than ``LONG`` bytes, which take BLAKE2b.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 
 U64 = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_tables: dict[str, np.ndarray] = {}
+LONG = 256
 
 #: Byte tables: A-Z to a-z, and which bytes belong to words.
 LOWER = np.arange(256, dtype=np.uint8)
@@ -29,17 +28,6 @@ NONSPACE = np.ones(256, dtype=bool)
 NONSPACE[[32, 9, 10, 11, 12, 13]] = False
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the hash base and of its inverse, up to ``n``; kept and grown as needed."""
-    if len(_tables.get("up", ())) < n:
-        m = max(n, 1 << 20)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            table = np.full(m, base, dtype=U64)
-            table[0] = 1
-            _tables[name] = np.cumprod(table, dtype=U64)
-    return _tables["up"], _tables["down"]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> U64(30))
@@ -73,15 +61,37 @@ def slices(offsets: np.ndarray, max_bytes: int = 1 << 20) -> Iterator[tuple[int,
         i = min(j, n)
 
 
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
+
+
+def hash_spans(text: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each span of ``text``, which has eight more bytes than the spans reach."""
+    eight = np.ndarray((len(text) - 7,), "<u8", buffer=text, strides=(1,))
+    length = ends - starts
+    h = mix(length.astype(U64) * U64(0xD6E8FEB86659FD93) + U64(0x9E3779B97F4A7C15 + 2 * seed))
+    at = np.flatnonzero((length > 0) & (length <= LONG))
+    for k in range(0, LONG, 8):
+        at = at[length[at] > k]
+        if not len(at):
+            break
+        part = eight[starts[at] + k] & _KEEP[np.minimum(length[at] - k, 8)]
+        h[at] = mix(h[at] ^ part)
+    for x in np.flatnonzero(length > LONG).tolist():
+        raw = text[starts[x] : ends[x]].tobytes()
+        h[x] = int.from_bytes(hashlib.blake2b(raw, digest_size=8, salt=seed.to_bytes(2, "little")).digest(), "little")
+    return h
+
+
 class Words:
     """Words of texts i..j: byte ``starts`` and ``ends`` (from ``base``), ``doc`` (from 0), 64-bit ``hashes``."""
 
-    __slots__ = ("base", "doc", "ends", "hashes", "n_docs", "starts", "sums")
+    __slots__ = ("base", "doc", "ends", "hashes", "n_docs", "starts", "text")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, is_word: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, is_word: np.ndarray, seed: int = 0):
         self.base, self.n_docs = int(offsets[i]), j - i
-        text = LOWER[data[self.base : int(offsets[j])]]
-        n = len(text)
+        n = int(offsets[j]) - self.base
+        self.text = np.zeros(n + 8, np.uint8)
+        self.text[:n] = text = LOWER[data[self.base : int(offsets[j])]]
         bounds = offsets[i : j + 1] - self.base
         inside = is_word[text]
         before = np.empty(n, dtype=bool)
@@ -96,15 +106,11 @@ class Words:
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.doc = np.searchsorted(bounds, self.starts, side="right") - 1
-        up, _ = powers(n + 1)
-        self.sums = np.zeros(n + 1, dtype=U64)
-        np.cumsum((text.astype(U64) + U64(1)) * up[:n], out=self.sums[1:])
-        self.hashes = self.span_hash(self.starts, self.ends)
+        self.hashes = self.span_hash(self.starts, self.ends, seed)
 
-    def span_hash(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    def span_hash(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
         """Hash of the lower-cased bytes of each span."""
-        _, down = powers(len(self.sums))
-        return mix((self.sums[ends] - self.sums[starts]) * down[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
+        return hash_spans(self.text, starts, ends, seed)
 
     def counts(self) -> np.ndarray:
         return np.bincount(self.doc, minlength=self.n_docs)
@@ -116,9 +122,9 @@ def hash_word(word: str) -> int:
     return int(Words(raw, np.array([0, len(raw)]), 0, 1, np.ones(256, dtype=bool)).hashes[0])
 
 
-def shingles(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
+def shingles(words: Words, size: int, hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """(doc, hash) of each run of ``size`` words; a text with fewer words, but some, is one run."""
-    h, d = words.hashes, words.doc
+    h, d = words.hashes if hashes is None else hashes, words.doc
     k = U64(0xC2B2AE3D27D4EB4F)
     if len(h) >= size:
         full = np.flatnonzero(d[: len(d) - size + 1] == d[size - 1 :])

@@ -317,6 +317,42 @@ def test_jaccard(spark):
     assert jaccard.jaccard_components(frame(spark, [])).count() == 0
 
 
+def thue_morse(levels):
+    a, b = "a", "b"
+    for _ in range(levels):
+        a, b = a + b, b + a
+    return a, b
+
+
+def test_jaccard_tells_long_words_apart(spark):
+    a, b = thue_morse(10)
+    rows = [(1, a), (2, b), (3, f"{a} x y z"), (4, f"{b} x y z"), (5, a.upper())]
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert got == jaccard.pairs_from_sets(dict(rows)) == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_jaccard_of_hot_tokens(spark, monkeypatch):
+    rnd = random.Random(19)
+    base = words(rnd, 60).split()
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rnd.randint(0, 6)):
+            own[rnd.randrange(len(own))] = words(rnd, 1, "xyz")
+        rows.append((i, " ".join(own)))
+    monkeypatch.setattr(jaccard, "HOT", 8)
+    monkeypatch.setattr(jaccard, "BLOCK", 16)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(frame(spark, rows)).collect()}
+    assert got == jaccard.pairs_from_sets(dict(rows))
+
+
+def test_links_are_confirmed_on_words():
+    texts = ["a b c d e f", "a b c d e f", "u v w x y z", "u v w x y z q"]
+    wrong = [(0, 1), (1, 2)]
+    assert jaccard.confirmed_links(wrong[:1], texts, 4, 85) == wrong[:1]
+    assert jaccard.confirmed_links(wrong, texts, 4, 70) == [(0, 1), (2, 3)]
+
+
 def test_prefix_tree_blocks_equal_all_pairs():
     rnd = random.Random(11)
     counts = np.zeros(1 << jaccard.SKETCH_BITS, np.int64)
