@@ -2,8 +2,9 @@
 
 A *segment* is the unit of the file format.  It has one shared frequency table, and blocks of ``LANES`` interleaved
 rANS states that can each be decoded alone.  For each block the index holds its place, its states, a checkpoint half
-way (states and place again, so decoding can begin there) and the crc32 of its ids.  The whole segment ends with a
-crc32.  Documents are listed with their ids and lengths, so any of them can be found without decoding others' blocks.
+way (states and place again, so decoding can begin there) and the crc32 of the ids of either half.  The whole segment
+ends with a crc32.  Documents are listed with their ids and lengths: ``read_documents`` finds some of them and decodes
+their blocks only, from the checkpoint on where they begin behind it.
 
 Layout, little-endian: magic, header, symbols, frequencies, id flags, document ids, document lengths, block index,
 states, words, crc32.  Segments are rows of a Parquet table (one file for each shard): Spark's writer commits whole
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from arbora.llm import tokens
 
-MAGIC = b"ARNS1\x00\x00\x00"
+MAGIC = b"ARNS2\x00\x00\x00"
 HEADER = struct.Struct("<IQIIIII")  # documents, ids, symbols, scale bits, lanes, steps, blocks
 LANES, STEPS = 64, 512
 LOW = np.uint64(1 << 31)
@@ -84,10 +85,11 @@ def encode_segment(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes
             words.append(out[:, b][m])
             sizes.append(len(words[-1]))
             half_at.append(int(m[: steps // 2].sum()))
-            crcs.append(zlib.crc32(raw[b * steps * LANES : (b + 1) * steps * LANES].tobytes()))
+            a, m = b * steps * LANES, b * steps * LANES + steps // 2 * LANES
+            crcs.append((zlib.crc32(raw[a:m].tobytes()), zlib.crc32(raw[m : a + steps * LANES].tobytes())))
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     named = np.array([0 if d is None else d for d in doc_ids], dtype="<i8")
-    index = np.array(list(zip(sizes, half_at, crcs, strict=True)), dtype="<u4").reshape(-1, 3)
+    index = np.array([(n, h, *c) for n, h, c in zip(sizes, half_at, crcs, strict=True)], dtype="<u4").reshape(-1, 4)
     body = b"".join(
         [MAGIC, HEADER.pack(len(doc_ids), n, len(symbols), bits, LANES, steps, blocks), symbols.tobytes(), freq.tobytes(), known.tobytes(), named.tobytes(), np.asarray(lengths, "<u4").tobytes(), index.tobytes(), states.tobytes(), half.tobytes(), *[w.tobytes() for w in words]]
     )
@@ -125,7 +127,7 @@ def open_segment(data: bytes) -> Segment:
 
     symbols, freq = take("<u4", n_symbols), take("<u4", n_symbols)
     known, named, lengths = take("u1", n_docs), take("<i8", n_docs), take("<u4", n_docs)
-    index = take("<u4", 3 * blocks).reshape(-1, 3)
+    index = take("<u4", 4 * blocks).reshape(-1, 4)
     states, half = take("<u8", blocks * lanes).reshape(-1, lanes), take("<u8", blocks * lanes).reshape(-1, lanes)
     words = take("<u4", int(index[:, 0].sum()))
     return Segment([d if k else None for d, k in zip(named.tolist(), known.tolist(), strict=True)], lengths, n, bits, steps, symbols, freq, index, states, half, words)
@@ -157,20 +159,45 @@ def decode_blocks(seg: Segment, first: int = 0, last: int | None = None, from_ha
         where = (at[:, None] + rank - 1)[need]
         x[need] = (x[need] << np.uint64(32)) | seg.words[where]
         at += rank[:, -1]
-    if from_half:
-        return out.reshape(-1)
-    ids = out.reshape(-1)[: max(0, seg.n_ids - first * seg.steps * out.shape[2])]
-    size = seg.steps * out.shape[2]
-    for b in range(last - first):
-        if zlib.crc32(ids[b * size : (b + 1) * size].tobytes()) != int(seg.index[first + b, 2]):
-            raise CorruptSegment(f"checksum of block {first + b}")
+    out = out.reshape(-1)
+    lanes, size = x.shape[1], seg.steps * x.shape[1]
+    edges = [(b * size, b * size + seg.steps // 2 * lanes, (b + 1) * size) for b in range(first, last)]
+    shift = first * size
+    if from_half:  # each block lacks its first half
+        rest = size - seg.steps // 2 * lanes
+        for (_, m, e), b in zip(edges, range(first, last), strict=True):
+            _check(seg, b, 3, out[(b - first) * rest :][: max(0, min(e, seg.n_ids) - m)])
+        return out[: len(out) - max(0, edges[-1][2] - max(seg.n_ids, edges[-1][1]))]
+    ids = out[: seg.n_ids - shift]
+    for (a, m, e), b in zip(edges, range(first, last), strict=True):
+        _check(seg, b, 2, ids[a - shift : m - shift])
+        _check(seg, b, 3, ids[m - shift : e - shift])
     return ids
 
 
+def _check(seg: Segment, block: int, field: int, ids: np.ndarray) -> None:
+    if zlib.crc32(ids.tobytes()) != int(seg.index[block, field]):
+        raise CorruptSegment(f"checksum of block {block}")
+
+
+def decode_span(seg: Segment, lo: int, hi: int) -> np.ndarray:
+    """Ids lo..hi of the segment, from the blocks that hold them."""
+    if lo >= hi:
+        return np.zeros(0, "<u4")
+    size = seg.steps * seg.states.shape[1]
+    first, last = lo // size, -(-hi // size)
+    begin = first * size
+    half = begin + seg.steps // 2 * seg.states.shape[1]
+    if last == first + 1 and lo >= half:
+        return decode_blocks(seg, first, last, from_half=True)[lo - half : hi - half]
+    return decode_blocks(seg, first, last)[lo - begin : hi - begin]
+
+
 def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text: str = "text", doc_id: str = "doc_id") -> None:
     """Write the ids of all texts (a null is empty), each with ``end_id`` behind it, in ascending order of ``doc_id``.
 
-    Nulls in ``doc_id`` come first; rows with equal ids stay next to each other, in any order.  An empty table gives
+    Nulls in ``doc_id`` come first; rows with equal ids stay next to each other, in any order, and may go to several
+    files, so an id that many rows share is no single task's.  An empty table gives
     a table without segments.  Other columns are not read.
     """
 
@@ -196,31 +223,50 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text:
         if names:
             yield flush()
 
-    ordered = docs.select(F.col(doc_id).cast("long"), text).repartitionByRange(doc_id).sortWithinPartitions(doc_id)
+    ordered = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("tie"))
+    ordered = ordered.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInArrow(segments, FILE_SCHEMA).write.option("compression", "none").option("parquet.block.size", 32 << 20).parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids (binary, little-endian 32-bit) for each document of the files at ``path``."""
+def _with_starts(spark: SparkSession, path: str) -> DataFrame:
+    """(at, data) of each segment; ``at`` counts the ids of all segments before it."""
     files = spark.read.schema(FILE_SCHEMA).parquet(path)
-    sizes = files.groupBy("shard").agg(F.sum("n_ids").alias("n"))
     # one row for each file; their number is that of the write tasks
-    before = {r.shard: r.n for r in sizes.collect()}
+    before = {r.shard: r.n for r in files.groupBy("shard").agg(F.sum("n_ids").alias("n")).collect()}
     base, total = [], 0
     for shard in sorted(before):
         base.append((shard, total))
         total += before[shard]
     bases = F.broadcast(spark.createDataFrame(base or [(-1, 0)], "shard int, base long"))
+    return files.join(bases, "shard").select((F.col("base") + F.col("before")).alias("at"), "data")
 
+
+def _decoded(segments: DataFrame, wanted: frozenset | None) -> DataFrame:
     def decode(batches):
         for batch in batches:
             for at, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 seg = open_segment(data)
-                raw = decode_blocks(seg).astype("<u4").tobytes()
                 ends = np.cumsum(seg.lengths.astype(np.int64))
                 starts = ends - seg.lengths
-                ids = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                cols = [pa.array(seg.doc_ids, pa.int64()), pa.array(at + starts), pa.array(seg.lengths.astype(np.int64)), pa.array(ids, pa.binary())]
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids"])
+                if wanted is None:
+                    chosen, raw = range(len(seg.doc_ids)), decode_blocks(seg).astype("<u4").tobytes()
+                    ids = [raw[4 * a : 4 * b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+                else:
+                    chosen = [k for k, d in enumerate(seg.doc_ids) if d in wanted]
+                    ids = [decode_span(seg, int(starts[k]), int(ends[k])).astype("<u4").tobytes() for k in chosen]
+                if len(chosen):
+                    chosen = np.array(chosen)
+                    cols = [pa.array([seg.doc_ids[k] for k in chosen.tolist()], pa.int64()), pa.array(at + starts[chosen]), pa.array(seg.lengths[chosen].astype(np.int64)), pa.array(ids, pa.binary())]
+                    yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "start", "n_tokens", "ids"])
+
+    return segments.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """doc_id, start, n_tokens, ids (binary, little-endian 32-bit) for each document of the files at ``path``."""
+    return _decoded(_with_starts(spark, path), None)
+
 
-    return files.join(bases, "shard").select((F.col("base") + F.col("before")).alias("at"), "data").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids binary")
+def read_documents(spark: SparkSession, path: str, wanted: list[int | None]) -> DataFrame:
+    """The rows of ``read_tokens`` with one of the ``wanted`` ids; a list that is shipped to all tasks."""
+    return _decoded(_with_starts(spark, path), frozenset(wanted))

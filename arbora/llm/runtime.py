@@ -14,16 +14,35 @@ _ROOT = Path(__file__).resolve().parents[2]
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder every node sees: ``spark.checkpoint.dir``, or a temporary one where it is unset (tests)."""
+    """The folder every node sees: ``spark.checkpoint.dir``; a temporary one where it is unset and there is one machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all nodes share")
         root = "file://" + tempfile.mkdtemp(prefix="arbora-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
+#: What this process has written: paths and catalogue tables.
+_written: list[str] = []
+_tables: list[str] = []
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/arbora-{tag}-{uuid.uuid4().hex[:12]}"
+    path = f"{scratch_root(spark)}/arbora-{tag}-{uuid.uuid4().hex[:12]}"
+    _written.append(path)
+    return path
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Remove all that was written so far; results that were not yet collected or written are lost with it."""
+    while _tables:
+        spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
+    jvm = spark.sparkContext._jvm
+    while _written:
+        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
