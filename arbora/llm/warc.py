@@ -7,9 +7,11 @@ only whole files are ever committed.
 Of pages with equal payloads of at least ``min_bytes`` bytes the one with the largest id is the response and the
 others are ``revisit`` records (profile identical-payload-digest) that refer to it; smaller ones are all responses.
 
-Reading: each file is divided into byte ranges.  A task looks for the gzip magic in its range, accepts a candidate
-when its member's head decodes to a WARC version line, and owns the records that start inside, reading past the end
-of the range to finish the last one.  Compressed data that looks like a header is rejected by that check.
+Reading: each file is divided into byte ranges, and each range is a task's input of its own: ranges are numbered and
+dealt to as many partitions as there are runs of ``TASK_BYTES`` bytes.  A task looks for the gzip magic in its range,
+accepts a candidate when its member's head decodes to a WARC version line, and owns the records that start inside,
+reading past the end of the range to finish the last one.  Compressed data that looks like a header is rejected by
+that check.
 
 A null payload is empty.  A null id cannot be referred to: such a page is always a response.  Rows with equal ids and
 payloads are all responses, or all revisit the same id.  Null URLs become empty.  Empty tables give an archive without
@@ -30,6 +32,7 @@ from pyspark.sql import functions as F
 #: An empty gzip member: the separator between records.
 SEPARATOR = bytes.fromhex("1f8b08000000000000ff03000000000000000000")
 MAGIC = b"\x1f\x8b\x08"
+TASK_BYTES = 16 << 20
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "page_id long, url string, record_type string, payload_bytes long, payload_digest string, refers_to long, payload binary"
 
@@ -83,7 +86,7 @@ def write_warc(pages: DataFrame, path: str, min_bytes: int = 1000, date: str = "
     pages = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.coalesce("html", F.lit("")).cast("binary").alias("payload"))
     pages = pages.withColumn("digest", F.sha1("payload"))
     digests = pages.filter((F.length("payload") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "digest")
-    # one row per repeated payload and per page that revisits; payloads stay where they are
+    # one row per repeated payload and per page that revisits; payloads are shuffled once, to meet them
     first = digests.groupBy("digest").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("n")).filter("n > 1")
     revisits = digests.join(first, "digest").filter("page_id < refers_to").distinct()
     revisits = revisits.select("page_id", "digest", "refers_to")
@@ -162,9 +165,11 @@ def records_in(source, size: int, start: int, end: int, step: int = 1 << 20) ->
         at = whole[1]
 
 
-def read_warc(spark: SparkSession, path: str, range_bytes: int = 4 << 20) -> DataFrame:
-    """All records below ``path``: see ``RECORD``."""
+def read_warc(spark: SparkSession, path: str, range_bytes: int = 4 << 20, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """All records below ``path``: see ``RECORD``.  A task reads about ``task_bytes``, and one range at least."""
     files = spark.read.format("binaryFile").load(path).select("path", "length").filter("length > 0")
+    total = files.agg(F.sum("length").alias("n")).first().n or 0
+    tasks = max(1, -(-total // max(task_bytes, range_bytes)), min(-(-total // range_bytes), spark.sparkContext.defaultParallelism))
     ranges = files.select("path", "length", F.explode(F.sequence(F.lit(0), F.col("length") - 1, F.lit(range_bytes))).alias("at"))
 
     def read(batches) -> Iterator[pa.RecordBatch]:
@@ -182,8 +187,8 @@ def read_warc(spark: SparkSession, path: str, range_bytes: int = 4 << 20) -> Dat
                     if rows:
                         yield pa.RecordBatch.from_pylist(rows, schema=_ARROW)
 
-    dealt = ranges.repartition(F.xxhash64("path", "at"))
-    return dealt.mapInArrow(read, RECORD)
+    # a number of partitions that adaptive execution does not change, with ranges in turn
+    return ranges.repartition(tasks).mapInArrow(read, RECORD)
 
 
 _KINDS = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
