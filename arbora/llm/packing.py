@@ -5,9 +5,10 @@ vector.  Pieces come longest first.  Of the sequences that satisfy every constra
 the smallest weighted norm of the residual after placing, ``dot`` the largest weighted dot-product of demand and
 residual; ties go to the oldest sequence.
 
-Only documents longer than a sequence are cut, into full pieces and a last one.  Pieces are dealt to groups of about
-``GROUP`` pieces by a hash, so no task grows with the input; each group is packed for itself, at the cost of less
-than one sequence a group.
+Only documents longer than the longest piece that the capacities allow (``Capacity.piece``) are cut, into full pieces
+and a last one.  Pieces are dealt to groups of about ``GROUP`` pieces by a hash, so no task grows with the input, and
+each group is packed for itself.  Pieces of sequences that were left less full than ``FULL`` are then dealt anew and
+packed once more, so what the groups cost is less than one sequence for each group of that second round.
 
 Nulls and empty texts are documents of the end id alone.  Rows with equal ids are packed one by one.  Equal lengths
 keep a fixed order (by id and piece).  Empty tables give empty results.  Only the id and the text are read.
@@ -15,11 +16,11 @@ keep a fixed order (by id and piece).  Empty tables give empty results.  Only th
 
 from __future__ import annotations
 
+import math
 import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,6 +28,7 @@ from pyspark.sql import functions as F
 from arbora.llm import runtime, tokens
 
 GROUP = 8192
+FULL = 0.98
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", sequence_id long, offset long"
 
@@ -39,6 +41,11 @@ class Capacity:
     weights: tuple[float, float, float] = (1.0, 0.001, 0.001)
     rule: str = "norm"
 
+    @property
+    def piece(self) -> int:
+        """The tokens of the longest piece that a sequence can hold."""
+        return min(self.tokens, math.isqrt(self.attention))
+
 
 def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
     """Pieces of all texts: their ids with ``end_id`` behind, cut after each ``size`` ids."""
@@ -100,20 +107,33 @@ def _first_best(score: np.ndarray, names: np.ndarray) -> int:
     return int(best[np.argmin(names[best])])
 
 
-def pack(pieces: DataFrame, cap: Capacity, group: int = GROUP) -> DataFrame:
-    """Place materialised ``pieces``; adds ``sequence_id`` and ``offset``."""
-    groups = max(1, -(-pieces.count() // group))
+def _place(pieces: DataFrame, cap: Capacity, groups: int, first: int) -> DataFrame:
+    """``pieces`` placed group by group; sequences are numbered from ``first`` on."""
     width = 1 << 32
 
-    def place(own: pd.DataFrame) -> pd.DataFrame:
-        own = own.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable")
+    def place(own: pa.Table) -> pa.Table:
+        own = own.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("start", "ascending")])
         where, offset = vector_best_fit(own["length"].to_numpy(), cap)
-        return own.assign(sequence_id=own["grp"].to_numpy() * width + where, offset=offset).drop(columns="grp")
+        number = first + own["grp"][0].as_py() * width
+        return own.drop_columns("grp").append_column("sequence_id", pa.array(number + where)).append_column("offset", pa.array(offset.astype(np.int64)))
 
     dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
-    return dealt.groupBy("grp").applyInPandas(place, PACKED)
+    return dealt.groupBy("grp").applyInArrow(place, PACKED)
+
+
+def pack(pieces: DataFrame, cap: Capacity, group: int = GROUP) -> DataFrame:
+    """Place materialised ``pieces``; adds ``sequence_id`` and ``offset``."""
+    groups = max(1, -(-pieces.count() // group))
+    placed = _place(pieces, cap, groups, 0)
+    if groups == 1:
+        return placed
+    placed = runtime.materialize(placed, "placed")
+    loose = placed.groupBy("sequence_id").agg(F.sum("length").alias("n")).filter(F.col("n") < FULL * cap.tokens).select("sequence_id")
+    loose = runtime.materialize(placed.join(loose, "sequence_id", "left_semi").select(placed.columns), "loose")
+    again = _place(loose.select(*[c.split()[0] for c in PIECES.split(", ")]), cap, max(1, -(-loose.count() // group)), 1 << 62)
+    return placed.join(loose.select("sequence_id").distinct(), "sequence_id", "left_anti").select(again.columns).unionByName(again)
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, cap: Capacity = Capacity(), group: int = GROUP) -> DataFrame:  # noqa: B008
     """One row per piece: see ``PACKED``.  Pieces are written once, so texts are tokenised once."""
-    return pack(runtime.materialize(cut(docs, tokenizer, end_id, cap.tokens), "pieces"), cap, group)
+    return pack(runtime.materialize(cut(docs, tokenizer, end_id, cap.piece), "pieces"), cap, group)
