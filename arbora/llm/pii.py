@@ -9,7 +9,8 @@
   ``min_score``.
 
 Nulls and empty texts have no spans.  Repeated rows and rows with equal ids are handled one by one; empty tables
-give empty results; other columns pass through, and an input column called ``spans`` raises ``ValueError``.
+give empty results; other columns pass through, and a column of the input that is called as the result (``into``) is
+replaced.  Context words count as whole words only, within ``CONTEXT_CHARS`` characters on either side.
 Every pattern runs in linear time, so very long texts are scanned whole.
 """
 
@@ -49,6 +50,7 @@ CONTEXT = {
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 CONTEXT_BONUS = 0.3
 CONTEXT_CHARS = 40
+_CONTEXT = {kind: re.compile(rf"\b(?:{'|'.join(words)})\b", re.IGNORECASE) for kind, words in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -104,9 +106,17 @@ def _proposals(text: str) -> Iterator[tuple[str, int, int]]:
             yield "ssn", m.start(), m.end()
 
 
+def has_context(text: str, kind: str, start: int, end: int) -> bool:
+    """Whether a context word of the kind stands, as a word, near the span."""
+    # one character more on each side shows whether a word goes on beyond the window
+    first = max(0, start - CONTEXT_CHARS - 1)
+    if _CONTEXT[kind].search(text[first:start], 1 if start > CONTEXT_CHARS else 0):
+        return True
+    return any(m.end() <= CONTEXT_CHARS for m in _CONTEXT[kind].finditer(text[end : end + CONTEXT_CHARS + 1]))
+
+
 def score_span(text: str, kind: str, start: int, end: int) -> float:
-    near = text[max(0, start - CONTEXT_CHARS) : start].lower() + " " + text[end : end + CONTEXT_CHARS].lower()
-    return min(1.0, PRIOR[kind] + CONTEXT_BONUS * any(w in near for w in CONTEXT[kind]))
+    return min(1.0, PRIOR[kind] + CONTEXT_BONUS * has_context(text, kind, start, end))
 
 
 def spans_of(text: str | None, min_score: float = 0.5) -> list[dict]:
@@ -119,15 +129,14 @@ def spans_of(text: str | None, min_score: float = 0.5) -> list[dict]:
     return found
 
 
-def find_pii(df: DataFrame, text: str = "text", min_score: float = 0.5) -> DataFrame:
-    if "spans" in df.columns:
-        raise ValueError("the input already has a column called spans")
+def find_pii(df: DataFrame, text: str = "text", min_score: float = 0.5, into: str = "spans") -> DataFrame:
+    """``df`` with the spans of each text."""
 
     @F.pandas_udf(SPAN_TYPE)
     def spans(texts: pd.Series) -> pd.Series:
         return pd.Series([spans_of(t, min_score) for t in texts], index=texts.index, dtype=object)
 
-    return df.withColumn("spans", spans(F.col(text)))
+    return df.withColumn(into, spans(F.col(text)))
 
 
 def digest_spans(df: DataFrame) -> DataFrame:
