@@ -371,6 +371,35 @@ def _near(a: str, b: str, percent: int):
 
 def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> DataFrame:
     """doc_id, n_shingles, component_id for every row."""
+    placed = _placed(docs, size, percent)
+    least = runtime.materialize(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+    out = placed.join(least, "component", "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+
+
+def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one row of each component: that with the smallest id (null ids last), then the smallest hash of id and text.
+
+    Rows without words stay.  Of rows with equal id and text, that with the smallest hash of all columns stays.  Columns
+    stay as they are.
+    """
+    placed = _placed(docs, size, percent)
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "key")
+    first = placed.filter("component IS NOT NULL").groupBy("component").agg(F.min(order).alias("first")).select("first.key")
+    kept = runtime.materialize(first.unionByName(placed.filter("component IS NULL").select("key").distinct()), "kept")
+    key = F.xxhash64(F.col("doc_id").cast("long"), "text")
+    rows = docs.join(kept.select(F.col("key").alias("_kept")), key == F.col("_kept"), "left_semi")
+    again = rows.groupBy(key.alias("_key")).agg(F.count("*").alias("_n")).filter("_n > 1").select("_key")
+    again = runtime.materialize(again, "again")
+    if again.isEmpty():
+        return rows
+    alone = rows.join(again, key == F.col("_key"), "left_anti")
+    one = rows.join(again, key == F.col("_key"), "left_semi").groupBy(key.alias("_key")).agg(F.min_by(F.struct(*docs.columns), F.xxhash64(*docs.columns)).alias("_row"))
+    return alone.unionByName(one.select("_row.*"))
+
+
+def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """doc_id, key (of id and text), n, component (a class; null without words) for every row."""
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for seed in (0, 1000, 2000, 3000):
@@ -382,7 +411,7 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
     else:
         raise RuntimeError("classes of sets cannot be told apart by their hashes")
     counts = spark.sparkContext.broadcast(sketch_counts(digests))
-    rows = digests.filter("part IS NULL").select("doc_id", "n", "cls")
+    rows = digests.filter("part IS NULL").select("doc_id", "key", "n", "cls")
     found = prefixes(docs, counts, size, percent, seed)
 
     in_order = W.partitionBy("token", "salt").orderBy("n", "cls")
@@ -414,10 +443,9 @@ def jaccard_components(docs: DataFrame, size: int = 4, percent: int = 85) -> Dat
         if not more.isEmpty():
             parts = runtime.materialize(_joined(parts, more), "parts")
 
-    placed = rows.join(parts.withColumnRenamed("node", "cls"), "cls", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
-    least = runtime.materialize(placed.filter("component IS NOT NULL").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
-    out = placed.join(least, "component", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("least")).otherwise(F.col("doc_id")).alias("component_id"))
+    placed = rows.join(parts.withColumnRenamed("node", "cls"), "cls", "left")
+    placed = placed.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
+    return runtime.materialize(placed, "placed")
 
 
 def _joined(parts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -1,8 +1,9 @@
 """Token ids by the tokenizers library, through a cache of white-space separated chunks.
 
-The tokenizer's normaliser and pre-tokenizer never look across a blank or a newline, so a text's ids are those of its
-chunks, one after another.  A chunk of plain letters and at most one closing mark goes to the library's BPE model
-directly; every other chunk takes the library's whole path.
+Where a vocabulary's normaliser and pre-tokenizer never look across a blank or a newline and white space makes no ids, a
+text's ids are those of its chunks, one after another.  A chunk of plain letters and at most one closing mark goes to
+the library's BPE model directly; every other chunk takes the library's whole path.  Whether a vocabulary is of that kind
+is tried on ``TRIALS`` when it is loaded; texts of any other one take the library's whole path.
 """
 
 from __future__ import annotations
@@ -12,10 +13,19 @@ import re
 
 import numpy as np
 
+#: Texts that tell vocabularies apart whose chunks can be encoded alone.
+TRIALS = ("Plain words, in Two cases.", " lead  and trail ", "a b\nc\n\nd", "naïve Ünïcode ÀÉ it's 12,5%", "x" * 40 + " Ab aB AB ab.", "don't stop: (now) [here]!", "")
 _PLAIN = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([.,;:!?|]?)")
 _encoders: dict[str, Encoder] = {}
 
 
+def public_path(name: str = "word_bpe_49k.json") -> str:
+    """The place of a public vocabulary file; operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def byte_alphabet() -> dict[int, str]:
     """Byte-level vocabularies show printable bytes as themselves and the others as the characters from 256 on."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -47,6 +57,7 @@ class Encoder:
         self.alphabet = [byte_alphabet()[b] for b in range(256)]
         self.chunks = _Chunks(self._chunk, limit)
         self.cores = _Chunks(self._core, limit)
+        self.by_chunks = all(self._by_chunks(t) == self.whole(t) for t in TRIALS)
 
     def _core(self, word: str) -> bytes:
         shown = word if word.isascii() else "".join([self.alphabet[b] for b in word.encode()])
@@ -65,6 +76,9 @@ class Encoder:
         """Ids of a text as little-endian unsigned 32-bit integers; a null is empty."""
         if not text:
             return b""
+        return self._by_chunks(text) if self.by_chunks else self.whole(text)
+
+    def _by_chunks(self, text: str) -> bytes:
         return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -550,3 +551,72 @@ def test_winnowing_of_greek_capitals(spark):
     want = brute_contamination(docs, items)
     assert [x[2] for x in want] == [20, 14, 0, 0]
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+# the pipeline
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rnd = random.Random(21)
+    plain = lambda n: words(rnd, n, "klmnopqr", 7)
+    rows, toxic = [], set()
+    for i, (_, text, bad) in enumerate(toxic_rows(rnd, 500)):
+        rows.append((i, text))
+        toxic |= {i} if bad else set()
+    items = [(k, plain(30)) for k in range(4)]
+    near = plain(80).split()
+    for i in range(10):
+        rows.append((1000 + i, " ".join([*near[:70], plain(1), *near[71:]])))
+        rows.append((1100 + i, f"{plain(10)} {items[i % 4][1].upper()} {plain(10)}"))
+        rows.append((1200 + i, f"{plain(12)} a{i}@b.org, card 4111 1111 1111 1111, {plain(12)} +49 30 1234567{i} {plain(3)}"))
+    rows += [(1300, None), (1301, ""), (1302, "one two"), (1303, "one two"), (1302, "one two"), (1302, "three"), (1400, plain(9000)), (None, plain(30))]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(d, int(d in toxic)) for d, _ in rows[:500]], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    want = [(d, t) for d, t in rows if d not in toxic]
+    want = list(dict.fromkeys(want))
+    groups = jaccard.pairs_from_sets({(d is None, d or 0, t or ""): t for d, t in want}, 5, 80)
+    first = {}
+    for k, g in sorted(groups.items()):
+        first.setdefault(g, k)
+    want = [(d, t) for d, t in want if first[groups[d is None, d or 0, t or ""]] == (d is None, d or 0, t or "")]
+    flags = [x[5] for x in brute_contamination(want, items)]
+    want = [x for x, bad in zip(want, flags, strict=True) if not bad]
+    assert sum(flags) == 10 and len(want) < 440
+    enc, out = tokens.Encoder(tokenizer_path()), []
+    for d, t in want:
+        for kind, pattern in (("EMAIL", r"a\d@b\.org"), ("CARD", r"4111 1111 1111 1111"), ("PHONE", r"\+49 30 1234567\d")):
+            t = t and re.sub(pattern, f"[{kind}]", t)
+        ids = enc.whole(t or "") + b"\1\0\0\0"
+        out += [(d, k, a, min(4096, len(ids) // 4 - a), zlib.crc32(ids[4 * a : 4 * (a + 4096)])) for k, a in enumerate(range(0, len(ids) // 4, 4096))]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted(((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got), key=str) == sorted(out, key=str)
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append(r.length)
+    assert all(sum(own) <= 4096 and len(own) <= 64 for own in by.values()) and max(map(len, by.values())) == 64
+
+
+def test_near_copies_with_equal_ids(spark):
+    df = frame(spark, [(3, "a b c d e f"), (5, "u v w x y z"), (5, "a b c d e f"), (5, "u v w x y z"), (None, "u v w x y z"), (7, None), (7, None), (8, "")])
+    got = jaccard.drop_near_copies(df)
+    assert got.columns == df.columns
+    assert sorted((str(r.doc_id), str(r.text)) for r in got.collect()) == [("3", "a b c d e f"), ("5", "u v w x y z"), ("7", "None"), ("8", "")]
+
+
+def test_scratch_can_be_cleared(spark):
+    import os
+
+    path = runtime.scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    runtime.clear_scratch(spark)
+    assert not os.path.exists(path.removeprefix("file://"))
+
+
+def test_tokens_of_another_kind_of_vocabulary():
+    enc = tokens.Encoder(tokens.public_path("byte_bpe_50k.json"))
+    assert not enc.by_chunks and enc.encode("A b\n c") == enc.whole("A b\n c")
+    assert tokens.Encoder(tokenizer_path()).by_chunks
