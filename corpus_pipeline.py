@@ -2,7 +2,8 @@
 
 Stages take (spark, docs, sf_dir).  Each but the last returns the columns of ``documents``; the last returns the
 pieces of the packed sequences.  Each result is written as Parquet and read again.  A null text counts as empty and
-stays; rows with equal id and text stay once; empty tables give empty results.
+stays; rows with equal id and text stay once; empty tables give empty results.  Sequences hold at most 4096 tokens and
+64 documents.
 """
 
 from __future__ import annotations
@@ -10,14 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import decontaminate, jaccard, packing, pii, runtime, toxicity
-
-
-def tokenizer_path() -> str:
-    """The vocabulary of the registered queries; operators take any path."""
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
+from arbora.llm import decontaminate, jaccard, packing, pii, runtime, tokens, toxicity
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,10 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-copies (five words, similarity 0.8 or more)."""
-    groups = jaccard.jaccard_components(docs, size=5, percent=80)
-    first = groups.filter(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi").dropDuplicates(["doc_id", "text"])
+    """One document of each group of near-copies (five words, similarity 0.8 or more): that with the smallest id."""
+    return jaccard.drop_near_copies(docs, size=5, percent=80)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,7 +37,8 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents, placed in sequences of at most 4096 tokens."""
-    return packing.pack_documents(docs, tokenizer_path(), end_id=1)
+    cap = packing.Capacity(tokens=4096, documents=64, weights=(1.0, 0.05, 0.001))
+    return packing.pack_documents(docs, tokens.public_path(), end_id=1, cap=cap)
 
 
 STAGES = [
