@@ -2,13 +2,16 @@
 
 The lexicon of insults is learned from labelled rows: words and word beginnings (4 to 8 bytes) that are far more
 frequent in toxic texts, by the likelihood ratio.  Threats, targets, negations and words of reported speech are
-fixed lists.  Each text becomes a tape of the tokens that one of these transducers reads; the composed machine
-walks a clause at a time (from one of ``. ! ? ; \\n`` to the next) and emits one weighted match per clause:
+fixed lists.  Each text becomes a tape of symbols, one for each word; a clause goes from one of ``. ! ? ; \\n`` to the
+next.  Three transducers, each a table of states, rewrite the tape:
 
-* insult or threat, alone: its weight;
-* with a target within ``reach`` words: the targeted channel as well;
-* after a negation within ``reach`` words: the negated channel instead;
-* after reported speech in the clause: the reported channel instead.
+* *report*: an insult or threat after a word of reported speech in the clause is a reported one;
+* *negation*: an insult or threat within ``reach`` words after a negation is a negated one;
+* *target*: an insult or threat within ``reach`` words after a target is a targeted one.
+
+``compose`` makes one machine of them.  It reads each clause from left to right, and the target transducer then reads
+what it wrote from right to left, for targets that follow.  Matches weigh what their word weighs in the lexicon; the
+symbol that a match ends as decides the channels that this weight goes to.
 
 A logistic model over the channel sums turns matches into a score from 0 to 1.  Language, source and ids are never
 inputs.  The lexicon and the model are fitted on at most ``max_sample`` labelled rows (lowest xxhash64 of the id);
@@ -22,6 +25,7 @@ give empty results.  Only ``doc_id`` and the text are read, so other columns can
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -37,7 +41,9 @@ NEGATIONS = "not never neither nor nicht kein keine nie jamais aucun nunca tampo
 REPORTS = "said says wrote quoted quote claimed sagte schrieb zitierte disait écrit citait dijo escribió citó"
 SEED_INSULTS = "idiot moron stupid loser scum"
 PREFIXES = (4, 5, 6, 7, 8)
-INSULT, THREAT, TARGET, NEGATION, REPORT = 1, 2, 3, 4, 5
+#: Symbols of the tape, and those that the transducers write for a match.
+WORD, INSULT, THREAT, TARGET, NEGATION, REPORT, REPORTED, NEGATED, TARGETED = range(9)
+CORES = (INSULT, THREAT)
 N_FEATURES = 8
 
 
@@ -86,6 +92,74 @@ _ENDS = np.zeros(256, dtype=bool)
 _ENDS[[ord(c) for c in ".!?;\n"]] = True
 
 
+@dataclass(frozen=True)
+class Transducer:
+    """Tables of the next state and of the symbol written, by state and symbol read; it begins in state 0."""
+
+    step: np.ndarray
+    write: np.ndarray
+
+
+def scope(trigger: int, marked: int, reach: int | None) -> Transducer:
+    """Cores within ``reach`` words after a trigger (None: anywhere after it) are written as ``marked``.
+
+    A state is the number of words for which the last trigger still holds.
+    """
+    states = (1 if reach is None else reach) + 1
+    step = np.empty((states, TARGETED + 1), np.int64)
+    write = np.tile(np.arange(TARGETED + 1), (states, 1))
+    for s in range(states):
+        step[s] = s if reach is None else max(0, s - 1)
+        step[s, trigger] = states - 1
+        if s:
+            write[s, list(CORES)] = marked
+    return Transducer(step, write)
+
+
+def compose(first: Transducer, second: Transducer) -> Transducer:
+    """The machine that reads what ``first`` reads and writes what ``second`` makes of its output."""
+    a, b = np.divmod(np.arange(len(first.step) * len(second.step)), len(second.step))
+    middle = first.write[a]
+    return Transducer(first.step[a] * len(second.step) + second.step[b[:, None], middle], second.write[b[:, None], middle])
+
+
+@cache
+def grammar(reach: int) -> tuple[Transducer, Transducer]:
+    """The composed machine for reading forwards, and the one for reading its output backwards."""
+    target = scope(TARGET, TARGETED, reach)
+    return compose(compose(scope(REPORT, REPORTED, None), scope(NEGATION, NEGATED, reach)), target), target
+
+
+def run(machine: Transducer, clause: np.ndarray, at: np.ndarray, symbols: np.ndarray, reach: int) -> np.ndarray:
+    """What a machine writes for the symbols at word positions ``at``, of many clauses in a row; other words are ``WORD``."""
+    if not len(at):
+        return symbols
+    skip = [np.arange(len(machine.step))]
+    for _ in range(reach):  # after as many plain words, every scope has ended
+        skip.append(machine.step[skip[-1], WORD])
+    skip = np.array(skip)
+    head = np.flatnonzero(np.append(True, clause[1:] != clause[:-1]))
+    length = np.diff(np.append(head, len(at)))
+    gap = np.zeros(len(at), np.int64)
+    gap[1:] = np.clip(np.abs(at[1:] - at[:-1]) - 1, 0, reach)
+    out, state = symbols.copy(), np.zeros(len(head), np.int64)
+    live = np.arange(len(head))
+    for k in range(int(length.max())):
+        live = live[length[live] > k]
+        x = head[live] + k
+        now = skip[gap[x], state[live]] if k else state[live]
+        out[x] = machine.write[now, symbols[x]]
+        state[live] = machine.step[now, symbols[x]]
+    return out
+
+
+def rewrite(clause: np.ndarray, at: np.ndarray, symbols: np.ndarray, reach: int) -> np.ndarray:
+    """The symbols as the grammar writes them, both ways."""
+    forwards, backwards = grammar(reach)
+    out = run(forwards, clause, at, symbols, reach)
+    return run(backwards, clause[::-1], at[::-1], out[::-1], reach)[::-1]
+
+
 def channels(data: np.ndarray, offsets: np.ndarray, i: int, j: int, model: Model) -> np.ndarray:
     """One row of channel values per text i..j."""
     w = tk.Words(data, offsets, i, j, tk.ALNUM)
@@ -101,54 +175,23 @@ def channels(data: np.ndarray, offsets: np.ndarray, i: int, j: int, model: Model
         kind[at[hit]] = INSULT
     tape = np.flatnonzero(kind)
     n_words = w.counts().astype(float)
-    out = np.zeros((j - i, N_FEATURES))
-    core = tape[(kind[tape] == INSULT) | (kind[tape] == THREAT)]
-    if len(core):
+    out = np.zeros((j - i, 6))
+    if np.isin(kind[tape], CORES).any():
         ends = np.flatnonzero(_ENDS[data[w.base : int(offsets[j])]])
         clause = np.searchsorted(ends, w.starts[tape]) + w.doc[tape]
-        rows: dict[int, list] = {}
-        for t, c in zip(tape.tolist(), clause.tolist(), strict=True):
-            rows.setdefault(c, []).append(t)
-        for own in rows.values():
-            plain, targeted, negated, reported, n = run_clause([(t, int(kind[t]), float(weight[t])) for t in own], model.reach)
-            if n:
-                row = out[w.doc[own[0]]]
-                row[0] += plain
-                row[1] += targeted
-                row[2] += negated
-                row[3] += reported
-                row[4] += n
-                row[5] += 1
+        full = np.isin(clause, np.unique(clause[np.isin(kind[tape], CORES)]))
+        tape, clause = tape[full], clause[full]
+        symbols = kind[tape].astype(np.int64)
+        core = np.isin(symbols, CORES)
+        written = rewrite(clause, tape, symbols, model.reach)[core]
+        doc, value = w.doc[tape][core], weight[tape][core]
+        for c, own in enumerate((np.isin(written, (*CORES, TARGETED)), written == TARGETED, written == NEGATED, written == REPORTED)):
+            out[:, c] = np.bincount(doc[own], weights=value[own], minlength=j - i)
+        out[:, 4] = np.bincount(doc, minlength=j - i)
+        out[:, 5] = np.bincount(doc[np.append(True, clause[core][1:] != clause[core][:-1])], minlength=j - i)
     total = out[:, :4].sum(axis=1)
     rate = total / np.maximum(n_words, 1)
-    return np.column_stack([np.log1p(out[:, 0]), np.log1p(out[:, 1]), np.log1p(out[:, 2]), np.log1p(out[:, 3]), np.log1p(out[:, 4]), np.log1p(out[:, 5]), np.log1p(100 * rate), np.sqrt(rate)])
-
-
-def run_clause(tape: list[tuple[int, int, float]], reach: int) -> tuple[float, float, float, float, int]:
-    """The composed machine over one clause's (word position, class, weight): channel weights and number of matches."""
-    plain = targeted = negated = reported = 0.0
-    n = 0
-    last = {TARGET: None, NEGATION: None, REPORT: None}
-    pending = None  # the last match that a following target may complete
-    for at, cls, weight in tape:
-        if cls in last:
-            last[cls] = at
-            if cls == TARGET and pending and at - pending[0] <= reach:
-                targeted += pending[1]
-                pending = None
-            continue
-        n += 1
-        if last[REPORT] is not None:
-            reported += weight
-        elif last[NEGATION] is not None and at - last[NEGATION] <= reach:
-            negated += weight
-        else:
-            plain += weight
-            if last[TARGET] is not None and at - last[TARGET] <= reach:
-                targeted += weight
-            else:
-                pending = (at, weight)
-    return plain, targeted, negated, reported, n
+    return np.column_stack([np.log1p(out), np.log1p(100 * rate), np.sqrt(rate)])
 
 
 def held_out(doc_id) -> F.Column:
