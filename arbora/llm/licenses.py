@@ -31,19 +31,88 @@ from arbora.llm import textkit as tk
 #: Phrases and labels of the base.
 PHRASES = {("mit", "license"): "mit", ("apache", "license"): "apache", ("general", "public", "license"): "gpl"}
 
-#: Opening sentences of well-known license notices.
+#: License texts, the notices that files carry, and their short forms.  A label is what stands before the first "-".
 TEMPLATES = {
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files",
+    "mit-full": """
+        permission is hereby granted free of charge to any person obtaining a copy of this software and associated
+        documentation files the software to deal in the software without restriction including without limitation the
+        rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit
+        persons to whom the software is furnished to do so subject to the following conditions the above copyright
+        notice and this permission notice shall be included in all copies or substantial portions of the software the
+        software is provided as is without warranty of any kind express or implied including but not limited to the
+        warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the
+        authors or copyright holders be liable for any claim damages or other liability whether in an action of
+        contract tort or otherwise arising from out of or in connection with the software or the use or other dealings
+        in the software""",
+    "mit-short": "released under the mit license",
     "apache": "licensed under the apache license version 2.0 you may not use this file except in compliance with the license",
+    "apache-full": """
+        licensed under the apache license version 2.0 the license you may not use this file except in compliance with
+        the license you may obtain a copy of the license at http www apache org licenses license 2.0 unless required by
+        applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+        without warranties or conditions of any kind either express or implied see the license for the specific
+        language governing permissions and limitations under the license""",
     "apache-short": "licensed under the apache license version 2.0",
     "gpl": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license",
+    "gpl-full": """
+        this program is free software you can redistribute it and or modify it under the terms of the gnu general public
+        license as published by the free software foundation either version 3 of the license or at your option any later
+        version this program is distributed in the hope that it will be useful but without any warranty without even the
+        implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for
+        more details you should have received a copy of the gnu general public license along with this program if not
+        see https www gnu org licenses""",
     "gpl-short": "released under the gnu general public license",
     "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+    "bsd-full": """
+        redistribution and use in source and binary forms with or without modification are permitted provided that the
+        following conditions are met 1 redistributions of source code must retain the above copyright notice this list
+        of conditions and the following disclaimer 2 redistributions in binary form must reproduce the above copyright
+        notice this list of conditions and the following disclaimer in the documentation and or other materials provided
+        with the distribution this software is provided by the copyright holders and contributors as is and any express
+        or implied warranties including but not limited to the implied warranties of merchantability and fitness for a
+        particular purpose are disclaimed in no event shall the copyright holder or contributors be liable for any
+        direct indirect incidental special exemplary or consequential damages including but not limited to procurement
+        of substitute goods or services loss of use data or profits or business interruption however caused and on any
+        theory of liability whether in contract strict liability or tort including negligence or otherwise arising in
+        any way out of the use of this software even if advised of the possibility of such damage""",
     "mpl": "this source code form is subject to the terms of the mozilla public license",
+    "mpl-full": """
+        this source code form is subject to the terms of the mozilla public license v 2.0 if a copy of the mpl was not
+        distributed with this file you can obtain one at https mozilla org mpl 2.0""",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
+    "isc-full": """
+        permission to use copy modify and or distribute this software for any purpose with or without fee is hereby
+        granted provided that the above copyright notice and this permission notice appear in all copies the software is
+        provided as is and the author disclaims all warranties with regard to this software including all implied
+        warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect
+        or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an
+        action of contract negligence or other tortious action arising out of or in connection with the use or
+        performance of this software""",
+    "zlib-full": """
+        this software is provided as is without any express or implied warranty in no event will the authors be held
+        liable for any damages arising from the use of this software permission is granted to anyone to use this
+        software for any purpose including commercial applications and to alter it and redistribute it freely subject to
+        the following restrictions 1 the origin of this software must not be misrepresented you must not claim that you
+        wrote the original software if you use this software in a product an acknowledgment in the product documentation
+        would be appreciated but is not required 2 altered source versions must be plainly marked as such and must not
+        be misrepresented as being the original software 3 this notice may not be removed or altered from any source
+        distribution""",
+    "boost-full": """
+        permission is hereby granted free of charge to any person or organization obtaining a copy of the software and
+        accompanying documentation covered by this license the software to use reproduce display distribute execute and
+        transmit the software and to prepare derivative works of the software and to permit third parties to whom the
+        software is furnished to do so all subject to the following the copyright notices in the software and this
+        entire statement including the above license grant this restriction and the following disclaimer must be
+        included in all copies of the software in whole or in part and all derivative works of the software unless such
+        copies or derivative works are solely in the form of machine executable object code generated by a source
+        language processor""",
+    "unlicense-full": """
+        this is free and unencumbered software released into the public domain anyone is free to copy modify publish use
+        compile sell or distribute this software either in source code form or as a compiled binary for any purpose
+        commercial or non commercial and by any means""",
     "cc": "this work is licensed under a creative commons attribution license",
     "cc-short": "licensed under cc by nc 4.0",
-    "mit-short": "released under the mit license",
 }
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
@@ -112,10 +181,12 @@ class TemplateIndex:
             name, ranks, need = self.templates[t]
             if n_distinct < need:
                 continue
-            shared = np.isin(ranks, block, assume_unique=True)
-            if len(ranks) - int(np.argmax(shared)) < need:
+            # the first word of the prefix that the block holds bounds what both can share, before that is counted
+            prefix = ranks[: len(ranks) - need + 1]
+            p = int(np.argmax(np.isin(prefix, block, assume_unique=True)))
+            if min(len(ranks) - p, len(block) - int(np.searchsorted(block, prefix[p]))) < need:
                 continue
-            if (n := int(shared.sum())) >= need:
+            if (n := int(np.isin(ranks[p:], block, assume_unique=True).sum())) >= need:
                 found.append((name, n / len(ranks)))
         return found
 
@@ -214,3 +285,37 @@ def _scan_slice(data, offsets, i, j, index: TemplateIndex, phrases) -> list[pa.A
         all_labels[x] = ",".join(sorted(own | more.keys()))
         score[x] = 1.0 if where else max(more.values())
     return [pa.array(n_words.astype(np.int64)), pa.array(n_base), pa.array(first, pa.int64()), pa.array(last, pa.int64()), pa.array(base_labels), pa.array(all_labels), pa.array(score)]
+
+
+def oracle_sql(threshold: float = 0.8) -> str:
+    """The same rows by plain counting: every line, and every window that begins at a word of the template."""
+    import re
+
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    values = ", ".join(f"('{name.split('-')[0]}', {re.findall(word, text)})" for name, text in TEMPLATES.items())
+    return rf"""
+WITH tpl(label, w) AS (VALUES {values}),
+t AS (SELECT row_number() OVER () AS k, label, len(w) AS size, list_distinct(w) AS ws FROM tpl),
+tw AS (SELECT k, label, size, len(ws) AS n, ceil({threshold} * len(ws) - 1e-9) AS need, unnest(ws) AS word FROM t),
+d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS x FROM documents),
+dl AS (SELECT r, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS line_no FROM d),
+lw AS (SELECT r, line_no, regexp_extract_all(line, '{word}') AS w FROM dl),
+flat AS (SELECT r, line_no, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM lw),
+pos AS (SELECT r, line_no, word, row_number() OVER o - 1 AS p, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM flat WINDOW o AS (PARTITION BY r ORDER BY line_no, i)),
+nw AS (SELECT r, count(*) AS n_words FROM pos GROUP BY r),
+base AS (SELECT r, p, CASE word WHEN 'general' THEN 'gpl' ELSE word END AS label FROM pos
+  WHERE word IN ('mit', 'apache') AND w2 = 'license' OR word = 'general' AND w2 = 'public' AND w3 = 'license'),
+bs AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
+occ AS (SELECT r, line_no, p, k, label, size, n, need, tw.word FROM pos JOIN tw ON pos.word = tw.word),
+enough AS (SELECT r, k FROM occ GROUP BY r, k, need HAVING count(DISTINCT word) >= need),
+near AS (SELECT occ.* FROM occ SEMI JOIN enough USING (r, k)),
+hits AS (SELECT r, label, count(DISTINCT word) / n AS c FROM near GROUP BY r, k, label, line_no, n, need HAVING count(DISTINCT word) >= need
+  UNION ALL SELECT a.r, a.label, count(DISTINCT b.word) / a.n FROM near a JOIN near b ON a.r = b.r AND a.k = b.k AND b.p BETWEEN a.p AND a.p + a.size - 1
+  GROUP BY a.r, a.k, a.label, a.p, a.n, a.need HAVING count(DISTINCT b.word) >= a.need),
+ls AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM hits UNION SELECT r, label FROM base) GROUP BY r),
+sc AS (SELECT r, max(c) AS score FROM hits GROUP BY r)
+SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,
+  coalesce(base_labels, '') AS base_labels, coalesce(labels, '') AS labels, CAST(CASE WHEN n_base > 0 THEN 1 ELSE coalesce(score, 0) END AS DOUBLE) AS score
+FROM d LEFT JOIN nw USING (r) LEFT JOIN bs USING (r) LEFT JOIN ls USING (r) LEFT JOIN sc USING (r)
+"""
