@@ -5,8 +5,8 @@ A span of ``window`` shared words holds the same run of hashes in both texts and
 span is missed.  Texts and items that share a fingerprint are then extended: each run of ``window`` words of such a
 text is compared (by two 64-bit hashes) with the runs of the items, and the runs found cover the words that are hit.
 
-Items of fewer than ``window`` words, but some, are one run of their own length; each such length is looked up over
-all texts directly.
+Items of fewer than ``window`` words, but some, are one run of their own length; all such lengths are looked up over
+all texts in one pass.  Hits are found against distinct runs; items are named after that, once for each text and run.
 
 Fingerprints and the extension take the same words, with A-Z lower-cased and nothing else changed: a lower-casing of
 whole texts gives some letters (the Greek capital sigma) by what follows the word.  Nulls have no words.  Rows that share an id but not the text are judged apart; rows
@@ -48,8 +48,13 @@ def winnow(words: Column, k: int, window: int) -> Column:
     w = window - k + 1
 
     def smallest(grams: Column) -> Column:
-        at = F.sequence(F.lit(1), F.size(grams) - w + 1)
-        kept = F.array_distinct(F.transform(at, lambda i: F.array_min(F.slice(grams, i, w))))
+        # the least of 1, 2, 4, ... and at last w entries from each place on; null, beyond the end, counts for nothing
+        least, have = grams, 1
+        while have < w:
+            step = min(have, w - have)
+            least = let(least, lambda a, step=step: F.zip_with(a, F.slice(a, F.lit(step + 1), F.size(a)), lambda x, y: F.least(x, y)))
+            have += step
+        kept = F.array_distinct(F.slice(least, F.lit(1), F.size(grams) - w + 1))
         return F.when(F.size(grams) >= w, kept).otherwise(F.array().cast("array<bigint>"))
 
     hashed = F.transform(words, lambda x: F.xxhash64(x))
@@ -106,16 +111,23 @@ def _judge(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFr
 
     texts = docs.withColumn("row_key", _row_key())
     own = texts.join(suspects, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", exact_words(F.col("text")).alias("words"))
-    hits = _hits(own, items.filter(F.size("words") >= window), window)
-    for n in short:
-        whole = texts.dropDuplicates(["row_key"]).select("row_key", exact_words(F.col("text")).alias("words"))
-        hits = hits.unionByName(_hits(whole, items.filter(F.size("words") == n), n))
+    sizes = [*short, window]
+    of_items = items.select("item_id", F.explode(_runs(lambda w, n: F.size(w) >= n if n == window else F.size(w) == n, sizes)).alias("run"))
+    of_items = runtime.materialize(of_items.select("item_id", "run.size", "run.a", "run.b").distinct(), "runs")
+    of_texts = own.select("row_key", F.explode(_runs(lambda w, n: F.lit(True), [window])).alias("run"))
+    if short:
+        whole = texts.select("row_key", exact_words(F.col("text")).alias("words"))
+        of_texts = of_texts.unionByName(whole.select("row_key", F.explode(_runs(lambda w, n: F.lit(True), short)).alias("run")))
+    keys = ["size", "a", "b"]
+    hits = of_texts.select("row_key", "run.*").join(of_items.select(*keys).distinct(), keys, "left_semi").distinct()
+    hits = runtime.materialize(hits.withColumn("end", F.col("start") + F.col("size")), "hits")
 
     in_order = W.partitionBy("row_key").orderBy("start", "end")
     before = F.max("end").over(in_order.rowsBetween(W.unboundedPreceding, -1))
     fresh = F.greatest(F.lit(0), F.col("end") - F.greatest(F.col("start"), F.coalesce(before, F.col("start"))))
-    covered = hits.select("row_key", "start", "end").distinct().select("row_key", fresh.alias("fresh")).groupBy("row_key").agg(F.sum("fresh").alias("n_hit"))
-    named = hits.groupBy("row_key").agg(F.sort_array(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
+    covered = hits.select("row_key", fresh.alias("fresh")).groupBy("row_key").agg(F.sum("fresh").alias("n_hit"))
+    pairs = hits.select("row_key", *keys).distinct().join(of_items, keys).select("row_key", F.col("item_id").cast("string").alias("item"))
+    named = pairs.groupBy("row_key").agg(F.sort_array(F.collect_set("item")).alias("items"))
     found = covered.join(named, "row_key")
     n_hit = F.coalesce(F.col("n_hit"), F.lit(0)).cast("long")
     n_words = F.col("n_words").cast("long")
@@ -131,11 +143,15 @@ def _judge(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFr
     )
 
 
-def _hits(texts: DataFrame, items: DataFrame, size: int) -> DataFrame:
-    """(row_key, start, end, item_id): where runs of ``size`` words of the items occur in the texts."""
-    of_texts = texts.select("row_key", F.explode(let(F.col("words"), lambda w: word_runs(w, size))).alias("run")).select("row_key", "run.*")
-    of_items = items.select("item_id", F.explode(let(F.col("words"), lambda w: word_runs(w, size))).alias("run")).select("item_id", "run.a", "run.b").distinct()
-    return of_texts.join(of_items, ["a", "b"]).select("row_key", "start", (F.col("start") + size).alias("end"), "item_id")
+def _runs(ok, sizes: list[int]) -> Column:
+    """All runs of ``words`` of these sizes (where ``ok(words, size)``), with their size."""
+
+    def of(w: Column) -> Column:
+        none = F.array().cast("array<struct<size:int,start:int,a:bigint,b:bigint>>")
+        sized = lambda n: F.transform(word_runs(w, n), lambda r: F.struct(F.lit(n).alias("size"), r["start"].alias("start"), r["a"].alias("a"), r["b"].alias("b")))
+        return F.concat(*[F.when(ok(w, n), sized(n)).otherwise(none) for n in sizes])
+
+    return let(F.col("words"), of)
 
 
 def digest(found: DataFrame) -> DataFrame:
