@@ -34,8 +34,8 @@ _EMAIL = re.compile(r"[A-Za-z0-9._%+-]++(?:@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++
 _IP = re.compile(r"[0-9]++(?:\.[0-9]++\.[0-9]++\.[0-9]++)?", re.ASCII)
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++", re.ASCII)
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]", re.ASCII)
-_IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", re.ASCII)
-_SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", re.ASCII)
+_IBAN = re.compile(r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", re.ASCII)
+_SSN = re.compile(r"\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b", re.ASCII)
 _DIGIT = re.compile("[0-9]")
 
 #: Context words: fixed values.
@@ -50,7 +50,7 @@ CONTEXT = {
 PRIOR = {"email": 0.9, "ip": 0.6, "card": 0.8, "phone": 0.6, "iban": 0.8, "ssn": 0.3}
 CONTEXT_BONUS = 0.3
 CONTEXT_CHARS = 40
-_CONTEXT = {kind: re.compile(rf"\b(?:{'|'.join(words)})\b", re.IGNORECASE) for kind, words in CONTEXT.items()}
+_CONTEXT = {kind: re.compile(rf"\b(?:{'|'.join(words)})\b", re.IGNORECASE | re.ASCII) for kind, words in CONTEXT.items()}
 
 
 def luhn(digits: str) -> bool:
@@ -199,3 +199,45 @@ def reference_digest(text: str | None) -> tuple:
                 out.setdefault(kind, []).append(f"{kind}:{m.start()}:{m.end()}")
     joined = ",".join(x for k in BASE_KINDS for x in out.get(k, []))
     return (*[len(out.get(k, [])) for k in BASE_KINDS], hashlib.sha256(joined.encode()).hexdigest())
+
+
+def _sql() -> str:
+    """The same rows by plain patterns: pieces between matches give their places."""
+    patterns = {
+        "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+",
+        "ip": r"[0-9]+\.[0-9]+\.[0-9]+\.[0-9]+",
+        "card": r"[0-9](?:[ -]?[0-9])+",
+        "phone": r"\+[0-9][ ().0-9-]+[0-9]",
+        "iban": _IBAN.pattern,
+        "ssn": _SSN.pattern,
+    }
+    digits = "regexp_replace(m, '[^0-9]', '', 'g')"
+    luhn_sum = f"list_sum(list_transform(range(1, len({digits}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST({digits}[-i] AS INT) WHEN CAST({digits}[-i] AS INT) > 4 THEN 2 * CAST({digits}[-i] AS INT) - 9 ELSE 2 * CAST({digits}[-i] AS INT) END))"
+    iban = "replace(m, ' ', '')"
+    values = f"list_transform(string_split({iban}[5:] || {iban}[1:4], ''), lambda c: CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)"
+    rest = f"list_reduce(list_prepend(0, {values}), lambda a, v: (a * CASE WHEN v > 9 THEN 100 ELSE 10 END + v) % 97)"
+    words = "|".join(CONTEXT["ssn"])
+    near = rf"""regexp_matches(x[greatest(1, beg - {CONTEXT_CHARS}):beg], CASE WHEN beg > {CONTEXT_CHARS} THEN '(?is)^.+?\b(?:{words})\b' ELSE '(?is)\b(?:{words})\b' END)
+      OR regexp_matches(x[beg + len(m) + 1:beg + len(m) + {CONTEXT_CHARS + 1}], CASE WHEN len(x) > beg + len(m) + {CONTEXT_CHARS} THEN '(?is)\b(?:{words})\b.+$' ELSE '(?is)\b(?:{words})\b' END)"""
+    checks = {
+        "email": "true",
+        "ip": "len(list_filter(string_split(m, '.'), lambda p: len(ltrim(p, '0')) > 3 OR CAST('0' || right(ltrim(p, '0'), 3) AS INT) > 255)) = 0",
+        "card": f"len({digits}) BETWEEN 13 AND 19 AND {luhn_sum} % 10 = 0",
+        "phone": f"len({digits}) BETWEEN 9 AND 15",
+        "iban": f"{rest} = 1",
+        "ssn": near,
+    }
+    found = " UNION ALL ".join(
+        f"""SELECT r, {n} AS k, '{kind}' AS kind, beg, beg + len(m) AS until FROM (SELECT r, x, m, CAST(list_sum(list_transform(list_slice(s, 1, i), lambda p: len(p))) + coalesce(list_sum(list_transform(list_slice(ms, 1, i - 1), lambda p: len(p))), 0) AS BIGINT) AS beg
+  FROM (SELECT r, x, ms, s, unnest(ms) AS m, generate_subscripts(ms, 1) AS i FROM (SELECT r, x, regexp_extract_all(x, '{patterns[kind]}') AS ms, string_split_regex(x, '{patterns[kind]}') AS s FROM d))) WHERE {checks[kind]}"""
+        for n, kind in enumerate(KINDS)
+    )
+    text = "string_agg(kind || ':' || beg || ':' || until, ',' ORDER BY k, beg)"
+    base = len(BASE_KINDS)
+    counts = ", ".join(f"count(*) FILTER (kind = '{kind}') AS n_{kind}" for kind in BASE_KINDS)
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS x FROM documents), f AS ({found}),
+g AS (SELECT r, {counts}, {text} FILTER (k < {base}) AS own, {text} AS spans FROM f GROUP BY r)
+SELECT doc_id, {", ".join(f"CAST(coalesce(n_{kind}, 0) AS BIGINT) AS n_{kind}" for kind in BASE_KINDS)}, sha256(coalesce(own, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN g USING (r)"""
+
+
+ORACLE_SQL = _sql()

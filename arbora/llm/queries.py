@@ -76,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_warc": warc.ORACLE_SQL, "op6_itq": itq.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL, "op10_winnowing": decontaminate.ORACLE_SQL}
+    return {"op5_pii": pii.ORACLE_SQL, "op9_licenses": licenses.oracle_sql(), "op3_warc": warc.ORACLE_SQL, "op6_itq": itq.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL, "op10_winnowing": decontaminate.ORACLE_SQL}

@@ -332,14 +332,46 @@ def test_toxicity_learns_words_and_beginnings(spark):
     assert toxicity.score_toxicity(docs, plain).count() == docs.count()
 
 
-def test_clause_grammar():
-    ins, tar, neg, rep = toxicity.INSULT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT
-    assert toxicity.run_clause([(3, ins, 2.0)], 5) == (2.0, 0.0, 0.0, 0.0, 1)
-    assert toxicity.run_clause([(1, tar, 0), (3, ins, 2.0)], 5) == (2.0, 2.0, 0.0, 0.0, 1)
-    assert toxicity.run_clause([(3, ins, 2.0), (4, tar, 0)], 5) == (2.0, 2.0, 0.0, 0.0, 1)
-    assert toxicity.run_clause([(1, neg, 0), (3, ins, 2.0)], 5) == (0.0, 0.0, 2.0, 0.0, 1)
-    assert toxicity.run_clause([(1, rep, 0), (30, ins, 2.0)], 5) == (0.0, 0.0, 0.0, 2.0, 1)
-    assert toxicity.run_clause([(1, neg, 0), (30, ins, 2.0)], 5) == (2.0, 0.0, 0.0, 0.0, 1)
+def naive_symbols(clause, reach):
+    """What becomes of each (position, symbol) of one clause, by the rules themselves."""
+    out = []
+    for at, x in clause:
+        near = lambda kind, both: any(k == kind and 0 < abs(at - p) <= reach and (both or p < at) for p, k in clause)  # noqa: B023, E731
+        if x in toxicity.CORES:
+            if any(k == toxicity.REPORT and p < at for p, k in clause):
+                x = toxicity.REPORTED
+            elif near(toxicity.NEGATION, False):
+                x = toxicity.NEGATED
+            elif near(toxicity.TARGET, True):
+                x = toxicity.TARGETED
+        out.append(x)
+    return out
+
+
+def test_grammar_equals_its_rules():
+    rnd = random.Random(22)
+    clauses = []
+    for _ in range(800):
+        at = sorted(rnd.sample(range(40), rnd.randint(1, 12)))
+        clauses.append([(p, rnd.choice([toxicity.INSULT, toxicity.THREAT, toxicity.TARGET, toxicity.NEGATION, toxicity.REPORT])) for p in at])
+    name = np.repeat(np.arange(len(clauses)), [len(c) for c in clauses])
+    at = np.array([p for c in clauses for p, _ in c])
+    symbols = np.array([x for c in clauses for _, x in c])
+    for reach in (1, 3, 5):
+        got = toxicity.rewrite(name, at, symbols, reach).tolist()
+        assert got == [x for c in clauses for x in naive_symbols(c, reach)]
+        assert {toxicity.REPORTED, toxicity.NEGATED, toxicity.TARGETED} <= set(got)
+
+
+def test_composition_is_one_machine_after_the_other():
+    rng = np.random.default_rng(23)
+    first, second = (toxicity.scope(toxicity.NEGATION, toxicity.NEGATED, 3), toxicity.scope(toxicity.TARGET, toxicity.TARGETED, 2))
+    both = toxicity.compose(first, second)
+    assert len(both.step) == len(first.step) * len(second.step)
+    symbols = rng.integers(0, 6, 500)
+    one, at = np.zeros(500, np.int64), np.arange(500)
+    in_turn = toxicity.run(second, one, at, toxicity.run(first, one, at, symbols, 3), 3)
+    assert np.array_equal(toxicity.run(both, one, at, symbols, 3), in_turn)
 
 
 # 8
