@@ -2,22 +2,28 @@
 
 Every byte covered by a ``length``-byte string that also starts elsewhere is removed; strings never cross texts.
 
-1. *Parse.*  Windowed minima of byte 8-grams cut texts into phrases.  The cuts depend on nearby content only, so a
-   repeated string of ``length`` bytes holds ``DEPTH`` equal phrases in a row wherever it stands.  A text is then a
-   short string of phrase symbols.
-2. *Shard transforms.*  Each shard sorts the suffixes of its own symbol strings once.  Suffixes that share their
-   first t symbols are one run of that order, and the transform (the symbol before each suffix) links the runs of
-   length t + 1 to those of length t.
-3. *Interleave refinement.*  Merging the transforms means to know, for each run, how the shards' suffixes interleave.
-   In round t a shard sends only the size of each of its runs at depth t that was not resolved at depth t - 1; the
-   merged sizes say which intervals still hold two suffixes at least (common prefix >= t).  All others are settled
-   and never looked at again.  No suffixes are sorted anew.
-4. *Bytes.*  Intervals left after the last round give candidate strings of ``length`` bytes.  These are compared
-   exactly by hash: each string belongs to the smallest 8-gram inside it, strings that follow each other with the same
-   8-gram form a piece; equal pieces settle whole ranges, and only the others are compared string by string.
-
-Messages are packed arrays, dealt by hash; a shard sends a key once, so a key in a third of all texts costs one entry
-a shard.  Shards are a table bucketed by shard, so replies join without moving texts again.  Hashes have 64 bits.
+1. *Parse.*  Windowed minima of byte 8-grams cut texts into phrases.  The cuts depend on nearby content only, so equal
+   strings of ``length`` bytes are cut alike but for ``cut_window`` bytes at either end.  A text is then a short string of
+   phrases, with a terminator of its own.
+2. *Shard transforms.*  Each shard sorts the suffixes of its phrase strings once and keeps the transform: the phrase
+   before each suffix, in that order.  Its stable sort leads from each suffix to the one behind its first phrase.
+3. *Interleave refinement.*  Suffixes of all shards that begin with the same t phrases are an interval of the merged
+   order, and a run of each shard's own order; the interleave is the lengths of these runs, shard by shard.  A round
+   takes it from depth t to t + ``STEP``: through its transform, a shard puts phrases before the intervals and sends what
+   runs this makes, with their lengths; the merge adds up equal ones of all shards and names the new intervals.
+   Intervals with one suffix in all are settled, and so are those long enough.  No suffixes are sorted anew.
+4. *Common prefixes.*  The depth at which a suffix's interval was left says how many phrases it shares with another
+   suffix; intervals of ``length`` bytes or more are the repeats, and their bytes are covered.
+5. *Ends.*  What is left are strings that begin or end within a phrase at the ends of a repeat: the phrases in their
+   middle are a repeated interval, but those around them are not.  Runs of such strings with the same middle are looked up
+   first, then the strings of those runs that occur again, at ends or not.  Middles and strings are named by 128-bit
+   BLAKE2b digests, as phrases are in the first round; nothing else is compared by a digest.
+
+Messages are packed arrays, dealt by a hash of the interval; a shard sends a run once, so an interval that a third of all
+texts share costs one entry a shard.  Shards grow from 1 to 16 MB with the input, for fewer entries.  They are a table
+bucketed by shard, so replies join without moving texts again; the number of partitions and of merge groups follows the
+bytes of the input.  Rounds end when nothing is left to refine or at ``MAX_DEPTH`` phrases (short phrases, as in runs of
+one letter); what is not settled then is counted as an end.
 
 Nulls and empty texts have no bytes.  Texts shorter than ``length`` keep all.  Rows with equal ids or texts are texts
 of their own, so a repeated row of ``length`` bytes or more is removed wholly, both times.  Empty tables give empty
@@ -29,6 +35,7 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -41,33 +48,23 @@ from arbora.llm import runtime
 from arbora.llm import textkit as tk
 
 GRAM = 8
-DEPTH = 2
-SHARD_BYTES = 1 << 20
+STEP = 2
+MAX_DEPTH = 15
+SHARD_BYTES = (1 << 20, 1 << 24)
+BUCKET_KEYS = 1_000_000
+#: In a count of a message: someone wants to know whether the interval has two.
+LOOK = 4
 _POS = np.uint64((1 << 31) - 1)
-_K = tk.U64(0xC2B2AE3D27D4EB4F)
-SHARDS = "shard long, n_phrases long, doc_ids array<long>, lens array<int>, text binary, suffixes binary"
+SHARDS = "shard long, n_phrases long, doc_ids array<long>, lens array<int>, text binary, starts binary, suffixes binary, transform binary, sizes binary, digests binary"
+#: A row without a bucket is the state of a shard, one with a bucket a message.
+ROUND = "shard long, bucket int, keys binary, counts binary, deep binary, named binary, names binary, rows binary, runs binary, dealt binary"
+REPLY = "shard long, bucket int, names binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-MESSAGE = "stage int, bucket int, shard long, keys binary, extra binary, counts binary"
-REPLY = "shard long, stage int, bucket int, bits binary"
-
-
-_tables: dict[str, np.ndarray] = {}
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, up to ``n``; kept and grown as needed."""
-    if len(_tables.get("up", ())) < n:
-        base = 0x9E3779B97F4A7C15
-        for name, b in (("up", base), ("down", pow(base, -1, 1 << 64))):
-            table = np.full(max(n, 1 << 20), b, dtype=np.uint64)
-            table[0] = 1
-            _tables[name] = np.cumprod(table, dtype=np.uint64)
-    return _tables["up"], _tables["down"]
 
 
 def cut_window(length: int) -> int:
-    """The largest window whose cuts leave DEPTH whole phrases inside each string of ``length`` bytes."""
-    return (length - GRAM + 2) // (DEPTH + 3)
+    """A window whose cuts leave whole phrases inside each string of ``length`` bytes, cut alike wherever it stands."""
+    return (length - GRAM) // 6
 
 
 def _grams(text: np.ndarray) -> np.ndarray:
@@ -93,259 +90,379 @@ def _window_minima(h: np.ndarray, w: int) -> np.ndarray:
     return (np.minimum(behind[: n - w + 1], ahead[w - 1 : n]) & _POS).astype(np.int64)
 
 
-class Shard:
-    """The state of one shard, rebuilt from its text, its suffix order and the replies so far."""
-
-    def __init__(self, lens: np.ndarray, text: bytes, length: int, order: bytes | None = None):
-        self.text = np.frombuffer(text, np.uint8)
-        self.length, self.lens = length, np.asarray(lens, np.int64)
-        self.bounds = np.concatenate([[0], np.cumsum(self.lens)])
-        n = len(self.text)
-        self.hash8 = _grams(self.text)
-        up, self.down = powers(n + 1)
-        self.sums = np.zeros(n + 1, tk.U64)
-        np.cumsum((self.text.astype(tk.U64) + tk.U64(1)) * up[:n], out=self.sums[1:])
-        cuts = np.unique(_window_minima(self.hash8, cut_window(length)))
-        heads = self.bounds[:-1][self.lens > 0]
-        starts = np.unique(np.concatenate([cuts, heads]))
-        doc = np.searchsorted(self.bounds, starts, side="right") - 1
-        ends = np.append(starts[1:], n)
-        long = self.lens[doc] >= length
-        self.starts, self.ends, self.doc = starts[long], ends[long], doc[long]
-        self.symbols = self.span(self.starts, self.ends)
-        m = len(self.symbols)
-        self.follows = np.zeros(m, bool)
-        self.follows[:-1] = self.doc[1:] == self.doc[:-1]
-        if order is None:
-            second = np.zeros(m, tk.U64)
-            second[:-1] = np.where(self.follows[:-1], self.symbols[1:], tk.U64(0))
-            self.order = np.lexsort((second, self.symbols)).astype("<u4")
-        else:
-            self.order = np.frombuffer(order, "<u4")
-
-    def span(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return tk.mix((self.sums[ends] - self.sums[starts]) * self.down[starts] + (ends - starts).astype(tk.U64) * _K)
-
-    # Each stage has keys (by run), counts (1, or 2 for more) and what to do with the reply.
-
-    def runs(self, alive: np.ndarray | None, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, counts, suffixes, run of each suffix) at ``depth`` among suffixes not settled before."""
-        o = self.order.astype(np.int64)
-        if depth == 1:
-            key = self.symbols[o]
-        else:
-            ok = np.zeros(len(o), bool)
-            ok[:-1] = self.follows[:-1] & alive[:-1] & alive[1:]
-            o = o[ok[o]]
-            key = tk.mix(self.symbols[o] * _K + self.symbols[o + 1])
-        new = np.ones(len(o), bool)
-        new[1:] = key[1:] != key[:-1]
-        run = np.cumsum(new) - 1
-        size = np.bincount(run, minlength=int(new.sum())) if len(o) else np.zeros(0, np.int64)
-        return key[new], np.minimum(size, 2).astype(np.uint8), o, run
-
-    def pieces(self, left: np.ndarray) -> dict[str, np.ndarray]:
-        """Candidate strings from the suffixes left, as ranges lo..hi of starts with the same smallest 8-gram."""
-        n, length = len(self.text), self.length
-        at = np.flatnonzero(left)
-        mark = np.zeros(n + 2, np.int32)
-        lo = np.maximum(self.ends[at + 1] - length, self.bounds[self.doc[at]])
-        hi = np.minimum(self.starts[at], self.bounds[self.doc[at] + 1] - length)
-        ok = lo <= hi
-        np.add.at(mark, lo[ok], 1)
-        np.add.at(mark, hi[ok] + 1, -1)
-        p = np.flatnonzero(np.cumsum(mark[:n]) > 0)
-        smallest = _window_minima(self.hash8, length - GRAM + 1)[p] if len(p) else p
-        new = np.ones(len(p), bool)
-        new[1:] = (smallest[1:] != smallest[:-1]) | (p[1:] != p[:-1] + 1)
-        first = np.flatnonzero(new)
-        lo = p[first]
-        hi = p[np.append(first[1:], len(p)) - 1] if len(p) else lo
-        anchor = smallest[first]
-        gram = self.hash8[anchor]
-        whole = tk.mix(self.span(lo, hi + length) + (anchor - lo).astype(tk.U64) * _K + (hi - lo).astype(tk.U64))
-        order = np.lexsort((whole, gram))
-        g, w = gram[order], whole[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (g[1:] != g[:-1]) | (w[1:] != w[:-1])
-        entry = np.empty(len(order), np.int64)
-        entry[order] = np.cumsum(new) - 1
-        size = np.bincount(entry, minlength=int(new.sum())) if len(order) else np.zeros(0, np.int64)
-        return {"lo": lo, "hi": hi, "entry": entry, "gram": g[new], "whole": w[new], "count": np.minimum(size, 2).astype(np.uint8), "first": order[new]}
-
-    def strings(self, pieces: dict[str, np.ndarray], state: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, counts, starts, key of each start) of the strings to compare one by one."""
-        open_ = np.flatnonzero(state >= 2)
-        lo, hi = pieces["lo"][pieces["first"][open_]], pieces["hi"][pieces["first"][open_]]
-        n = hi - lo + 1
-        total = int(n.sum())
-        p = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(total)
-        weight = np.repeat(np.where(state[open_] == 3, 2, 1), n)
-        h = self.span(p, p + self.length)
-        order = np.argsort(h, kind="stable")
-        new = np.ones(total, bool)
-        new[1:] = h[order][1:] != h[order][:-1]
-        name = np.empty(total, np.int64)
-        name[order] = np.cumsum(new) - 1
-        size = np.bincount(name, weights=weight, minlength=int(new.sum())) if total else np.zeros(0)
-        return h[order][new], np.minimum(size, 2).astype(np.uint8), p, name
-
-
-def _deal(keys: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(bucket, indices of its keys), in a fixed order."""
-    b = (keys % tk.U64(buckets)).astype(np.int64)
-    order = np.argsort(b, kind="stable")
-    edges = np.searchsorted(b[order], np.arange(buckets + 1))
-    for k in np.flatnonzero(np.diff(edges)).tolist():
-        yield k, order[edges[k] : edges[k + 1]]
-
-
-def _apply(keys: np.ndarray, buckets: int, replies: dict[int, bytes]) -> np.ndarray:
-    out = np.zeros(len(keys), np.uint8)
-    for k, at in _deal(keys, buckets):
-        out[at] = np.frombuffer(replies[k], np.uint8)
-    return out
-
-
-def _advance(shard: Shard, replies: dict[int, dict[int, bytes]], buckets: int, stage: int):
-    """Replay the replies up to ``stage``; returns that stage's (keys, extra, counts), or the covered bytes at the end."""
-    alive = None
-    for depth in range(1, DEPTH + 1):
-        keys, counts, suffixes, run = shard.runs(alive, depth)
-        if stage == depth:
-            return keys, None, counts
-        reply = _apply(keys, buckets, replies.get(depth, {})).astype(bool)
-        alive = np.zeros(len(shard.symbols), bool)
-        alive[suffixes] = reply[run]
-    pieces = shard.pieces(alive)
-    if stage == DEPTH + 1:
-        return pieces["gram"], pieces["whole"], pieces["count"]
-    state = _apply(pieces["gram"], buckets, replies.get(DEPTH + 1, {}))
-    keys, counts, starts, name = shard.strings(pieces, state)
-    if stage == DEPTH + 2:
-        return keys, None, counts
-    repeated = _apply(keys, buckets, replies.get(DEPTH + 2, {})).astype(bool)
-    mark = np.zeros(len(shard.text) + 1, np.int32)
-    own = state[pieces["entry"]]
-    whole = np.flatnonzero((own == 1) | (own == 3))
-    np.add.at(mark, pieces["lo"][whole], 1)
-    np.add.at(mark, pieces["hi"][whole] + shard.length, -1)
-    single = starts[repeated[name]]
-    np.add.at(mark, single, 1)
-    np.add.at(mark, single + shard.length, -1)
-    return np.cumsum(mark[:-1]) > 0
-
-
-def _build(docs: DataFrame, length: int) -> DataFrame:
+def parse(text: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(starts, text of each) of the phrases of all texts of ``length`` bytes or more."""
+    lens, w = np.diff(bounds), cut_window(length)
+    smallest = _window_minima(_grams(text), w)
+    # only windows inside one text, and that long enough
+    inside = np.zeros(len(text) + 1, np.int32)
+    long = np.flatnonzero(lens >= length)
+    np.add.at(inside, bounds[long], 1)
+    np.add.at(inside, bounds[long + 1] - (w + GRAM - 2), -1)
+    cuts = np.unique(smallest[(np.cumsum(inside) > 0)[: len(smallest)]])
+    starts = np.union1d(cuts, bounds[long])
+    return starts, np.searchsorted(bounds, starts, side="right") - 1
+
+
+def suffix_order(symbols: np.ndarray) -> np.ndarray:
+    """Suffixes of strings of symbols, each string ending in a terminator (-1); earlier terminators are smaller."""
+    n = len(symbols)
+    ends = symbols < 0
+    rank = symbols.astype(np.int64) + int(ends.sum())
+    rank[ends] = np.arange(int(ends.sum()))
+    width = int(rank.max(initial=0)) + 2
+    behind = 1
+    while True:
+        second = np.zeros(n, np.int64)
+        second[:-behind] = rank[behind:] + 1
+        key = rank * width + second
+        order = np.argsort(key, kind="stable")
+        new = np.ones(n, bool)
+        new[1:] = key[order][1:] != key[order][:-1]
+        if new.all() or behind >= n:
+            return order
+        rank[order] = np.cumsum(new) - 1
+        width, behind = n + 2, 2 * behind
+
+
+def with_ends(doc: np.ndarray, values: np.ndarray, end) -> np.ndarray:
+    """Values of phrases with one more for the terminator behind each text's last phrase."""
+    if not len(doc):
+        return values
+    return np.insert(values, np.append(np.flatnonzero(doc[1:] != doc[:-1]) + 1, len(doc)), end)
+
+
+def _build(docs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
     def build(batches) -> Iterator[pa.RecordBatch]:
         number, part = 0, TaskContext.get().partitionId() << 32
         for batch in batches:
             data, offsets = tk.string_buffers(batch.column(1))
-            for i, j in tk.slices(offsets, SHARD_BYTES):
+            for i, j in tk.slices(offsets, shard_bytes):
                 lens = np.diff(offsets[i : j + 1]).astype(np.int32)
-                text = data[offsets[i] : offsets[j]].tobytes()
-                shard = Shard(lens, text, length)
-                ids = pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64()))
-                cols = [pa.array([part + number]), pa.array([len(shard.symbols)]), ids, pa.array([lens], pa.list_(pa.int32())), pa.array([text], pa.binary()), pa.array([shard.order.tobytes()], pa.binary())]
+                text = data[offsets[i] : offsets[j]]
+                bounds = offsets[i : j + 1] - offsets[i]
+                starts, doc = parse(text, bounds, length)
+                raw = text.tobytes()
+                ends = np.minimum(np.append(starts[1:], len(raw)), bounds[doc + 1])
+                ids: dict[bytes, int] = {}
+                symbols = np.array([ids.setdefault(raw[a:b], len(ids)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.int32)
+                symbols = with_ends(doc, symbols, -1)
+                order = suffix_order(symbols) if len(symbols) else np.zeros(0, np.int64)
+                transform = symbols[order - 1]  # what stands before the first suffix of a text is a terminator
+                digests = b"".join([hashlib.blake2b(p, digest_size=16).digest() for p in ids])
+                sizes = np.array([len(p) for p in ids], "<u4")
+                doc_ids = pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64()))
+                packed = [raw, starts.astype("<u4").tobytes(), order.astype("<u4").tobytes(), transform.astype("<i4").tobytes(), sizes.tobytes(), digests]
+                cols = [pa.array([part + number]), pa.array([len(starts)]), doc_ids, pa.array([lens], pa.list_(pa.int32())), *[pa.array([p], pa.binary()) for p in packed]]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SHARDS.split(", ")])
                 number += 1
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(build, SHARDS)
 
 
-def _replies_of(rows) -> dict[int, dict[int, bytes]]:
-    out: dict[int, dict[int, bytes]] = {}
-    for r in rows or []:
-        out.setdefault(r["stage"], {})[r["bucket"]] = r["bits"]
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    h = np.zeros(len(keys), tk.U64)
+    for c in range(keys.shape[1]):
+        h = tk.mix(h ^ keys[:, c])
+    return (h % tk.U64(buckets)).astype(np.int64)
+
+
+def _deal(bucket: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(bucket, indices of its keys), in a fixed order."""
+    if not len(bucket):
+        return
+    order = np.argsort(bucket, kind="stable")
+    edges = np.flatnonzero(np.append(True, bucket[order][1:] != bucket[order][:-1]))
+    for a, b in zip(edges.tolist(), [*edges[1:].tolist(), len(bucket)], strict=True):
+        yield int(bucket[order[a]]), order[a:b]
+
+
+class Shard:
+    """The transform of a shard and how far its suffixes are refined.
+
+    ``deep`` is the number of phrases that each suffix shares with another one so far, ``named`` and ``names`` are the
+    phrases that occur twice at least.  ``rows`` are the suffixes that the last round was about and ``runs`` their runs,
+    for whose intervals names come back, dealt to buckets.
+    """
+
+    def __init__(self, row: dict, length: int):
+        self.length = length
+        self.transform = np.frombuffer(row["transform"], "<i4")
+        self.sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+        self.behind = np.argsort(self.transform, kind="stable")  # the suffix behind the first phrase of each
+        self.first = self.transform[self.behind].astype(np.int64)
+        n = len(self.transform)
+        self.deep = np.frombuffer(row["deep"], np.uint8).copy() if row.get("deep") else np.zeros(n, np.uint8)
+        unpack = lambda name, kind: np.frombuffer(row.get(name) or b"", kind)
+        self.named, self.names, self.rows, self.runs = unpack("named", "<u4"), unpack("names", "<u8"), unpack("rows", "<u4"), unpack("runs", "<u4")
+
+    def learn(self, depth: int, replies: np.ndarray) -> np.ndarray:
+        """Take the names of the intervals at ``depth``; returns that of each suffix, 0 where it is alone."""
+        interval = np.zeros(len(self.first), tk.U64)
+        if depth == 1:
+            self.named = np.flatnonzero(replies).astype("<u4")
+            self.names = replies[self.named].astype("<u8")
+            phrase = self.first >= 0
+            interval[phrase] = replies[self.first[phrase]]
+        elif depth > 1:
+            interval[self.rows] = replies[self.runs]
+        self.deep[interval > 0] = depth
+        return interval
+
+    def extend(self, depth: int, interval: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, lengths) of the runs at ``depth``: ``STEP`` phrases put before the intervals of the round before."""
+        if depth == 1:
+            count = np.bincount(self.first[self.first >= 0], minlength=len(self.sizes))
+            self.rows = self.runs = np.zeros(0, "<u4")
+            return self.first, np.minimum(count, 2).astype(np.uint8) | LOOK
+        name = np.zeros(len(self.sizes) + 1, tk.U64)
+        name[self.named] = self.names
+        rows = np.flatnonzero(interval)
+        size, at = np.zeros(len(rows), np.int64), rows
+        for _ in range(depth - STEP):
+            size += self.sizes[self.first[at]]
+            at = self.behind[at]
+        rows = rows[size < self.length + self.sizes[self.first[rows]] - 1]
+        columns, at = [], rows
+        for _ in range(STEP):
+            columns.append(name[self.first[at]])
+            at = self.behind[at]
+        columns.append(interval[at])
+        keys = np.column_stack(columns)
+        live = (keys > 0).all(axis=1)
+        rows, keys = rows[live], keys[live]
+        new = np.ones(len(rows), bool)
+        new[1:] = (keys[1:] != keys[:-1]).any(axis=1)
+        self.rows, self.runs = rows.astype("<u4"), (np.cumsum(new) - 1).astype("<u4")
+        return keys[new], np.minimum(np.bincount(self.runs, minlength=int(new.sum())), 2).astype(np.uint8) | LOOK
+
+    def shares(self, starts: np.ndarray, lens: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, Pieces]:
+        """(covered bytes, pieces of strings that may be repeated) from the common prefixes of all suffixes."""
+        n, length, w = int(lens.sum()), self.length, cut_window(self.length)
+        if not len(starts):
+            return np.zeros(n, bool), Pieces(*[np.zeros(0, np.int64)] * 4, np.zeros(0, bool))
+        bounds = np.concatenate([[0], np.cumsum(lens)])
+        doc = np.searchsorted(bounds, starts, side="right") - 1
+        final = np.append(np.flatnonzero(doc[1:] != doc[:-1]), len(doc) - 1)
+        place = with_ends(doc, starts, -1)
+        phrase = place >= 0
+        place[~phrase] = bounds[doc[final] + 1]
+        deep = np.zeros(len(place), np.int64)
+        deep[suffixes] = self.deep
+        until = place[np.arange(len(place)) + deep]
+        mark = np.zeros(n + 1, np.int32)
+        whole = np.flatnonzero(until - place >= length)
+        np.add.at(mark, place[whole], 1)
+        np.add.at(mark, until[whole], -1)
+        covered = np.cumsum(mark[:-1]) > 0
+        deep, until = deep[phrase], until[phrase]
+        before = np.zeros(n + 2, np.int32)  # phrases that begin before each byte
+        before[starts + 1] = 1
+        before = np.cumsum(before, dtype=np.int32)
+        mark[:] = 0
+        long = np.flatnonzero(lens >= length)
+        np.add.at(mark, bounds[long], 1)
+        np.add.at(mark, bounds[long + 1] - length + 1, -1)
+        p = np.flatnonzero(np.cumsum(mark[:-1]) > 0)
+        # the phrases in the middle, which are cut alike in all equal strings, are a repeated interval
+        first, last = before[p + w - 1], before[p + length - GRAM - w + 2] - 1
+        inner = np.minimum(last - first, MAX_DEPTH)
+        inner -= (inner - 1) % STEP
+        live = deep[first] >= inner
+        p, first, last = p[live], first[live], last[live]
+        settled = until[before[p + 1] - 1] >= p + length
+        new = np.ones(len(p), bool)
+        new[1:] = (p[1:] != p[:-1] + 1) | (first[1:] != first[:-1]) | (last[1:] != last[:-1])
+        head = np.flatnonzero(new)
+        tail = np.append(head[1:], len(p)) - 1
+        unsettled = np.add.reduceat(~settled, head) > 0 if len(head) else np.zeros(0, bool)
+        return covered, Pieces(p[head], p[tail] if len(p) else p, starts[first[head]] - (w - 1), starts[last[head]] + w + GRAM - 1, unsettled)
+
+
+class Pieces(NamedTuple):
+    """Runs of strings (starting at ``lo`` to ``hi``) with the same phrases in the middle, and what all of them hold (``a`` to ``b``)."""
+
+    lo: np.ndarray
+    hi: np.ndarray
+    a: np.ndarray
+    b: np.ndarray
+    unsettled: np.ndarray
+
+
+def _spans(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    edge = np.diff(covered.astype(np.int8), prepend=0, append=0)
+    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+
+
+def _answers(row: dict, bucket: np.ndarray) -> np.ndarray:
+    """The names that came back for keys dealt to these buckets."""
+    out = np.zeros(len(bucket), tk.U64)
+    own = {r["bucket"]: r["names"] for r in row["replies"] or []}
+    for k, at in _deal(bucket):
+        out[at] = np.frombuffer(own[k], "<u8")
     return out
 
 
-def _send(with_replies: DataFrame, stage: int, buckets: int, length: int) -> DataFrame:
-    def send(batches) -> Iterator[pa.RecordBatch]:
+def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
+    fields = [c.split() for c in schema.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
+
+
+def _refine(attached: DataFrame, depth: int, buckets: int, length: int) -> DataFrame:
+    """A round: shards take the names of the intervals of the round before and send their runs at ``depth``."""
+
+    def refine(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard = Shard(row, length)
+                if depth == 1:
+                    interval = None
+                elif depth == 1 + STEP:
+                    interval = shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], "<u8").reshape(-1, 2), buckets)))
+                else:
+                    interval = shard.learn(depth - STEP, _answers(row, np.frombuffer(row["dealt"], "<i4")))
+                keys, counts = shard.extend(depth, interval)
+                if depth == 1:
+                    keys = np.frombuffer(row["digests"], "<u8").reshape(-1, 2)
+                yield _sent(row["shard"], keys, counts, buckets, shard.deep.tobytes(), shard.named.tobytes(), shard.names.tobytes(), shard.rows.tobytes(), shard.runs.tobytes(), keep=depth > 1)
+
+    return attached.mapInArrow(refine, ROUND)
+
+
+def _sent(shard: int, keys: np.ndarray, counts: np.ndarray, buckets: int, *state: bytes, keep: bool = True) -> pa.RecordBatch:
+    """A shard's state (with the bucket of each key) and its messages."""
+    bucket = _bucket(keys, buckets)
+    rows = [(shard, None, None, None, *state, bucket.astype("<i4").tobytes() if keep else b"")]
+    rows += [(shard, k, keys[at].tobytes(), counts[at].tobytes(), None, None, None, None, None, None) for k, at in _deal(bucket)]
+    return _batch(rows, ROUND)
+
+
+def _ends(attached: DataFrame, depth: int, buckets: int, length: int) -> DataFrame:
+    """The pieces of strings that may be repeated, by digests of what each holds; the state holds the bytes covered so far, as spans."""
+
+    def ends(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row["lens"], row["text"], length, row["suffixes"])
-                keys, extra, counts = _advance(shard, _replies_of(row["replies"]), buckets, stage)
-                rows = [(stage, k, row["shard"], keys[at].tobytes(), extra[at].tobytes() if extra is not None else b"", counts[at].tobytes()) for k, at in _deal(keys, buckets)]
-                if rows:
-                    kinds = [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=[c.split()[0] for c in MESSAGE.split(", ")])
+                shard = Shard(row, length)
+                if depth == 1:
+                    shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], "<u8").reshape(-1, 2), buckets)))
+                else:
+                    shard.learn(depth, _answers(row, np.frombuffer(row["dealt"], "<i4")))
+                covered, pieces = shard.shares(np.frombuffer(row["starts"], "<u4").astype(np.int64), np.array(row["lens"], np.int64), np.frombuffer(row["suffixes"], "<u4"))
+                name, keys, counts = _digests(row["text"], pieces.a, pieces.b)
+                looked = np.bincount(name, weights=pieces.unsettled, minlength=len(keys)) > 0
+                a, b = _spans(covered)
+                yield _sent(row["shard"], keys, np.where(looked, counts, counts ^ LOOK), buckets, *[x.astype("<u4").tobytes() for x in (pieces.hi, a, b, pieces.lo, name)])
 
-    return with_replies.mapInArrow(send, MESSAGE)
+    return attached.mapInArrow(ends, ROUND)
 
 
-def _merge(messages: DataFrame) -> DataFrame:
-    """Merged sizes of equal keys over all shards, as replies: whether a key has two holders at least, or a state."""
+def _strings(attached: DataFrame, buckets: int, length: int) -> DataFrame:
+    """The strings of the pieces that hold an end and occur again, one by one."""
+
+    def strings(batches) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                unpack = lambda c: np.frombuffer(row[c], "<u4").astype(np.int64)  # noqa: B023, E731
+                open_ = _answers(row, np.frombuffer(row["dealt"], "<i4"))[unpack("runs")] > 0
+                lo, n = unpack("rows")[open_], (unpack("deep") - unpack("rows") + 1)[open_]
+                p = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+                name, keys, counts = _digests(row["text"], p, p + length)
+                yield _sent(row["shard"], keys, counts, buckets, b"", row["named"], row["names"], p.astype("<u4").tobytes(), name.astype("<u4").tobytes())
+
+    return attached.mapInArrow(strings, ROUND)
+
+
+def _digests(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each span's digest, digests, how many spans have each: 1, or 2 for more; all are to be looked at)."""
+    view, ids = memoryview(text), {}
+    name = np.array([ids.setdefault(hashlib.blake2b(view[x:y], digest_size=16).digest(), len(ids)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+    keys = np.frombuffer(b"".join(ids), "<u8").reshape(-1, 2)
+    return name, keys, np.minimum(np.bincount(name, minlength=len(ids)), 2).astype(np.uint8) | LOOK
+
+
+
+
+def _merge(messages: DataFrame, width: int) -> DataFrame:
+    """The merged interleave of each bucket: equal keys of all shards are one interval, which is named if it has two suffixes."""
 
     def merge(own: pd.DataFrame) -> pd.DataFrame:
-        stage = int(own["stage"].iloc[0])
         sizes = own["counts"].map(len).to_numpy()
-        keys = np.frombuffer(b"".join(own["keys"]), np.uint64)
-        counts = np.frombuffer(b"".join(own["counts"]), np.uint8).astype(np.int64)
-        if stage != DEPTH + 1:
-            _, name = np.unique(keys, return_inverse=True)
-            reply = (np.bincount(name, weights=counts)[name] >= 2).astype(np.uint8)
-        else:
-            whole = np.frombuffer(b"".join(own["extra"]), np.uint64)
-            order = np.lexsort((whole, keys))
-            k, w = keys[order], whole[order]
-            new_key = np.ones(len(k), bool)
-            new_key[1:] = k[1:] != k[:-1]
-            new = new_key.copy()
-            new[1:] |= w[1:] != w[:-1]
-            piece, gram = np.cumsum(new) - 1, np.cumsum(new_key) - 1
-            many = np.bincount(piece, weights=counts[order]) >= 2
-            mixed = np.bincount(gram, weights=new) >= 2
-            state = np.where(many[piece], np.where(mixed[gram] & new, 3, 1), np.where(mixed[gram], 2, 0))
-            reply = np.empty(len(k), np.uint8)
-            reply[order] = state
+        keys = np.frombuffer(b"".join(own["keys"]), "<u8").reshape(-1, width)
+        lengths = np.frombuffer(b"".join(own["counts"]), np.uint8)
+        order = np.lexsort(keys.T)
+        new = np.ones(len(keys), bool)
+        new[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
+        interval = np.cumsum(new) - 1
+        total = np.bincount(interval, weights=lengths[order] % LOOK) * (np.bincount(interval, weights=lengths[order] // LOOK) > 0)
+        name = np.zeros(len(keys), tk.U64)
+        name[order] = np.where(total >= 2, (int(own["bucket"].iloc[0]) << 32) + np.arange(len(total)) + 1, 0)[interval]
         edges = np.concatenate([[0], np.cumsum(sizes)])
-        bits = [reply[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
-        return pd.DataFrame({"shard": own["shard"], "stage": stage, "bucket": own["bucket"], "bits": bits})
+        names = [name[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+        return pd.DataFrame({"shard": own["shard"], "bucket": own["bucket"], "names": names})
 
     return messages.groupBy("bucket").applyInPandas(merge, REPLY)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400) -> DataFrame:
+def _attach(shards: DataFrame, sent: DataFrame, width: int) -> DataFrame:
+    """Shards with their state and the replies to their messages."""
+    replies = _merge(sent.filter("bucket IS NOT NULL").select("shard", "bucket", "keys", "counts"), width)
+    replies = replies.groupBy("shard").agg(F.collect_list(F.struct("bucket", "names")).alias("replies"))
+    state = sent.filter("bucket IS NULL").drop("bucket", "keys", "counts")
+    return shards.join(state, "shard").join(replies, "shard", "left")
+
+
+def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int | None = None) -> DataFrame:
     """One row per text: see ``RESULT``; and ``kept``, the remaining bytes."""
     if cut_window(length) < 2:
         raise ValueError("length is too small for the parse")
     spark = docs.sparkSession
-    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
+    shard_bytes = shard_bytes or min(max(SHARD_BYTES[0], total >> 16), SHARD_BYTES[1])
+    parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 25)
     name = f"arbora_shards_{uuid.uuid4().hex[:12]}"
-    built = _build(docs, length).repartition(parts, "shard")
-    built.write.bucketBy(parts, "shard").sortBy("shard").option("path", runtime.scratch_path(spark, "shards")).option("parquet.block.size", 32 << 20).saveAsTable(name)
+    built = _build(docs, length, shard_bytes).repartition(parts, "shard")
+    built.write.bucketBy(parts, "shard").option("path", runtime.scratch_path(spark, "shards")).option("parquet.block.size", 32 << 20).saveAsTable(name)
+    runtime._tables.append(name)
     shards = spark.table(name)
-    total = shards.agg(F.sum("n_phrases").alias("n")).first().n or 0
-    buckets = max(32, total // 400_000)
-    replies = None
-    for stage in range(1, DEPTH + 3):
-        own = runtime.materialize(_merge(_send(_attach(shards, replies), stage, buckets, length)), "replies")
-        replies = own if replies is None else replies.unionByName(own)
+    phrases = shards.agg(F.sum("n_phrases").alias("n")).first().n or 0
+    buckets = max(16, -(-phrases // BUCKET_KEYS))
+
+    sent, depth = None, 1
+    while True:
+        own = shards.select("shard", "transform", "sizes", *(["digests"] if depth <= 1 + STEP else []))
+        blank = [F.lit(None).cast("binary").alias(c) for c in ("deep", "named", "names", "rows", "runs", "dealt")]
+        attached = own.select("*", *blank) if sent is None else _attach(own, sent, 2 if depth == 1 + STEP else STEP + 1)
+        sent = runtime.materialize(_refine(attached, depth, buckets, length), "round")
+        if depth >= MAX_DEPTH or sent.filter("bucket IS NOT NULL").isEmpty():
+            break
+        depth += STEP
+    own = shards.select("shard", "lens", "text", "starts", "suffixes", "transform", "sizes", *(["digests"] if depth == 1 else []))
+    sent = runtime.materialize(_ends(_attach(own, sent, 2 if depth == 1 else STEP + 1), depth, buckets, length), "ends")
+    sent = runtime.materialize(_strings(_attach(shards.select("shard", "text"), sent, 2), buckets, length), "strings")
 
     def finish(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row["lens"], row["text"], length, row["suffixes"])
-                covered = _advance(shard, _replies_of(row["replies"]), buckets, DEPTH + 3)
+                bounds = np.concatenate([[0], np.cumsum(row["lens"])]).astype(np.int64)
+                unpack = lambda c, kind="<u4": np.frombuffer(row[c], kind).astype(np.int64)  # noqa: B023, E731
+                repeated = _answers(row, unpack("dealt", "<i4")) > 0
+                left = unpack("rows")[repeated[unpack("runs")]]
+                mark = np.zeros(int(bounds[-1]) + 1, np.int32)
+                for at, to in ((unpack("named"), unpack("names")), (left, left + length)):
+                    np.add.at(mark, at, 1)
+                    np.add.at(mark, to, -1)
+                covered, text = np.cumsum(mark[:-1]) > 0, np.frombuffer(row["text"], np.uint8)
                 out = []
-                for d, a, b in zip(row["doc_ids"], shard.bounds[:-1].tolist(), shard.bounds[1:].tolist(), strict=True):
+                for d, a, b in zip(row["doc_ids"], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     gone = covered[a:b]
                     spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    kept = shard.text[a:b][~gone].tobytes() if spans else row["text"][a:b]
+                    kept = text[a:b][~gone].tobytes() if spans else row["text"][a:b]
                     out.append((d, b - a, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-                kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=[*[c.split()[0] for c in RESULT.split(", ")], "kept"])
-
-    return _attach(shards, replies).mapInArrow(finish, RESULT + ", kept binary")
-
+                yield _batch(out, RESULT + ", kept binary")
 
-def _attach(shards: DataFrame, replies: DataFrame | None) -> DataFrame:
-    columns = ["shard", "doc_ids", "lens", "text", "suffixes"]
-    if replies is None:
-        return shards.select(*columns, F.array().cast("array<struct<stage:int,bucket:int,bits:binary>>").alias("replies"))
-    own = replies.groupBy("shard").agg(F.collect_list(F.struct("stage", "bucket", "bits")).alias("replies"))
-    return shards.join(own, "shard", "left").select(*columns, "replies")
+    return _attach(shards.select("shard", "doc_ids", "lens", "text"), sent, 2).mapInArrow(finish, RESULT + ", kept binary")
 
 
 def brute_force(texts: list[tuple[int, str | None]], length: int = 400) -> list[tuple]:

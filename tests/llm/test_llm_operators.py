@@ -99,11 +99,32 @@ def test_suffixes(spark):
     rows = [(i, words(rnd, rnd.randint(1, 150)) + " " + rnd.choice(shared)[rnd.randint(0, 90) :] + words(rnd, rnd.randint(0, 40))) for i in range(25)]
     rows += [(100 + i, t) for i, t in enumerate(odd_texts(rnd))]
     rows += [(300, rows[3][1]), (300, rows[3][1]), (None, shared[0]), (301, shared[1][:399]), (302, shared[1][:400]), (303, "ab" * 500)]
-    got = [tuple(r) for r in suffixes.remove_repeats(frame(spark, rows)).drop("kept").collect()]
-    assert sorted(got, key=str) == sorted(suffixes.brute_force(rows), key=str)
+    rows += [(400, "abc" * 700 + "x"), (401, ("abcdefgh" * 60 + "q") * 8), (402, "é" * 500 + shared[2]), (403, "z" * 399), (404, "y" * 400), (405, "w" * 401)]
+    want = sorted(suffixes.brute_force(rows), key=str)
+    for shard_bytes in (None, 2000):  # one shard a task, or many
+        got = [tuple(r) for r in suffixes.remove_repeats(frame(spark, rows), shard_bytes=shard_bytes).drop("kept").collect()]
+        assert sorted(got, key=str) == want
+    kept = {r.doc_id: bytes(r.kept) for r in suffixes.remove_repeats(frame(spark, rows[:5])).collect()}
+    assert all(len(kept[d]) <= len(t.encode()) for d, t in rows[:5])
     assert suffixes.remove_repeats(frame(spark, [])).count() == 0
 
 
+def test_transform_leads_to_the_suffix_behind():
+    rng = np.random.default_rng(24)
+    strings = [rng.integers(0, 4, n) for n in (7, 1, 30, 30, 5)]
+    strings[3] = strings[2].copy()
+    symbols = np.concatenate([np.append(s, -1) for s in strings]).astype(np.int32)
+    order = suffixes.suffix_order(symbols)
+    own = np.flatnonzero(symbols < 0)
+    key = lambda p: [*symbols[p : own[own >= p][0]].tolist(), -len(own) + int((own < p).sum())]
+    assert order.tolist() == sorted(range(len(symbols)), key=key)
+    transform = symbols[order - 1]
+    behind = np.argsort(transform, kind="stable")
+    for row, p in enumerate(order.tolist()):
+        if symbols[p] >= 0:
+            assert order[behind[row]] == p + 1 and transform[behind[row]] == symbols[p]
+
+
 # 3
 
 
