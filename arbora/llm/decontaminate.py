@@ -43,6 +43,11 @@ def runs(hashes: Column, size: int, step=None) -> Column:
     return F.when(F.size(hashes) >= size, every).otherwise(F.array().cast("array<bigint>"))
 
 
+def _lower_of(step: int):
+    """Each entry of an array or that ``step`` places behind it, whichever is less."""
+    return lambda a: F.zip_with(a, F.slice(a, F.lit(step + 1), F.size(a)), lambda x, y: F.least(x, y))
+
+
 def winnow(words: Column, k: int, window: int) -> Column:
     """Fingerprints of an array of words; empty for fewer than ``window`` words."""
     w = window - k + 1
@@ -52,7 +57,7 @@ def winnow(words: Column, k: int, window: int) -> Column:
         least, have = grams, 1
         while have < w:
             step = min(have, w - have)
-            least = let(least, lambda a, step=step: F.zip_with(a, F.slice(a, F.lit(step + 1), F.size(a)), lambda x, y: F.least(x, y)))
+            least = let(least, _lower_of(step))
             have += step
         kept = F.array_distinct(F.slice(least, F.lit(1), F.size(grams) - w + 1))
         return F.when(F.size(grams) >= w, kept).otherwise(F.array().cast("array<bigint>"))
