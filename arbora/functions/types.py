@@ -6,7 +6,7 @@ string.  Integers are decoded wide, so a number out of range is a type error, no
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from decimal import Decimal
 from functools import reduce
 
@@ -37,6 +37,36 @@ class Type:
     members: tuple[Type, ...] = ()
     error_tag: str = "invalid-type"
     error_message: str | None = None
+    default: object = None
+    name: str | None = None
+
+    def derive(self, name: str, **restrictions) -> Type:
+        """A type of its own name with further restrictions; ranges and patterns may be given, labels only be taken away."""
+        for kind in ("enums", "bits"):
+            if kind in restrictions:
+                restrictions[kind] = restrict(getattr(self, kind), {k if isinstance(k, str) else k[0] for k in restrictions[kind]})
+        if "patterns" in restrictions:
+            restrictions["patterns"] = self.patterns + tuple(restrictions["patterns"])
+        if isinstance(restrictions.get("ranges"), str):
+            restrictions["ranges"] = intervals(restrictions["ranges"], self)
+        return replace(self, name=name, **restrictions)
+
+    def digest(self) -> dict:
+        """What a client needs to know of the type."""
+        out: dict = {"base": self.base}
+        if self.name:
+            out["derived"] = self.name
+        if self.base == "decimal64":
+            out["fraction-digits"] = self.digits
+        for key, value in (("range" if self.base in BOUNDS or self.base == "decimal64" else "length", [[None if x is None else str(x) for x in r] for r in self.ranges]), ("patterns", list(self.patterns)), ("neg-patterns", list(self.not_patterns))):
+            if value:
+                out[key] = value
+        for key, pairs in (("enums", self.enums), ("bits", self.bits)):
+            if pairs:
+                out[key] = [k for k, _ in by_number(pairs)]
+        if self.members:
+            out["union"] = [m.digest() for m in self.members]
+        return out
 
     def sql(self) -> str:
         """The Spark type of decoded values."""
@@ -58,6 +88,38 @@ def enums(*labels: str | tuple[str, int]) -> tuple[tuple[str, int], ...]:
 bits = enums
 
 
+def by_number(pairs: tuple[tuple[str, int], ...]) -> list[tuple[str, int]]:
+    """Enum labels or bits in the order of their numbers."""
+    return sorted(pairs, key=lambda p: p[1])
+
+
+def intervals(text: str, kind: Type) -> tuple[tuple, ...]:
+    """``"1..4 | 10 | 20..max"`` as ranges; ``min`` and ``max`` are the bounds of the type, or of its own ranges."""
+    low, high = (kind.ranges[0][0], kind.ranges[-1][1]) if kind.ranges else BOUNDS.get(kind.base, (0 if kind.base in ("string", "binary") else None, None))
+
+    def bound(s: str):
+        s = s.strip()
+        if s in ("min", "max"):
+            return low if s == "min" else high
+        return Decimal(s) if kind.base == "decimal64" else int(s, 0)
+
+    out = []
+    for part in text.split("|"):
+        ends = part.split("..")
+        out.append((bound(ends[0]), bound(ends[-1])))
+    if any(b is not None and c is not None and b >= c for (_, b), (c, _) in zip(out, out[1:], strict=False)):
+        raise ValueError(f"intervals overlap or are out of order: {text}")
+    return tuple(out)
+
+
+def default_integer(text: str) -> int:
+    """An integer as a model writes defaults: decimal, ``0x`` hexadecimal or octal with a leading 0."""
+    sign, digits = (-1, text[1:]) if text[:1] == "-" else (1, text.removeprefix("+"))
+    if digits[:2].lower() == "0x":
+        return sign * int(digits, 16)
+    return sign * int(digits, 8 if len(digits) > 1 and digits[0] == "0" else 10)
+
+
 def restrict(base: tuple[tuple[str, int], ...], keep: set[str]) -> tuple[tuple[str, int], ...]:
     """The labels of a derived enumeration or bits type; values stay."""
     if unknown := keep - {k for k, _ in base}:
@@ -93,9 +155,9 @@ def decode(v: Column, t: Type) -> Column:
 def parse(s: Column, t: Type) -> Column:
     """A lexical value (XML text, key, default) as a value of the type; NULL where it has no such form."""
     if t.base in BOUNDS:
-        return F.when(F.regexp_like(s, F.lit(r"^[+-]?[0-9]{1,38}$")), s.try_cast("decimal(38,0)"))
+        return F.when(F.regexp_like(s, F.lit(r"\A[+-]?[0-9]{1,38}\z")), s.try_cast("decimal(38,0)"))
     if t.base == "decimal64":
-        return F.when(F.regexp_like(s, F.lit(r"^[+-]?[0-9]+(\.[0-9]+)?$")), F.bround(s.try_cast(f"decimal(38,{min(18, t.digits + 6)})"), t.digits).cast(f"decimal(38,{t.digits})"))
+        return F.when(F.regexp_like(s, F.lit(r"\A[+-]?[0-9]+(\.[0-9]+)?\z")), F.bround(s.try_cast(f"decimal(38,{min(18, t.digits + 6)})"), t.digits).cast(f"decimal(38,{t.digits})"))
     if t.base == "binary":
         return F.try_to_binary(s, F.lit("base64"))
     if t.base == "boolean":

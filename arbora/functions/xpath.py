@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 NAN = float("nan")
-_NUMBER = r"^[ \t\r\n]*-?([0-9]+(\.[0-9]*)?|\.[0-9]+)[ \t\r\n]*$"
+_NUMBER = r"\A[ \t\r\n]*-?([0-9]+(\.[0-9]*)?|\.[0-9]+)[ \t\r\n]*\z"
 
 
 # conversions
@@ -29,15 +29,28 @@ def number_of_boolean(b: Column) -> Column:
 
 def string_of_number(x: Column) -> Column:
     """string(): whole numbers without a point, no exponents, NaN and ±Infinity by name."""
-    whole = (F.abs(x) < 1e15) & (x == F.floor(x))
-    plain = F.regexp_replace(F.regexp_replace(x.cast("decimal(38,17)").cast("string"), r"0+$", ""), r"\.$", "")
+    x = x.cast("double")
+    finite = F.abs(x) < float("inf")
+    small = F.when(finite & (F.abs(x) < 1e15), x)
+    whole = small == F.floor(small)
+    # the digits that Spark's shortest form has, with its exponent carried out
+    shown = F.when(finite & ~F.coalesce(whole, F.lit(False)), F.abs(x).cast("string"))
+    mantissa, power = F.split_part(shown, F.lit("E"), F.lit(1)), F.coalesce(F.try_to_number(F.nullif(F.split_part(shown, F.lit("E"), F.lit(2)), F.lit("")), F.lit("S999")).cast("int"), F.lit(0))
+    head, tail = F.split_part(mantissa, F.lit("."), F.lit(1)), F.regexp_replace(F.split_part(mantissa, F.lit("."), F.lit(2)), r"0+\z", "")
+    digits = F.concat(head, tail)
+    point = F.length(head) + power
+    moved = (
+        F.when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+        .when(point >= F.length(digits), F.rpad(digits, point, F.lit("0")))
+        .otherwise(F.concat(F.substr(digits, F.lit(1), point), F.lit("."), F.substr(digits, point + 1)))
+    )
     return (
         F.when(x.isNull(), "")
         .when(F.isnan(x), "NaN")
         .when(x == float("inf"), "Infinity")
         .when(x == float("-inf"), "-Infinity")
-        .when(whole, F.when(whole, x).cast("bigint").cast("string"))
-        .otherwise(plain)
+        .when(whole, small.cast("bigint").cast("string"))
+        .otherwise(F.concat(F.when(x < 0, "-").otherwise(""), moved))
     )
 
 
@@ -131,7 +144,8 @@ def modulo(a: Column, b: Column) -> Column:
 
 
 def _finite(x: Column, use) -> Column:
-    ok = ~F.isnan(x) & (F.abs(x) < float("inf"))
+    # from 2**53 on every double is whole
+    ok = ~F.isnan(x) & (F.abs(x) < float(1 << 53))
     return F.when(ok, use(F.when(ok, x)).cast("double")).otherwise(x)
 
 
@@ -159,6 +173,11 @@ def sum_(nodes: Column) -> Column:
 # strings
 
 
+def _text(s: Column) -> Column:
+    """No node is the empty string."""
+    return F.coalesce(s, F.lit(""))
+
+
 def concat(*parts: Column) -> Column:
     if len(parts) < 2:
         raise TypeError("concat() takes two arguments at least")
@@ -166,11 +185,11 @@ def concat(*parts: Column) -> Column:
 
 
 def contains(s: Column, part: Column) -> Column:
-    return F.contains(s, part)
+    return F.contains(_text(s), _text(part))
 
 
 def starts_with(s: Column, part: Column) -> Column:
-    return F.startswith(s, part)
+    return F.startswith(_text(s), _text(part))
 
 
 def string_length(s: Column) -> Column:
@@ -179,6 +198,7 @@ def string_length(s: Column) -> Column:
 
 def substring(s: Column, start: Column, length: Column | None = None) -> Column:
     """Characters at positions p with round(start) <= p < round(start) + round(length)."""
+    s = _text(s)
     begin = F.rint(start)
     end = begin + F.rint(length) if length is not None else F.lit(float("inf"))
     bad = F.isnan(begin) | F.isnan(end) | (begin == float("inf"))
@@ -191,22 +211,24 @@ def substring(s: Column, start: Column, length: Column | None = None) -> Column:
 
 
 def substring_before(s: Column, part: Column) -> Column:
+    s, part = _text(s), _text(part)
     at = F.call_function("instr", s, part)
     return F.when(at > 0, F.substr(s, F.lit(1), at - 1)).otherwise("")
 
 
 def substring_after(s: Column, part: Column) -> Column:
+    s, part = _text(s), _text(part)
     at = F.call_function("instr", s, part)
     return F.when(at > 0, F.substr(s, at + F.length(part))).otherwise("")
 
 
 def translate(s: Column, source: str, target: str) -> Column:
     """Characters of ``source`` become those of ``target``; the surplus ones are deleted."""
-    return F.translate(s, source, target)
+    return F.translate(_text(s), source, target)
 
 
 def normalize_space(s: Column) -> Column:
-    return F.trim(F.regexp_replace(s, r"[ \t\r\n]+", " "))
+    return F.trim(F.regexp_replace(_text(s), r"[ \t\r\n]+", " "))
 
 
 def xsd_pattern(pattern: str) -> str:

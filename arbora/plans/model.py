@@ -1,7 +1,8 @@
 """Data models: schema nodes as plain Python values, and what is derived from them.
 
 Models are declared in Python (or loaded from JSON with ``Node.from_dict``); there is no parser for a schema language.
-``when`` and ``must`` are Spark SQL conditions over the entry's columns.
+``when`` and ``must`` are Spark SQL conditions over the columns of a top-level entry, or expressions of
+``arbora.operators.paths``, which also work in nested documents.
 """
 
 from __future__ import annotations
@@ -70,7 +71,12 @@ class Node:
     description: str | None = None
     leafref: tuple[str, str] | None = None  # (list, leaf) it refers to
     require_instance: bool = True
-    features: tuple[str, ...] = field(default=())
+    features: tuple = field(default=())
+    path: object = None  # a path expression that a leafref follows, from the leaf
+    deny: str | None = None  # "write" or "all": default access
+
+    def __hash__(self) -> int:
+        return hash((self.name, self.kind, self.ns))
 
     # navigation
 
@@ -242,6 +248,8 @@ class Node:
 
     def to_dict(self) -> dict:
         blank = Node(self.name, self.kind)
+        if self.path is not None or any(not isinstance(c, (str, type(None))) for c in (self.when, *[m.condition for m in self.must])):
+            raise ModelError(f"{self.name}: path expressions have no JSON form")
         out = {k: v for k, v in self.__dict__.items() if k in ("name", "kind") or v != getattr(blank, k)}
         if self.children:
             out["children"] = [c.to_dict() for c in self.children]
