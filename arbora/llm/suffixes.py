@@ -49,13 +49,15 @@ from arbora.llm import textkit as tk
 
 GRAM = 8
 STEP = 2
-MAX_DEPTH = 15
+MAX_DEPTH = 13
 SHARD_BYTES = (1 << 20, 1 << 24)
 BUCKET_KEYS = 1_000_000
+#: Phrases are no longer than two windows.
+SIZE = "<u2"
 #: In a count of a message: someone wants to know whether the interval has two.
 LOOK = 4
 _POS = np.uint64((1 << 31) - 1)
-SHARDS = "shard long, n_phrases long, doc_ids array<long>, lens array<int>, text binary, starts binary, suffixes binary, transform binary, sizes binary, digests binary"
+SHARDS = "shard long, n_phrases long, doc_ids array<long>, lens array<int>, text binary, suffixes binary, transform binary, sizes binary, digests binary"
 #: A row without a bucket is the state of a shard, one with a bucket a message.
 ROUND = "shard long, bucket int, keys binary, counts binary, deep binary, named binary, names binary, rows binary, runs binary, dealt binary"
 REPLY = "shard long, bucket int, names binary"
@@ -64,7 +66,7 @@ RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 s
 
 def cut_window(length: int) -> int:
     """A window whose cuts leave whole phrases inside each string of ``length`` bytes, cut alike wherever it stands."""
-    return (length - GRAM) // 6
+    return (length - 2 * GRAM) // 4
 
 
 def _grams(text: np.ndarray) -> np.ndarray:
@@ -150,9 +152,9 @@ def _build(docs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
                 order = suffix_order(symbols) if len(symbols) else np.zeros(0, np.int64)
                 transform = symbols[order - 1]  # what stands before the first suffix of a text is a terminator
                 digests = b"".join([hashlib.blake2b(p, digest_size=16).digest() for p in ids])
-                sizes = np.array([len(p) for p in ids], "<u4")
+                sizes = np.array([len(p) for p in ids], SIZE)
                 doc_ids = pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64()))
-                packed = [raw, starts.astype("<u4").tobytes(), order.astype("<u4").tobytes(), transform.astype("<i4").tobytes(), sizes.tobytes(), digests]
+                packed = [pa.compress(raw, "zstd", asbytes=True), order.astype("<u4").tobytes(), transform.astype("<i4").tobytes(), sizes.tobytes(), digests]
                 cols = [pa.array([part + number]), pa.array([len(starts)]), doc_ids, pa.array([lens], pa.list_(pa.int32())), *[pa.array([p], pa.binary()) for p in packed]]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SHARDS.split(", ")])
                 number += 1
@@ -163,7 +165,7 @@ def _build(docs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
 def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
     h = np.zeros(len(keys), tk.U64)
     for c in range(keys.shape[1]):
-        h = tk.mix(h ^ keys[:, c])
+        h = tk.mix(h ^ keys[:, c].astype(tk.U64))
     return (h % tk.U64(buckets)).astype(np.int64)
 
 
@@ -185,23 +187,23 @@ class Shard:
     for whose intervals names come back, dealt to buckets.
     """
 
-    def __init__(self, row: dict, length: int):
-        self.length = length
+    def __init__(self, row: dict, length: int, kind: str):
+        self.length, self.kind = length, kind
         self.transform = np.frombuffer(row["transform"], "<i4")
-        self.sizes = np.frombuffer(row["sizes"], "<u4").astype(np.int64)
+        self.sizes = np.frombuffer(row["sizes"], SIZE).astype(np.int64)
         self.behind = np.argsort(self.transform, kind="stable")  # the suffix behind the first phrase of each
         self.first = self.transform[self.behind].astype(np.int64)
         n = len(self.transform)
         self.deep = np.frombuffer(row["deep"], np.uint8).copy() if row.get("deep") else np.zeros(n, np.uint8)
         unpack = lambda name, kind: np.frombuffer(row.get(name) or b"", kind)
-        self.named, self.names, self.rows, self.runs = unpack("named", "<u4"), unpack("names", "<u8"), unpack("rows", "<u4"), unpack("runs", "<u4")
+        self.named, self.names, self.rows, self.runs = unpack("named", "<u4"), unpack("names", kind), unpack("rows", "<u4"), unpack("runs", "<u4")
 
     def learn(self, depth: int, replies: np.ndarray) -> np.ndarray:
         """Take the names of the intervals at ``depth``; returns that of each suffix, 0 where it is alone."""
-        interval = np.zeros(len(self.first), tk.U64)
+        interval = np.zeros(len(self.first), self.kind)
         if depth == 1:
             self.named = np.flatnonzero(replies).astype("<u4")
-            self.names = replies[self.named].astype("<u8")
+            self.names = replies[self.named].astype(self.kind)
             phrase = self.first >= 0
             interval[phrase] = replies[self.first[phrase]]
         elif depth > 1:
@@ -215,7 +217,7 @@ class Shard:
             count = np.bincount(self.first[self.first >= 0], minlength=len(self.sizes))
             self.rows = self.runs = np.zeros(0, "<u4")
             return self.first, np.minimum(count, 2).astype(np.uint8) | LOOK
-        name = np.zeros(len(self.sizes) + 1, tk.U64)
+        name = np.zeros(len(self.sizes) + 1, self.kind)
         name[self.named] = self.names
         rows = np.flatnonzero(interval)
         size, at = np.zeros(len(rows), np.int64), rows
@@ -236,6 +238,18 @@ class Shard:
         self.rows, self.runs = rows.astype("<u4"), (np.cumsum(new) - 1).astype("<u4")
         return keys[new], np.minimum(np.bincount(self.runs, minlength=int(new.sum())), 2).astype(np.uint8) | LOOK
 
+    def starts(self, lens: np.ndarray, suffixes: np.ndarray) -> np.ndarray:
+        """Where each phrase begins, from the lengths of those before it."""
+        size = np.zeros(len(suffixes), np.int64)
+        phrase = self.first >= 0
+        size[suffixes[phrase]] = self.sizes[self.first[phrase]]
+        ends = np.ones(len(suffixes), bool)
+        ends[suffixes[phrase]] = False
+        long = np.flatnonzero(lens >= self.length)
+        skipped = (np.cumsum(lens) - lens)[long] - (np.cumsum(lens[long]) - lens[long])
+        doc = np.cumsum(ends) - ends
+        return (np.cumsum(size) - size)[~ends] + skipped[doc[~ends]]
+
     def shares(self, starts: np.ndarray, lens: np.ndarray, suffixes: np.ndarray) -> tuple[np.ndarray, Pieces]:
         """(covered bytes, pieces of strings that may be repeated) from the common prefixes of all suffixes."""
         n, length, w = int(lens.sum()), self.length, cut_window(self.length)
@@ -294,34 +308,38 @@ def _spans(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _answers(row: dict, bucket: np.ndarray) -> np.ndarray:
+def _answers(row: dict, bucket: np.ndarray, kind: str) -> np.ndarray:
     """The names that came back for keys dealt to these buckets."""
-    out = np.zeros(len(bucket), tk.U64)
+    out = np.zeros(len(bucket), kind)
     own = {r["bucket"]: r["names"] for r in row["replies"] or []}
     for k, at in _deal(bucket):
-        out[at] = np.frombuffer(own[k], "<u8")
+        out[at] = np.frombuffer(own[k], kind)
     return out
 
 
+def _text(row: dict) -> bytes:
+    return pa.decompress(row["text"], sum(row["lens"]), "zstd", asbytes=True) if sum(row["lens"]) else b""
+
+
 def _batch(rows: list[tuple], schema: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "string": pa.string()}
     fields = [c.split() for c in schema.split(", ")]
     return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
 
-def _refine(attached: DataFrame, depth: int, buckets: int, length: int) -> DataFrame:
+def _refine(attached: DataFrame, depth: int, buckets: int, length: int, kind: str) -> DataFrame:
     """A round: shards take the names of the intervals of the round before and send their runs at ``depth``."""
 
     def refine(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row, length)
+                shard = Shard(row, length, kind)
                 if depth == 1:
                     interval = None
                 elif depth == 1 + STEP:
-                    interval = shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], "<u8").reshape(-1, 2), buckets)))
+                    interval = shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], "<u8").reshape(-1, 2), buckets), kind))
                 else:
-                    interval = shard.learn(depth - STEP, _answers(row, np.frombuffer(row["dealt"], "<i4")))
+                    interval = shard.learn(depth - STEP, _answers(row, np.frombuffer(row["dealt"], "<i4"), kind))
                 keys, counts = shard.extend(depth, interval)
                 if depth == 1:
                     keys = np.frombuffer(row["digests"], "<u8").reshape(-1, 2)
@@ -338,19 +356,20 @@ def _sent(shard: int, keys: np.ndarray, counts: np.ndarray, buckets: int, *state
     return _batch(rows, ROUND)
 
 
-def _ends(attached: DataFrame, depth: int, buckets: int, length: int) -> DataFrame:
+def _ends(attached: DataFrame, depth: int, buckets: int, length: int, kind: str) -> DataFrame:
     """The pieces of strings that may be repeated, by digests of what each holds; the state holds the bytes covered so far, as spans."""
 
     def ends(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                shard = Shard(row, length)
+                shard = Shard(row, length, kind)
                 if depth == 1:
-                    shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], "<u8").reshape(-1, 2), buckets)))
+                    shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], "<u8").reshape(-1, 2), buckets), kind))
                 else:
-                    shard.learn(depth, _answers(row, np.frombuffer(row["dealt"], "<i4")))
-                covered, pieces = shard.shares(np.frombuffer(row["starts"], "<u4").astype(np.int64), np.array(row["lens"], np.int64), np.frombuffer(row["suffixes"], "<u4"))
-                name, keys, counts = _digests(row["text"], pieces.a, pieces.b)
+                    shard.learn(depth, _answers(row, np.frombuffer(row["dealt"], "<i4"), kind))
+                lens, suffixes = np.array(row["lens"], np.int64), np.frombuffer(row["suffixes"], "<u4")
+                covered, pieces = shard.shares(shard.starts(lens, suffixes), lens, suffixes)
+                name, keys, counts = _digests(_text(row), pieces.a, pieces.b)
                 looked = np.bincount(name, weights=pieces.unsettled, minlength=len(keys)) > 0
                 a, b = _spans(covered)
                 yield _sent(row["shard"], keys, np.where(looked, counts, counts ^ LOOK), buckets, *[x.astype("<u4").tobytes() for x in (pieces.hi, a, b, pieces.lo, name)])
@@ -358,17 +377,17 @@ def _ends(attached: DataFrame, depth: int, buckets: int, length: int) -> DataFra
     return attached.mapInArrow(ends, ROUND)
 
 
-def _strings(attached: DataFrame, buckets: int, length: int) -> DataFrame:
+def _strings(attached: DataFrame, buckets: int, length: int, kind: str) -> DataFrame:
     """The strings of the pieces that hold an end and occur again, one by one."""
 
     def strings(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 unpack = lambda c: np.frombuffer(row[c], "<u4").astype(np.int64)  # noqa: B023, E731
-                open_ = _answers(row, np.frombuffer(row["dealt"], "<i4"))[unpack("runs")] > 0
+                open_ = _answers(row, np.frombuffer(row["dealt"], "<i4"), kind)[unpack("runs")] > 0
                 lo, n = unpack("rows")[open_], (unpack("deep") - unpack("rows") + 1)[open_]
                 p = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                name, keys, counts = _digests(row["text"], p, p + length)
+                name, keys, counts = _digests(_text(row), p, p + length)
                 yield _sent(row["shard"], keys, counts, buckets, b"", row["named"], row["names"], p.astype("<u4").tobytes(), name.astype("<u4").tobytes())
 
     return attached.mapInArrow(strings, ROUND)
@@ -384,20 +403,23 @@ def _digests(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.
 
 
 
-def _merge(messages: DataFrame, width: int) -> DataFrame:
+def _merge(messages: DataFrame, width: int, kind: str, named: str, buckets: int) -> DataFrame:
     """The merged interleave of each bucket: equal keys of all shards are one interval, which is named if it has two suffixes."""
 
     def merge(own: pd.DataFrame) -> pd.DataFrame:
         sizes = own["counts"].map(len).to_numpy()
-        keys = np.frombuffer(b"".join(own["keys"]), "<u8").reshape(-1, width)
+        keys = np.frombuffer(b"".join(own["keys"]), kind).reshape(-1, width)
         lengths = np.frombuffer(b"".join(own["counts"]), np.uint8)
         order = np.lexsort(keys.T)
         new = np.ones(len(keys), bool)
         new[1:] = (keys[order][1:] != keys[order][:-1]).any(axis=1)
         interval = np.cumsum(new) - 1
         total = np.bincount(interval, weights=lengths[order] % LOOK) * (np.bincount(interval, weights=lengths[order] // LOOK) > 0)
-        name = np.zeros(len(keys), tk.U64)
-        name[order] = np.where(total >= 2, (int(own["bucket"].iloc[0]) << 32) + np.arange(len(total)) + 1, 0)[interval]
+        numbers = np.arange(len(total)) * buckets + int(own["bucket"].iloc[0]) + 1
+        if numbers.max(initial=0) > np.iinfo(named).max:
+            raise OverflowError("names of intervals")
+        name = np.zeros(len(keys), named)
+        name[order] = np.where(total >= 2, numbers, 0)[interval]
         edges = np.concatenate([[0], np.cumsum(sizes)])
         names = [name[a:b].tobytes() for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
         return pd.DataFrame({"shard": own["shard"], "bucket": own["bucket"], "names": names})
@@ -405,9 +427,9 @@ def _merge(messages: DataFrame, width: int) -> DataFrame:
     return messages.groupBy("bucket").applyInPandas(merge, REPLY)
 
 
-def _attach(shards: DataFrame, sent: DataFrame, width: int) -> DataFrame:
-    """Shards with their state and the replies to their messages."""
-    replies = _merge(sent.filter("bucket IS NOT NULL").select("shard", "bucket", "keys", "counts"), width)
+def _attach(shards: DataFrame, sent: DataFrame, width: int, kind: str, named: str, buckets: int) -> DataFrame:
+    """Shards with their state and the replies to their messages, whose keys have ``width`` numbers of ``kind``."""
+    replies = _merge(sent.filter("bucket IS NOT NULL").select("shard", "bucket", "keys", "counts"), width, kind, named, buckets)
     replies = replies.groupBy("shard").agg(F.collect_list(F.struct("bucket", "names")).alias("replies"))
     state = sent.filter("bucket IS NULL").drop("bucket", "keys", "counts")
     return shards.join(state, "shard").join(replies, "shard", "left")
@@ -421,48 +443,55 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int | None =
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     shard_bytes = shard_bytes or min(max(SHARD_BYTES[0], total >> 16), SHARD_BYTES[1])
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 25)
-    name = f"arbora_shards_{uuid.uuid4().hex[:12]}"
-    built = _build(docs, length, shard_bytes).repartition(parts, "shard")
-    built.write.bucketBy(parts, "shard").option("path", runtime.scratch_path(spark, "shards")).option("parquet.block.size", 32 << 20).saveAsTable(name)
-    runtime._tables.append(name)
-    shards = spark.table(name)
+
+    def table(df: DataFrame, tag: str) -> DataFrame:
+        """``df`` written in buckets by shard; what was dealt by shard stays where it is."""
+        name = f"arbora_{tag}_{uuid.uuid4().hex[:12]}"
+        df.write.bucketBy(parts, "shard").option("path", runtime.scratch_path(spark, tag)).option("parquet.block.size", 32 << 20).saveAsTable(name)
+        runtime._tables.append(name)
+        return spark.table(name)
+
+    shards = table(_build(docs, length, shard_bytes).repartition(parts, "shard"), "shards")
     phrases = shards.agg(F.sum("n_phrases").alias("n")).first().n or 0
     buckets = max(16, -(-phrases // BUCKET_KEYS))
+    # names of intervals: of four bytes while there are far fewer suffixes
+    named = "<u4" if phrases < 1 << 28 else "<u8"
 
     sent, depth = None, 1
     while True:
         own = shards.select("shard", "transform", "sizes", *(["digests"] if depth <= 1 + STEP else []))
         blank = [F.lit(None).cast("binary").alias(c) for c in ("deep", "named", "names", "rows", "runs", "dealt")]
-        attached = own.select("*", *blank) if sent is None else _attach(own, sent, 2 if depth == 1 + STEP else STEP + 1)
-        sent = runtime.materialize(_refine(attached, depth, buckets, length), "round")
+        attached = own.select("*", *blank) if sent is None else _attach(own, sent, *((2, "<u8") if depth == 1 + STEP else (STEP + 1, named)), named, buckets)
+        sent = table(_refine(attached, depth, buckets, length, named), "round")
         if depth >= MAX_DEPTH or sent.filter("bucket IS NOT NULL").isEmpty():
             break
         depth += STEP
-    own = shards.select("shard", "lens", "text", "starts", "suffixes", "transform", "sizes", *(["digests"] if depth == 1 else []))
-    sent = runtime.materialize(_ends(_attach(own, sent, 2 if depth == 1 else STEP + 1), depth, buckets, length), "ends")
-    sent = runtime.materialize(_strings(_attach(shards.select("shard", "text"), sent, 2), buckets, length), "strings")
+    own = shards.select("shard", "lens", "text", "suffixes", "transform", "sizes", *(["digests"] if depth == 1 else []))
+    sent = table(_ends(_attach(own, sent, *((2, "<u8") if depth == 1 else (STEP + 1, named)), named, buckets), depth, buckets, length, named), "ends")
+    sent = table(_strings(_attach(shards.select("shard", "lens", "text"), sent, 2, "<u8", named, buckets), buckets, length, named), "strings")
 
     def finish(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 bounds = np.concatenate([[0], np.cumsum(row["lens"])]).astype(np.int64)
                 unpack = lambda c, kind="<u4": np.frombuffer(row[c], kind).astype(np.int64)  # noqa: B023, E731
-                repeated = _answers(row, unpack("dealt", "<i4")) > 0
+                repeated = _answers(row, np.frombuffer(row["dealt"], "<i4"), named) > 0
                 left = unpack("rows")[repeated[unpack("runs")]]
                 mark = np.zeros(int(bounds[-1]) + 1, np.int32)
                 for at, to in ((unpack("named"), unpack("names")), (left, left + length)):
                     np.add.at(mark, at, 1)
                     np.add.at(mark, to, -1)
-                covered, text = np.cumsum(mark[:-1]) > 0, np.frombuffer(row["text"], np.uint8)
+                covered, raw = np.cumsum(mark[:-1]) > 0, _text(row)
+                text = np.frombuffer(raw, np.uint8)
                 out = []
                 for d, a, b in zip(row["doc_ids"], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     gone = covered[a:b]
                     spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    kept = text[a:b][~gone].tobytes() if spans else row["text"][a:b]
+                    kept = text[a:b][~gone].tobytes() if spans else raw[a:b]
                     out.append((d, b - a, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
                 yield _batch(out, RESULT + ", kept binary")
 
-    return _attach(shards.select("shard", "doc_ids", "lens", "text"), sent, 2).mapInArrow(finish, RESULT + ", kept binary")
+    return _attach(shards.select("shard", "doc_ids", "lens", "text"), sent, 2, "<u8", named, buckets).mapInArrow(finish, RESULT + ", kept binary")
 
 
 def brute_force(texts: list[tuple[int, str | None]], length: int = 400) -> list[tuple]:
