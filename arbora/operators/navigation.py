@@ -17,9 +17,20 @@ class InvalidKeyValue(ValueError):
     """A selector whose value does not fit the node."""
 
 
+class NonDataNode(ValueError):
+    """A route to an operation, which has no instances."""
+
+
+def quoted(text: Column) -> Column:
+    """A value in single quotes, or in double ones where it holds a single one; ``"`` and backslashes are then escaped."""
+    plain = F.concat(F.lit("'"), text, F.lit("'"))
+    other = F.concat(F.lit('"'), F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
+    return F.when(F.contains(text, F.lit("'")), other).otherwise(plain)
+
+
 def entry_path(name: str, keys: list[str]) -> Column:
-    """The instance route of a list entry: ``/name[k1='v1'][k2='v2']``."""
-    parts = [x for k in keys for x in (F.lit(f"[{k}='"), F.coalesce(F.col(f"`{k}`").cast("string"), F.lit("")), F.lit("']"))]
+    """The instance route of a list entry: ``/name[k1='v1'][k2='v2']``; it parses back to the same keys."""
+    parts = [x for k in keys for x in (F.lit(f"[{k}="), quoted(F.coalesce(F.col(f"`{k}`").cast("string"), F.lit(""))), F.lit("]"))]
     return F.concat(F.lit(f"/{name}"), *parts)
 
 
@@ -133,49 +144,171 @@ def deref_paths(df: DataFrame, leaf: str, nodes: DataFrame) -> DataFrame:
     return df.join(nodes.select(F.col("path").alias("_path"), F.col("value").alias("target_value")), F.col(leaf) == F.col("_path")).drop("_path")
 
 
+# between lists
+
+
+def _on(parent: DataFrame, child: DataFrame, on: list[tuple[str, str]]) -> Column:
+    return reduce(lambda a, b: a & b, [parent[p] == child[c] for p, c in on])
+
+
+def where_exists(parent: DataFrame, child: DataFrame, on: list[tuple[str, str]], condition: Column | None = None, negate: bool = False) -> DataFrame:
+    """Entries for which the other list has one (or, negated, none) that satisfies the condition: ``parent[child[...]]``."""
+    own = child if condition is None else child.filter(condition)
+    return parent.join(own, _on(parent, own, on), "left_anti" if negate else "left_semi")
+
+
+def child_values(parent: DataFrame, child: DataFrame, on: list[tuple[str, str]], **values: Column) -> DataFrame:
+    """``parent`` with aggregates of its entries in ``child`` (``count``, ``sum``, the first by order); NULL where it has none.
+
+    The aggregates are made before the join, with partial ones before the shuffle.
+    """
+    grouped = child.groupBy(*[F.col(c).alias(f"_{c}") for _, c in on]).agg(*[v.alias(k) for k, v in values.items()])
+    joined = parent.join(grouped, reduce(lambda a, b: a & b, [parent[p] == grouped[f"_{c}"] for p, c in on]), "left")
+    return joined.drop(*[f"_{c}" for _, c in on])
+
+
+def any_pair(a: DataFrame, b: DataFrame, on: list[tuple[str, str]], left: str, op: str, right: str) -> DataFrame:
+    """Keys for which some value of one list and some of the other satisfy ``<``, ``<=``, ``>``, ``>=``, ``=`` or ``!=``.
+
+    Inequalities compare the extreme values of both, so pairs are never made; equal values meet by a semi join.
+    """
+    if op == "=":
+        own = a.select(*[c for c, _ in on], left).distinct()
+        return own.join(b, _on(own, b, [*on, (left, right)]), "left_semi").select(*[c for c, _ in on]).distinct()
+    ends = lambda df, keys, value, tag: df.filter(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in keys]).agg(F.min(value).alias(f"{tag}_lo"), F.max(value).alias(f"{tag}_hi"))
+    both = ends(a, [(c, c) for c, _ in on], left, "a").join(ends(b, [(d, c) for c, d in on], right, "b"), [c for c, _ in on])
+    test = {
+        "<": F.col("a_lo") < F.col("b_hi"),
+        "<=": F.col("a_lo") <= F.col("b_hi"),
+        ">": F.col("a_hi") > F.col("b_lo"),
+        ">=": F.col("a_hi") >= F.col("b_lo"),
+        "!=": (F.col("a_lo") != F.col("b_hi")) | (F.col("a_hi") != F.col("b_lo")),
+    }[op]
+    return both.filter(test).select(*[c for c, _ in on])
+
+
+def union(*parts: DataFrame) -> DataFrame:
+    """The union of node-sets, each node once."""
+    return reduce(DataFrame.unionByName, parts).distinct()
+
+
+def deref(df: DataFrame, node: Node, leaf: str, tables: dict[str, DataFrame], *take: str) -> DataFrame:
+    """Entries with columns of the entry that a leafref refers to; those without a target are left out."""
+    target = node.data_child(leaf).leafref
+    if target is None:
+        raise BadSchemaNodeType(f"{leaf} is no leafref")
+    own = tables[target[0]].select(F.col(target[1]).alias("_target"), *take)
+    return df.join(own, F.col(leaf) == F.col("_target")).drop("_target")
+
+
+def ancestors(df: DataFrame, model: Node, steps: list[tuple[str, str]], tables: dict[str, DataFrame]) -> DataFrame:
+    """Entries with the columns of what their references lead to, step by step: (list, leaf) pairs from the entry on."""
+    for lst, leaf in steps:
+        target = model.data_child(lst).data_child(leaf).leafref
+        if target is None:
+            raise BadSchemaNodeType(f"{leaf} is no leafref")
+        own = tables[target[0]]
+        df = df.join(own, df[leaf] == own[target[1]])
+    return df
+
+
+def at_positions(df: DataFrame, parent: list[str], order: list[str], least: int = 1, most: int | None = None) -> DataFrame:
+    """Entries at these places (from 1) among those of their parent, with ``nth``: numeric predicates."""
+    ranked = df.withColumn("nth", position(parent, order))
+    kept = ranked.filter(F.col("nth") >= least)
+    return kept if most is None else kept.filter(F.col("nth") <= most)
+
+
 # selectors from text: one pattern a step
 
-_STEP = re.compile(r"/(?:(?P<ns>[\w.-]+):)?(?P<name>[\w.-]+)(?P<selectors>(?:\[[^\]]*\])*)")
-_SELECTOR = re.compile(r"\[\s*(?:(?P<key>[\w.:-]+)\s*=\s*(?P<quote>['\"])(?P<value>.*?)(?P=quote)|(?P<index>\d+))\s*\]")
+_STEP = re.compile(r"/(?:(?P<ns>[A-Za-z_][\w.-]*):)?(?P<name>[A-Za-z_][\w.-]*)")
+_SELECTOR = re.compile(r"""\[\s*(?:(?P<index>[0-9]+)|(?P<key>\.|(?:[A-Za-z_][\w.-]*:)?[A-Za-z_][\w.-]*)\s*=\s*(?:'(?P<one>[^']*)'|"(?P<two>(?:[^"\\]|\\.)*)"))\s*\]""")
 
 
 def route_from_instance_id(text: str) -> list[tuple[str, dict]]:
-    """Steps of an instance identifier: (name, selectors); ``.`` selects a leaf-list value, an index counts from 1."""
+    """Steps of an instance identifier: (name, selectors); ``.`` selects a leaf-list value, ``#`` a place from 0.
+
+    Anything that is no step or selector raises ``InvalidKeyValue``.
+    """
     at, out = 0, []
-    while at < len(text):
+    if text == "/":
+        return out
+    while at < len(text) or not out:
         m = _STEP.match(text, at)
         if not m:
             raise InvalidKeyValue(f"{text} at {at}")
-        keys: dict = {}
-        for s in _SELECTOR.finditer(m["selectors"]):
-            keys[s["key"].rpartition(":")[2] if s["key"] else "#"] = s["value"] if s["key"] else int(s["index"]) - 1
+        at, keys = m.end(), {}
+        while text[at : at + 1] == "[":
+            s = _SELECTOR.match(text, at)
+            if not s or "#" in keys or "." in keys or (keys and (s["index"] or s["key"] == ".")):
+                raise InvalidKeyValue(f"{text} at {at}")
+            if s["index"]:
+                if int(s["index"]) < 1:
+                    raise InvalidKeyValue(f"{text} at {at}: places count from 1")
+                keys["#"] = int(s["index"]) - 1
+            else:
+                keys[s["key"].rpartition(":")[2]] = s["one"] if s["one"] is not None else re.sub(r"\\(.)", r"\1", s["two"])
+            at = s.end()
         out.append((m["name"], keys))
-        at = m.end()
     return out
 
 
 def route_from_resource_id(text: str, root: Node) -> list[tuple[str, dict]]:
-    """Steps of a RESTCONF resource identifier; key values follow ``=`` in the order of the list's keys."""
+    """Steps of a RESTCONF resource identifier; key values follow ``=`` in the order of the list's keys.
+
+    A list without values stands for all its entries and can only end a route; so does an operation, which has no
+    instances: following it raises ``NonDataNode``.
+    """
     out, node = [], root
-    for step in filter(None, text.split("/")):
+    steps = [x for x in text.split("/") if x]
+    for k, step in enumerate(steps):
         name, _, values = step.partition("=")
+        action = next((c for c in node.children if c.kind in ("rpc", "action") and name in (c.name, f"{c.ns}:{c.name}")), None)
+        if action:
+            return [*out, (action.name, {"()": True})]
         node = node.data_child(name)
         keys = {}
-        if values:
-            given = [unquote(v) for v in values.split(",")]
-            names = node.keys if node.kind == "list" else (".",)
+        if "=" in step:
             if node.kind not in ("list", "leaf-list"):
                 raise BadSchemaNodeType(node.name)
-            if len(given) != len(names):
+            given = [unquote(v) for v in values.split(",")] if node.kind == "list" else [unquote(values)]
+            names = node.keys if node.kind == "list" else (".",)
+            if len(given) != len(names) or not values:
                 raise InvalidKeyValue(step)
             keys = dict(zip(names, given, strict=True))
+        elif node.kind in ("list", "leaf-list") and k + 1 < len(steps):
+            raise InvalidKeyValue(f"{step}: which entry?")
         out.append((node.name, keys))
     return out
 
 
-def follow(route: list[tuple[str, dict]], tables: dict[str, DataFrame]) -> DataFrame:
-    """The instances at a route of one list and maybe one leaf; no rows where there are none."""
+def canonical_instance_id(text: Column) -> Column:
+    """An instance identifier with single quotes and without blanks, as ``entry_path`` writes it; NULL where it is none."""
+    name = r"(?:[A-Za-z_][\w.-]*:)?[A-Za-z_][\w.-]*"
+    pick = rf"""\[\s*(?:[0-9]+|(?:\.|{name})\s*=\s*(?:'[^']*'|"(?:[^"\\]|\\.)*"))\s*\]"""
+    sound = F.regexp_like(text, F.lit(rf"\A(?:/{name}(?:{pick})*)+\z"))
+    bare = F.regexp_replace(F.regexp_replace(text, r"\[\s+", "["), r"""(?<=['"0-9])\s+\]""", "]")
+    bare = F.regexp_replace(bare, rf"""\[(\.|{name})\s*=\s*(['"])""", "[$1=$2")
+    return F.when(sound, F.regexp_replace(bare, r"""="([^'"\\]*)"\]""", "='$1']"))
+
+
+def follow(route: list[tuple[str, dict]], tables: dict[str, DataFrame], model: Node | None = None) -> DataFrame:
+    """The instances at a route into tables: a list, then members of its entries; no rows where there are none.
+
+    Selectors by place go by the order of the list's keys, which ``model`` names.
+    """
     (name, keys), *rest = route
+    if any("()" in k for _, k in route):
+        raise NonDataNode(route[-1][0])
     df = tables[name]
-    df = df.filter(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in keys.items()], F.lit(True)))
-    return df.select(*[n for n, _ in rest]) if rest else df
+    unknown = [k for k in keys if k not in df.columns and k != "#"]
+    if unknown or any(k for _, k in rest):
+        raise InvalidKeyValue(f"no such selectors in {name}: {unknown or rest}")
+    if "#" in keys:
+        if model is None or not model.data_child(name).keys:
+            raise InvalidKeyValue(f"{name} has no order")
+        df = df.orderBy(*model.data_child(name).keys).offset(keys["#"]).limit(1)
+    for k, v in keys.items():
+        if k != "#":
+            df = df.filter(F.col(k) == F.lit(v))
+    return df.select(".".join(n for n, _ in rest)) if rest else df

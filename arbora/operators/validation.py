@@ -81,10 +81,22 @@ def row_checks(df: DataFrame, node: Node, path: Column, schema_path: str, conten
     return rows.select(join(F.col("path")).alias("instance_path"), join(F.lit(schema_path)).alias("schema_path"), F.col("v.cls").alias("error_class"), F.col("v.tag").alias("error_tag"), F.col("v.msg").alias("error_message"))
 
 
+def failing(df: DataFrame, node: Node, condition) -> DataFrame:
+    """Entries of a list at which a path expression is false."""
+    from arbora.operators import paths
+
+    names = [F.col(f"`{c.name}`") for c in node.data_children() if c.name in df.columns]
+    return df.filter(~condition.boolean(paths.document(node, F.struct(*names))))
+
+
+def repeated_keys(df: DataFrame, keys: list[str]) -> DataFrame:
+    """Keys that several entries have, and how many (n)."""
+    return df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+
+
 def duplicate_keys(df: DataFrame, keys: list[str], name: str, schema_path: str) -> DataFrame:
     """List keys that occur twice or more."""
-    many = df.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
-    return many.select(*_violation(entry_path(name, keys), schema_path, "semantic", "non-unique-key", None))
+    return repeated_keys(df, keys).select(*_violation(entry_path(name, keys), schema_path, "semantic", "non-unique-key", None))
 
 
 def not_unique(df: DataFrame, parent: list[str], leaves: list[str], position: list[str]) -> DataFrame:
@@ -104,9 +116,14 @@ def cardinality(parents: DataFrame, children: DataFrame, on: list[tuple[str, str
 
 
 def missing_instances(df: DataFrame, leaf: str, target: DataFrame, target_leaf: str) -> DataFrame:
-    """Rows whose reference has no target; an absent leaf refers to nothing."""
+    """Rows whose reference has no target; an absent leaf refers to nothing.
+
+    Distinct values are looked up, so of a value that many rows share each task sends one; the rows then meet the values
+    without a target, which are few unless the data are broken.
+    """
     wanted = target.select(F.col(target_leaf).alias("_target"))
-    return df.filter(F.col(leaf).isNotNull()).join(wanted, F.col(leaf) == F.col("_target"), "left_anti")
+    lost = df.select(F.col(leaf).alias("_value")).filter("_value IS NOT NULL").distinct().join(wanted, F.col("_value") == F.col("_target"), "left_anti")
+    return df.join(lost, F.col(leaf) == F.col("_value"), "left_semi")
 
 
 def validate_list(df: DataFrame, node: Node, tables: dict[str, DataFrame], content: int = ALL, scope: str = "all") -> DataFrame:

@@ -112,6 +112,23 @@ class Node:
             node = node.child(step.rpartition(":")[2])
         return node
 
+    def is_internal(self) -> bool:
+        return self.kind not in ("leaf", "leaf-list", "anydata", "anyxml")
+
+    def data_parent(self, path: str) -> Node:
+        """The node above that at a data path, itself for a top-level one."""
+        return self.data_node(path.strip("/").rpartition("/")[0])
+
+    def ancestry(self, path: str) -> tuple[Node, ...]:
+        """The nodes along a data path, this one first."""
+        out = [self]
+        for step in filter(None, path.split("/")):
+            out.append(out[-1].data_child(step))
+        return tuple(out)
+
+    def operations(self) -> list[Node]:
+        return [c for c in self.children if c.kind in ("rpc", "action", "notification")]
+
     def data_node(self, path: str) -> Node:
         node = self
         for step in filter(None, path.split("/")):
@@ -154,11 +171,26 @@ class Node:
         return self._change(path, lambda n: replace(n, **changes))
 
     def deviate(self, path: str, kind: str, **changes) -> Node:
-        """``not-supported`` removes the node; add, replace and delete change attributes."""
+        """``not-supported`` removes the node; add, replace and delete change attributes.
+
+        Attributes that hold several values (``must``, ``unique``) grow by ``add`` and lose what ``delete`` names; one
+        value can only be added where there is none, and only be deleted where it is the one there.
+        """
         if kind == "not-supported":
             return self._change(path, lambda n: None)
-        if kind == "delete":
-            changes = {k: type(getattr(self.descendant(path), k))() if isinstance(getattr(self.descendant(path), k), tuple) else None for k in changes}
+        node = self.descendant(path)
+        for k, v in list(changes.items()):
+            old = getattr(node, k)
+            if isinstance(old, tuple) and kind == "add":
+                changes[k] = old + tuple(v)
+            elif isinstance(old, tuple) and kind == "delete":
+                changes[k] = tuple(x for x in old if x not in tuple(v))
+            elif kind == "add" and old not in (None, False, 0):
+                raise ModelError(f"{path} already has {k}")
+            elif kind == "delete":
+                if old != v:
+                    raise ModelError(f"{path} has no such {k}")
+                changes[k] = getattr(Node(node.name, node.kind), k)
         return self._change(path, lambda n: replace(n, **changes))
 
     def _change(self, path: str, use: Callable[[Node], Node | None]) -> Node:
@@ -175,7 +207,7 @@ class Node:
 
     def with_features(self, supported: set[str]) -> Node:
         """The model without nodes whose features are not all supported."""
-        keep = tuple(c.with_features(supported) for c in self.children if set(c.features) <= supported)
+        keep = tuple(c.with_features(supported) for c in self.children if all(feature_holds(f, supported) for f in c.features))
         return replace(self, children=keep)
 
     # what is derived
@@ -216,7 +248,7 @@ class Node:
         """What a client needs of a node, as JSON values."""
         out: dict = {"kind": self.kind}
         if self.type:
-            out["type"] = {"base": self.type.base}
+            out["type"] = self.type.digest()
         for key, value in (("mandatory", self.mandatory), ("presence", self.presence), ("default", self.default), ("units", self.units), ("keys", list(self.keys)), ("description", self.description)):
             if value:
                 out[key] = value
@@ -266,6 +298,83 @@ def _type_of(raw: dict) -> Type:
     return Type(**own)
 
 
+def feature_holds(condition, supported: set[str]) -> bool:
+    """A feature's name, or ``("not", x)``, ``("and", x, ...)``, ``("or", x, ...)`` of such conditions."""
+    if isinstance(condition, str):
+        return condition in supported
+    op, *args = condition
+    values = [feature_holds(a, supported) for a in args]
+    if op == "not" and len(values) == 1:
+        return not values[0]
+    if op in ("and", "or") and values:
+        return all(values) if op == "and" else any(values)
+    raise ModelError(f"no feature condition: {condition}")
+
+
+def check_model(root: Node) -> Node:
+    """The model if it is sound: keys are leaves of their list, defaults fit their types, references lead to one leaf."""
+    from arbora.operators import paths
+
+    def visit(node: Node, above: tuple[Node, ...]) -> None:
+        for k in node.keys:
+            if node.data_child(k).kind != "leaf":
+                raise ModelError(f"key {k} of {node.name}")
+        for leaves in node.unique:
+            for leaf_path in leaves:
+                if node.data_node(leaf_path).kind not in ("leaf", "leaf-list"):
+                    raise ModelError(f"unique {leaf_path} of {node.name}")
+        if node.kind == "choice" and node.default is not None:
+            node.child(node.default)
+        if node.kind in ("leaf", "leaf-list") and (node.path is not None or node.leafref):
+            paths.leafref_target((*above, node))
+        if node.kind == "leaf" and node.mandatory and node.default is not None:
+            raise ModelError(f"{node.name} is mandatory and has a default")
+        for c in node.children:
+            visit(c, above if node.kind in ("choice", "case") else (*above, node))
+
+    visit(root, ())
+    return root
+
+
+def uses(grouping: tuple[Node, ...], when=None, refine: dict[str, dict] | None = None, augment: dict[str, tuple[Node, ...]] | None = None) -> tuple[Node, ...]:
+    """A copy of a grouping's nodes for one place: refined, augmented and under a condition of their own."""
+    box = Node("", "container", tuple(grouping))
+    for path, changes in (refine or {}).items():
+        box.descendant(path)
+        box = box.refine(path, **changes)
+    for path, nodes in (augment or {}).items():
+        box = box.augment(path, *nodes)
+    if when is None:
+        return box.children
+    return tuple(Node(c.name, "choice", (Node(c.name, "case", (c,), when=when),)) for c in box.children)
+
+
+def operation(name: str, *parts: Node, kind: str = "rpc", **more) -> Node:
+    """An rpc or action: ``input`` and ``output`` are made where they are not given."""
+    have = {p.name for p in parts}
+    return Node(name, kind, tuple(parts) + tuple(Node(p, p) for p in ("input", "output") if p not in have), **more)
+
+
+def notification(name: str, *children: Node, **more) -> Node:
+    return Node(name, "notification", children, **more)
+
+
+def denied(node: Node, access: str = "write", path: str = "") -> list[str]:
+    """Paths of nodes that are closed to writing, or to all access, by default."""
+    out = []
+    for c in node.children:
+        own = f"{path}/{c.name}"
+        if c.deny and (access == "write" or c.deny == "all"):
+            out.append(own)
+        out += denied(c, access, own)
+    return out
+
+
+def latest_revisions(modules: DataFrame) -> DataFrame:
+    """The latest revision of each module: (name, revision); a missing one is older than any."""
+    return modules.groupBy("name").agg(F.max("revision").alias("revision"))
+
+
 def check_features(supported: set[str], needs: dict[str, set[str]]) -> None:
     for feature in sorted(supported):
         if missing := needs.get(feature, set()) - supported:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arbora.functions import types as ty
+from arbora.operators import trees
 from arbora.plans.model import module_set_id
 from arbora.plans.registry import query
 from arbora.plans.warehouse import PROPS, WAREHOUSE
@@ -41,10 +42,10 @@ def xml_encode_nation(t):
 
 @query("SELECT n_nationkey, n_name FROM nation")
 def xml_round_trip_nation(t):
-    df = t["nation"]
-    doc = df.select(src.to_xml(df, WAREHOUSE.data_child("nation"), "urn:w").alias("doc"))
-    got = doc.select(F.from_xml("doc", "n_nationkey int, n_name string, n_regionkey int").alias("x"))
-    return got.select("x.n_nationkey", "x.n_name")
+    df, node = t["nation"], WAREHOUSE.data_child("nation")
+    doc = df.select(src.to_xml(df, node, "urn:w").alias("doc"))
+    got = doc.select(trees.from_xml(F.col("doc"), node).alias("x"))
+    return got.select(F.col("x.n_nationkey").cast("int").alias("n_nationkey"), "x.n_name")
 
 
 @query("SELECT sha1(string_agg(n_name || '@' || n_regionkey, '' ORDER BY n_name || '@' || n_regionkey)) AS module_set_id FROM nation")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arbora.operators import editing as ed
@@ -81,9 +80,9 @@ def axis_parent(t):
 
 @query("SELECT l_orderkey, l_linenumber, o_custkey, c_nationkey, n_regionkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")
 def axis_ancestor(t):
-    items = t["lineitem"].select("l_orderkey", "l_linenumber").join(t["orders"].select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    buyers = t["customer"].select("c_custkey", "c_nationkey").join(t["nation"].select("n_nationkey", "n_regionkey"), F.col("c_nationkey") == F.col("n_nationkey"))
-    return items.join(buyers, F.col("o_custkey") == F.col("c_custkey")).select("l_orderkey", "l_linenumber", "o_custkey", "c_nationkey", "n_regionkey")
+    lines = t["lineitem"].select("l_orderkey", "l_linenumber")
+    steps = [("lineitem", "l_orderkey"), ("orders", "o_custkey"), ("customer", "c_nationkey")]
+    return nav.ancestors(lines, WAREHOUSE, steps, t).select("l_orderkey", "l_linenumber", "o_custkey", "c_nationkey", "n_regionkey")
 
 
 @query("SELECT '/region/r_name' AS path, r_name AS value FROM region UNION ALL SELECT '/nation/n_name', n_name FROM nation UNION ALL SELECT '/part/p_name', p_name FROM part UNION ALL SELECT '/customer/c_name', c_name FROM customer UNION ALL SELECT '/supplier/s_name', s_name FROM supplier")
@@ -193,5 +192,15 @@ def json_encode_nation(t):
 
 @query("SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS nth FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2")
 def numeric_predicate(t):
-    ranked = t["orders"].select("o_orderkey", F.row_number().over(W.partitionBy("o_custkey").orderBy("o_orderkey")).alias("nth"))
-    return ranked.filter("nth <= 2")
+    return nav.at_positions(t["orders"], ["o_custkey"], ["o_orderkey"], most=2).select("o_orderkey", "nth")
+
+
+@query("SELECT n_nationkey, n_name FROM nation ORDER BY n_nationkey LIMIT 1 OFFSET 4")
+def goto_index(t):
+    return nav.follow(nav.route_from_instance_id("/nation[5]"), t, WAREHOUSE).select("n_nationkey", "n_name")
+
+
+@query("SELECT s_suppkey, '/nation[n_nationkey=''' || s_nationkey || ''']/n_name' AS ref FROM supplier")
+def canonical_instance_ids(t):
+    loose = F.concat(F.lit('/nation[ n_nationkey = "'), F.col("s_nationkey").cast("string"), F.lit('" ]/n_name'))
+    return t["supplier"].select("s_suppkey", nav.canonical_instance_id(loose).alias("ref"))

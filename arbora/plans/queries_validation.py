@@ -6,10 +6,16 @@ from pyspark.sql import functions as F
 
 from arbora.functions import types as ty
 from arbora.functions import xpath as xp
+from arbora.operators import navigation as nav
+from arbora.operators import paths as px
+from arbora.operators import trees
 from arbora.operators import validation as v
 from arbora.operators.navigation import entry_path
+from arbora.operators.paths import here
+from arbora.plans.model import Node, choice, leaf, leaf_list
+from arbora.plans.queries_nested import talks
 from arbora.plans.registry import query
-from arbora.plans.warehouse import CLOSURE, EVENT, FLAGS, PRIORITIES, WAREHOUSE
+from arbora.plans.warehouse import CLOSURE, EVENT, FLAGS, PRIORITIES, TALK, WAREHOUSE
 
 
 def money(name: str):
@@ -18,7 +24,7 @@ def money(name: str):
 
 @query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY ALL HAVING count(*) > 1")
 def key_unique_lineitem(t):
-    return t["lineitem"].groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).filter("n > 1")
+    return v.repeated_keys(t["lineitem"], ["l_orderkey", "l_linenumber"])
 
 
 @query("SELECT p_name, p_brand, count(DISTINCT p_partkey) AS n FROM part GROUP BY ALL HAVING count(DISTINCT p_partkey) > 1")
@@ -33,7 +39,7 @@ def leafref_missing_label(t):
 
 @query("SELECT c_custkey, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey")
 def leafref_deref_customer_nation(t):
-    return t["customer"].join(t["nation"], F.col("c_nationkey") == F.col("n_nationkey")).select("c_custkey", F.col("n_name").alias("nation"))
+    return nav.deref(t["customer"], WAREHOUSE.data_child("customer"), "c_nationkey", t, "n_name").select("c_custkey", F.col("n_name").alias("nation"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderkey = l_orderkey AND o_orderstatus = 'F')")
@@ -49,7 +55,7 @@ def cardinality_orders_lineitem(t):
 
 @query("SELECT l_orderkey, l_linenumber, l_discount, l_tax FROM lineitem WHERE NOT (l_discount <= l_tax)")
 def must_discount_tax(t):
-    return t["lineitem"].filter(~F.expr("l_discount <= l_tax")).select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
+    return v.failing(t["lineitem"], WAREHOUSE.data_child("lineitem"), here.child("l_discount") <= here.child("l_tax")).select("l_orderkey", "l_linenumber", "l_discount", "l_tax")
 
 
 _PATH_EVENT = "'/events[event_id=''' || event_id || ''']'"
@@ -85,7 +91,7 @@ def validate_customer(t):
     return v.validate_list(t["customer"].withColumn("c_acctbal", money("c_acctbal")), WAREHOUSE.data_child("customer"), t)
 
 
-@query("SELECT '/orders[o_orderkey=''' || o_orderkey || ''']/o_totalprice' AS instance_path, '/orders/o_totalprice' AS schema_path, 'semantic' AS error_class, 'cheap-final' AS error_tag, CAST(NULL AS VARCHAR) AS error_message FROM orders WHERE o_orderstatus = 'F' AND CAST(o_totalprice AS DECIMAL(38,2)) <= 1000")
+@query("SELECT '/orders[o_orderkey=''' || o_orderkey || ''']/o_totalprice' AS instance_path, '/orders/o_totalprice' AS schema_path, 'semantic' AS error_class, 'cheap-final' AS error_tag, CAST(NULL AS VARCHAR) AS error_message FROM orders WHERE o_orderstatus = 'F' AND CAST(o_totalprice AS DECIMAL(38,2)) <= 20000")
 def validate_orders(t):
     return v.validate_list(t["orders"].withColumn("o_totalprice", money("o_totalprice")), WAREHOUSE.data_child("orders"), t)
 
@@ -144,26 +150,43 @@ def decimal64_canonical_discount(t):
     return t["lineitem"].select("l_orderkey", "l_linenumber", ty.canon(F.col("l_discount").cast("decimal(38,2)"), ty.Type("decimal64", digits=2)).alias("canonical"))
 
 
-@query("SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS users FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 1 AND max(turn) + 1 <> count(*)")
+_TURNS = Node("talk", "container", (choice("kind", leaf("asked", ty.Type("boolean")), leaf("told", ty.Type("boolean"))), leaf_list("roles", ty.Type("string"), max_elements=7, config=False)))
+
+
+@query("SELECT conv_id, '/kind' AS schema_path, 'member-not-allowed' AS error_tag FROM conversations GROUP BY conv_id HAVING count(*) FILTER (role = 'user') > 2 AND count(*) FILTER (role = 'assistant') > 2")
 def choice_turns(t):
-    by = t["conversations"].groupBy("conv_id").agg(F.count("*").alias("turns"), F.count_if(F.col("role") == "user").alias("users"), F.max("turn").alias("last"))
-    return by.filter("users > 1 AND last + 1 <> turns").drop("last")
+    many = lambda role: F.when(F.count_if(F.col("role") == role) > 2, F.lit(True))
+    docs = t["conversations"].groupBy("conv_id").agg(many("user").alias("asked"), many("assistant").alias("told"))
+    docs = docs.select("conv_id", F.struct("asked", "told", F.array().cast("array<string>").alias("roles")).alias("doc"))
+    return trees.validate(docs, _TURNS).select("conv_id", "schema_path", "error_tag")
+
+
+_PART = Node("item", "container", (choice("why", leaf("large", ty.Type("boolean")), leaf("special", ty.Type("boolean")), leaf("dear", ty.Type("boolean"))),))
 
 
-@query("SELECT p_partkey, CAST(p_size > 25 AS INTEGER) + CAST(p_type IN ('PROMO', 'SMALL') AS INTEGER) + CAST(p_retailprice > 1000 AS INTEGER) AS cases FROM part WHERE CAST(p_size > 25 AS INTEGER) + CAST(p_type IN ('PROMO', 'SMALL') AS INTEGER) + CAST(p_retailprice > 1000 AS INTEGER) > 1")
+@query("SELECT p_partkey, '/why' AS instance_path, 'member-not-allowed' AS error_tag FROM part WHERE CAST(p_size > 25 AS INTEGER) + CAST(p_type IN ('PROMO', 'SMALL') AS INTEGER) + CAST(p_retailprice > 1000 AS INTEGER) > 1")
 def choice_exclusive_part(t):
-    cases = [F.col("p_size") > 25, F.col("p_type").isin("PROMO", "SMALL"), F.col("p_retailprice") > 1000]
-    return t["part"].select("p_partkey", sum((c.cast("int") for c in cases), F.lit(0)).alias("cases")).filter("cases > 1")
+    cases = {"large": F.col("p_size") > 25, "special": F.col("p_type").isin("PROMO", "SMALL"), "dear": F.col("p_retailprice") > 1000}
+    docs = t["part"].select("p_partkey", F.struct(*[F.when(c, F.lit(True)).alias(k) for k, c in cases.items()]).alias("doc"))
+    return trees.validate(docs, _PART).select("p_partkey", "instance_path", "error_tag")
 
 
-@query("SELECT doc_id, n_chars FROM documents WHERE n_chars <> length(text)")
+_DOCUMENT = Node("documents", "list", (leaf("doc_id", ty.Type("int64")), leaf("text", ty.Type("string")), leaf("n_chars", ty.Type("int32"))), keys=("doc_id",))
+
+
+@query("SELECT doc_id, n_chars FROM documents WHERE NOT (n_chars = length(text) AND length(text) < 5000)")
 def must_string_length_documents(t):
-    return t["documents"].filter(~(F.col("n_chars") == xp.string_length(F.col("text")))).select("doc_id", "n_chars")
+    sound = (here.child("n_chars") == px.string_length(here.child("text"))) & (px.string_length(here.child("text")) < 5000)
+    return v.failing(t["documents"], _DOCUMENT, sound).select("doc_id", "n_chars")
+
+
+_VECTOR = Node("vectors", "container", (leaf_list("embedding", ty.Type("decimal64", digits=2), min_elements=1, max_elements=63, config=False),))
 
 
-@query("SELECT vec_id FROM embeddings WHERE len(embedding) <> 64")
+@query("SELECT vec_id, 'too-many-elements' AS error_tag FROM embeddings WHERE len(embedding) > 63 UNION ALL SELECT vec_id, 'too-few-elements' FROM embeddings WHERE embedding IS NULL OR len(embedding) < 1")
 def leaf_list_cardinality_embeddings(t):
-    return t["embeddings"].filter(xp.count(F.col("embedding")) != 64).select("vec_id")
+    docs = t["embeddings"].select("vec_id", F.struct(F.col("embedding").cast("array<decimal(38,2)>").alias("embedding")).alias("doc"))
+    return trees.validate(docs, _VECTOR, scope="semantics").select("vec_id", "error_tag")
 
 
 @query("SELECT doc_id FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'en')")
@@ -187,6 +210,6 @@ def val_counts_warehouse(t):
     return v.value_counts(t, WAREHOUSE)
 
 
-@query("SELECT conv_id, role, count(*) AS n FROM conversations GROUP BY conv_id, role HAVING count(*) > 1 AND bool_or(text IS NULL OR length(text) > 0)")
+@query("SELECT conv_id AS key, '/turns[' || role || ']' AS instance_path FROM conversations WHERE role IS NOT NULL GROUP BY conv_id, role HAVING count(*) > 1")
 def non_unique_roles(t):
-    return t["conversations"].groupBy("conv_id", "role").agg(F.count("*").alias("n"), F.bool_or(F.col("text").isNull() | (F.length("text") > 0)).alias("full")).filter("n > 1 AND full").drop("full")
+    return trees.validate(talks(t), TALK).filter("error_tag = 'data-not-unique'").select("key", "instance_path")

@@ -5,28 +5,36 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from arbora.functions import xpath as xp
+from arbora.operators import navigation as nav
+from arbora.operators import paths as px
+from arbora.plans.queries_nested import over, talks
 from arbora.plans.registry import query
+from arbora.plans.warehouse import TALK
+
+
+_OF_ORDER = [("o_orderkey", "l_orderkey")]
 
 
 @query("SELECT o_orderkey, CAST(count(l_orderkey) AS DOUBLE) AS n FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY o_orderkey")
 def xpath_count_children(t):
-    n = t["lineitem"].groupBy("l_orderkey").agg(F.count("*").alias("n"))
-    return t["orders"].join(n, F.col("o_orderkey") == F.col("l_orderkey"), "left").select("o_orderkey", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
+    own = nav.child_values(t["orders"], t["lineitem"], _OF_ORDER, n=F.count("*"))
+    return own.select("o_orderkey", F.coalesce("n", F.lit(0)).cast("double").alias("n"))
 
 
-@query("SELECT l_orderkey, sum(CAST(l_quantity AS DECIMAL(18,2)))::DECIMAL(38,2) AS total FROM lineitem GROUP BY l_orderkey")
+@query("SELECT l_orderkey, sum(CAST(l_quantity AS DECIMAL(18,2)))::DECIMAL(38,2) AS total FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY l_orderkey")
 def xpath_sum_children(t):
-    return t["lineitem"].groupBy("l_orderkey").agg(F.sum(F.col("l_quantity").cast("decimal(18,2)")).cast("decimal(38,2)").alias("total"))
+    own = nav.child_values(t["orders"], t["lineitem"], _OF_ORDER, total=F.sum(F.col("l_quantity").cast("decimal(18,2)")))
+    return own.filter("total IS NOT NULL").select(F.col("o_orderkey").alias("l_orderkey"), F.col("total").cast("decimal(38,2)").alias("total"))
 
 
-@query("SELECT conv_id, arg_min(role, turn) AS first_role FROM conversations GROUP BY conv_id")
+@query("SELECT conv_id AS key, coalesce(arg_min(role, turn), '') AS first_role FROM conversations GROUP BY conv_id")
 def xpath_first_string(t):
-    return t["conversations"].groupBy("conv_id").agg(F.min_by("role", "turn").alias("first_role"))
+    return over(talks(t), TALK, first_role=px.string(px.here.child("turns").child("role")))
 
 
 @query("SELECT o_orderkey FROM orders WHERE EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 49)")
 def xpath_exists_compare(t):
-    return t["orders"].join(t["lineitem"].filter("l_quantity > 49"), F.col("o_orderkey") == F.col("l_orderkey"), "left_semi").select("o_orderkey")
+    return nav.where_exists(t["orders"], t["lineitem"], _OF_ORDER, F.col("l_quantity") > 49).select("o_orderkey")
 
 
 @query("SELECT l_orderkey FROM lineitem GROUP BY l_orderkey HAVING bool_or(l_returnflag <> 'N')")
@@ -37,20 +45,23 @@ def xpath_notequal_exists(t):
 
 @query("SELECT c_nationkey FROM (SELECT c_nationkey, min(c_acctbal) AS a FROM customer GROUP BY 1) JOIN (SELECT s_nationkey, max(s_acctbal) AS b FROM supplier GROUP BY 1) ON c_nationkey = s_nationkey WHERE a < b")
 def xpath_set_lt_set(t):
-    a = t["customer"].groupBy("c_nationkey").agg(F.min("c_acctbal").alias("a"))
-    b = t["supplier"].groupBy("s_nationkey").agg(F.max("s_acctbal").alias("b"))
-    return a.join(b, F.col("c_nationkey") == F.col("s_nationkey")).filter("a < b").select("c_nationkey")
+    return nav.any_pair(t["customer"], t["supplier"], [("c_nationkey", "s_nationkey")], "c_acctbal", "<", "s_acctbal")
+
+
+@query("SELECT DISTINCT c_nationkey FROM customer WHERE EXISTS (SELECT 1 FROM supplier WHERE s_nationkey = c_nationkey AND s_suppkey = c_custkey)")
+def xpath_set_eq_set(t):
+    return nav.any_pair(t["customer"], t["supplier"], [("c_nationkey", "s_nationkey")], "c_custkey", "=", "s_suppkey")
 
 
 @query("SELECT DISTINCT c_nationkey AS nation FROM customer UNION SELECT s_nationkey FROM supplier")
 def xpath_union_nodes(t):
-    return t["customer"].select(F.col("c_nationkey").alias("nation")).union(t["supplier"].select("s_nationkey")).distinct()
+    return nav.union(t["customer"].select(F.col("c_nationkey").alias("nation")), t["supplier"].select(F.col("s_nationkey").alias("nation")))
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_nationkey = 5) AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R')")
 def xpath_correlated_predicate(t):
-    own = t["orders"].join(t["customer"].filter("c_nationkey = 5"), F.col("o_custkey") == F.col("c_custkey"), "left_semi")
-    return own.join(t["lineitem"].filter("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("o_orderkey")
+    own = nav.where_exists(t["orders"], t["customer"], [("o_custkey", "c_custkey")], F.col("c_nationkey") == 5)
+    return nav.where_exists(own, t["lineitem"], _OF_ORDER, F.col("l_returnflag") == "R", negate=True).select("o_orderkey")
 
 
 _STRINGS = {

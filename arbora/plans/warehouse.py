@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from arbora.functions.types import Type, bits, closure, enums
+from arbora.operators.paths import here
 from arbora.plans.model import Must, Node, case, choice, container, leaf, leaf_list, list_
 
 #: Fixed values of the tables.
@@ -48,7 +49,7 @@ WAREHOUSE = container(
         leaf("o_custkey", _key, leafref=("customer", "c_custkey")),
         leaf("o_orderstatus", Type("enumeration", enums=STATUSES)),
         leaf("o_orderpriority", Type("enumeration", enums=PRIORITIES)),
-        leaf("o_totalprice", _money, must=(Must("o_orderstatus <> 'F' OR o_totalprice > 1000", "cheap-final"),)),
+        leaf("o_totalprice", _money, must=(Must("o_orderstatus <> 'F' OR o_totalprice > 20000", "cheap-final"),)),
     ),
     list_(
         "lineitem",
@@ -77,3 +78,45 @@ PROPS: Node = container(
     choice("kind", case("counted", leaf("k", Type("uint8", ranges=((0, 90),)), mandatory=True), leaf("unit", _text, default="piece")), case("named", leaf("name", _text)), default="counted"),
     leaf_list("tags", Type("string", ranges=((1, 8),)), max_elements=3),
 )
+
+# nested documents over the tables: one account with its orders and their lines, one region with its nations, one
+# conversation with its turns
+
+ACCOUNT = container(
+    "account",
+    leaf("custkey", _key, mandatory=True),
+    leaf("name", _text),
+    leaf("balance", Type("decimal64", digits=2)),
+    list_(
+        "orders",
+        "orderkey",
+        leaf("orderkey", _key),
+        leaf("status", Type("enumeration", enums=STATUSES), mandatory=True),
+        leaf("priority", Type("enumeration", enums=PRIORITIES), default="4-NOT SPECIFIED", when=here.parent().child("status") != "O"),
+        leaf("total", _money, must=(Must((here.parent().child("status") != "F") | (here > 20000), "cheap-final"),)),
+        list_(
+            "lines",
+            "linenumber",
+            leaf("linenumber", _small),
+            leaf("quantity", Type("decimal64", digits=2, ranges=((1, 45),))),
+            leaf("discount", _money, when=here.parent().child("quantity") > 2),
+            leaf("tax", _money, must=(Must(here <= here.parent().child("discount") + 0.05, "tax-too-high"),)),
+            leaf("flag", Type("enumeration", enums=enums("A", "N", "R"))),
+            min_elements=2,
+            max_elements=6,
+        ),
+    ),
+)
+REGION = container(
+    "area",
+    leaf("regionkey", _small, mandatory=True),
+    leaf("name", _text),
+    list_("nations", "nationkey", leaf("nationkey", _small), leaf("name", Type("string", patterns=("NATION_[0-9]+",))), leaf("like", _small, leafref=("nations", "nationkey"))),
+    container("notes", leaf("lang", _text, default="en"), leaf_list("tags", Type("string", ranges=((1, 8),)), max_elements=2), ns="extra"),
+)
+TALK = container(
+    "talk",
+    leaf("id", _key, mandatory=True),
+    list_("turns", "turn", leaf("turn", _key), leaf("role", Type("enumeration", enums=enums("system", "user", "assistant"))), unique=(("role",),), max_elements=7),
+    choice("length", leaf("short", Type("boolean")), leaf("long", Type("boolean"))),
+)
