@@ -203,7 +203,7 @@ def canon(x: Column, t: Type) -> Column:
         return F.when(x, "true").when(~x, "false")
     if t.base == "bits":
         in_order = [F.when(F.array_contains(x, k), F.lit(k)) for k, _ in sorted(t.bits, key=lambda b: b[1])]
-        return F.array_join(F.array_compact(F.array(*in_order)), " ")
+        return F.when(x.isNotNull(), F.array_join(F.array_compact(F.array(*in_order)), " "))
     if t.base == "empty":
         return F.when(x, "")
     return x.cast("string")

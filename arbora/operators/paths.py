@@ -59,6 +59,7 @@ class Context:
     position: Column | None = None
     size: Column | None = None
     origin: Context | None = None
+    sure: bool = False  # the node is there, whatever its value
 
     @property
     def node(self) -> Node:
@@ -82,10 +83,25 @@ def document(model: Node, value: Column) -> Context:
 
 @dataclass(frozen=True)
 class Branch:
-    """Nodes of one schema node, as an array of structs."""
+    """Nodes of one schema node, as an array of structs; or at most one node, known as a context (absent where NULL)."""
 
     nodes: tuple[Node, ...]
-    column: Column
+    array: Column | None = None
+    one: Context | None = None
+
+    @property
+    def column(self) -> Column:
+        if self.array is not None:
+            return self.array
+        return F.filter(F.array(self.one.as_struct()), lambda e: e[f"v{len(self.nodes) - 1}"].isNotNull())
+
+    @property
+    def size(self) -> Column:
+        return F.size(self.array) if self.one is None else self.one.value.isNotNull().cast("int")
+
+    def single(self, outer: Context) -> Context:
+        """The only node, with the origin of the whole expression."""
+        return replace(self.one, origin=outer.origin or outer)
 
     def context(self, e: Column, outer: Context, position: Column | None = None, size: Column | None = None) -> Context:
         values = tuple(e[f"v{i}"] for i in range(len(self.nodes)))
@@ -122,6 +138,11 @@ def _children(branch: Branch, test: str | None, outer: Context) -> list[Branch]:
         if test not in (None, "*", child.name, f"{child.ns}:{child.name}"):
             continue
 
+        if branch.one is not None and child.kind not in ("list", "leaf-list"):
+            own = branch.one
+            out.append(Branch((*branch.nodes, child), one=Context((*own.nodes, child), (*own.values, own.value.getField(child.name)), F.concat(own.at, F.array(F.lit(number), F.lit(0))))))
+            continue
+
         def inner(e: Column, number: int, child: Node) -> Column:
             ctx = branch.context(e, outer)
             value = ctx.value.getField(child.name)
@@ -141,6 +162,10 @@ def _descendants(branch: Branch, outer: Context) -> list[Branch]:
 
 def _ancestor(branch: Branch, levels: int) -> Branch:
     keep = len(branch.nodes) - levels
+    if branch.one is not None:
+        own = branch.one
+        there = [F.when(own.value.isNotNull(), v) for v in own.values[:keep]] if not own.sure else own.values[:keep]
+        return Branch(branch.nodes[:keep], one=Context(own.nodes[:keep], tuple(there), F.slice(own.at, 1, 2 * (keep - 1)), sure=own.sure))
     up = lambda e: F.struct(F.slice(e["at"], 1, 2 * (keep - 1)).alias("at"), *[e[f"v{i}"].alias(f"v{i}") for i in range(keep)])
     return Branch(branch.nodes[:keep], _in_order(F.transform(branch.column, up)))
 
@@ -194,7 +219,7 @@ def _step(branches: list[Branch], axis: str, test: str | None, outer: Context) -
         # a name or * does not match the document itself, but where it stands among its descendants; node() matches all
         out += [x for x in found if test is None or (test == "*" and (len(x.nodes) > 1 or axis == "descendant-or-self")) or test in (x.nodes[-1].name, f"{x.nodes[-1].ns}:{x.nodes[-1].name}")]
     merged = _merged(out)
-    return [replace(b, column=_in_order(b.column)) if axis.endswith("-sibling") else b for b in merged]
+    return [Branch(b.nodes, _in_order(b.column)) if axis.endswith("-sibling") else b for b in merged]
 
 
 # expressions
@@ -340,11 +365,14 @@ class Nodes(Expr):
                 return _filtered(_step(found, axis, test, ctx), conditions, ctx)
             out = []
             for b in found:
-                probe = _step([Branch(b.nodes, F.array(b.context(F.get(b.column, F.lit(0)), ctx).as_struct()))], axis, test, ctx)
+                if b.one is not None:
+                    out += _filtered(_step([b], axis, test, ctx), conditions, ctx)
+                    continue
+                probe = _step([Branch(b.nodes, one=b.context(F.get(b.column, F.lit(0)), ctx))], axis, test, ctx)
                 for k, one in enumerate(probe):
 
                     def own(e: Column, b: Branch, k: int) -> Column:
-                        single = _step([Branch(b.nodes, F.array(e))], axis, test, ctx)
+                        single = _step([Branch(b.nodes, one=b.context(e, ctx))], axis, test, ctx)
                         return _filtered(single, conditions, ctx)[k].column
 
                     out.append(Branch(one.nodes, _flat(b.column, bound(own, b, k))))
@@ -380,6 +408,9 @@ class Nodes(Expr):
         def find(ctx: Context) -> list[Branch]:
             out = []
             for b in self.find(ctx):
+                if b.one is not None:
+                    out += path.find(b.single(ctx))
+                    continue
                 probe = path.find(b.context(F.get(b.column, F.lit(0)), ctx))
                 for k, one in enumerate(probe):
                     out.append(Branch(one.nodes, _in_order(_flat(b.column, bound(lambda e, b, k: path.find(b.context(e, ctx))[k].column, b, k)))))
@@ -398,7 +429,14 @@ class Nodes(Expr):
         parts = [F.transform(b.column, b.each(number_value)) for b in self.find(ctx) if b.nodes[-1].type]
         return F.filter(F.concat(*parts), lambda n: ~F.isnan(n)) if parts else F.array().cast("array<double>")
 
+    def only(self, ctx: Context) -> Context | None:
+        """The node, where the set can hold only one."""
+        found = self.find(ctx)
+        return found[0].single(ctx) if len(found) == 1 and found[0].one is not None else None
+
     def _first(self, ctx: Context, value: Callable[[Node, Column], Column], blank: Column) -> Column:
+        if one := self.only(ctx):
+            return F.coalesce(value(one.node, one.value), blank)
         parts = [F.transform(b.column, b.placed(lambda n, v: F.coalesce(value(n, v), blank))) for b in self.find(ctx)]
         return F.coalesce(F.array_min(F.concat(*parts))["x"], blank) if parts else blank
 
@@ -406,7 +444,7 @@ class Nodes(Expr):
         return self.strings(ctx)
 
     def boolean(self, ctx: Context) -> Column:
-        return reduce(lambda a, b: a | b, [F.size(b.column) > 0 for b in self.find(ctx)], F.lit(False))
+        return reduce(lambda a, b: a | b, [b.size > 0 for b in self.find(ctx)], F.lit(False))
 
     def number(self, ctx: Context) -> Column:
         return self._first(ctx, number_value, F.lit(NAN))
@@ -440,7 +478,7 @@ def _keep(b: Branch, cond: Expr, outer: Context, before: Column, total: Column)
 
 def _filtered(branches: list[Branch], conditions: list[Expr], outer: Context) -> list[Branch]:
     for cond in conditions:
-        sizes = [F.size(b.column) for b in branches]
+        sizes = [b.size for b in branches]
         total = reduce(lambda a, b: a + b, sizes, F.lit(0))
         before, out = F.lit(0), []
         for b, n in zip(branches, sizes, strict=True):
@@ -482,6 +520,16 @@ def _compare(left, op: str, right) -> Expr:
 
 def _nodes_compare(a: Nodes, op: str, b: Expr, ctx: Context) -> Column:
     """Whether some node, or some pair of nodes, satisfies the comparison."""
+    one, other = a.only(ctx), b.only(ctx) if b.kind == "nodes" else None
+    if one and one.node.type and b.kind != "boolean" and (b.kind != "nodes" or (other and other.node.type)):
+        there = one.value.isNotNull() if other is None else one.value.isNotNull() & other.value.isNotNull()
+        if op in ("=", "!=") and b.kind != "number":
+            same = string_value(one.node, one.value) == b.string(ctx)
+            return F.coalesce(there & (same if op == "=" else ~same), F.lit(False))
+        x, y = number_value(one.node, one.value), b.number(ctx)
+        # nodes without a number are skipped
+        numeric = there & ~F.isnan(x) if other is None else there & ~F.isnan(x) & ~F.isnan(y)
+        return F.coalesce(numeric & _numbers_compare(op, x, y), F.lit(False))
     if b.kind == "boolean":
         return _numbers_compare(op, xp.number_of_boolean(a.boolean(ctx)), b.number(ctx))
     if b.kind == "nodes":
@@ -503,7 +551,7 @@ def _arithmetic(left, op: str, right) -> Expr:
 
 
 def _single(ctx: Context) -> list[Branch]:
-    return [Branch(ctx.nodes, F.array(ctx.as_struct()))]
+    return [Branch(ctx.nodes, one=replace(ctx, sure=True))]
 
 
 #: The context node.
@@ -511,7 +559,7 @@ here = Nodes(_single, ".")
 
 
 def root() -> Nodes:
-    return Nodes(lambda ctx: [Branch(ctx.nodes[:1], F.array(F.struct(F.array().cast("array<int>").alias("at"), ctx.values[0].alias("v0"))))], "/")
+    return Nodes(lambda ctx: [Branch(ctx.nodes[:1], one=replace(document(ctx.nodes[0], ctx.values[0]), sure=True))], "/")
 
 
 def current() -> Nodes:
@@ -543,7 +591,7 @@ def _nodes(x, name: str) -> Nodes:
 
 def count(nodes: Nodes) -> Expr:
     own = _nodes(nodes, "count")
-    return Made("number", lambda ctx: reduce(lambda a, b: a + b, [F.size(b.column) for b in own.find(ctx)], F.lit(0)).cast("double"), f"count({own})")
+    return Made("number", lambda ctx: reduce(lambda a, b: a + b, [b.size for b in own.find(ctx)], F.lit(0)).cast("double"), f"count({own})")
 
 
 def sum_(nodes: Nodes) -> Expr:
@@ -704,6 +752,9 @@ def deref(nodes: Nodes = here) -> Nodes:
             own = target_path(b.nodes[-1])
             if own is None:
                 continue
+            if b.one is not None:
+                out += own.where(here == string(current())).find(replace(b.one, origin=None))
+                continue
             first = F.slice(b.column, 1, 1)
             same = lambda e, b, own: own.where(here == string(current())).find(replace(b.context(e, ctx), origin=None))
             for k, one in enumerate(same(F.get(first, F.lit(0)), b, own)):

@@ -526,8 +526,6 @@ def _matches(n: Node, x: Column, i: Column, keys: dict) -> Column:
 
 
 def _check_selectors(n: Node, keys: dict) -> None:
-    if "()" in keys:
-        raise NonDataNode(n.name)
     if keys and n.kind not in ("list", "leaf-list"):
         raise InvalidKeyValue(f"{n.name} has no entries")
     if "." in keys and n.kind != "leaf-list":
@@ -538,6 +536,8 @@ def peek(ctx: Context, route: Route) -> Column:
     """What stands at a route: a value, the array of a whole list, or NULL."""
     own, value = ctx.node, ctx.value
     for name, keys in route:
+        if "()" in keys:
+            raise NonDataNode(name)
         n = own.data_child(name)
         _check_selectors(n, keys)
         value = value.getField(n.name)
@@ -580,6 +580,8 @@ def update(ctx: Context, route: Route, use: Callable[[Column], Column]) -> Colum
         if not steps:
             return use(value)
         (name, keys), *rest = steps
+        if "()" in keys:
+            raise NonDataNode(name)
         n = own.data_child(name)
         _check_selectors(n, keys)
         old = value.getField(n.name)
