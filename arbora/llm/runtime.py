@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -45,6 +46,16 @@ def clear_scratch(spark: SparkSession) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def drop(spark: SparkSession, table: DataFrame) -> None:
+    """Remove the files of a table of a finished round, and let go of the shuffle files of what nobody refers to."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in {os.path.dirname(f) for f in table.inputFiles()}:
+        own = jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(conf).delete(own, True)
+    gc.collect()
+    jvm.java.lang.System.gc()
+
+
 def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
     path = scratch_path(df.sparkSession, tag)

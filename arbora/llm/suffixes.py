@@ -16,11 +16,11 @@ Every byte covered by a ``length``-byte string that also starts elsewhere is rem
    suffix; intervals of ``length`` bytes or more are the repeats, and their bytes are covered.
 5. *Ends.*  What is left are strings that begin or end within a phrase at the ends of a repeat: the phrases in their
    middle are a repeated interval, but those around them are not.  Runs of such strings with the same middle are looked up
-   first, then the strings of those runs that occur again, at ends or not.  Middles and strings are named by 128-bit
+   first, then the strings of those runs that occur again, at ends or not.  Middles and strings are named by 96-bit
    BLAKE2b digests, as phrases are in the first round; nothing else is compared by a digest.
 
 Messages are packed arrays, dealt by a hash of the interval; a shard sends a run once, so an interval that a third of all
-texts share costs one entry a shard.  Shards grow from 1 to 16 MB with the input, for fewer entries.  They are a table
+texts share costs one entry a shard.  Shards grow from 1 to 8 MB with the input, for fewer entries.  They are a table
 bucketed by shard, so replies join without moving texts again; the number of partitions and of merge groups follows the
 bytes of the input.  Rounds end when nothing is left to refine or at ``MAX_DEPTH`` phrases (short phrases, as in runs of
 one letter); what is not settled then is counted as an end.
@@ -50,16 +50,19 @@ from arbora.llm import textkit as tk
 GRAM = 8
 STEP = 2
 MAX_DEPTH = 13
-SHARD_BYTES = (1 << 20, 1 << 24)
+SHARD_BYTES = (1 << 20, 1 << 23)
 BUCKET_KEYS = 1_000_000
 #: Phrases are no longer than two windows.
 SIZE = "<u2"
+#: Digests have 96 bits: three numbers of this kind.
+DIGEST, WIDTH = "<u4", 3
 #: In a count of a message: someone wants to know whether the interval has two.
 LOOK = 4
 _POS = np.uint64((1 << 31) - 1)
 SHARDS = "shard long, n_phrases long, doc_ids array<long>, lens array<int>, text binary, suffixes binary, transform binary, sizes binary, digests binary"
 #: A row without a bucket is the state of a shard, one with a bucket a message.
 ROUND = "shard long, bucket int, keys binary, counts binary, deep binary, named binary, names binary, rows binary, runs binary, dealt binary"
+MESSAGE = "shard long, bucket int, keys binary, counts binary"
 REPLY = "shard long, bucket int, names binary"
 RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
 
@@ -151,10 +154,10 @@ def _build(docs: DataFrame, length: int, shard_bytes: int) -> DataFrame:
                 symbols = with_ends(doc, symbols, -1)
                 order = suffix_order(symbols) if len(symbols) else np.zeros(0, np.int64)
                 transform = symbols[order - 1]  # what stands before the first suffix of a text is a terminator
-                digests = b"".join([hashlib.blake2b(p, digest_size=16).digest() for p in ids])
+                digests = b"".join([hashlib.blake2b(p, digest_size=4 * WIDTH).digest() for p in ids])
                 sizes = np.array([len(p) for p in ids], SIZE)
                 doc_ids = pa.array([batch.column(0).slice(i, j - i).to_pylist()], pa.list_(pa.int64()))
-                packed = [pa.compress(raw, "zstd", asbytes=True), order.astype("<u4").tobytes(), transform.astype("<i4").tobytes(), sizes.tobytes(), digests]
+                packed = [pa.Codec("zstd", compression_level=3).compress(raw, asbytes=True), order.astype("<u4").tobytes(), transform.astype("<i4").tobytes(), sizes.tobytes(), digests]
                 cols = [pa.array([part + number]), pa.array([len(starts)]), doc_ids, pa.array([lens], pa.list_(pa.int32())), *[pa.array([p], pa.binary()) for p in packed]]
                 yield pa.RecordBatch.from_arrays(cols, names=[c.split()[0] for c in SHARDS.split(", ")])
                 number += 1
@@ -308,10 +311,10 @@ def _spans(covered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def _answers(row: dict, bucket: np.ndarray, kind: str) -> np.ndarray:
+def _answers(row: dict, bucket: np.ndarray, kind: str, column: str = "replies") -> np.ndarray:
     """The names that came back for keys dealt to these buckets."""
     out = np.zeros(len(bucket), kind)
-    own = {r["bucket"]: r["names"] for r in row["replies"] or []}
+    own = {r["bucket"]: r["names"] for r in row[column] or []}
     for k, at in _deal(bucket):
         out[at] = np.frombuffer(own[k], kind)
     return out
@@ -337,12 +340,12 @@ def _refine(attached: DataFrame, depth: int, buckets: int, length: int, kind: st
                 if depth == 1:
                     interval = None
                 elif depth == 1 + STEP:
-                    interval = shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], "<u8").reshape(-1, 2), buckets), kind))
+                    interval = shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], DIGEST).reshape(-1, WIDTH), buckets), kind))
                 else:
                     interval = shard.learn(depth - STEP, _answers(row, np.frombuffer(row["dealt"], "<i4"), kind))
                 keys, counts = shard.extend(depth, interval)
                 if depth == 1:
-                    keys = np.frombuffer(row["digests"], "<u8").reshape(-1, 2)
+                    keys = np.frombuffer(row["digests"], DIGEST).reshape(-1, WIDTH)
                 yield _sent(row["shard"], keys, counts, buckets, shard.deep.tobytes(), shard.named.tobytes(), shard.names.tobytes(), shard.rows.tobytes(), shard.runs.tobytes(), keep=depth > 1)
 
     return attached.mapInArrow(refine, ROUND)
@@ -364,7 +367,7 @@ def _ends(attached: DataFrame, depth: int, buckets: int, length: int, kind: str)
             for row in batch.to_pylist():
                 shard = Shard(row, length, kind)
                 if depth == 1:
-                    shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], "<u8").reshape(-1, 2), buckets), kind))
+                    shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], DIGEST).reshape(-1, WIDTH), buckets), kind))
                 else:
                     shard.learn(depth, _answers(row, np.frombuffer(row["dealt"], "<i4"), kind))
                 lens, suffixes = np.array(row["lens"], np.int64), np.frombuffer(row["suffixes"], "<u4")
@@ -377,27 +380,34 @@ def _ends(attached: DataFrame, depth: int, buckets: int, length: int, kind: str)
     return attached.mapInArrow(ends, ROUND)
 
 
+def _open_strings(row: dict, kind: str, length: int) -> np.ndarray:
+    """Where the strings of the pieces begin that hold an end and occur again."""
+    unpack = lambda c: np.frombuffer(row[c], "<u4").astype(np.int64)
+    again = _answers(row, np.frombuffer(row["dealt"], "<i4"), kind)[unpack("runs")] > 0
+    lo, n = unpack("rows")[again], (unpack("deep") - unpack("rows") + 1)[again]
+    return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+
+
 def _strings(attached: DataFrame, buckets: int, length: int, kind: str) -> DataFrame:
-    """The strings of the pieces that hold an end and occur again, one by one."""
+    """Messages of the strings of open pieces, one by one."""
 
     def strings(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                unpack = lambda c: np.frombuffer(row[c], "<u4").astype(np.int64)  # noqa: B023, E731
-                open_ = _answers(row, np.frombuffer(row["dealt"], "<i4"), kind)[unpack("runs")] > 0
-                lo, n = unpack("rows")[open_], (unpack("deep") - unpack("rows") + 1)[open_]
-                p = np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-                name, keys, counts = _digests(_text(row), p, p + length)
-                yield _sent(row["shard"], keys, counts, buckets, b"", row["named"], row["names"], p.astype("<u4").tobytes(), name.astype("<u4").tobytes())
+                p = _open_strings(row, kind, length)
+                _, keys, counts = _digests(_text(row), p, p + length)
+                rows = [(row["shard"], k, keys[at].tobytes(), counts[at].tobytes()) for k, at in _deal(_bucket(keys, buckets))]
+                if rows:
+                    yield _batch(rows, MESSAGE)
 
-    return attached.mapInArrow(strings, ROUND)
+    return attached.mapInArrow(strings, MESSAGE)
 
 
 def _digests(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(number of each span's digest, digests, how many spans have each: 1, or 2 for more; all are to be looked at)."""
     view, ids = memoryview(text), {}
-    name = np.array([ids.setdefault(hashlib.blake2b(view[x:y], digest_size=16).digest(), len(ids)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
-    keys = np.frombuffer(b"".join(ids), "<u8").reshape(-1, 2)
+    name = np.array([ids.setdefault(hashlib.blake2b(view[x:y], digest_size=4 * WIDTH).digest(), len(ids)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
+    keys = np.frombuffer(b"".join(ids), DIGEST).reshape(-1, WIDTH)
     return name, keys, np.minimum(np.bincount(name, minlength=len(ids)), 2).astype(np.uint8) | LOOK
 
 
@@ -427,10 +437,15 @@ def _merge(messages: DataFrame, width: int, kind: str, named: str, buckets: int)
     return messages.groupBy("bucket").applyInPandas(merge, REPLY)
 
 
+def _replies(messages: DataFrame, width: int, kind: str, named: str, buckets: int, column: str = "replies") -> DataFrame:
+    """For each shard, what comes back for its messages, whose keys have ``width`` numbers of ``kind``."""
+    replies = _merge(messages.select("shard", "bucket", "keys", "counts"), width, kind, named, buckets)
+    return replies.groupBy("shard").agg(F.collect_list(F.struct("bucket", "names")).alias(column))
+
+
 def _attach(shards: DataFrame, sent: DataFrame, width: int, kind: str, named: str, buckets: int) -> DataFrame:
-    """Shards with their state and the replies to their messages, whose keys have ``width`` numbers of ``kind``."""
-    replies = _merge(sent.filter("bucket IS NOT NULL").select("shard", "bucket", "keys", "counts"), width, kind, named, buckets)
-    replies = replies.groupBy("shard").agg(F.collect_list(F.struct("bucket", "names")).alias("replies"))
+    """Shards with their state and the replies to their messages."""
+    replies = _replies(sent.filter("bucket IS NOT NULL"), width, kind, named, buckets)
     state = sent.filter("bucket IS NULL").drop("bucket", "keys", "counts")
     return shards.join(state, "shard").join(replies, "shard", "left")
 
@@ -441,17 +456,19 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int | None =
         raise ValueError("length is too small for the parse")
     spark = docs.sparkSession
     total = docs.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
-    shard_bytes = shard_bytes or min(max(SHARD_BYTES[0], total >> 16), SHARD_BYTES[1])
+    shard_bytes = shard_bytes or min(max(SHARD_BYTES[0], total >> 13), SHARD_BYTES[1])
     parts = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")), total >> 25)
 
-    def table(df: DataFrame, tag: str) -> DataFrame:
-        """``df`` written in buckets by shard; what was dealt by shard stays where it is."""
+    def table(df: DataFrame, tag: str, old: DataFrame | None = None) -> DataFrame:
+        """``df`` written in buckets by shard, so that what is dealt by shard stays where it is; ``old`` is needed no more."""
         name = f"arbora_{tag}_{uuid.uuid4().hex[:12]}"
         df.write.bucketBy(parts, "shard").option("path", runtime.scratch_path(spark, tag)).option("parquet.block.size", 32 << 20).saveAsTable(name)
         runtime._tables.append(name)
+        if old is not None:
+            runtime.drop(spark, old)
         return spark.table(name)
 
-    shards = table(_build(docs, length, shard_bytes).repartition(parts, "shard"), "shards")
+    shards = table(_build(docs, length, shard_bytes), "shards")
     phrases = shards.agg(F.sum("n_phrases").alias("n")).first().n or 0
     buckets = max(16, -(-phrases // BUCKET_KEYS))
     # names of intervals: of four bytes while there are far fewer suffixes
@@ -461,28 +478,31 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int | None =
     while True:
         own = shards.select("shard", "transform", "sizes", *(["digests"] if depth <= 1 + STEP else []))
         blank = [F.lit(None).cast("binary").alias(c) for c in ("deep", "named", "names", "rows", "runs", "dealt")]
-        attached = own.select("*", *blank) if sent is None else _attach(own, sent, *((2, "<u8") if depth == 1 + STEP else (STEP + 1, named)), named, buckets)
-        sent = table(_refine(attached, depth, buckets, length, named), "round")
+        attached = own.select("*", *blank) if sent is None else _attach(own, sent, *((WIDTH, DIGEST) if depth == 1 + STEP else (STEP + 1, named)), named, buckets)
+        sent = table(_refine(attached, depth, buckets, length, named), "round", sent)
         if depth >= MAX_DEPTH or sent.filter("bucket IS NOT NULL").isEmpty():
             break
         depth += STEP
     own = shards.select("shard", "lens", "text", "suffixes", "transform", "sizes", *(["digests"] if depth == 1 else []))
-    sent = table(_ends(_attach(own, sent, *((2, "<u8") if depth == 1 else (STEP + 1, named)), named, buckets), depth, buckets, length, named), "ends")
-    sent = table(_strings(_attach(shards.select("shard", "lens", "text"), sent, 2, "<u8", named, buckets), buckets, length, named), "strings")
+    ended = _ends(_attach(own, sent, *((WIDTH, DIGEST) if depth == 1 else (STEP + 1, named)), named, buckets), depth, buckets, length, named)
+    sent = table(ended, "ends", sent)
+    own = _attach(shards.select("shard", "doc_ids", "lens", "text"), sent, WIDTH, DIGEST, named, buckets)
+    # the strings are many and soon made: they are sent from here, and made again where the replies come back
+    replies = _replies(_strings(own.drop("doc_ids"), buckets, length, named), WIDTH, DIGEST, named, buckets, "found")
 
     def finish(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 bounds = np.concatenate([[0], np.cumsum(row["lens"])]).astype(np.int64)
-                unpack = lambda c, kind="<u4": np.frombuffer(row[c], kind).astype(np.int64)  # noqa: B023, E731
-                repeated = _answers(row, np.frombuffer(row["dealt"], "<i4"), named) > 0
-                left = unpack("rows")[repeated[unpack("runs")]]
+                unpack = lambda c: np.frombuffer(row[c], "<u4").astype(np.int64)  # noqa: B023, E731
+                raw, left = _text(row), _open_strings(row, named, length)
+                name, keys, _ = _digests(raw, left, left + length)
+                left = left[(_answers(row, _bucket(keys, buckets), named, "found") > 0)[name]]
                 mark = np.zeros(int(bounds[-1]) + 1, np.int32)
                 for at, to in ((unpack("named"), unpack("names")), (left, left + length)):
                     np.add.at(mark, at, 1)
                     np.add.at(mark, to, -1)
-                covered, raw = np.cumsum(mark[:-1]) > 0, _text(row)
-                text = np.frombuffer(raw, np.uint8)
+                covered, text = np.cumsum(mark[:-1]) > 0, np.frombuffer(raw, np.uint8)
                 out = []
                 for d, a, b in zip(row["doc_ids"], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
                     gone = covered[a:b]
@@ -491,7 +511,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int | None =
                     out.append((d, b - a, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
                 yield _batch(out, RESULT + ", kept binary")
 
-    return _attach(shards.select("shard", "doc_ids", "lens", "text"), sent, 2, "<u8", named, buckets).mapInArrow(finish, RESULT + ", kept binary")
+    return own.join(replies, "shard", "left").mapInArrow(finish, RESULT + ", kept binary")
 
 
 def brute_force(texts: list[tuple[int, str | None]], length: int = 400) -> list[tuple]:
