@@ -166,9 +166,23 @@ def parse(s: Column, t: Type) -> Column:
         return F.filter(F.split(F.trim(s), r"\s+"), lambda b: b != "")
     if t.base == "empty":
         return F.when(s == "", True)
+    if t.base == "instance-identifier":
+        return canonical_instance_id(s)
+    if t.base == "union":
+        return F.coalesce(*[F.when(valid(parse(s, m), m), canon(parse(s, m), m)) for m in t.members])
     return s
 
 
+def canonical_instance_id(text: Column) -> Column:
+    """An instance identifier with single quotes and without blanks, as ``entry_path`` writes it; NULL where it is none."""
+    name = r"(?:[A-Za-z_][\w.-]*:)?[A-Za-z_][\w.-]*"
+    pick = rf"""\[\s*(?:[0-9]+|(?:\.|{name})\s*=\s*(?:'[^']*'|"(?:[^"\\]|\\.)*"))\s*\]"""
+    sound = F.regexp_like(text, F.lit(rf"\A(?:/{name}(?:{pick})*)+\z"))
+    bare = F.regexp_replace(F.regexp_replace(text, r"\[\s+", "["), r"""(?<=['"0-9])\s+\]""", "]")
+    bare = F.regexp_replace(bare, rf"""\[(\.|{name})\s*=\s*(['"])""", "[$1=$2")
+    return F.when(sound, F.regexp_replace(bare, r"""="([^'"\\]*)"\]""", "='$1']"))
+
+
 def valid(x: Column, t: Type) -> Column:
     """Whether a decoded value is in the type; never NULL."""
     if t.base in BOUNDS or t.base == "decimal64":
@@ -222,9 +236,19 @@ def encode(x: Column, t: Type) -> Column:
         return x
     if t.base == "empty":
         return F.when(x, F.array(F.lit(None).cast("string")))
+    if t.base == "union":  # in the encoding of the first member that holds the value
+        return F.coalesce(*[F.when(valid(parse(x, m), m), encode(parse(x, m), m).cast("variant")) for m in t.members])
     return canon(x, t)
 
 
+def resolve_name(text: str, prefixes: dict[str, str], own: str) -> tuple[str, str]:
+    """(module, name) of ``prefix:name``, or of a name of one's own module."""
+    prefix, _, name = text.rpartition(":")
+    if prefix and prefix not in prefixes:
+        raise KeyError(f"unknown prefix in {text}")
+    return (prefixes[prefix] if prefix else own), name
+
+
 def identity_ref(s: Column, default_ns: str) -> Column:
     """The canonical ``module:name`` of an identity reference."""
     return F.when(F.instr(s, ":") > 0, s).otherwise(F.concat(F.lit(default_ns + ":"), s))

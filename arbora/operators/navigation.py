@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from arbora.functions.types import canonical_instance_id  # noqa: F401
 from arbora.plans.model import BadSchemaNodeType, Node
 
 
@@ -65,6 +66,11 @@ def look_up(df: DataFrame, **keys) -> DataFrame:
     return df.filter(reduce(lambda a, b: a & b, [F.col(k) == F.lit(v) for k, v in keys.items()], F.lit(True)))
 
 
+def look_up_first(df: DataFrame, order: list[str], **keys) -> DataFrame:
+    """The first entry with these leaf values, in this order; no row where there is none."""
+    return look_up(df, **keys).orderBy(*order).limit(1)
+
+
 def entry(array: Column, index: int) -> Column:
     """An entry by index; negative ones count from the end; NULL where there is none."""
     return F.get(array, F.lit(index)) if index >= 0 else F.get(array, F.size(array) + index)
@@ -282,16 +288,6 @@ def route_from_resource_id(text: str, root: Node) -> list[tuple[str, dict]]:
     return out
 
 
-def canonical_instance_id(text: Column) -> Column:
-    """An instance identifier with single quotes and without blanks, as ``entry_path`` writes it; NULL where it is none."""
-    name = r"(?:[A-Za-z_][\w.-]*:)?[A-Za-z_][\w.-]*"
-    pick = rf"""\[\s*(?:[0-9]+|(?:\.|{name})\s*=\s*(?:'[^']*'|"(?:[^"\\]|\\.)*"))\s*\]"""
-    sound = F.regexp_like(text, F.lit(rf"\A(?:/{name}(?:{pick})*)+\z"))
-    bare = F.regexp_replace(F.regexp_replace(text, r"\[\s+", "["), r"""(?<=['"0-9])\s+\]""", "]")
-    bare = F.regexp_replace(bare, rf"""\[(\.|{name})\s*=\s*(['"])""", "[$1=$2")
-    return F.when(sound, F.regexp_replace(bare, r"""="([^'"\\]*)"\]""", "='$1']"))
-
-
 def follow(route: list[tuple[str, dict]], tables: dict[str, DataFrame], model: Node | None = None) -> DataFrame:
     """The instances at a route into tables: a list, then members of its entries; no rows where there are none.
 

@@ -114,8 +114,9 @@ def validate(df: DataFrame, model: Node, doc: str = "doc", content: int = ALL, s
     """The columns of ``df`` but the document, with its violations as rows and their place ``seq``; of the first only with ``first_only``."""
     keep = [c for c in df.columns if c != doc]
     found = violations(document(model, F.col(doc)), content, scope)
-    rows = df.select(*keep, F.posexplode(F.slice(found, 1, 1) if first_only else found).alias("seq", "v"))
-    return rows.select(*keep, "seq", "v.*")
+    # the array is a column of its own first: a generator over parts of a struct can lose rows when columns are pruned
+    rows = df.select(*keep, (F.slice(found, 1, 1) if first_only else found).alias("_found"))
+    return rows.select(*keep, F.posexplode("_found").alias("seq", "v")).select(*keep, "seq", "v.*")
 
 
 def _violation(bad: Column, path: Column, schema_path: str, cls: str, tag: str, message: str | None = None) -> Column:
@@ -474,6 +475,11 @@ def decode_errors(doc: Column, model: Node, annotations: dict[str, ty.Type] | No
     return F.when(doc.isNull(), empty).when(~kind_of(doc, "OBJECT"), F.array(error(F.lit("/"), "raw-type"))).otherwise(members(doc, model, F.lit("")))
 
 
+def member_names(ctx: Context) -> Column:
+    """Names of the members that a container, an entry or the document has."""
+    return F.array_compact(F.array(*[F.when(v.isNotNull(), F.lit(qualified(c, ctx.node))) for c, v in _members(ctx)]))
+
+
 # all nodes
 
 
@@ -504,7 +510,8 @@ def nodes(ctx: Context) -> Column:
 def node_rows(df: DataFrame, model: Node, doc: str = "doc") -> DataFrame:
     """The columns of ``df`` but the document, with its nodes as rows in document order (``pre``)."""
     keep = [c for c in df.columns if c != doc]
-    return df.select(*keep, F.posexplode(nodes(document(model, F.col(doc)))).alias("pre", "n")).select(*keep, "pre", "n.*")
+    rows = df.select(*keep, nodes(document(model, F.col(doc))).alias("_nodes"))
+    return rows.select(*keep, F.posexplode("_nodes").alias("pre", "n")).select(*keep, "pre", "n.*")
 
 
 # routes: steps of (name, selectors), as the parsers of ``navigation`` give them

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from arbora.functions import types as ty
+from arbora.operators import paths
 from arbora.operators.navigation import entry_path
 from arbora.plans.model import ALL, Node
 
@@ -31,12 +32,18 @@ def row_checks(df: DataFrame, node: Node, path: Column, schema_path: str, conten
         kids = [c for c in n.data_children() if c.name in df.columns] if n.kind in ("case", "choice") else [n]
         return reduce(lambda a, b: a | b, [F.col(f"`{k.name}`").isNotNull() for k in kids], F.lit(False))
 
-    def holds(cond: str) -> Column:
-        return F.coalesce(F.expr(cond), F.lit(False))
+    def holds(cond, at: Node | None = None) -> Column:
+        """A condition in SQL, or an expression at the entry or one of its leaves."""
+        if isinstance(cond, str):
+            return F.coalesce(F.expr(cond), F.lit(False))
+        names = [F.col(f"`{c.name}`") for c in node.data_children() if c.name in df.columns]
+        ctx = paths.document(node, F.struct(*names))
+        return cond.boolean(ctx if at is None else ctx.below(at, F.col(f"`{at.name}`")))
 
     def visit(n: Node, guards: list[str], needed: Column | None) -> None:
-        guards = guards + ([n.when] if n.when else [])
-        active = reduce(lambda a, b: a & b, [holds(g) for g in guards], F.lit(True))
+        own = n if n.kind in ("leaf", "leaf-list") and n.name in df.columns else None
+        guards = guards + ([(n.when, own)] if n.when is not None else [])
+        active = reduce(lambda a, b: a & b, [holds(*g) for g in guards], F.lit(True))
         if n.kind == "choice":
             cases = [present(c) for c in n.children]
             many = reduce(lambda a, b: a + b, [c.cast("int") for c in cases], F.lit(0))
@@ -45,7 +52,7 @@ def row_checks(df: DataFrame, node: Node, path: Column, schema_path: str, conten
                 checks.append((active & (many == 0), "schema", "missing-data", n.name, None))
             for c, here in zip(n.children, cases, strict=True):
                 for k in c.children:
-                    visit(k, guards + ([c.when] if c.when else []), here)
+                    visit(k, guards + ([(c.when, None)] if c.when is not None else []), here)
             return
         if n.kind not in ("leaf", "leaf-list") or n.name not in df.columns or not n.content() & content:
             return
@@ -69,7 +76,7 @@ def row_checks(df: DataFrame, node: Node, path: Column, schema_path: str, conten
             if n.config:
                 checks.append((here & (F.size(F.array_distinct(value)) < size), "semantic", "repeated-leaf-list-value", n.name, None))
         for m in n.must:
-            checks.append((here & ~holds(m.condition), "semantic", m.tag, n.name, m.message))
+            checks.append((here & ~holds(m.condition, n), "semantic", m.tag, n.name, m.message))
 
     for child in node.children:
         visit(child, [], None)
@@ -83,8 +90,6 @@ def row_checks(df: DataFrame, node: Node, path: Column, schema_path: str, conten
 
 def failing(df: DataFrame, node: Node, condition) -> DataFrame:
     """Entries of a list at which a path expression is false."""
-    from arbora.operators import paths
-
     names = [F.col(f"`{c.name}`") for c in node.data_children() if c.name in df.columns]
     return df.filter(~condition.boolean(paths.document(node, F.struct(*names))))
 
@@ -140,13 +145,28 @@ def validate_list(df: DataFrame, node: Node, tables: dict[str, DataFrame], conte
             many = not_unique(df, [], list(leaves), list(node.keys))
             text = F.concat_ws(" ", *[F.col(x).cast("string") for x in leaves])
             parts.append(many.select(*_violation(F.concat(F.lit(f"/{node.name}["), text, F.lit("]")), schema_path, "semantic", "data-not-unique", None)))
-        for c in node.data_children(content):
-            if c.leafref and c.require_instance:
-                lost = missing_instances(df, c.name, tables[c.leafref[0]], c.leafref[1])
-                parts.append(lost.select(*_violation(F.concat(path, F.lit(f"/{c.name}")), f"{schema_path}/{c.name}", "semantic", "instance-required", None)))
+        refs = [c for c in node.data_children(content) if c.leafref and c.require_instance and c.name in df.columns]
+        if refs:
+            parts.append(_lost_references(df, refs, tables, path, schema_path))
     return reduce(DataFrame.unionByName, parts)
 
 
+def _lost_references(df: DataFrame, refs: list[Node], tables: dict[str, DataFrame], path: Column, schema_path: str) -> DataFrame:
+    """Violations of all references of a list, in two passes over it.
+
+    The first takes the distinct canonical values of each reference, so a value that many rows share is sent once a task,
+    and keeps those without a target; the second names the rows that have them.
+    """
+    value = lambda c: F.struct(F.lit(c.name).alias("leaf"), ty.canon(F.col(f"`{c.name}`"), c.type).alias("value"))
+    each = F.filter(F.array(*[value(c) for c in refs]), lambda r: r["value"].isNotNull())
+    given = df.select(F.explode(each).alias("r")).select("r.leaf", "r.value").distinct()
+    found = [tables[c.leafref[0]].select(F.lit(c.name).alias("leaf"), ty.canon(F.col(c.leafref[1]), c.type).alias("value")) for c in refs]
+    lost = given.join(reduce(DataFrame.unionByName, found), ["leaf", "value"], "left_anti")
+    rows = df.select(path.alias("path"), F.explode(each).alias("r")).select("path", "r.leaf", "r.value").join(lost, ["leaf", "value"], "left_semi")
+    at = lambda base: F.concat(base, F.lit("/"), F.col("leaf"))
+    return rows.select(at(F.col("path")).alias("instance_path"), at(F.lit(schema_path)).alias("schema_path"), F.lit("semantic").alias("error_class"), F.lit("instance-required").alias("error_tag"), F.lit(None).cast("string").alias("error_message"))
+
+
 def value_counts(tables: dict[str, DataFrame], root: Node) -> DataFrame:
     """How many instances each leaf of each list has: (schema_path, n)."""
     out = []

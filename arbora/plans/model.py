@@ -126,6 +126,14 @@ class Node:
             out.append(out[-1].data_child(step))
         return tuple(out)
 
+    def schema_route(self, path: str) -> list[tuple[str, str]]:
+        """(module, name) of the nodes along a schema path, choices and cases included."""
+        node, out = self, []
+        for step in filter(None, path.split("/")):
+            node = node.child(step.rpartition(":")[2])
+            out.append((node.ns, node.name))
+        return out
+
     def operations(self) -> list[Node]:
         return [c for c in self.children if c.kind in ("rpc", "action", "notification")]
 

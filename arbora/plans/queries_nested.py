@@ -117,7 +117,7 @@ def nested_defaults_accounts(t):
 
 @query("SELECT r_regionkey AS key, '/extra:notes/lang' AS path, 'en' AS value FROM region")
 def nested_defaults_in_use(t):
-    return areas(t).select("key", F.inline(trees.defaults_in_use(AREAS.at())))
+    return areas(t).select("key", trees.defaults_in_use(AREAS.at()).alias("used")).select("key", F.inline("used"))
 
 
 # encoding

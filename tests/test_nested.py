@@ -12,6 +12,7 @@ from arbora.functions.types import Type
 from arbora.operators import navigation as nav
 from arbora.operators import paths as px
 from arbora.operators import trees as tr
+from arbora.operators import validation as v
 from arbora.operators.paths import current, here, last, position, root
 from arbora.plans import model as m
 from arbora.plans.data_model import DataModel
@@ -402,3 +403,34 @@ def test_between_lists(spark):
     assert [r.k for r in nav.where_exists(a, b, on, F.col("y") > 5, negate=True).collect()] == [3]
     got = nav.child_values(b, a, [("q", "k")], n=F.count("x"), top=F.max("x")).orderBy("q").collect()
     assert [(r.q, r.n, r.top) for r in got] == [(1, 2, 9), (2, 1, 7), (3, 0, None)]
+
+
+def test_unions_identifiers_and_names(spark, docs):
+    kind = Type("union", members=(INT, Type("boolean"), TEXT))
+    model = m.container("t", m.leaf("u", kind), m.leaf("at", Type("instance-identifier")))
+    df = spark.createDataFrame([('{"u":5}',), ('{"u":true}',), ('{"u":"x","at":"/a[ b = \\"1\\" ]"}',)], "raw string")
+    own = DataModel(model)
+    back = own.from_raw(df).select(own.to_json()).collect()
+    assert [r[0] for r in back] == ['{"u":5}', '{"u":true}', '{"u":"x","at":"/a[b=\'1\']"}']
+    assert docs.filter("i = 1").select(tr.member_names(CTX())).first()[0] == ["c", "other:pc"]
+    assert ty.resolve_name("p:x", {"p": "mod"}, "own") == ("mod", "x") and ty.resolve_name("x", {}, "own") == ("own", "x")
+    with pytest.raises(KeyError):
+        ty.resolve_name("q:x", {}, "own")
+    assert SHOP.schema_route("/c/ch/q/q1") == [("", "c"), ("", "ch"), ("", "q"), ("", "q1")]
+    first = nav.look_up_first(spark.createDataFrame([(2, "a"), (1, "a"), (0, "b")], "k int, v string"), ["k"], v="a")
+    assert [r.k for r in first.collect()] == [1]
+
+
+def test_conditions_of_tables_as_expressions(spark):
+    lst = m.list_("l", "k", m.leaf("k", INT), m.leaf("v", INT, must=(m.Must(here > here.parent().child("k")),)), m.leaf("w", INT, when=here.parent().child("v") == 5), must=(m.Must(here.child("k") < 3, "big"),))
+    df = spark.createDataFrame([(1, 5, 1), (2, 1, 1), (3, 9, None)], "k int, v int, w int")
+    got = sorted((r.instance_path, r.error_tag) for r in v.validate_list(df, lst, {}).collect())
+    assert got == [("/l[k='2']/v", "must-violation"), ("/l[k='2']/w", "member-not-allowed"), ("/l[k='3']", "big")]
+
+
+def test_references_of_tables(spark):
+    lst = m.list_("l", "k", m.leaf("k", INT), m.leaf("a", INT, leafref=("t", "id")), m.leaf("b", INT, leafref=("t", "id")), m.leaf("c", INT, leafref=("t", "id"), require_instance=False))
+    df = spark.createDataFrame([(1, 5, 6, 0), (2, 5, None, 0), (3, 7, 5, 0)], "k int, a int, b int, c int")
+    targets = spark.createDataFrame([(5,), (5,)], "id long")
+    got = sorted(r.instance_path for r in v.validate_list(df, lst, {"t": targets}, scope="semantics").collect())
+    assert got == ["/l[k='1']/b", "/l[k='3']/a"]
