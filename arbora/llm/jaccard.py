@@ -400,7 +400,7 @@ def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
 
 def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, key (of id and text), n, component (a class; null without words) for every row."""
-    spark = docs.sparkSession
+    spark, start = docs.sparkSession, runtime.mark()
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for seed in (0, 1000, 2000, 3000):
         digests = runtime.materialize(digest_sets(docs, size, seed), "digests")
@@ -445,7 +445,10 @@ def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
 
     placed = rows.join(parts.withColumnRenamed("node", "cls"), "cls", "left")
     placed = placed.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
-    return runtime.materialize(placed, "placed")
+    placed = runtime.materialize(placed, "placed")
+    counts.destroy()
+    runtime.clear_since(spark, start)
+    return placed
 
 
 def _joined(parts: DataFrame, edges: DataFrame) -> DataFrame:

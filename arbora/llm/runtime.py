@@ -56,6 +56,22 @@ def drop(spark: SparkSession, table: DataFrame) -> None:
     jvm.java.lang.System.gc()
 
 
+def mark() -> int:
+    """A point in the list of what was written, for ``clear_since``."""
+    return len(_written)
+
+
+def clear_since(spark: SparkSession, start: int) -> None:
+    """Remove all that was written since a mark but the last: what a result was made of, once it is written itself."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written[start:-1]:
+        own = jvm.org.apache.hadoop.fs.Path(path)
+        own.getFileSystem(conf).delete(own, True)
+    del _written[start:-1]
+    gc.collect()
+    jvm.java.lang.System.gc()
+
+
 def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
     path = scratch_path(df.sparkSession, tag)
