@@ -16,8 +16,8 @@ Every byte covered by a ``length``-byte string that also starts elsewhere is rem
    suffix; intervals of ``length`` bytes or more are the repeats, and their bytes are covered.
 5. *Ends.*  What is left are strings that begin or end within a phrase at the ends of a repeat: the phrases in their
    middle are a repeated interval, but those around them are not.  Runs of such strings with the same middle are looked up
-   first, then the strings of those runs that occur again, at ends or not.  Middles and strings are named by 96-bit
-   BLAKE2b digests, as phrases are in the first round; nothing else is compared by a digest.
+   first, then the strings of those runs that occur again, at ends or not.  Both are compared by 96 bits of two
+   polynomials modulo a prime at bases drawn for the run; phrases, in the first round, by BLAKE2b digests of 96 bits.
 
 Messages are packed arrays, dealt by a hash of the interval; a shard sends a run once, so an interval that a third of all
 texts share costs one entry a shard.  Shards grow from 1 to 8 MB with the input, for fewer entries.  They are a table
@@ -33,6 +33,7 @@ results.  Only the id and the text are read.
 from __future__ import annotations
 
 import hashlib
+import secrets
 import uuid
 from collections.abc import Iterator
 from typing import NamedTuple
@@ -51,7 +52,7 @@ GRAM = 8
 STEP = 2
 MAX_DEPTH = 13
 SHARD_BYTES = (1 << 20, 1 << 23)
-BUCKET_KEYS = 1_000_000
+BUCKET_KEYS = 250_000
 #: Phrases are no longer than two windows.
 SIZE = "<u2"
 #: Digests have 96 bits: three numbers of this kind.
@@ -334,19 +335,18 @@ def _refine(attached: DataFrame, depth: int, buckets: int, length: int, kind: st
     """A round: shards take the names of the intervals of the round before and send their runs at ``depth``."""
 
     def refine(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row, length, kind)
-                if depth == 1:
-                    interval = None
-                elif depth == 1 + STEP:
-                    interval = shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], DIGEST).reshape(-1, WIDTH), buckets), kind))
-                else:
-                    interval = shard.learn(depth - STEP, _answers(row, np.frombuffer(row["dealt"], "<i4"), kind))
-                keys, counts = shard.extend(depth, interval)
-                if depth == 1:
-                    keys = np.frombuffer(row["digests"], DIGEST).reshape(-1, WIDTH)
-                yield _sent(row["shard"], keys, counts, buckets, shard.deep.tobytes(), shard.named.tobytes(), shard.names.tobytes(), shard.rows.tobytes(), shard.runs.tobytes(), keep=depth > 1)
+        for row in _rows(batches):
+            shard = Shard(row, length, kind)
+            if depth == 1:
+                interval = None
+            elif depth == 1 + STEP:
+                interval = shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], DIGEST).reshape(-1, WIDTH), buckets), kind))
+            else:
+                interval = shard.learn(depth - STEP, _answers(row, np.frombuffer(row["dealt"], "<i4"), kind))
+            keys, counts = shard.extend(depth, interval)
+            if depth == 1:
+                keys = np.frombuffer(row["digests"], DIGEST).reshape(-1, WIDTH)
+            yield _sent(row["shard"], keys, counts, buckets, shard.deep.tobytes(), shard.named.tobytes(), shard.names.tobytes(), shard.rows.tobytes(), shard.runs.tobytes(), keep=depth > 1)
 
     return attached.mapInArrow(refine, ROUND)
 
@@ -359,23 +359,22 @@ def _sent(shard: int, keys: np.ndarray, counts: np.ndarray, buckets: int, *state
     return _batch(rows, ROUND)
 
 
-def _ends(attached: DataFrame, depth: int, buckets: int, length: int, kind: str) -> DataFrame:
+def _ends(attached: DataFrame, depth: int, buckets: int, length: int, kind: str, bases: list[int]) -> DataFrame:
     """The pieces of strings that may be repeated, by digests of what each holds; the state holds the bytes covered so far, as spans."""
 
     def ends(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                shard = Shard(row, length, kind)
-                if depth == 1:
-                    shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], DIGEST).reshape(-1, WIDTH), buckets), kind))
-                else:
-                    shard.learn(depth, _answers(row, np.frombuffer(row["dealt"], "<i4"), kind))
-                lens, suffixes = np.array(row["lens"], np.int64), np.frombuffer(row["suffixes"], "<u4")
-                covered, pieces = shard.shares(shard.starts(lens, suffixes), lens, suffixes)
-                name, keys, counts = _digests(_text(row), pieces.a, pieces.b)
-                looked = np.bincount(name, weights=pieces.unsettled, minlength=len(keys)) > 0
-                a, b = _spans(covered)
-                yield _sent(row["shard"], keys, np.where(looked, counts, counts ^ LOOK), buckets, *[x.astype("<u4").tobytes() for x in (pieces.hi, a, b, pieces.lo, name)])
+        for row in _rows(batches):
+            shard = Shard(row, length, kind)
+            if depth == 1:
+                shard.learn(1, _answers(row, _bucket(np.frombuffer(row["digests"], DIGEST).reshape(-1, WIDTH), buckets), kind))
+            else:
+                shard.learn(depth, _answers(row, np.frombuffer(row["dealt"], "<i4"), kind))
+            lens, suffixes = np.array(row["lens"], np.int64), np.frombuffer(row["suffixes"], "<u4")
+            covered, pieces = shard.shares(shard.starts(lens, suffixes), lens, suffixes)
+            name, keys, counts = _digests(_text(row), pieces.a, pieces.b, bases)
+            looked = np.bincount(name, weights=pieces.unsettled, minlength=len(keys)) > 0
+            a, b = _spans(covered)
+            yield _sent(row["shard"], keys, np.where(looked, counts, counts ^ LOOK), buckets, *[x.astype("<u4").tobytes() for x in (pieces.hi, a, b, pieces.lo, name)])
 
     return attached.mapInArrow(ends, ROUND)
 
@@ -388,29 +387,82 @@ def _open_strings(row: dict, kind: str, length: int) -> np.ndarray:
     return np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
 
 
-def _strings(attached: DataFrame, buckets: int, length: int, kind: str) -> DataFrame:
+def _strings(attached: DataFrame, buckets: int, length: int, kind: str, bases: list[int]) -> DataFrame:
     """Messages of the strings of open pieces, one by one."""
 
     def strings(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                p = _open_strings(row, kind, length)
-                _, keys, counts = _digests(_text(row), p, p + length)
-                rows = [(row["shard"], k, keys[at].tobytes(), counts[at].tobytes()) for k, at in _deal(_bucket(keys, buckets))]
-                if rows:
-                    yield _batch(rows, MESSAGE)
+        for row in _rows(batches):
+            p = _open_strings(row, kind, length)
+            _, keys, counts = _digests(_text(row), p, p + length, bases)
+            rows = [(row["shard"], k, keys[at].tobytes(), counts[at].tobytes()) for k, at in _deal(_bucket(keys, buckets))]
+            if rows:
+                yield _batch(rows, MESSAGE)
 
     return attached.mapInArrow(strings, MESSAGE)
 
 
-def _digests(text: bytes, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(number of each span's digest, digests, how many spans have each: 1, or 2 for more; all are to be looked at)."""
-    view, ids = memoryview(text), {}
-    name = np.array([ids.setdefault(hashlib.blake2b(view[x:y], digest_size=4 * WIDTH).digest(), len(ids)) for x, y in zip(a.tolist(), b.tolist(), strict=True)], np.int64)
-    keys = np.frombuffer(b"".join(ids), DIGEST).reshape(-1, WIDTH)
-    return name, keys, np.minimum(np.bincount(name, minlength=len(ids)), 2).astype(np.uint8) | LOOK
+PRIME = (1 << 61) - 1
+_M, _31, _30, _61 = tk.U64(PRIME), tk.U64(31), tk.U64(30), tk.U64(61)
+_LOW31, _LOW30 = tk.U64((1 << 31) - 1), tk.U64((1 << 30) - 1)
+_powers: dict[int, np.ndarray] = {}
+
+
+def _residue(x: np.ndarray) -> np.ndarray:
+    x = (x & _M) + (x >> _61)
+    return np.where(x >= _M, x - _M, x)
+
+
+def multiply(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Products modulo ``PRIME`` of numbers below it."""
+    x1, x0, y1, y0 = x >> _31, x & _LOW31, y >> _31, y & _LOW31
+    middle = x1 * y0 + x0 * y1
+    return _residue((x1 * y1 << tk.U64(1)) + (middle >> _30) + ((middle & _LOW30) << _31) + x0 * y0)
 
 
+def powers(base: int, n: int) -> np.ndarray:
+    """The first powers of a base modulo ``PRIME``; kept and grown as needed."""
+    table = _powers.get(base, np.ones(1, tk.U64))
+    while len(table) < n:
+        table = np.concatenate([table, multiply(table, np.full(1, pow(base, len(table), PRIME), tk.U64))])
+    _powers[base] = table
+    return table
+
+
+def prints(text: np.ndarray, a: np.ndarray, b: np.ndarray, base: int) -> np.ndarray:
+    """A polynomial of the bytes of each span a..b, modulo ``PRIME`` at a base."""
+    n, most = len(text), 1 << 40
+    up = powers(base, n + 1)
+    letters = text.astype(tk.U64) + tk.U64(1)
+    high, low = np.zeros(n + 1, tk.U64), np.zeros(n + 1, tk.U64)
+    np.cumsum(letters * (up[:n] >> _31), out=high[1:])
+    np.cumsum(letters * (up[:n] & _LOW31), out=low[1:])
+    h, v = high[b] - high[a], low[b] - low[a]
+    value = _residue((h >> _30) + ((h & _LOW30) << _31) + _residue(v))
+    # from its place in the text to a common one
+    return multiply(multiply(value, up[n - a]), np.full(1, pow(base, most - n, PRIME), tk.U64))
+
+
+def _digests(text: bytes, a: np.ndarray, b: np.ndarray, bases: list[int]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each span's digest, digests, how many spans have each: 1, or 2 for more; all are to be looked at)."""
+    if not len(a):
+        return np.zeros(0, np.int64), np.zeros((0, WIDTH), DIGEST), np.zeros(0, np.uint8)
+    x, y = (prints(np.frombuffer(text, np.uint8), a, b, base) for base in bases)
+    order = np.lexsort((y, x))
+    new = np.ones(len(a), bool)
+    new[1:] = (x[order][1:] != x[order][:-1]) | (y[order][1:] != y[order][:-1])
+    name = np.empty(len(a), np.int64)
+    name[order] = np.cumsum(new) - 1
+    x, y = x[order][new], y[order][new]
+    low = tk.U64((1 << 32) - 1)
+    keys = np.column_stack([x & low, y & low, x >> tk.U64(32) | (y >> tk.U64(32) & tk.U64(7)) << tk.U64(29)]).astype(DIGEST)
+    return name, keys, np.minimum(np.bincount(name), 2).astype(np.uint8) | LOOK
+
+
+def _rows(batches) -> Iterator[dict]:
+    """Rows of batches, one at a time."""
+    for batch in batches:
+        for k in range(batch.num_rows):
+            yield {c: batch.column(i)[k].as_py() for i, c in enumerate(batch.schema.names)}
 
 
 def _merge(messages: DataFrame, width: int, kind: str, named: str, buckets: int) -> DataFrame:
@@ -474,6 +526,9 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int | None =
     # names of intervals: of four bytes while there are far fewer suffixes
     named = "<u4" if phrases < 1 << 28 else "<u8"
 
+    # drawn anew for each run, so no text can be made to collide
+    bases = [secrets.randbelow(PRIME - 1000) + 500 for _ in range(2)]
+
     sent, depth = None, 1
     while True:
         own = shards.select("shard", "transform", "sizes", *(["digests"] if depth <= 1 + STEP else []))
@@ -484,32 +539,31 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int | None =
             break
         depth += STEP
     own = shards.select("shard", "lens", "text", "suffixes", "transform", "sizes", *(["digests"] if depth == 1 else []))
-    ended = _ends(_attach(own, sent, *((WIDTH, DIGEST) if depth == 1 else (STEP + 1, named)), named, buckets), depth, buckets, length, named)
+    ended = _ends(_attach(own, sent, *((WIDTH, DIGEST) if depth == 1 else (STEP + 1, named)), named, buckets), depth, buckets, length, named, bases)
     sent = table(ended, "ends", sent)
     own = _attach(shards.select("shard", "doc_ids", "lens", "text"), sent, WIDTH, DIGEST, named, buckets)
     # the strings are many and soon made: they are sent from here, and made again where the replies come back
-    replies = _replies(_strings(own.drop("doc_ids"), buckets, length, named), WIDTH, DIGEST, named, buckets, "found")
+    replies = _replies(_strings(own.drop("doc_ids"), buckets, length, named, bases), WIDTH, DIGEST, named, buckets, "found")
 
     def finish(batches) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                bounds = np.concatenate([[0], np.cumsum(row["lens"])]).astype(np.int64)
-                unpack = lambda c: np.frombuffer(row[c], "<u4").astype(np.int64)  # noqa: B023, E731
-                raw, left = _text(row), _open_strings(row, named, length)
-                name, keys, _ = _digests(raw, left, left + length)
-                left = left[(_answers(row, _bucket(keys, buckets), named, "found") > 0)[name]]
-                mark = np.zeros(int(bounds[-1]) + 1, np.int32)
-                for at, to in ((unpack("named"), unpack("names")), (left, left + length)):
-                    np.add.at(mark, at, 1)
-                    np.add.at(mark, to, -1)
-                covered, text = np.cumsum(mark[:-1]) > 0, np.frombuffer(raw, np.uint8)
-                out = []
-                for d, a, b in zip(row["doc_ids"], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-                    gone = covered[a:b]
-                    spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
-                    kept = text[a:b][~gone].tobytes() if spans else raw[a:b]
-                    out.append((d, b - a, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
-                yield _batch(out, RESULT + ", kept binary")
+        for row in _rows(batches):
+            bounds = np.concatenate([[0], np.cumsum(row["lens"])]).astype(np.int64)
+            unpack = lambda c: np.frombuffer(row[c], "<u4").astype(np.int64)  # noqa: B023, E731
+            raw, left = _text(row), _open_strings(row, named, length)
+            name, keys, _ = _digests(raw, left, left + length, bases)
+            left = left[(_answers(row, _bucket(keys, buckets), named, "found") > 0)[name]]
+            mark = np.zeros(int(bounds[-1]) + 1, np.int32)
+            for at, to in ((unpack("named"), unpack("names")), (left, left + length)):
+                np.add.at(mark, at, 1)
+                np.add.at(mark, to, -1)
+            covered, text = np.cumsum(mark[:-1]) > 0, np.frombuffer(raw, np.uint8)
+            out = []
+            for d, a, b in zip(row["doc_ids"], bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+                gone = covered[a:b]
+                spans = int(gone[:1].sum() + (gone[1:] & ~gone[:-1]).sum())
+                kept = text[a:b][~gone].tobytes() if spans else raw[a:b]
+                out.append((d, b - a, int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept))
+            yield _batch(out, RESULT + ", kept binary")
 
     return own.join(replies, "shard", "left").mapInArrow(finish, RESULT + ", kept binary")
 

@@ -673,3 +673,20 @@ def test_tokens_of_another_kind_of_vocabulary():
     enc = tokens.Encoder(tokens.public_path("byte_bpe_50k.json"))
     assert not enc.by_chunks and enc.encode("A b\n c") == enc.whole("A b\n c")
     assert tokens.Encoder(tokenizer_path()).by_chunks
+
+
+def test_prints_of_spans_are_polynomials():
+    rng = np.random.default_rng(25)
+    p = suffixes.PRIME
+    x, y = (rng.integers(0, p, 200).astype(np.uint64) for _ in range(2))
+    x[:3] = y[:3] = [0, 1, p - 1]
+    assert suffixes.multiply(x, y).tolist() == [int(a) * int(b) % p for a, b in zip(x, y, strict=True)]
+    text = rng.integers(0, 256, 3000).astype(np.uint8)
+    text[1000:1400] = text[2000:2400]
+    a = np.array([0, 1000, 2000, 5, 1001])
+    got = suffixes.prints(text, a, a + 400, 12345678901234567).tolist()
+    # the same polynomial, moved to a common place
+    value = lambda s: sum((int(c) + 1) * pow(12345678901234567, k, p) for k, c in enumerate(text[s : s + 400])) * pow(12345678901234567, 1 << 40, p) % p
+    assert got == [value(s) for s in a.tolist()] and got[1] == got[2] and len(set(got)) == 4
+    name, keys, counts = suffixes._digests(text.tobytes(), a, a + 400, [12345678901234567, 7654321])
+    assert name[1] == name[2] and len(keys) == 4 and sorted((counts & 3).tolist()) == [1, 1, 1, 2]
