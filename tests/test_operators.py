@@ -134,7 +134,10 @@ def test_edits(spark):
 
 
 def test_routes(spark):
-    assert nav.route_from_instance_id("/m:c/list[k='a/b'][j=\"2\"]/leaf[.='x'][3]") == [("c", {}), ("list", {"k": "a/b", "j": "2"}), ("leaf", {".": "x", "#": 2})]
+    assert nav.route_from_instance_id("/m:c/list[k='a/b'][j=\"2\"]/leaf[.='x']") == [("c", {}), ("list", {"k": "a/b", "j": "2"}), ("leaf", {".": "x"})]
+    assert nav.route_from_instance_id("/m:c/leaf[3]") == [("c", {}), ("leaf", {"#": 2})]
+    with pytest.raises(nav.InvalidKeyValue):  # a value or a place is the only selector of its step
+        nav.route_from_instance_id("/m:c/leaf[.='x'][3]")
     assert nav.route_from_resource_id("/shelf=7/note", SHOP) == [("shelf", {"id": "7"}), ("note", {})]
     with pytest.raises(nav.InvalidKeyValue):
         nav.route_from_resource_id("/shelf=7,8", SHOP)
