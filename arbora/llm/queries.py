@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from arbora.llm import blockmax, decontaminate, itq, jaccard, licenses, packing, periodic, pii, rans, runtime, suffixes, tokens, toxicity, warc
+from arbora.llm import blockmax, decontaminate, itq, jaccard, licenses, packing, periodic, pii, rans, runtime, suffixes, superkmers, tokens, toxicity, warc
 
 tokenizer_path = tokens.public_path
 
@@ -68,6 +68,11 @@ def op11_blockmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blockmax.search(blockmax.build_index(_table(spark, sf_dir, "documents")), _table(spark, sf_dir, "benchmark"))
 
 
+def op12_superkmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = superkmers.remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op13_periodic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digest(periodic.periodic_runs(_table(spark, sf_dir, "documents"), change=periodic.repeat_tail))
 
@@ -79,9 +84,9 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_rans, op2_suffixes, op3_warc, op4_packing, op5_pii, op6_itq, op7_toxicity, op8_jaccard, op9_licenses, op10_winnowing, op11_blockmax, op13_periodic, pipeline)
+    every = (op1_rans, op2_suffixes, op3_warc, op4_packing, op5_pii, op6_itq, op7_toxicity, op8_jaccard, op9_licenses, op10_winnowing, op11_blockmax, op12_superkmers, op13_periodic, pipeline)
     return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_pii": pii.ORACLE_SQL, "op9_licenses": licenses.oracle_sql(), "op3_warc": warc.ORACLE_SQL, "op6_itq": itq.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL, "op10_winnowing": decontaminate.ORACLE_SQL, "op11_blockmax": blockmax.ORACLE_SQL, "op13_periodic": periodic.ORACLE_SQL}
+    return {"op5_pii": pii.ORACLE_SQL, "op9_licenses": licenses.oracle_sql(), "op3_warc": warc.ORACLE_SQL, "op6_itq": itq.ORACLE_SQL, "op8_jaccard": jaccard.ORACLE_SQL, "op10_winnowing": decontaminate.ORACLE_SQL, "op11_blockmax": blockmax.ORACLE_SQL, "op12_superkmers": superkmers.ORACLE_SQL, "op13_periodic": periodic.ORACLE_SQL}

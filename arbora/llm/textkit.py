@@ -87,11 +87,12 @@ class Words:
 
     __slots__ = ("base", "doc", "ends", "hashes", "n_docs", "starts", "text")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, is_word: np.ndarray, seed: int = 0):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, is_word: np.ndarray, seed: int = 0, lower: bool = True):
         self.base, self.n_docs = int(offsets[i]), j - i
         n = int(offsets[j]) - self.base
         self.text = np.zeros(n + 8, np.uint8)
-        self.text[:n] = text = LOWER[data[self.base : int(offsets[j])]]
+        own = data[self.base : int(offsets[j])]
+        self.text[:n] = text = LOWER[own] if lower else own
         bounds = offsets[i : j + 1] - self.base
         inside = is_word[text]
         before = np.empty(n, dtype=bool)
@@ -109,7 +110,7 @@ class Words:
         self.hashes = self.span_hash(self.starts, self.ends, seed)
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
-        """Hash of the lower-cased bytes of each span."""
+        """Hash of the bytes of each span, lower-cased if the words are."""
         return hash_spans(self.text, starts, ends, seed)
 
     def counts(self) -> np.ndarray:
