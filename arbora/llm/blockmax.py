@@ -18,12 +18,13 @@ query's text has to fit into memory.
 Nulls, empty texts and texts without terms are in no block and count for nothing.  Repeated documents are ranked one by
 one.  Queries that share id and text are one query; those that share the id only are ranked apart, under the same id.
 Equal scores go by ascending ``doc_id``, null ids last.  Empty tables, and queries without hits, give no rows.  Only ids
-and texts are read, so other columns cannot clash.  A document of more than ``BLOCK_POSTINGS`` terms is a block alone.
+and texts are read, so other columns cannot clash.  A document of more than ``block_postings`` terms is a block alone.
 """
 
 from __future__ import annotations
 
 import math
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -39,21 +40,28 @@ BLOCK_DOCS = 128
 BLOCK_POSTINGS = 40_000
 CHUNK = 4096
 CHUNK_TERMS = 1_000_000
-FORWARD = "block_id long, doc_ids array<long>, lengths array<long>, ends array<int>, terms array<long>, df array<int>, slot array<int>, tf array<int>"
-INDEX = FORWARD + ", impact array<int>, maxima array<int>"
+INDEX = "block_id long, doc_ids array<long>, ends binary, terms binary, df binary, slot binary, tf binary, impact binary, maxima binary"
 
 
 def _arrow(ddl: str) -> pa.Schema:
-    kinds = {"long": pa.int64(), "int": pa.int32(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}
+    kinds = {"long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}
     return pa.schema([(n, kinds[k]) for n, k in (part.split() for part in ddl.split(", "))])
 
 
-def _cells(batch: pa.RecordBatch, name: str) -> list[np.ndarray]:
-    """The arrays of a list column."""
-    column = batch.column(batch.schema.get_field_index(name))
-    ends = column.offsets.to_numpy()
-    values = column.values.to_numpy(zero_copy_only=False)
-    return [values[a:b] for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+def _bytes(a: np.ndarray) -> bytes:
+    """Unsigned numbers in as few bytes each as the largest needs."""
+    top = int(a.max()) if len(a) else 0
+    return a.astype("<u1" if top < 1 << 8 else "<u2" if top < 1 << 16 else "<u4").tobytes()
+
+
+def _numbers(cell: pa.Scalar, n: int) -> np.ndarray:
+    """The ``n`` numbers of a cell."""
+    raw = cell.as_buffer()
+    return np.frombuffer(raw, f"<u{raw.size // max(1, n)}").astype(np.int64)
+
+
+def _terms(cell: pa.Scalar) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), "<u8")
 
 
 def _postings(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -63,16 +71,19 @@ def _postings(w: tk.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return pair // max(1, len(terms)), terms[pair % max(1, len(terms))] if len(terms) else terms, counts
 
 
-def _block(number: int, ids: list, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, length: np.ndarray) -> dict:
+def _block(number: int, ids: list, doc: np.ndarray, term: np.ndarray, tf: np.ndarray, impact: np.ndarray) -> dict:
     """A row of the index: postings of some documents, numbered from 0, each with a term at least."""
     terms, slot, df = np.unique(term, return_inverse=True, return_counts=True)
     ends = np.searchsorted(doc, np.arange(len(ids)), side="right")
-    return {"block_id": number, "doc_ids": ids, "lengths": length, "ends": ends.astype(np.int32), "terms": terms.view(np.int64), "df": df.astype(np.int32), "slot": slot.astype(np.int32), "tf": tf.astype(np.int32)}
+    order = np.argsort(slot, kind="stable")
+    maxima = np.maximum.reduceat(impact[order], np.cumsum(df) - df)
+    numbers = {"ends": ends, "df": df, "slot": slot, "tf": tf, "impact": impact, "maxima": maxima}
+    return {"block_id": number, "doc_ids": ids, "terms": terms.astype("<u8").tobytes()} | {k: _bytes(v) for k, v in numbers.items()}
 
 
-def _forward(batches):
+def _blocks(batches, n_docs: int, n_terms: int, block_docs: int, block_postings: int):
     """Blocks of the documents of a task, in the order in which they are read."""
-    schema, base, made = _arrow(FORWARD), TaskContext.get().partitionId() << 32, 0
+    schema, base, made = _arrow(INDEX), TaskContext.get().partitionId() << 32, 0
     for batch in batches:
         data, offsets = tk.string_buffers(batch.column(1))
         ids = batch.column(0).to_pylist()
@@ -80,16 +91,16 @@ def _forward(batches):
             w = tk.Words(data, offsets, i, j, tk.ALNUM)
             doc, term, tf = _postings(w)
             n = w.counts()
+            impact = impacts(tf, n[doc], n_docs, n_terms)
             there = np.flatnonzero(n)
             ends = np.searchsorted(doc, there, side="right")
             rows, a, first = [], 0, 0
             while a < len(there):
-                b = int(np.searchsorted(ends, first + BLOCK_POSTINGS, side="right"))
-                b = min(max(b, a + 1), a + BLOCK_DOCS, len(there))
-                last = int(ends[b - 1])
-                own = np.searchsorted(there[a:b], doc[first:last])
-                rows.append(_block(base + made, [ids[i + x] for x in there[a:b].tolist()], own, term[first:last], tf[first:last], n[there[a:b]]))
-                made, a, first = made + 1, b, last
+                b = int(np.searchsorted(ends, first + block_postings, side="right"))
+                b = min(max(b, a + 1), a + block_docs, len(there))
+                own = slice(first, int(ends[b - 1]))
+                rows.append(_block(base + made, [ids[i + x] for x in there[a:b].tolist()], np.searchsorted(there[a:b], doc[own]), term[own], tf[own], impact[own]))
+                made, a, first = made + 1, b, own.stop
             if rows:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
@@ -108,37 +119,45 @@ def weight(df: int, n_docs: int) -> int:
     return math.floor(1000 * math.log((2 * n_docs + 2) / (2 * df + 1)))
 
 
-def build_index(docs: DataFrame) -> DataFrame:
-    """The index as a table in the shared folder: a row for each block."""
-    spark = docs.sparkSession
-    forward = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_forward, FORWARD)
-    forward = runtime.materialize(forward, "forward")
-    n_docs, n_terms = totals(forward)
+def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_postings: int = BLOCK_POSTINGS) -> DataFrame:
+    """The index as a table in the shared folder: a row for each block.  Documents are read twice: impacts need the totals."""
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    n_docs, n_terms = totals(docs)
+    return runtime.materialize(docs.mapInArrow(lambda batches: _blocks(batches, n_docs, n_terms, block_docs, block_postings), INDEX), "index")
 
-    def finish(batches):
-        schema = _arrow(INDEX)
-        for batch in batches:
-            all_impacts, all_maxima = [], []
-            for length, ends, terms, slot, tf in zip(*[_cells(batch, c) for c in ("lengths", "ends", "terms", "slot", "tf")], strict=True):
-                impact = impacts(tf, np.repeat(length, np.diff(ends, prepend=0)), n_docs, n_terms)
-                order = np.argsort(slot, kind="stable")
-                starts = np.searchsorted(slot[order], np.arange(len(terms)))
-                all_impacts.append(impact.astype(np.int32))
-                all_maxima.append(np.maximum.reduceat(impact[order], starts).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(all_impacts, pa.list_(pa.int32())), pa.array(all_maxima, pa.list_(pa.int32()))], schema=schema)
 
-    index = runtime.materialize(forward.mapInArrow(finish, INDEX), "index")
-    runtime.drop(spark, forward)
-    return index
+def totals(docs: DataFrame) -> tuple[int, int]:
+    """Documents with a term, and all their terms with repeats."""
 
+    def count(batches):
+        n_docs = n_terms = 0
+        for batch in batches:
+            data, offsets = tk.string_buffers(batch.column(0))
+            for i, j in tk.slices(offsets):
+                n = tk.Words(data, offsets, i, j, tk.ALNUM, hashed=False).counts()
+                n_docs, n_terms = n_docs + int((n > 0).sum()), n_terms + int(n.sum())
+        yield pa.RecordBatch.from_arrays([pa.array([n_docs]), pa.array([n_terms])], names=["n", "l"])
 
-def totals(index: DataFrame) -> tuple[int, int]:
-    """Documents with a term, and all their terms with repeats."""
-    add = F.aggregate("lengths", F.lit(0).cast("long"), lambda a, x: a + x)
-    row = index.agg(F.sum(F.size("doc_ids")).alias("n"), F.sum(add).alias("l")).first()
+    row = docs.select("text").mapInArrow(count, "n long, l long").agg(F.sum("n").alias("n"), F.sum("l").alias("l")).first()
     return row.n or 0, row.l or 0
 
 
+class Block:
+    """A row of the index.  Its forward index is unpacked when it is scored first."""
+
+    def __init__(self, ids: list, ends: pa.Scalar, terms: pa.Scalar, slot: pa.Scalar, impact: pa.Scalar, maxima: pa.Scalar):
+        self.ids, self.terms = ids, _terms(terms)
+        self.maxima = _numbers(maxima, len(self.terms))
+        ends = _numbers(ends, len(ids))
+        self.starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        self._packed = (slot, impact, int(ends[-1]))
+
+    @cached_property
+    def postings(self) -> tuple[np.ndarray, np.ndarray]:
+        slot, impact, n = self._packed
+        return _numbers(slot, n), _numbers(impact, n)
+
+
 class Queries:
     """Some queries: distinct terms of each with their repeats, and the distinct terms of all."""
 
@@ -167,14 +186,15 @@ class Queries:
         most = np.where(there, maxima[at], 0).astype(np.int64)
         return np.add.reduceat(self.weights * most[self.number], self.starts)
 
-    def scores(self, q: int, at: np.ndarray, there: np.ndarray, n: int, slot: np.ndarray, impact: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    def scores(self, q: int, at: np.ndarray, there: np.ndarray, block: Block) -> np.ndarray:
         """The score of each document of a block for a query, from the forward index."""
         own = slice(int(self.starts[q]), int(self.ends[q]))
         number = self.number[own]
         held = there[number]
-        by_slot = np.zeros(n, np.int64)
+        by_slot = np.zeros(len(block.terms), np.int64)
         by_slot[at[number[held]]] = self.weights[own][held]
-        return np.add.reduceat(by_slot[slot] * impact, starts)
+        slot, impact = block.postings
+        return np.add.reduceat(by_slot[slot] * impact, block.starts)
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -201,8 +221,9 @@ def _document_counts(index: DataFrame, terms: np.ndarray) -> dict[int, int]:
     def count(batches):
         for batch in batches:
             total = np.zeros(len(terms), np.int64)
-            for own, df in zip(_cells(batch, "terms"), _cells(batch, "df"), strict=True):
-                own = own.view(np.uint64)
+            for own, df in zip(*batch.columns, strict=True):
+                own = _terms(own)
+                df = _numbers(df, len(own))
                 at = np.minimum(np.searchsorted(own, terms), len(own) - 1)
                 total += np.where(own[at] == terms, df[at], 0)
             on = np.flatnonzero(total)
@@ -218,8 +239,9 @@ def _likeliest_blocks(index: DataFrame, queries: Queries) -> list[int]:
     def bound(batches):
         best: list[tuple[int, int]] = [(0, -1)] * len(queries)
         for batch in batches:
-            for number, terms, maxima in zip(batch.column(0).to_pylist(), _cells(batch, "terms"), _cells(batch, "maxima"), strict=True):
-                own = queries.bounds(*queries.places(terms.view(np.uint64)), maxima)
+            for number, terms, maxima in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True):
+                terms = _terms(terms)
+                own = queries.bounds(*queries.places(terms), _numbers(maxima, len(terms)))
                 for q in np.flatnonzero(own > np.array([b[0] for b in best])).tolist():
                     best[q] = (int(own[q]), number)
         found = [(q, b, number) for q, (b, number) in enumerate(best) if b]
@@ -248,23 +270,20 @@ def _score(index: DataFrame, queries: Queries, thresholds: np.ndarray, k: int) -
         best: list[list[tuple]] = [[] for _ in range(len(queries))]
         least, scored = thresholds.copy(), np.zeros(len(queries), np.int64)
         for batch in batches:
-            names = ("ends", "terms", "slot", "impact", "maxima")
-            blocks = list(zip(batch.column(1).to_pylist(), *[_cells(batch, c) for c in names], strict=True))
-            placed = [queries.places(b[2].view(np.uint64)) for b in blocks]
-            bounds = np.array([queries.bounds(*p, b[5]) for p, b in zip(placed, blocks, strict=True)]).reshape(len(blocks), len(queries))
+            blocks = [Block(*cells) for cells in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True)]
+            placed = [queries.places(b.terms) for b in blocks]
+            bounds = np.array([queries.bounds(*p, b.maxima) for p, b in zip(placed, blocks, strict=True)]).reshape(len(blocks), len(queries))
             for q in range(len(queries)):
                 for x in np.argsort(-bounds[:, q], kind="stable").tolist():
                     if bounds[x, q] < least[q] or not bounds[x, q]:
                         break
-                    ids, ends, terms, slot, impact, _ = blocks[x]
-                    starts = np.concatenate([[0], ends[:-1]])
-                    least[q] = _keep(best[q], queries.scores(q, *placed[x], len(terms), slot, impact, starts), ids, int(least[q]), k)
+                    least[q] = _keep(best[q], queries.scores(q, *placed[x], blocks[x]), blocks[x].ids, int(least[q]), k)
                     scored[q] += 1
         rows = [(q, None if blank else d, -s, int(scored[q])) for q, own in enumerate(best) for s, blank, d in own]
         cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
         yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["q", "doc_id", "score", "scored"])
 
-    own = index.select("block_id", "doc_ids", "ends", "terms", "slot", "impact", "maxima")
+    own = index.select("doc_ids", "ends", "terms", "slot", "impact", "maxima")
     return own.mapInArrow(run, "q long, doc_id long, score long, scored long")
 
 
@@ -284,7 +303,7 @@ def _thresholds(index: DataFrame, queries: Queries, k: int) -> np.ndarray:
 def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(item_id, rank, doc_id, score): the k best documents of each query, those with a score above 0."""
     spark: SparkSession = index.sparkSession
-    n_docs, _ = totals(index)
+    n_docs = index.agg(F.sum(F.size("doc_ids"))).first()[0] or 0
     split = runtime.materialize(_query_terms(queries), "queries")
     sizes = split.agg(F.count("*").alias("n"), F.sum(F.size("terms")).alias("t")).first()
     chunks = max(math.ceil(sizes.n / CHUNK), math.ceil((sizes.t or 0) / CHUNK_TERMS))

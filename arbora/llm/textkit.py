@@ -87,7 +87,7 @@ class Words:
 
     __slots__ = ("base", "doc", "ends", "hashes", "n_docs", "starts", "text")
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, is_word: np.ndarray, seed: int = 0, lower: bool = True):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, i: int, j: int, is_word: np.ndarray, seed: int = 0, lower: bool = True, hashed: bool = True):
         self.base, self.n_docs = int(offsets[i]), j - i
         n = int(offsets[j]) - self.base
         self.text = np.zeros(n + 8, np.uint8)
@@ -107,7 +107,7 @@ class Words:
         self.starts = np.flatnonzero(inside & ~before)
         self.ends = np.flatnonzero(inside & ~after) + 1
         self.doc = np.searchsorted(bounds, self.starts, side="right") - 1
-        self.hashes = self.span_hash(self.starts, self.ends, seed)
+        self.hashes = self.span_hash(self.starts, self.ends, seed) if hashed else None
 
     def span_hash(self, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
         """Hash of the bytes of each span, lower-cased if the words are."""
