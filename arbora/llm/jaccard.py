@@ -400,7 +400,13 @@ def drop_near_copies(docs: DataFrame, size: int = 5, percent: int = 80) -> DataF
 
 def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """doc_id, key (of id and text), n, component (a class; null without words) for every row."""
-    spark, start = docs.sparkSession, runtime.mark()
+    result = runtime.scratch_path(docs.sparkSession, "placed")
+    with runtime.own_folder(docs.sparkSession, "jaccard"):
+        return runtime.materialize(_find(docs, size, percent), "placed", result)
+
+
+def _find(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     for seed in (0, 1000, 2000, 3000):
         digests = runtime.materialize(digest_sets(docs, size, seed), "digests")
@@ -444,11 +450,7 @@ def _placed(docs: DataFrame, size: int, percent: int) -> DataFrame:
             parts = runtime.materialize(_joined(parts, more), "parts")
 
     placed = rows.join(parts.withColumnRenamed("node", "cls"), "cls", "left")
-    placed = placed.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
-    placed = runtime.materialize(placed, "placed")
-    counts.destroy()
-    runtime.clear_since(spark, start)
-    return placed
+    return placed.select("doc_id", "key", "n", F.when(F.col("n") > 0, F.coalesce("component", "cls")).alias("component"))
 
 
 def _joined(parts: DataFrame, edges: DataFrame) -> DataFrame:

@@ -6,7 +6,8 @@ the smallest weighted norm of the residual after placing, ``dot`` the largest we
 residual; ties go to the oldest sequence.
 
 Only documents longer than the longest piece that the capacities allow (``Capacity.piece``) are cut, into full pieces
-and a last one.  Pieces are dealt to groups of about ``GROUP`` pieces by a hash, so no task grows with the input, and
+and a last one.  Pieces are dealt to groups of about ``GROUP`` pieces by a hash of their values and their place, so no task grows with the
+input, and rows that are repeated however often are dealt out too, and
 each group is packed for itself.  Pieces of sequences that were left less full than ``FULL`` are then dealt anew and
 packed once more, so what the groups cost is less than one sequence for each group of that second round.
 
@@ -117,7 +118,8 @@ def _place(pieces: DataFrame, cap: Capacity, groups: int, first: int) -> DataFra
         number = first + own["grp"][0].as_py() * width
         return own.drop_columns("grp").append_column("sequence_id", pa.array(number + where)).append_column("offset", pa.array(offset.astype(np.int64)))
 
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32"), F.lit(groups)))
+    # the row's number in the table deals out equal rows too
+    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64("doc_id", "piece", "length", "ids_crc32", F.monotonically_increasing_id()), F.lit(groups)))
     return dealt.groupBy("grp").applyInArrow(place, PACKED)
 
 

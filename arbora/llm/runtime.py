@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,11 +30,14 @@ def scratch_root(spark: SparkSession) -> str:
 #: What this process has written: paths and catalogue tables.
 _written: list[str] = []
 _tables: list[str] = []
+_folder: ContextVar[str | None] = ContextVar("arbora_folder", default=None)
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    path = f"{scratch_root(spark)}/arbora-{tag}-{uuid.uuid4().hex[:12]}"
-    _written.append(path)
+    folder = _folder.get()
+    path = f"{folder or scratch_root(spark)}/arbora-{tag}-{uuid.uuid4().hex[:12]}"
+    if not folder:
+        _written.append(path)
     return path
 
 
@@ -40,45 +45,55 @@ def clear_scratch(spark: SparkSession) -> None:
     """Remove all that was written so far; results that were not yet collected or written are lost with it."""
     while _tables:
         spark.sql(f"DROP TABLE IF EXISTS {_tables.pop()}")
-    jvm = spark.sparkContext._jvm
     while _written:
-        path = jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
-def drop(spark: SparkSession, table: DataFrame) -> None:
-    """Remove the files of a table of a finished round, and let go of the shuffle files of what nobody refers to."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in {os.path.dirname(f) for f in table.inputFiles()}:
-        own = jvm.org.apache.hadoop.fs.Path(path)
-        own.getFileSystem(conf).delete(own, True)
-    gc.collect()
-    jvm.java.lang.System.gc()
-
-
-def mark() -> int:
-    """A point in the list of what was written, for ``clear_since``."""
-    return len(_written)
+def _delete(spark: SparkSession, path: str) -> None:
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(own, True)
 
 
-def clear_since(spark: SparkSession, start: int) -> None:
-    """Remove all that was written since a mark but the last: what a result was made of, once it is written itself."""
-    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    for path in _written[start:-1]:
-        own = jvm.org.apache.hadoop.fs.Path(path)
-        own.getFileSystem(conf).delete(own, True)
-    del _written[start:-1]
-    gc.collect()
-    jvm.java.lang.System.gc()
-
-
-def materialize(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
+def drop(spark: SparkSession, table: DataFrame) -> None:
+    """Remove the files of a table that is needed no more."""
+    for path in {os.path.dirname(f) for f in table.inputFiles()}:
+        _delete(spark, path)
+
+
+@contextmanager
+def own_folder(spark: SparkSession, tag: str) -> Iterator[None]:
+    """Tables that this thread materialises within go to a folder of their own, which is removed in the end.
+
+    Runs in other threads or sessions have other folders.  What is to stay is written to a path made before.
+    """
+    path = scratch_path(spark, tag)
+    before = _folder.set(path)
+    try:
+        yield
+    finally:
+        _folder.reset(before)
+        _delete(spark, path)
+        if path in _written:
+            _written.remove(path)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Shuffle files of what is run within are removed as soon as each run ends: a written table needs them no more."""
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back: lineage ends here and survives lost executors."""
-    path = scratch_path(df.sparkSession, tag)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
+    path = path or scratch_path(df.sparkSession, tag)
+    with shuffles_removed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -514,7 +514,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, shard_bytes: int | None =
     def table(df: DataFrame, tag: str, old: DataFrame | None = None) -> DataFrame:
         """``df`` written in buckets by shard, so that what is dealt by shard stays where it is; ``old`` is needed no more."""
         name = f"arbora_{tag}_{uuid.uuid4().hex[:12]}"
-        df.write.bucketBy(parts, "shard").option("path", runtime.scratch_path(spark, tag)).option("parquet.block.size", 32 << 20).saveAsTable(name)
+        with runtime.shuffles_removed(spark):
+            df.write.bucketBy(parts, "shard").option("path", runtime.scratch_path(spark, tag)).option("parquet.block.size", 32 << 20).saveAsTable(name)
         runtime._tables.append(name)
         if old is not None:
             runtime.drop(spark, old)

@@ -38,7 +38,7 @@ from arbora.llm import textkit as tk
 GRAM = 6
 HOT = 512
 SPOT = "k1 long, k2 long, mini long, whole long, start int, n int"
-STRING = "mini long, whole long, n int, packed binary"
+STRING = "mini long, whole long, seen long, n int, packed binary"
 MASK = "mini long, whole long, mask long"
 KEYS = ["k1", "k2"]
 BUCKET = ["mini", "whole"]
@@ -110,7 +110,7 @@ def _spots(docs: DataFrame, size: int) -> DataFrame:
 
 def _packed(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
     """The words of chosen super-k-mers, joined by spaces: a row for each."""
-    lists = chosen.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "n", *BUCKET)).alias("spots"))
+    lists = chosen.groupBy(*KEYS).agg(F.collect_list(F.struct("start", "n", "seen", *BUCKET)).alias("spots"))
 
     def cut(batches):
         seen = set()  # rows that are equal in id and text stand in one partition
@@ -121,12 +121,13 @@ def _packed(docs: DataFrame, chosen: DataFrame, size: int) -> DataFrame:
                     continue
                 seen.add(key)
                 words = text.as_py().encode().split()
-                rows += [(s["mini"], s["whole"], s["n"], b" ".join(words[s["start"] : s["start"] + s["n"] + size - 1])) for s in spots.as_py()]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["mini", "whole", "n", "packed"])
+                rows += [(s["mini"], s["whole"], s["seen"], s["n"], b" ".join(words[s["start"] : s["start"] + s["n"] + size - 1])) for s in spots.as_py()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["mini", "whole", "seen", "n", "packed"])
 
-    return docs.join(lists, KEYS).select(*KEYS, "text", "spots").mapInArrow(cut, STRING)
+    # the id is taken along so that this exchange of the texts is the one of the last join too
+    return docs.join(lists, KEYS).select(*KEYS, "text", "spots", "doc_id").mapInArrow(cut, STRING)
 
 
 def windows_of(packed: bytes, n: int, size: int) -> list[bytes]:
@@ -186,14 +187,14 @@ def repeated_windows(docs: DataFrame, size: int, hot: int = HOT) -> DataFrame:
     shared = spots.groupBy("mini").agg(F.count("*").alias("c")).filter("c > 1").select("mini")
     kept = runtime.materialize(spots.join(shared, "mini", "left_semi").select(*spots.columns), "shared")
     runtime.drop(spark, spots)
-    own = kept.groupBy(*BUCKET).agg(F.count("*").alias("seen"), F.min(F.struct("k1", "k2", "start", "n")).alias("one"))
-    own = runtime.materialize(own.select(*BUCKET, "seen", "one.*"), "different")
+    own = kept.groupBy(*BUCKET).agg(F.count("*").alias("seen"), *[F.first(c).alias(c) for c in (*KEYS, "start", "n")])
+    own = runtime.materialize(own, "different")
     different = own.groupBy("mini").agg(F.count("*").alias("different")).filter("different > 1")
     travel = own.join(different, "mini")
 
     def strings(some: Column) -> DataFrame:
         chosen = travel.filter(some)
-        return _packed(docs, chosen.select(*KEYS, "start", "n", *BUCKET), size).join(chosen.select(*BUCKET, "seen"), BUCKET)
+        return _packed(docs, chosen.select(*KEYS, "start", "n", "seen", *BUCKET), size)
 
     masks = _count_buckets(strings(F.col("different") <= hot), size).unionByName(_count_windows(strings(F.col("different") > hot), size))
     every = own.filter("seen > 1").select(*BUCKET, F.expr("shiftleft(1L, n) - 1").alias("mask"))
