@@ -5,8 +5,9 @@ A span of ``window`` shared words holds the same run of hashes in both texts and
 span is missed.  Texts and items that share a fingerprint are then extended: each run of ``window`` words of such a
 text is compared (by two 64-bit hashes) with the runs of the items, and the runs found cover the words that are hit.
 
-Items of fewer than ``window`` words, but some, are one run of their own length; all such lengths are looked up over
-all texts in one pass.  Hits are found against distinct runs; items are named after that, once for each text and run.
+Items of fewer than ``window`` words, but some, are one run of their own length.  Up to ``SHORT`` of them are looked up in
+the pass that makes the fingerprints: a place counts where its word begins a short item and the hash of the run from there
+is one of theirs, and only such runs leave the text's row.  Beyond ``SHORT``, all runs of these lengths are joined with them.  Hits are found against distinct runs; items are named after that, once for each text and run.
 
 Fingerprints and the extension take the same words, with A-Z lower-cased and nothing else changed: a lower-casing of
 whole texts gives some letters (the Greek capital sigma) by what follows the word.  Nulls have no words.  Rows that share an id but not the text are judged apart; rows
@@ -23,6 +24,8 @@ from pyspark.sql import functions as F
 
 from arbora.llm import runtime
 
+#: Items of fewer words than a window that are sent to all tasks: a hash and a word for each.
+SHORT = 10_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
@@ -77,6 +80,24 @@ def word_runs(words: Column, size: int) -> Column:
     return F.when(F.size(words) >= size, F.transform(at, run)).otherwise(F.array().cast("array<struct<start:int,a:bigint,b:bigint>>"))
 
 
+def short_runs(words: Column, items: list) -> Column:
+    """(size, start, a, b) of the runs of ``words`` that equal one of ``items`` (first word, size and hashes) in size and hashes."""
+    none = F.array().cast("array<struct<size:int,start:int,a:bigint,b:bigint>>")
+    firsts = sorted({r.first for r in items})
+    places = F.filter(F.sequence(F.lit(1), F.size(words)), lambda i: F.get(words, i - 1).isin(*firsts))
+
+    def of_size(at: Column, n: int) -> Column:
+        hashes = sorted({r.a for r in items if r.size == n})
+        own = lambda i: F.slice(words, i, n)
+        found = F.filter(at, lambda i: (i + n - 1 <= F.size(words)) & F.xxhash64(own(i)).isin(*hashes))
+        return F.transform(found, lambda i: F.struct(F.lit(n).alias("size"), (i - 1).alias("start"), F.xxhash64(own(i)).alias("a"), F.xxhash64(F.lit(7), own(i)).alias("b")))
+
+    sizes = sorted({r.size for r in items})
+    # lambdas in a list: each with its own size
+    every = let(places, lambda at: F.concat(*[of_size(at, n) for n in sizes]))
+    return F.when(F.size(words) > 0, every).otherwise(none)
+
+
 def exact_words(text: Column) -> Column:
     """Words with A-Z lower-cased and nothing else changed."""
     return split_words(F.translate(text, UPPER, LOWER))
@@ -100,12 +121,13 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 13, k
 def _judge(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     items = benchmark.select("item_id", exact_words(F.col("text")).alias("words")).filter("item_id IS NOT NULL AND size(words) > 0")
-    lengths = F.least(F.size("words"), F.lit(window))
-    # at most window - 1 numbers
-    short = sorted(r.n for r in items.select(lengths.alias("n")).filter(F.col("n") < window).distinct().collect())
+    few = items.filter(F.size("words") < window).select("words", F.explode(_runs(lambda w, n: F.size(w) == n, range(1, window))).alias("run"))
+    few = few.select("run.size", "run.a", "run.b", F.get("words", F.lit(0)).alias("first")).distinct().limit(SHORT + 1).collect()
+    within = 0 < len(few) <= SHORT
 
     split = docs.select("doc_id", _row_key().alias("row_key"), exact_words(F.col("text")).alias("words"))
-    marked = split.select("doc_id", "row_key", F.size("words").alias("n_words"), winnow(F.col("words"), k, window).alias("prints"))
+    short = short_runs(F.col("words"), few) if within else F.array().cast("array<struct<size:int,start:int,a:bigint,b:bigint>>")
+    marked = split.select("doc_id", "row_key", F.size("words").alias("n_words"), winnow(F.col("words"), k, window).alias("prints"), short.alias("short"))
     marked = runtime.materialize(marked, "prints")
     item_prints = (
         benchmark.select(exact_words(F.col("text")).alias("words"))
@@ -116,13 +138,15 @@ def _judge(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFr
 
     texts = docs.withColumn("row_key", _row_key())
     own = texts.join(suspects, "row_key", "left_semi").dropDuplicates(["row_key"]).select("row_key", exact_words(F.col("text")).alias("words"))
-    sizes = [*short, window]
+    sizes = [*sorted({r.size for r in few} if within else range(1, window) if few else []), window]
     of_items = items.select("item_id", F.explode(_runs(lambda w, n: F.size(w) >= n if n == window else F.size(w) == n, sizes)).alias("run"))
     of_items = runtime.materialize(of_items.select("item_id", "run.size", "run.a", "run.b").distinct(), "runs")
     of_texts = own.select("row_key", F.explode(_runs(lambda w, n: F.lit(True), [window])).alias("run"))
-    if short:
+    if within:
+        of_texts = of_texts.unionByName(marked.select("row_key", F.explode("short").alias("run")))
+    elif few:
         whole = texts.select("row_key", exact_words(F.col("text")).alias("words"))
-        of_texts = of_texts.unionByName(whole.select("row_key", F.explode(_runs(lambda w, n: F.lit(True), short)).alias("run")))
+        of_texts = of_texts.unionByName(whole.select("row_key", F.explode(_runs(lambda w, n: F.lit(True), sizes[:-1])).alias("run")))
     keys = ["size", "a", "b"]
     hits = of_texts.select("row_key", "run.*").join(of_items.select(*keys).distinct(), keys, "left_semi").distinct()
     hits = runtime.materialize(hits.withColumn("end", F.col("start") + F.col("size")), "hits")
@@ -148,7 +172,7 @@ def _judge(docs: DataFrame, benchmark: DataFrame, window: int, k: int) -> DataFr
     )
 
 
-def _runs(ok, sizes: list[int]) -> Column:
+def _runs(ok, sizes) -> Column:
     """All runs of ``words`` of these sizes (where ``ok(words, size)``), with their size."""
 
     def of(w: Column) -> Column:

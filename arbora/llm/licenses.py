@@ -1,7 +1,7 @@
 """License scan: an exact set-similarity join of text blocks with license templates.
 
-A block is a line of a text, or any run of as many words as the template has, over line breaks too (a window at every
-word).  A template matches a block when the block holds at least ``threshold`` of the template's distinct words
+A block is a line of at most twice as many words as the template has, or any run of as many words as it has, over line
+breaks too (a window at every word).  A template matches a block when the block holds at least ``threshold`` of the template's distinct words
 (containment).  The join is exact:
 
 * one pass over all texts counts how often each template word occurs; that is the global order, rarest first;
@@ -9,6 +9,8 @@ word).  A template matches a block when the block holds at least ``threshold`` o
   template in that order;
 * length filter: a block with fewer distinct words than ``ceil(threshold * n)`` cannot match, nor can a window with
   fewer words of the template, repeats included;
+* names: a block has to hold the words of a template that name the license (``NAMES``), so what a notice shares with that
+  of another license is not enough;
 * positional filter: with the first shared word at position p, at most ``n - p`` words can be shared.
 
 Base: the places of fixed phrases, word by word (``phrases``); these always stay.
@@ -114,6 +116,8 @@ TEMPLATES = {
     "cc": "this work is licensed under a creative commons attribution license",
     "cc-short": "licensed under cc by nc 4.0",
 }
+#: Words that name a license.  A block matches a template only if it holds those of them that the template has.
+NAMES = {"mit", "apache", "gnu", "bsd", "mpl", "mozilla", "isc", "zlib", "boost", "unencumbered", "creative", "commons", "cc"}
 SCHEMA = "doc_id long, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double"
 
 
@@ -155,6 +159,8 @@ class TemplateIndex:
         self.known = np.array(by_hash, dtype=np.uint64)
         self.rank = np.array([rank[w] for w in by_hash], dtype=np.int64)
         self.templates = [(name, np.array(sorted(rank[w] for w in ws)), math.ceil(threshold * len(ws) - 1e-9)) for name, ws in words.items()]
+        named = {rank[w] for w in map(tk.hash_word, sorted(NAMES)) if w in rank}
+        self.names = [np.array(sorted(named & set(ranks.tolist())), dtype=np.int64) for _, ranks, _ in self.templates]
         self.prefix_of: dict[int, list[int]] = {}
         for t, (_, ranks, need) in enumerate(self.templates):
             for r in ranks[: len(ranks) - need + 1].tolist():
@@ -173,13 +179,13 @@ class TemplateIndex:
         at = np.minimum(np.searchsorted(self.known, hashes), len(self.known) - 1)
         return np.where(self.known[at] == hashes, self.rank[at], -1)
 
-    def matches(self, block: np.ndarray, n_distinct: int) -> list[tuple[str, float]]:
-        """(template, containment) for the sorted distinct template ranks of one block."""
+    def matches(self, block: np.ndarray, n_distinct: int, n_words: int) -> list[tuple[str, float]]:
+        """(template, containment) for the sorted distinct template ranks of one line."""
         found = []
         candidates = {t for r in block[self.in_prefix[block]].tolist() for t in self.prefix_of[r]}
         for t in sorted(candidates):
             name, ranks, need = self.templates[t]
-            if n_distinct < need:
+            if n_distinct < need or n_words > 2 * self.sizes[t] or not np.isin(self.names[t], block, assume_unique=True).all():
                 continue
             # the first word of the prefix that the block holds bounds what both can share, before that is counted
             prefix = ranks[: len(ranks) - need + 1]
@@ -214,6 +220,9 @@ class TemplateIndex:
             behind = np.maximum(behind, np.searchsorted(at, np.maximum(at - size + 1, first_of[doc[at]])))
             n = np.cumsum(np.bincount(behind, minlength=len(at) + 1) - np.bincount(each + 1, minlength=len(at) + 1))[:-1]
             hit = np.flatnonzero(n >= need)
+            if len(self.names[t]):
+                until = np.searchsorted(at, at[hit] + size)
+                hit = hit[[np.isin(self.names[t], ranks[at[x:y]][doc[at[x:y]] == doc[at[x]]]).all() for x, y in zip(hit.tolist(), until.tolist(), strict=True)]] if len(hit) else hit
             best: dict[int, int] = {}
             for x, c in zip(doc[at[hit]].tolist(), n[hit].tolist(), strict=True):
                 best[x] = max(c, best.get(x, 0))
@@ -268,7 +277,7 @@ def _scan_slice(data, offsets, i, j, index: TemplateIndex, phrases) -> list[pa.A
         for b in np.unique(line[hot]).tolist():
             lo, hi = np.searchsorted(line, [b, b + 1])
             own = ranks[lo:hi]
-            for name, c in index.matches(np.unique(own[own >= 0]), len(np.unique(h[lo:hi]))):
+            for name, c in index.matches(np.unique(own[own >= 0]), len(np.unique(h[lo:hi])), hi - lo):
                 got = extra.setdefault(int(d[lo]), {})
                 got[name.split("-")[0]] = max(c, got.get(name.split("-")[0], 0.0))
         for name, x, c in index.windows(ranks, d, first_of):
@@ -294,25 +303,26 @@ def oracle_sql(threshold: float = 0.8) -> str:
     upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     values = ", ".join(f"('{name.split('-')[0]}', {re.findall(word, text)})" for name, text in TEMPLATES.items())
+    names = ", ".join(f"'{n}'" for n in sorted(NAMES))
     return rf"""
 WITH tpl(label, w) AS (VALUES {values}),
 t AS (SELECT row_number() OVER () AS k, label, len(w) AS size, list_distinct(w) AS ws FROM tpl),
-tw AS (SELECT k, label, size, len(ws) AS n, ceil({threshold} * len(ws) - 1e-9) AS need, unnest(ws) AS word FROM t),
+tw AS (SELECT k, label, size, len(ws) AS n, ceil({threshold} * len(ws) - 1e-9) AS need, len(list_filter(ws, lambda x: x IN ({names}))) AS names, unnest(ws) AS word FROM t),
 d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{upper}', '{lower}') AS x FROM documents),
 dl AS (SELECT r, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS line_no FROM d),
 lw AS (SELECT r, line_no, regexp_extract_all(line, '{word}') AS w FROM dl),
-flat AS (SELECT r, line_no, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM lw),
-pos AS (SELECT r, line_no, word, row_number() OVER o - 1 AS p, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM flat WINDOW o AS (PARTITION BY r ORDER BY line_no, i)),
+flat AS (SELECT r, line_no, len(w) AS nl, unnest(w) AS word, generate_subscripts(w, 1) AS i FROM lw),
+pos AS (SELECT r, line_no, nl, word, row_number() OVER o - 1 AS p, lead(word) OVER o AS w2, lead(word, 2) OVER o AS w3 FROM flat WINDOW o AS (PARTITION BY r ORDER BY line_no, i)),
 nw AS (SELECT r, count(*) AS n_words FROM pos GROUP BY r),
 base AS (SELECT r, p, CASE word WHEN 'general' THEN 'gpl' ELSE word END AS label FROM pos
   WHERE word IN ('mit', 'apache') AND w2 = 'license' OR word = 'general' AND w2 = 'public' AND w3 = 'license'),
 bs AS (SELECT r, count(*) AS n_base, min(p) AS first_word, max(p) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM base GROUP BY r),
-occ AS (SELECT r, line_no, p, k, label, size, n, need, tw.word FROM pos JOIN tw ON pos.word = tw.word),
+occ AS (SELECT r, line_no, nl, p, k, label, size, n, need, names, tw.word FROM pos JOIN tw ON pos.word = tw.word),
 enough AS (SELECT r, k FROM occ GROUP BY r, k, need HAVING count(DISTINCT word) >= need),
 near AS (SELECT occ.* FROM occ SEMI JOIN enough USING (r, k)),
-hits AS (SELECT r, label, count(DISTINCT word) / n AS c FROM near GROUP BY r, k, label, line_no, n, need HAVING count(DISTINCT word) >= need
+hits AS (SELECT r, label, count(DISTINCT word) / n AS c FROM near WHERE nl <= 2 * size GROUP BY r, k, label, line_no, n, need, names HAVING count(DISTINCT word) >= need AND count(DISTINCT word) FILTER (word IN ({names})) = names
   UNION ALL SELECT a.r, a.label, count(DISTINCT b.word) / a.n FROM near a JOIN near b ON a.r = b.r AND a.k = b.k AND b.p BETWEEN a.p AND a.p + a.size - 1
-  GROUP BY a.r, a.k, a.label, a.p, a.n, a.need HAVING count(DISTINCT b.word) >= a.need),
+  GROUP BY a.r, a.k, a.label, a.p, a.n, a.need, a.names HAVING count(DISTINCT b.word) >= a.need AND count(DISTINCT b.word) FILTER (b.word IN ({names})) = a.names),
 ls AS (SELECT r, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT r, label FROM hits UNION SELECT r, label FROM base) GROUP BY r),
 sc AS (SELECT r, max(c) AS score FROM hits GROUP BY r)
 SELECT doc_id, CAST(coalesce(n_words, 0) AS BIGINT) AS n_words, CAST(coalesce(n_base, 0) AS BIGINT) AS n_base, first_word, last_word,

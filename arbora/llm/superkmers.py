@@ -184,12 +184,13 @@ def repeated_windows(docs: DataFrame, size: int, hot: int = HOT) -> DataFrame:
     """(k1, k2, marks) of the keyed rows that hold repeated windows: (start, mask) of super-k-mers, bit i for the i-th window."""
     spark = docs.sparkSession
     spots = runtime.materialize(_spots(docs, size), "spots")
-    shared = spots.groupBy("mini").agg(F.count("*").alias("c")).filter("c > 1").select("mini")
+    # written first, so that the join's two sides are plain exchanges, whose hot keys Spark splits
+    shared = runtime.materialize(spots.groupBy("mini").agg(F.count("*").alias("c")).filter("c > 1").select("mini"), "minis")
     kept = runtime.materialize(spots.join(shared, "mini", "left_semi").select(*spots.columns), "shared")
     runtime.drop(spark, spots)
     own = kept.groupBy(*BUCKET).agg(F.count("*").alias("seen"), *[F.first(c).alias(c) for c in (*KEYS, "start", "n")])
     own = runtime.materialize(own, "different")
-    different = own.groupBy("mini").agg(F.count("*").alias("different")).filter("different > 1")
+    different = runtime.materialize(own.groupBy("mini").agg(F.count("*").alias("different")).filter("different > 1"), "buckets")
     travel = own.join(different, "mini")
 
     def strings(some: Column) -> DataFrame:
