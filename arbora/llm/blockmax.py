@@ -24,7 +24,6 @@ and texts are read, so other columns cannot clash.  A document of more than ``bl
 from __future__ import annotations
 
 import math
-from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -38,6 +37,7 @@ from arbora.llm import textkit as tk
 
 BLOCK_DOCS = 128
 BLOCK_POSTINGS = 40_000
+LOT = 256
 CHUNK = 4096
 CHUNK_TERMS = 1_000_000
 INDEX = "block_id long, doc_ids array<long>, ends binary, terms binary, df binary, slot binary, tf binary, impact binary, maxima binary"
@@ -55,9 +55,9 @@ def _bytes(a: np.ndarray) -> bytes:
 
 
 def _numbers(cell: pa.Scalar, n: int) -> np.ndarray:
-    """The ``n`` numbers of a cell."""
+    """The ``n`` numbers of a cell, as they are stored."""
     raw = cell.as_buffer()
-    return np.frombuffer(raw, f"<u{raw.size // max(1, n)}").astype(np.int64)
+    return np.frombuffer(raw, f"<u{raw.size // max(1, n)}")
 
 
 def _terms(cell: pa.Scalar) -> np.ndarray:
@@ -143,19 +143,14 @@ def totals(docs: DataFrame) -> tuple[int, int]:
 
 
 class Block:
-    """A row of the index.  Its forward index is unpacked when it is scored first."""
+    """A row of the index: views of its cells."""
 
     def __init__(self, ids: list, ends: pa.Scalar, terms: pa.Scalar, slot: pa.Scalar, impact: pa.Scalar, maxima: pa.Scalar):
         self.ids, self.terms = ids, _terms(terms)
         self.maxima = _numbers(maxima, len(self.terms))
         ends = _numbers(ends, len(ids))
         self.starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-        self._packed = (slot, impact, int(ends[-1]))
-
-    @cached_property
-    def postings(self) -> tuple[np.ndarray, np.ndarray]:
-        slot, impact, n = self._packed
-        return _numbers(slot, n), _numbers(impact, n)
+        self.slot, self.impact = _numbers(slot, int(ends[-1])), _numbers(impact, int(ends[-1]))
 
 
 class Queries:
@@ -183,7 +178,7 @@ class Queries:
 
     def bounds(self, at: np.ndarray, there: np.ndarray, maxima: np.ndarray) -> np.ndarray:
         """The score that no document of a block exceeds, for each query."""
-        most = np.where(there, maxima[at], 0).astype(np.int64)
+        most = np.where(there, maxima[at].astype(np.int64), 0)
         return np.add.reduceat(self.weights * most[self.number], self.starts)
 
     def scores(self, q: int, at: np.ndarray, there: np.ndarray, block: Block) -> np.ndarray:
@@ -193,8 +188,7 @@ class Queries:
         held = there[number]
         by_slot = np.zeros(len(block.terms), np.int64)
         by_slot[at[number[held]]] = self.weights[own][held]
-        slot, impact = block.postings
-        return np.add.reduceat(by_slot[slot] * impact, block.starts)
+        return np.add.reduceat(by_slot[block.slot] * block.impact, block.starts)
 
 
 def _query_terms(queries: DataFrame) -> DataFrame:
@@ -269,7 +263,8 @@ def _score(index: DataFrame, queries: Queries, thresholds: np.ndarray, k: int) -
     def run(batches):
         best: list[list[tuple]] = [[] for _ in range(len(queries))]
         least, scored = thresholds.copy(), np.zeros(len(queries), np.int64)
-        for batch in batches:
+        # some blocks at a time, by falling bound; thresholds go on from one lot to the next
+        for batch in (b.slice(at, LOT) for b in batches for at in range(0, b.num_rows, LOT)):
             blocks = [Block(*cells) for cells in zip(batch.column(0).to_pylist(), *batch.columns[1:], strict=True)]
             placed = [queries.places(b.terms) for b in blocks]
             bounds = np.array([queries.bounds(*p, b.maxima) for p, b in zip(placed, blocks, strict=True)]).reshape(len(blocks), len(queries))
