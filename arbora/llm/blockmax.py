@@ -38,6 +38,7 @@ from arbora.llm import textkit as tk
 BLOCK_DOCS = 128
 BLOCK_POSTINGS = 40_000
 LOT = 256
+SLICE = 1 << 19  # bytes of texts that are indexed at once, if there are several
 CHUNK = 4096
 CHUNK_TERMS = 1_000_000
 INDEX = "block_id long, doc_ids array<long>, ends binary, terms binary, df binary, slot binary, tf binary, impact binary, maxima binary"
@@ -87,7 +88,7 @@ def _blocks(batches, n_docs: int, n_terms: int, block_docs: int, block_postings:
     for batch in batches:
         data, offsets = tk.string_buffers(batch.column(1))
         ids = batch.column(0).to_pylist()
-        for i, j in tk.slices(offsets):
+        for i, j in tk.slices(offsets, SLICE):
             w = tk.Words(data, offsets, i, j, tk.ALNUM)
             doc, term, tf = _postings(w)
             n = w.counts()
@@ -122,8 +123,9 @@ def weight(df: int, n_docs: int) -> int:
 def build_index(docs: DataFrame, block_docs: int = BLOCK_DOCS, block_postings: int = BLOCK_POSTINGS) -> DataFrame:
     """The index as a table in the shared folder: a row for each block.  Documents are read twice: impacts need the totals."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n_docs, n_terms = totals(docs)
-    return runtime.materialize(docs.mapInArrow(lambda batches: _blocks(batches, n_docs, n_terms, block_docs, block_postings), INDEX), "index")
+    with runtime.small_batches(docs.sparkSession):
+        n_docs, n_terms = totals(docs)
+        return runtime.materialize(docs.mapInArrow(lambda batches: _blocks(batches, n_docs, n_terms, block_docs, block_postings), INDEX), "index")
 
 
 def totals(docs: DataFrame) -> tuple[int, int]:
@@ -310,7 +312,8 @@ def search(index: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
             continue
         own = Queries(rows)
         own.weigh(_document_counts(index, own.terms), n_docs)
-        found = _score(index, own, _thresholds(index, own, k), k)
+        with runtime.small_batches(spark):  # a row for each query, task and place at most
+            found = runtime.materialize(_score(index, own, _thresholds(index, own, k), k), "found")
         names = spark.createDataFrame([(q, r.item_id) for q, r in enumerate(rows)], "q long, item_id long")
         parts.append(found.join(F.broadcast(names), "q").select(F.lit(c).alias("chunk"), "q", "item_id", "doc_id", "score"))
     if not parts:

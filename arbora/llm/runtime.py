@@ -78,15 +78,27 @@ def own_folder(spark: SparkSession, tag: str) -> Iterator[None]:
 
 
 @contextmanager
-def shuffles_removed(spark: SparkSession) -> Iterator[None]:
-    """Shuffle files of what is run within are removed as soon as each run ends: a written table needs them no more."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
+def settings(spark: SparkSession, **values: str) -> Iterator[None]:
+    """Settings (with ``__`` for dots) for what is run within."""
+    keys = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k) for k in keys}
+    for k, v in keys.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def shuffles_removed(spark: SparkSession):
+    """Shuffle files of what is run within are removed as soon as each run ends: a written table needs them no more."""
+    return settings(spark, spark__sql__classic__shuffleDependency__fileCleanup__enabled="true")
+
+
+def small_batches(spark: SparkSession):
+    """Tasks get their rows in Arrow batches of about 8 MB instead of 64."""
+    return settings(spark, spark__sql__execution__arrow__maxRecordsPerBatch="2000", spark__sql__execution__arrow__maxBytesPerBatch="8m")
 
 
 def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:
