@@ -183,6 +183,25 @@ def canonical_instance_id(text: Column) -> Column:
     return F.when(sound, F.regexp_replace(bare, r"""="([^'"\\]*)"\]""", "='$1']"))
 
 
+def normal_instance_id(text: Column, own: str = "") -> Column:
+    """A canonical identifier as paths of nodes are written: a step names its module where that is not its parent's, keys name none.
+
+    ``own`` is the module of the document's root.
+    """
+    step = r"""/(?:[A-Za-z_][\w.-]*:)?[A-Za-z_][\w.-]*(?:\[[^'"\]]*(?:'[^']*'|"(?:[^"\\]|\\.)*")?\])*"""
+    steps = F.regexp_extract_all(text, F.lit(f"({step})"), 1)
+    start = F.struct(F.lit(own).alias("ns"), F.lit("").alias("out"))
+    pick = r"""\[(?:[A-Za-z_][\w.-]*:)?([A-Za-z_][\w.-]*|\.)=('[^']*'|"(?:[^"\\]|\\.)*")\]"""
+
+    def add(acc: Column, one: Column) -> Column:
+        ns = F.regexp_extract(one, r"^/([A-Za-z_][\w.-]*):", 1)
+        bare = F.regexp_replace(F.regexp_replace(one, r"^/[A-Za-z_][\w.-]*:", "/"), pick, "[$1=$2]")
+        kept = F.when((ns == "") | (ns == acc["ns"]), bare).otherwise(F.concat(F.lit("/"), ns, F.lit(":"), F.substr(bare, F.lit(2))))
+        return F.struct(F.when(ns == "", acc["ns"]).otherwise(ns).alias("ns"), F.concat(acc["out"], kept).alias("out"))
+
+    return F.when(text.isNotNull(), F.aggregate(steps, start, add)["out"])
+
+
 def valid(x: Column, t: Type) -> Column:
     """Whether a decoded value is in the type; never NULL."""
     if t.base in BOUNDS or t.base == "decimal64":

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -231,16 +232,37 @@ def normalize_space(s: Column) -> Column:
     return F.trim(F.regexp_replace(_text(s), r"[ \t\r\n]+", " "))
 
 
+#: Characters of XML names, beside ASCII letters, ``_`` and ``:``; and those that may follow the first.
+NAME_START = (
+    r"\x{C0}-\x{D6}\x{D8}-\x{F6}\x{F8}-\x{2FF}\x{370}-\x{37D}\x{37F}-\x{1FFF}\x{200C}-\x{200D}\x{2070}-\x{218F}"
+    r"\x{2C00}-\x{2FEF}\x{3001}-\x{D7FF}\x{F900}-\x{FDCF}\x{FDF0}-\x{FFFD}\x{10000}-\x{EFFFF}"
+)
+NAME_REST = r"\x{B7}\x{300}-\x{36F}\x{203F}-\x{2040}"
+CLASSES = {"i": f"_:A-Za-z{NAME_START}", "c": rf"\-._:A-Za-z0-9{NAME_START}{NAME_REST}", "d": r"\p{Nd}", "w": r"\p{L}\p{M}\p{N}\p{S}", "s": r" \t\n\r"}
+
+
+class InvalidPattern(ValueError):
+    """A pattern that is no XSD regular expression."""
+
+
 def xsd_pattern(pattern: str) -> str:
-    """An XSD pattern as an anchored Java one: ``.`` excludes line ends only, ``\\i`` and ``\\c`` are name characters."""
+    """An XSD pattern as an anchored Java one.
+
+    ``.`` excludes line ends only; ``\\i``, ``\\c``, ``\\d``, ``\\w``, ``\\s`` and their negations are the classes of XML;
+    ``\\p{Is...}`` names a block of Unicode.
+    """
     out, in_class, i = [], 0, 0
     while i < len(pattern):
         c = pattern[i]
         if c == "\\" and i + 1 < len(pattern):
             n = pattern[i + 1]
-            names = {"i": "_:A-Za-z", "c": "-._:A-Za-z0-9", "d": r"\p{Nd}", "w": r"\p{L}\p{M}\p{N}\p{S}"}
-            if n in names:
-                out.append(names[n] if in_class else f"[{names[n]}]")
+            if n in "pP" and pattern[i + 2 : i + 5] == "{Is":
+                out.append(f"\\{n}{{In")
+                i += 5
+                continue
+            if n.lower() in CLASSES:
+                chars = CLASSES[n.lower()]
+                out.append(f"[^{chars}]" if n.isupper() else chars if in_class else f"[{chars}]")
             else:
                 out.append(c + n)
             i += 2
@@ -252,12 +274,18 @@ def xsd_pattern(pattern: str) -> str:
         if in_class and c == "-" and pattern[i + 1 : i + 2] == "[":  # subtraction
             out.append("&&[^")
             in_class += 1
-            i += 2
+            # what is taken away may itself be a negated class
+            negated = pattern[i + 2 : i + 3] == "^"
+            if negated:
+                out[-1] = "&&["
+            i += 3 if negated else 2
             continue
         if c == "." and not in_class:
             out.append(r"[^\n\r]")
         elif c in "^$" and not in_class:
             out.append("\\" + c)
+        elif c == "&" and in_class:
+            out.append(r"\&")
         else:
             out.append(c)
         i += 1
@@ -265,7 +293,15 @@ def xsd_pattern(pattern: str) -> str:
 
 
 def re_match(s: Column, pattern: str) -> Column:
-    return F.coalesce(F.regexp_like(s, F.lit(xsd_pattern(pattern))), F.lit(False))
+    """Whether a string matches an XSD pattern as a whole; one that is no pattern raises ``InvalidPattern`` here."""
+    own = xsd_pattern(pattern)
+    context = SparkContext._active_spark_context
+    if context is not None:
+        try:
+            context._jvm.java.util.regex.Pattern.compile(own)
+        except Exception as e:
+            raise InvalidPattern(pattern) from e
+    return F.coalesce(F.regexp_like(s, F.lit(own)), F.lit(False))
 
 
 # extensions of the data model

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arbora.functions import types as ty
+from arbora.operators.numbering import with_places
 from arbora.plans.model import Node
 
 
@@ -76,15 +79,83 @@ def insert(df: DataFrame, parent: list[str], order: list[str], new: DataFrame, a
     return old.unionByName(extra).withColumn("_pos", at).drop("_side")
 
 
-def merge(df: DataFrame, changes: DataFrame, keys: list[str]) -> DataFrame:
-    """Entries matched by keys take the members that ``changes`` has; unmatched ones are added."""
+def merge(df: DataFrame, changes: DataFrame, keys: list[str], members: str = "_set", deleted: str = "_deleted") -> DataFrame:
+    """Entries matched by keys take the members that ``changes`` has; unmatched ones are added.
+
+    Where ``changes`` has a column ``_set`` (names of members), the members named there are taken, NULL included, and no
+    others; without it a NULL says that a member is not changed.  Entries with a true ``_deleted`` go.
+    """
     names = [c for c in df.columns if c not in keys]
     given = [c for c in names if c in changes.columns]
-    a = df.alias("a")
-    b = changes.select(*keys, *given).alias("b")
+    marks = [c for c in (members, deleted) if c in changes.columns]
+    a = df.withColumn("_old", F.lit(True)).alias("a")
+    b = changes.select(*keys, *given, *marks, F.lit(True).alias("_new")).alias("b")
     joined = a.join(b, keys, "full_outer")
-    take = [F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c) if c in given else F.col(f"a.{c}") for c in names]
-    return joined.select(*keys, *take).select(*df.columns)
+
+    def taken(c: str) -> Column:
+        if c not in given:
+            return F.col(f"a.{c}").alias(c)
+        if members not in marks:
+            return F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
+        named = F.coalesce(F.array_contains(f"b.{members}", c), F.lit(False))
+        return F.when(named, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
+
+    if deleted in marks:
+        joined = joined.filter(~F.coalesce(F.col(f"b.{deleted}"), F.lit(False)))
+    return joined.select(*keys, *[taken(c) for c in names]).select(*df.columns)
+
+
+def merge_ordered(df: DataFrame, changes: DataFrame, keys: list[str], parent: list[str] | None = None, place: str = "place") -> DataFrame:
+    """``merge`` of a list whose entries carry their place within their parent.
+
+    Matched entries keep their place; added ones go to the end of their parent's list, in the order of their own places.
+    Their number among the added ones of a parent is a place in the order of all added entries less that of the parent's
+    first, so a parent that a third of them share is no window of its own.
+    """
+    parent = parent or []
+    gone = F.coalesce(F.col("_deleted"), F.lit(False)) if "_deleted" in changes.columns else F.lit(False)
+    merged = merge(df, changes.drop(place), keys)
+    added = changes.filter(~gone).join(df.select(*keys), keys, "left_anti")
+    ranked = with_places(added.select(*keys, *[p for p in parent if p not in keys], F.col(place).alias("_own")), [*parent, "_own", *[k for k in keys if k not in parent]], "_at")
+    if parent:
+        first = ranked.groupBy(*parent).agg(F.min("_at").alias("_first"))
+        top = df.groupBy(*parent).agg((F.max(place) + 1).alias("_top"))
+        ranked = ranked.join(first, parent).join(top, parent, "left")
+    else:
+        top = df.agg((F.max(place) + 1).alias("_top"))
+        ranked = ranked.withColumn("_first", F.lit(0)).crossJoin(F.broadcast(top))  # one row
+    ranked = ranked.select(*keys, (F.coalesce("_top", F.lit(0)) + F.col("_at") - F.col("_first")).alias("_new_place"))
+    placed = merged.join(ranked, keys, "left")
+    return placed.withColumn(place, F.coalesce(place, "_new_place").cast("long")).select(*df.columns)
+
+
+@dataclass(frozen=True)
+class ListTable:
+    """A list of a tree of lists: its key (those of the lists above first), and how many of it are its parent's."""
+
+    name: str
+    keys: tuple[str, ...]
+    above: int = 0
+
+
+def merge_tree(old: dict[str, DataFrame], new: dict[str, DataFrame], lists: list[ListTable], place: str = "place") -> dict[str, DataFrame]:
+    """Every list of a tree merged with its changes, from the top down; lists without changes lose what stood below deleted entries."""
+    out: dict[str, DataFrame] = {}
+    lost: tuple[DataFrame, tuple[str, ...]] | None = None
+    for own in lists:
+        df, parent = old[own.name], list(own.keys[: own.above])
+        changes = new.get(own.name)
+        if lost is not None:
+            gone = lost[0].select(*[F.col(k).alias(n) for k, n in zip(lost[1], parent, strict=True)])
+            df = df.join(gone, parent, "left_anti")
+            changes = changes.join(gone, parent, "left_anti") if changes is not None else None
+        out[own.name] = df if changes is None else merge_ordered(df, changes, list(own.keys), parent, place)
+        removed = changes.filter("_deleted").select(*own.keys) if changes is not None and "_deleted" in changes.columns else None
+        if lost is not None:
+            above = old[own.name].join(gone, parent, "left_semi").select(*own.keys)
+            removed = above if removed is None else removed.unionByName(above)
+        lost = (removed.distinct(), own.keys) if removed is not None else None
+    return out
 
 
 def merge_leaf_list(a: Column, b: Column) -> Column:
@@ -107,15 +178,22 @@ def insert_entry(array: Column, index: int, value: Column, after: bool = False)
 
 
 def etag(columns: list[str]) -> Column:
-    """A hash of a row's value that does not depend on the order of its members."""
-    parts = [x for c in sorted(columns) for x in (F.lit(c), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")))]
-    return F.sha2(F.concat_ws("\x1f", *parts), 256)
+    """A hash of a row's value that does not depend on the order of its members.
+
+    Every part stands behind its length, and NULL is told from any text.
+    """
+    part = lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)
+    parts = [x for c in sorted(columns) for x in (part(F.lit(c)), F.coalesce(part(F.col(f"`{c}`").cast("string")), F.lit("-")))]
+    return F.sha2(F.concat(*parts), 256)
 
 
-def encode_json(df: DataFrame, node: Node, keep: Column | None = None) -> Column:
-    """An entry as JSON text in the raw encoding of its types; absent members are left out."""
+def encode_json(df: DataFrame, node: Node, keep: Callable[[str], Column | bool] | None = None) -> Column:
+    """An entry as JSON text in the raw encoding of its types; absent members are left out, and those that ``keep(name)`` refuses."""
     leaves = [c for c in node.data_children() if c.kind == "leaf" and c.name in df.columns]
-    return F.to_json(F.struct(*[ty.encode(F.col(f"`{c.name}`"), c.type).alias(c.name) for c in leaves]))
+    kept = [(c, True if keep is None else keep(c.name)) for c in leaves]
+    value = lambda c, ok: ty.encode(F.col(f"`{c.name}`"), c.type) if ok is True else F.when(ok, ty.encode(F.col(f"`{c.name}`"), c.type))
+    fields = [value(c, ok).alias(c.name) for c, ok in kept if ok is not False]
+    return F.to_json(F.struct(*fields)) if fields else F.lit("{}")
 
 
 def touched(df: DataFrame, changed: Column) -> DataFrame:

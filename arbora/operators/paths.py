@@ -9,15 +9,21 @@ functions, and compiled against a context::
 
 A node-set is held as one array for each schema node it may contain (a branch).  An entry holds its place in document
 order (``at``) and the values of its ancestors and itself (``v0``, ``v1``, ...), so every axis is a projection of it.
+Ancestors that all entries share are no part of them but columns of the branch (``fixed``): the document at least.
 Predicates look at the merged set of a step by default, and at the nodes of each context node with ``each``.
 
 Conversions and comparisons are those of XPath 1.0: no function gives NULL, containers and list entries have no string
 value and are skipped in comparisons, NaN equals nothing.
+
+Children include what is in use by default: absent leaves and leaf-lists with a default, and absent containers without
+presence that have such leaves, where their ``when`` holds and their case is there (or is the default of a choice without
+any).  The steps of an expression decide at compile time which defaults it can reach; only these are filled.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -26,6 +32,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions import types as ty
 from arbora.functions import xpath as xp
+from arbora.operators.editing import default_of
 from arbora.plans.model import Node, NonexistentSchemaNode
 
 NAN = float("nan")
@@ -60,6 +67,7 @@ class Context:
     size: Column | None = None
     origin: Context | None = None
     sure: bool = False  # the node is there, whatever its value
+    known: tuple[tuple[str, Column], ...] = ()  # what was gathered from the document before, by name
 
     @property
     def node(self) -> Node:
@@ -70,10 +78,14 @@ class Context:
         return self.values[-1]
 
     def below(self, child: Node, value: Column, at: Column | None = None) -> Context:
-        return Context((*self.nodes, child), (*self.values, value), self.at if at is None else at)
+        return Context((*self.nodes, child), (*self.values, value), self.at if at is None else at, known=self.known)
+
+    def find_known(self, name: str) -> Column | None:
+        return dict(self.known).get(name)
 
-    def as_struct(self) -> Column:
-        return F.struct(self.at.alias("at"), *[v.alias(f"v{i}") for i, v in enumerate(self.values)])
+    def as_struct(self, start: int = 0) -> Column:
+        """The place and the values from a level on."""
+        return F.struct(self.at.alias("at"), *[v.alias(f"v{i}") for i, v in enumerate(self.values) if i >= start])
 
 
 def document(model: Node, value: Column) -> Context:
@@ -88,12 +100,30 @@ class Branch:
     nodes: tuple[Node, ...]
     array: Column | None = None
     one: Context | None = None
+    fixed: tuple[Column, ...] = ()
+
+    @property
+    def shared(self) -> tuple[Column, ...]:
+        """Values of the ancestors that are no part of the entries."""
+        return self.one.values[:-1] if self.one is not None else self.fixed
+
+    def value_at(self, e: Column, level: int) -> Column:
+        return self.shared[level] if level < len(self.shared) else e[f"v{level}"]
 
     @property
     def column(self) -> Column:
         if self.array is not None:
             return self.array
-        return F.filter(F.array(self.one.as_struct()), lambda e: e[f"v{len(self.nodes) - 1}"].isNotNull())
+        last = len(self.nodes) - 1
+        return F.filter(F.array(self.one.as_struct(last)), lambda e: e[f"v{last}"].isNotNull())
+
+    def rooted(self) -> Column:
+        """The entries with all values but the document, which may leave the scope of what this branch's columns name."""
+        n = len(self.nodes)
+        full = lambda e: F.struct(e["at"].alias("at"), *[self.value_at(e, i).alias(f"v{i}") for i in range(1, n)])
+        if len(self.shared) == 1:
+            return self.column
+        return F.transform(self.column, full)
 
     @property
     def size(self) -> Column:
@@ -104,12 +134,12 @@ class Branch:
         return replace(self.one, origin=outer.origin or outer)
 
     def context(self, e: Column, outer: Context, position: Column | None = None, size: Column | None = None) -> Context:
-        values = tuple(e[f"v{i}"] for i in range(len(self.nodes)))
-        return Context(self.nodes, values, e["at"], position, size, outer.origin or outer)
+        values = tuple(self.value_at(e, i) for i in range(len(self.nodes)))
+        return Context(self.nodes, values, e["at"], position, size, outer.origin or outer, known=outer.known)
 
     def each(self, use: Callable[[Node, Column], Column]) -> Callable[[Column], Column]:
         """``use(schema node, value)`` of an entry."""
-        return lambda e: use(self.nodes[-1], e[f"v{len(self.nodes) - 1}"])
+        return lambda e: use(self.nodes[-1], self.value_at(e, len(self.nodes) - 1))
 
     def placed(self, use: Callable[[Node, Column], Column]) -> Callable[[Column], Column]:
         """The same with the entry's place before it, as a struct."""
@@ -129,6 +159,67 @@ def _named(nodes: tuple[Node, ...]) -> tuple[str, ...]:
     return tuple(n.name for n in nodes)
 
 
+def leaf_default(node: Node):
+    """The default of a leaf, or that of its type; a mandatory leaf has none."""
+    if node.mandatory or node.min_elements:
+        return None
+    if node.default is not None:
+        return node.default
+    if node.type.default is not None:
+        return [node.type.default] if node.kind == "leaf-list" else node.type.default
+    return None
+
+
+def has_defaults(node: Node) -> bool:
+    """Whether a data node is, or as a container without presence holds, a leaf with a default."""
+    if node.kind in ("leaf", "leaf-list"):
+        return leaf_default(node) is not None
+    return node.kind == "container" and not node.presence and any(has_defaults(c) for c in node.data_children())
+
+
+def _cases_above(parent: Node, child: Node) -> list[tuple[Node, Node]]:
+    """(choice, case) pairs between a data node and its data child, outermost first."""
+    for c in parent.children:
+        if c is child:
+            return []
+        if c.kind in ("choice", "case"):
+            for k in c.children if c.kind == "choice" else (c,):
+                if any(x is child for x in k.data_children()):
+                    return [(c, k), *_cases_above(k, child)] if c.kind == "choice" else _cases_above(k, child)
+    return []
+
+
+#: Schema nodes whose ``when`` is being compiled: it sees their value without a default.
+_deciding: ContextVar[tuple[int, ...]] = ContextVar("arbora_deciding", default=())
+
+
+def in_use(ctx: Context, child: Node) -> Column:
+    """The value of a child, or its default where that is in use."""
+    from arbora.operators import trees
+
+    value = ctx.value.getField(child.name)
+    if id(child) in _deciding.get() or not has_defaults(child):
+        return value
+    if child.kind == "container":
+        kind = child.data_type()
+        given = F.struct(*[F.lit(None).cast(f.dataType).alias(f.name) for f in kind.fields])
+    else:
+        given = default_of(replace(child, default=leaf_default(child)))
+    before = _deciding.set((*_deciding.get(), id(child)))
+    try:
+        terms, guards = [ctx.value.isNotNull()], []
+        for choice, case in _cases_above(ctx.node, child):
+            here = {c.name: trees._present(ctx, c) for c in choice.children}
+            own = here[case.name]
+            terms.append(own | ~reduce(lambda a, b: a | b, here.values()) if case.name == choice.default else own)
+            guards += [w for w in (choice.when, case.when) if w is not None]
+        terms.append(trees._active(ctx, child, given, guards))
+    finally:
+        _deciding.reset(before)
+    missing = value.isNull() | (F.size(value) == 0) if child.kind == "leaf-list" else value.isNull()
+    return F.when(missing & reduce(lambda a, b: a & b, terms), given).otherwise(value)
+
+
 def _children(branch: Branch, test: str | None, outer: Context) -> list[Branch]:
     """The child axis: entries of lists and leaf-lists one by one."""
     if branch.nodes[-1].kind in ("leaf", "leaf-list", "anydata"):
@@ -140,34 +231,56 @@ def _children(branch: Branch, test: str | None, outer: Context) -> list[Branch]:
 
         if branch.one is not None and child.kind not in ("list", "leaf-list"):
             own = branch.one
-            out.append(Branch((*branch.nodes, child), one=Context((*own.nodes, child), (*own.values, own.value.getField(child.name)), F.concat(own.at, F.array(F.lit(number), F.lit(0))))))
+            out.append(Branch((*branch.nodes, child), one=Context((*own.nodes, child), (*own.values, in_use(own, child)), F.concat(own.at, F.array(F.lit(number), F.lit(0))), known=own.known)))
+            continue
+
+        if branch.one is not None:
+            # entries of a list in a node that is known: what they share are its values
+            own = branch.one
+            place = lambda i, number: F.concat(own.at, F.array(F.lit(number), i.cast("int")))
+            made = lambda number, level: lambda x, i: F.struct(place(i, number).alias("at"), x.alias(f"v{level}"))
+            value = F.when(own.value.isNotNull(), in_use(own, child))
+            entries = F.transform(value, made(number, len(branch.nodes)))
+            out.append(Branch((*branch.nodes, child), F.coalesce(entries, F.slice(F.array(F.struct(own.at.alias("at"), F.lit(None).cast(entry_type(child)).alias(f"v{len(branch.nodes)}"))), 1, 0)), fixed=own.values))
             continue
+        start = len(branch.fixed)
 
         def inner(e: Column, number: int, child: Node) -> Column:
             ctx = branch.context(e, outer)
-            value = ctx.value.getField(child.name)
-            made = lambda x, i: ctx.below(child, x, F.concat(ctx.at, F.array(F.lit(number), i.cast("int")))).as_struct()
+            value = in_use(ctx, child)
+            made = lambda x, i: ctx.below(child, x, F.concat(ctx.at, F.array(F.lit(number), i.cast("int")))).as_struct(start)
             if child.kind in ("list", "leaf-list"):
                 return F.transform(value, made)
             return F.filter(F.array(made(value, F.lit(0))), lambda k: k[f"v{len(branch.nodes)}"].isNotNull())
 
-        out.append(Branch((*branch.nodes, child), _flat(branch.column, bound(inner, number, child))))
+        out.append(Branch((*branch.nodes, child), _flat(branch.column, bound(inner, number, child)), fixed=branch.fixed))
     return out
 
 
+def entry_type(node: Node):
+    """The Spark type of an entry of a list or leaf-list, or of another node's value."""
+    kind = node.data_type()
+    return kind.elementType if node.kind in ("list", "leaf-list") else kind
+
+
 def _descendants(branch: Branch, outer: Context) -> list[Branch]:
     kids = _children(branch, "*", outer)
     return [b for k in kids for b in (k, *_descendants(k, outer))]
 
 
-def _ancestor(branch: Branch, levels: int) -> Branch:
+def _ancestor(branch: Branch, levels: int, known: tuple = ()) -> Branch:
     keep = len(branch.nodes) - levels
     if branch.one is not None:
         own = branch.one
         there = [F.when(own.value.isNotNull(), v) for v in own.values[:keep]] if not own.sure else own.values[:keep]
-        return Branch(branch.nodes[:keep], one=Context(own.nodes[:keep], tuple(there), F.slice(own.at, 1, 2 * (keep - 1)), sure=own.sure))
-    up = lambda e: F.struct(F.slice(e["at"], 1, 2 * (keep - 1)).alias("at"), *[e[f"v{i}"].alias(f"v{i}") for i in range(keep)])
-    return Branch(branch.nodes[:keep], _in_order(F.transform(branch.column, up)))
+        return Branch(branch.nodes[:keep], one=Context(own.nodes[:keep], tuple(there), F.slice(own.at, 1, 2 * (keep - 1)), sure=own.sure, known=own.known))
+    if keep <= len(branch.fixed):
+        # all share it, so it is one node, if there are any below
+        first = F.get(branch.array, F.lit(0))
+        there = [F.when(first.isNotNull(), v) for v in branch.fixed[:keep]]
+        return Branch(branch.nodes[:keep], one=Context(branch.nodes[:keep], tuple(there), F.slice(first["at"], 1, 2 * (keep - 1)), known=known))
+    up = lambda e: F.struct(F.slice(e["at"], 1, 2 * (keep - 1)).alias("at"), *[e[f"v{i}"].alias(f"v{i}") for i in range(len(branch.fixed), keep)])
+    return Branch(branch.nodes[:keep], _in_order(F.transform(branch.column, up)), fixed=branch.fixed)
 
 
 def _siblings(branch: Branch, after: bool) -> list[Branch]:
@@ -178,22 +291,22 @@ def _siblings(branch: Branch, after: bool) -> list[Branch]:
 
     def inner(e: Column) -> Column:
         i = F.element_at(e["at"], -1)
-        every = e[f"v{k - 1}"].getField(branch.nodes[-1].name)
+        every = branch.value_at(e, k - 1).getField(branch.nodes[-1].name)
         part = F.slice(every, i + 2, F.size(every)) if after else F.slice(every, F.lit(1), i)
         first = i + 1 if after else F.lit(0)
         place = lambda j: F.concat(F.slice(e["at"], F.lit(1), F.size(e["at"]) - 1), F.array((first + j).cast("int")))
-        own = F.transform(part, lambda x, j: F.struct(place(j).alias("at"), *[e[f"v{n}"].alias(f"v{n}") for n in range(k)], x.alias(f"v{k}")))
+        own = F.transform(part, lambda x, j: F.struct(place(j).alias("at"), *[e[f"v{n}"].alias(f"v{n}") for n in range(len(branch.shared), k)], x.alias(f"v{k}")))
         return own if after else F.reverse(own)
 
-    return [Branch(branch.nodes, _flat(branch.column, inner))]
+    return [Branch(branch.nodes, _flat(branch.column, inner), fixed=branch.shared)]
 
 
-def _merged(branches: list[Branch]) -> list[Branch]:
+def _merged(branches: list[Branch], root_value: Column) -> list[Branch]:
     """One branch for each schema node, each node once."""
     by: dict[tuple[str, ...], list[Branch]] = {}
     for b in branches:
         by.setdefault(_named(b.nodes), []).append(b)
-    return [own[0] if len(own) == 1 else Branch(own[0].nodes, _in_order(F.concat(*[b.column for b in own]))) for own in by.values()]
+    return [own[0] if len(own) == 1 else Branch(own[0].nodes, _in_order(F.concat(*[b.rooted() for b in own])), fixed=(root_value,)) for own in by.values()]
 
 
 AXES = ("self", "child", "parent", "descendant", "descendant-or-self", "ancestor", "ancestor-or-self", "preceding-sibling", "following-sibling")
@@ -204,7 +317,7 @@ def _step(branches: list[Branch], axis: str, test: str | None, outer: Context) -
         raise NotSupported(f"axis {axis}")
     out: list[Branch] = []
     for b in branches:
-        up = [_ancestor(b, n) for n in range(1, len(b.nodes))]
+        up = [_ancestor(b, n, outer.known) for n in range(1, len(b.nodes))]
         found = {
             "self": lambda b=b: [b],
             "child": lambda b=b: _children(b, test, outer),
@@ -218,8 +331,8 @@ def _step(branches: list[Branch], axis: str, test: str | None, outer: Context) -
         }[axis]()
         # a name or * does not match the document itself, but where it stands among its descendants; node() matches all
         out += [x for x in found if test is None or (test == "*" and (len(x.nodes) > 1 or axis == "descendant-or-self")) or test in (x.nodes[-1].name, f"{x.nodes[-1].ns}:{x.nodes[-1].name}")]
-    merged = _merged(out)
-    return [Branch(b.nodes, _in_order(b.column)) if axis.endswith("-sibling") else b for b in merged]
+    merged = _merged(out, outer.values[0])
+    return [Branch(b.nodes, _in_order(b.column), fixed=b.shared) if axis.endswith("-sibling") else b for b in merged]
 
 
 # expressions
@@ -230,6 +343,11 @@ class Expr:
 
     kind = "string"
     text = ""
+    rank = 9  # how tightly the text binds: 1 or, 2 and, 3 = !=, 4 < >, 5 + -, 6 * div mod, 7 unary -, 8 |, 9 all else
+
+    def shown(self, rank: int) -> str:
+        """The text as an operand, in parentheses where it binds less than ``rank``."""
+        return self.text if self.rank >= rank else f"({self.text})"
 
     def make(self, ctx: Context) -> Column:
         raise NotImplementedError
@@ -289,15 +407,15 @@ class Expr:
         return _arithmetic(self, "mod", other)
 
     def __neg__(self):
-        return Made("number", lambda ctx: -self.number(ctx), f"-{self}")
+        return Made("number", lambda ctx: -self.number(ctx), f"-{self.shown(7)}", 7)
 
     def __and__(self, other):
         b = expr(other)
-        return Made("boolean", lambda ctx: self.boolean(ctx) & b.boolean(ctx), f"{self} and {b}")
+        return Made("boolean", lambda ctx: self.boolean(ctx) & b.boolean(ctx), f"{self.shown(2)} and {b.shown(3)}", 2)
 
     def __or__(self, other):
         b = expr(other)
-        return Made("boolean", lambda ctx: self.boolean(ctx) | b.boolean(ctx), f"{self} or {b}")
+        return Made("boolean", lambda ctx: self.boolean(ctx) | b.boolean(ctx), f"{self.shown(1)} or {b.shown(2)}", 1)
 
     def __invert__(self):
         return Made("boolean", lambda ctx: ~self.boolean(ctx), f"not({self})")
@@ -306,13 +424,22 @@ class Expr:
 class Made(Expr):
     """A value computed from the context."""
 
-    def __init__(self, kind: str, make: Callable[[Context], Column], text: str):
-        self.kind, self._make, self.text = kind, make, text
+    def __init__(self, kind: str, make: Callable[[Context], Column], text: str, rank: int = 9):
+        self.kind, self._make, self.text, self.rank = kind, make, text, rank
 
     def make(self, ctx: Context) -> Column:
         return self._make(ctx)
 
 
+def quote(text: str) -> str:
+    """A literal; one with both kinds of quotes is put together, as literals have no escapes."""
+    if '"' not in text:
+        return f'"{text}"'
+    if "'" not in text:
+        return f"'{text}'"
+    return "concat(" + ", '\"', ".join(f'"{part}"' for part in text.split('"')) + ")"
+
+
 def expr(x) -> Expr:
     """An expression of a Python value."""
     if isinstance(x, Expr):
@@ -322,7 +449,7 @@ def expr(x) -> Expr:
     if isinstance(x, (int, float)):
         return Made("number", lambda ctx: F.lit(float(x)), str(float(x)))
     if isinstance(x, str):
-        return Made("string", lambda ctx: F.lit(x), f'"{x}"')
+        return Made("string", lambda ctx: F.lit(x), quote(x))
     raise XPathTypeError(f"no expression: {x!r}")
 
 
@@ -348,8 +475,13 @@ class Nodes(Expr):
 
     kind = "nodes"
 
-    def __init__(self, find: Callable[[Context], list[Branch]], text: str):
-        self.find, self.text = find, text
+    def __init__(self, find: Callable[[Context], list[Branch]], text: str, rank: int = 9, base: int | None = None):
+        """``base``: the levels above the context node at which the path begins to go down, -1 for the root; None if unknown."""
+        self.find, self.text, self.rank, self.base = find, text, rank, base
+
+    def _free(self, conditions: list[Expr]) -> bool:
+        """Whether predicates leave the set the same for all context nodes with the same base."""
+        return not any("current()" in str(c) for c in conditions)
 
     # steps
 
@@ -357,7 +489,10 @@ class Nodes(Expr):
         """Nodes of an axis that pass the test: a name, ``*`` for any, None for ``node()``."""
         conditions = [expr(p) for p in predicates]
         shown = {("child", test): test or "node()", ("parent", None): "..", ("self", None): "."}.get((axis, test), f"{axis}::{test or 'node()'}")
-        text = "".join([shown if self.text == "." else f"{self.text.rstrip('/')}/{shown}", *[f"[{p}]" for p in conditions]])
+        text = "".join([shown if self.text == "." else f"{self.shown(9).rstrip('/')}/{shown}", *[f"[{p}]" for p in conditions]])
+        base = self.base if self._free(conditions) and axis in ("child", "descendant", "self") else None
+        if axis == "parent" and test is None and not conditions and self.base is not None and set(self.text) <= {".", "/"} and self.base >= 0:
+            base = self.base + 1
 
         def find(ctx: Context) -> list[Branch]:
             found = self.find(ctx)
@@ -373,12 +508,12 @@ class Nodes(Expr):
 
                     def own(e: Column, b: Branch, k: int) -> Column:
                         single = _step([Branch(b.nodes, one=b.context(e, ctx))], axis, test, ctx)
-                        return _filtered(single, conditions, ctx)[k].column
+                        return _filtered(single, conditions, ctx)[k].rooted()
 
-                    out.append(Branch(one.nodes, _flat(b.column, bound(own, b, k))))
-            return _merged(out)
+                    out.append(Branch(one.nodes, _flat(b.column, bound(own, b, k)), fixed=(ctx.values[0],)))
+            return _merged(out, ctx.values[0])
 
-        return Nodes(find, text)
+        return Nodes(find, text, 9, base)
 
     def child(self, name: str | None = "*", *predicates, each: bool = False) -> Nodes:
         return self.step("child", name, *predicates, each=each)
@@ -395,11 +530,12 @@ class Nodes(Expr):
     def where(self, *predicates) -> Nodes:
         """The nodes of the whole set that satisfy every predicate; a number is a position."""
         conditions = [expr(p) for p in predicates]
-        return Nodes(lambda ctx: _filtered(self.find(ctx), conditions, ctx), self.text + "".join(f"[{p}]" for p in conditions))
+        base = self.base if self._free(conditions) else None
+        return Nodes(lambda ctx: _filtered(self.find(ctx), conditions, ctx), self.shown(9) + "".join(f"[{p}]" for p in conditions), 9, base)
 
     def __or__(self, other):
         if isinstance(other, Nodes):
-            return Nodes(lambda ctx: _merged([*self.find(ctx), *other.find(ctx)]), f"{self} | {other}")
+            return Nodes(lambda ctx: _merged([*self.find(ctx), *other.find(ctx)], ctx.values[0]), f"{self.shown(8)} | {other.shown(9)}", 8)
         return super().__or__(other)
 
     def then(self, path: Nodes) -> Nodes:
@@ -413,8 +549,9 @@ class Nodes(Expr):
                     continue
                 probe = path.find(b.context(F.get(b.column, F.lit(0)), ctx))
                 for k, one in enumerate(probe):
-                    out.append(Branch(one.nodes, _in_order(_flat(b.column, bound(lambda e, b, k: path.find(b.context(e, ctx))[k].column, b, k)))))
-            return _merged(out)
+                    each = bound(lambda e, b, k: path.find(b.context(e, ctx))[k].rooted(), b, k)
+                    out.append(Branch(one.nodes, _in_order(_flat(b.column, each)), fixed=(ctx.values[0],)))
+            return _merged(out, ctx.values[0])
 
         return Nodes(find, f"({self})/{path}")
 
@@ -426,8 +563,12 @@ class Nodes(Expr):
 
     def numbers(self, ctx: Context) -> Column:
         """Numbers of the nodes that have one."""
+        return F.filter(self.all_numbers(ctx), lambda n: ~F.isnan(n))
+
+    def all_numbers(self, ctx: Context) -> Column:
+        """The number of each leaf, NaN for those that have none."""
         parts = [F.transform(b.column, b.each(number_value)) for b in self.find(ctx) if b.nodes[-1].type]
-        return F.filter(F.concat(*parts), lambda n: ~F.isnan(n)) if parts else F.array().cast("array<double>")
+        return F.concat(*parts) if parts else F.array().cast("array<double>")
 
     def only(self, ctx: Context) -> Context | None:
         """The node, where the set can hold only one."""
@@ -483,7 +624,7 @@ def _filtered(branches: list[Branch], conditions: list[Expr], outer: Context) ->
         before, out = F.lit(0), []
         for b, n in zip(branches, sizes, strict=True):
 
-            out.append(Branch(b.nodes, F.filter(b.column, _keep(b, cond, outer, before, total))))
+            out.append(Branch(b.nodes, F.filter(b.column, _keep(b, cond, outer, before, total)), fixed=b.shared))
             before = before + n
         branches = out
     return branches
@@ -515,7 +656,8 @@ def _compare(left, op: str, right) -> Expr:
             return same if op == "=" else ~same
         return _numbers_compare(op, a.number(ctx), b.number(ctx))
 
-    return Made("boolean", make, f"{a} {op} {b}")
+    rank = 3 if op in ("=", "!=") else 4
+    return Made("boolean", make, f"{a.shown(rank)} {op} {b.shown(rank + 1)}", rank)
 
 
 def _nodes_compare(a: Nodes, op: str, b: Expr, ctx: Context) -> Column:
@@ -527,9 +669,7 @@ def _nodes_compare(a: Nodes, op: str, b: Expr, ctx: Context) -> Column:
             same = string_value(one.node, one.value) == b.string(ctx)
             return F.coalesce(there & (same if op == "=" else ~same), F.lit(False))
         x, y = number_value(one.node, one.value), b.number(ctx)
-        # nodes without a number are skipped
-        numeric = there & ~F.isnan(x) if other is None else there & ~F.isnan(x) & ~F.isnan(y)
-        return F.coalesce(numeric & _numbers_compare(op, x, y), F.lit(False))
+        return F.coalesce(there & _numbers_compare(op, x, y), F.lit(False))
     if b.kind == "boolean":
         return _numbers_compare(op, xp.number_of_boolean(a.boolean(ctx)), b.number(ctx))
     if b.kind == "nodes":
@@ -541,13 +681,14 @@ def _nodes_compare(a: Nodes, op: str, b: Expr, ctx: Context) -> Column:
     if b.kind == "string" and op in ("=", "!="):
         value = b.string(ctx)
         return xp.any_equal(a.strings(ctx), value) if op == "=" else xp.any_unequal(a.strings(ctx), value)
-    return F.exists(a.numbers(ctx), lambda n: _numbers_compare(op, n, b.number(ctx)))
+    return F.exists(a.all_numbers(ctx), lambda n: _numbers_compare(op, n, b.number(ctx)))
 
 
 def _arithmetic(left, op: str, right) -> Expr:
     a, b = expr(left), expr(right)
     use = {"+": lambda x, y: x + y, "-": lambda x, y: x - y, "*": lambda x, y: x * y, "div": xp.divide, "mod": xp.modulo}[op]
-    return Made("number", lambda ctx: use(a.number(ctx), b.number(ctx)), f"{a} {op} {b}")
+    rank = 5 if op in ("+", "-") else 6
+    return Made("number", lambda ctx: use(a.number(ctx), b.number(ctx)), f"{a.shown(rank)} {op} {b.shown(rank + 1)}", rank)
 
 
 def _single(ctx: Context) -> list[Branch]:
@@ -555,11 +696,11 @@ def _single(ctx: Context) -> list[Branch]:
 
 
 #: The context node.
-here = Nodes(_single, ".")
+here = Nodes(_single, ".", 9, 0)
 
 
 def root() -> Nodes:
-    return Nodes(lambda ctx: [Branch(ctx.nodes[:1], one=replace(document(ctx.nodes[0], ctx.values[0]), sure=True))], "/")
+    return Nodes(lambda ctx: [Branch(ctx.nodes[:1], one=replace(document(ctx.nodes[0], ctx.values[0]), sure=True, known=ctx.known))], "/", 9, -1)
 
 
 def current() -> Nodes:
@@ -661,12 +802,12 @@ def normalize_space(s=here) -> Expr:
 
 def translate(s, source: str, target: str) -> Expr:
     a = expr(s)
-    return Made("string", lambda ctx: xp.translate(a.string(ctx), source, target), f'translate({a}, "{source}", "{target}")')
+    return Made("string", lambda ctx: xp.translate(a.string(ctx), source, target), f"translate({a}, {quote(source)}, {quote(target)})")
 
 
 def re_match(s, pattern: str) -> Expr:
     a = expr(s)
-    return Made("boolean", lambda ctx: xp.re_match(a.string(ctx), pattern), f're-match({a}, "{pattern}")')
+    return Made("boolean", lambda ctx: xp.re_match(a.string(ctx), pattern), f"re-match({a}, {quote(pattern)})")
 
 
 def substring(s, start, length=None) -> Expr:
@@ -713,7 +854,7 @@ def bit_is_set(nodes: Nodes, bit: str) -> Expr:
         parts = _on_leaves(nodes, "bits", ctx, lambda n, v: xp.bit_is_set(v, bit), False)
         return F.coalesce(F.array_min(F.concat(*parts))["x"], F.lit(False)) if parts else F.lit(False)
 
-    return Made("boolean", make, f'bit-is-set({nodes}, "{bit}")')
+    return Made("boolean", make, f"bit-is-set({nodes}, {quote(bit)})")
 
 
 def enum_value(nodes: Nodes = here) -> Expr:
@@ -733,7 +874,7 @@ def derived_from(nodes: Nodes, base: str, closure: dict[str, set[str]], or_self:
         parts = _on_leaves(nodes, "identityref", ctx, lambda n, v: xp.derived_from(v, base, closure, or_self), False)
         return F.exists(F.concat(*parts), lambda e: e["x"]) if parts else F.lit(False)
 
-    return Made("boolean", make, f'derived-from{"-or-self" if or_self else ""}({nodes}, "{base}")')
+    return Made("boolean", make, f"derived-from{'-or-self' if or_self else ''}({nodes}, {quote(base)})")
 
 
 def target_path(node: Node) -> Nodes | None:
@@ -743,8 +884,98 @@ def target_path(node: Node) -> Nodes | None:
     return root().child(node.leafref[0]).child(node.leafref[1]) if node.leafref else None
 
 
+def place_in(keys: Column, key: Column, behind: bool = False) -> Column:
+    """How many of the sorted ``keys`` are less than ``key`` (or not greater, with ``behind``), by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(keys).alias("hi"))
+
+    def halve(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+        at = F.get(keys, middle)
+        up = (acc["lo"] < acc["hi"]) & ((at <= key) if behind else (at < key))
+        return F.struct(F.when(up, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(up | (acc["lo"] >= acc["hi"]), acc["hi"]).otherwise(middle).alias("hi"))
+
+    return F.aggregate(F.sequence(F.lit(1), F.length(F.bin(F.size(keys).cast("long")))), start, halve)["lo"]
+
+
+def is_among(keys: Column, key: Column) -> Column:
+    """Whether sorted ``keys`` hold a key."""
+    return F.coalesce(F.get(keys, place_in(keys, key)) == key, F.lit(False))
+
+
+def reference_name(nodes: tuple[Node, ...]) -> str:
+    """What the targets of a leafref (given with its ancestors) are called among the things known of a document."""
+    return "/".join(_named(nodes))
+
+
+def leafrefs_based_at(ctx: Context) -> list[Context]:
+    """Contexts of leafrefs below whose path goes down from this node, with nothing known of the levels between."""
+    out = []
+
+    def visit(own: Context) -> None:
+        for c in own.node.data_children():
+            kind = c.data_type() if c.kind not in ("list", "leaf-list") else c.data_type().elementType
+            below = own.below(c, F.lit(None).cast(kind))
+            if c.kind in ("leaf", "leaf-list"):
+                path = target_path(c)
+                base = None if path is None or path.base is None else 1 if path.base < 0 else len(below.nodes) - path.base
+                if base == len(ctx.nodes):
+                    out.append(below)
+            elif c.kind != "anydata":
+                visit(below)
+
+    visit(ctx)
+    return out
+
+
+def _by_key(a: Column, b: Column) -> Column:
+    """The order of targets: by their strings, then by their places."""
+    less = (a["key"] < b["key"]) | ((a["key"] == b["key"]) & (a["at"] < b["at"]))
+    return F.when(less, -1).when((a["key"] == b["key"]) & (a["at"] == b["at"]), 0).otherwise(1)
+
+
+def with_targets(ctx: Context, use: Callable[[Context], Column], entries: bool = False) -> Column:
+    """``use`` of the context, which knows the targets of the leafrefs that go down from it, gathered once.
+
+    They are the sorted distinct strings of the targets, or with ``entries`` the targets themselves, sorted by theirs.
+    """
+    fields = []
+    for ref in leafrefs_based_at(ctx):
+        path, name = target_path(ref.node), reference_name(ref.nodes)
+        if not entries:
+            fields.append((name, F.array_sort(F.array_distinct(path.strings(ref)))))
+            continue
+        found = path.find(ref)
+        if len(found) == 1:
+            whole = Branch(found[0].nodes, found[0].rooted(), fixed=ctx.values[:1])
+            own = bound(lambda e, b: F.struct(b.each(string_value)(e).alias("key"), e["at"].alias("at"), e.alias("entry")), whole)
+            fields.append((f"->{name}", F.array_sort(F.transform(found[0].rooted(), own), _by_key)))
+    if not fields:
+        return use(ctx)
+    gathered = F.struct(*[c.alias(f"t{i}") for i, (_, c) in enumerate(fields)])
+    return let(gathered, lambda t: use(replace(ctx, known=(*ctx.known, *[(name, t[f"t{i}"]) for i, (name, _) in enumerate(fields)]))))
+
+
+def _targets_known(b: Branch, value: Column, ctx: Context) -> list[Branch] | None:
+    """The targets of a leafref with this value, from what was gathered; None where nothing was."""
+    gathered = ctx.find_known(f"->{reference_name(b.nodes)}")
+    if gathered is None:
+        return None
+    root_node = b.nodes[0]
+    target = (root_node,)
+    for step in resolve(b.nodes, target_path(b.nodes[-1]))[0]:
+        target = (*target, target[-1].data_child(step))
+    keys = F.transform(gathered, lambda e: e["key"])
+    text = string_value(b.nodes[-1], value)
+    first = place_in(keys, text)
+    own = F.slice(gathered, first + 1, place_in(keys, text, True) - first)
+    return [Branch(target, F.when(text.isNotNull(), F.transform(own, lambda e: e["entry"])).otherwise(F.slice(F.transform(gathered, lambda e: e["entry"]), 1, 0)), fixed=(ctx.values[0],))]
+
+
 def deref(nodes: Nodes = here) -> Nodes:
-    """The nodes that the first of the set refers to: targets of a leafref with the same canonical string."""
+    """The nodes that the first of the set refers to: targets of a leafref with the same canonical string.
+
+    Where the targets were gathered before (``with_targets``) they are looked up, else all are compared.
+    """
 
     def find(ctx: Context) -> list[Branch]:
         out = []
@@ -753,13 +984,20 @@ def deref(nodes: Nodes = here) -> Nodes:
             if own is None:
                 continue
             if b.one is not None:
+                if (known := _targets_known(b, b.one.value, replace(b.one, known=ctx.known))) is not None:
+                    out += known
+                    continue
                 out += own.where(here == string(current())).find(replace(b.one, origin=None))
                 continue
             first = F.slice(b.column, 1, 1)
+            if ctx.find_known(f"->{reference_name(b.nodes)}") is not None:
+                target = _targets_known(b, b.value_at(F.get(first, F.lit(0)), len(b.nodes) - 1), ctx)
+                out += target
+                continue
             same = lambda e, b, own: own.where(here == string(current())).find(replace(b.context(e, ctx), origin=None))
             for k, one in enumerate(same(F.get(first, F.lit(0)), b, own)):
-                out.append(Branch(one.nodes, _in_order(_flat(first, bound(lambda e, b, own, k: same(e, b, own)[k].column, b, own, k)))))
-        return _merged(out)
+                out.append(Branch(one.nodes, _in_order(_flat(first, bound(lambda e, b, own, k: same(e, b, own)[k].rooted(), b, own, k))), fixed=(ctx.values[0],)))
+        return _merged(out, ctx.values[0])
 
     return Nodes(find, f"deref({nodes})")
 

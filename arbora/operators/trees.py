@@ -10,6 +10,7 @@ An absent document (NULL) has no violations and no nodes, and stays NULL when it
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +20,7 @@ from arbora.functions import types as ty
 from arbora.operators import paths as px
 from arbora.operators.editing import default_of
 from arbora.operators.navigation import InvalidKeyValue, NonDataNode, quoted
-from arbora.operators.paths import Context, bound, document, let
+from arbora.operators.paths import Context, bound, document, leaf_default, let  # noqa: F401
 from arbora.plans.model import ALL, Node, NonexistentSchemaNode
 
 VIOLATION = "array<struct<instance_path:string,schema_path:string,error_class:string,error_tag:string,error_message:string>>"
@@ -106,8 +107,33 @@ def _present(ctx: Context, node: Node) -> Column:
 
 def violations(ctx: Context, content: int = ALL, scope: str = "all") -> Column:
     """All violations of a document, in the order of the model.  ``scope``: all, syntax (structure and types) or semantics."""
-    found = _check_members(ctx, F.lit(""), "", F.lit(True), content, scope)
-    return F.coalesce(F.when(ctx.value.isNotNull(), _join(found, VIOLATION)), F.array().cast(VIOLATION))
+    checks = lambda own: _join(_with_references(own, lambda c: _check_members(c, F.lit(""), "", F.lit(True), content, scope), scope), VIOLATION)
+    found = checks(ctx) if scope == "syntax" else _knowing_paths(ctx, checks)
+    return F.coalesce(F.when(ctx.value.isNotNull(), found), F.array().cast(VIOLATION))
+
+
+def _with_references(ctx: Context, checks: Callable[[Context], list[Column]], scope: str) -> list[Column]:
+    """Arrays of violations below a node, with the targets of the references that go down from it gathered once."""
+    if scope == "syntax" or not px.leafrefs_based_at(ctx):
+        return checks(ctx)
+    return [px.with_targets(ctx, lambda own: _join(checks(own), VIOLATION))]
+
+
+def identifier_leaves(model: Node) -> list[tuple[str, Node]]:
+    """(schema path, leaf) of the instance identifiers that have to lead to a node."""
+    return [(path, n) for path, n in model.walk() if n.type and n.type.base == "instance-identifier" and n.require_instance]
+
+
+def _knowing_paths(ctx: Context, use: Callable[[Context], Column]) -> Column:
+    """``use`` of the document with the sorted paths of its nodes, where its model has instance identifiers."""
+    if not identifier_leaves(ctx.node):
+        return use(ctx)
+    every = F.array_sort(F.transform(nodes(ctx), lambda n: n["path"]))
+    return let(every, lambda paths: use(replace(ctx, known=(*ctx.known, (PATHS, paths)))))
+
+
+#: The name of the sorted paths of a document's nodes among the things known of it.
+PATHS = "//paths"
 
 
 def validate(df: DataFrame, model: Node, doc: str = "doc", content: int = ALL, scope: str = "all", first_only: bool = False) -> DataFrame:
@@ -170,7 +196,7 @@ def _check_members(ctx: Context, path: Column, schema_path: str, exists: Column,
             there = value.isNotNull() if n.presence else exists & needed & active
             if semantics:
                 note(*[_violation(value.isNotNull() & ~holds(own, m.condition), at, spath, "semantic", m.tag, m.message) for m in n.must])
-            out.extend(_check_members(own, at, spath, there, content, scope))
+            out.extend(_with_references(own, lambda c: _check_members(c, at, spath, there, content, scope), scope))
         elif n.kind in ("list", "leaf-list"):
             size = F.coalesce(F.size(value), F.lit(0))
             if semantics:
@@ -178,12 +204,12 @@ def _check_members(ctx: Context, path: Column, schema_path: str, exists: Column,
                     note(_violation(exists & needed & active & (size < n.min_elements), at, spath, "semantic", "too-few-elements"))
                 if n.max_elements is not None:
                     note(_violation(size > n.max_elements, at, spath, "semantic", "too-many-elements"))
-                out.extend(_check_uniqueness(n, value, at, spath))
+                out.extend(_check_uniqueness(ctx, n, value, at, spath))
 
             def entry(x: Column, i: Column) -> Column:
                 inside = ctx.below(n, x, F.concat(ctx.at, F.array(F.lit(0), i.cast("int"))))
                 where = F.concat(at, selector(n, x, i))
-                checks = _check_leaf(inside, where, spath, F.lit(True), syntax, semantics) if n.kind == "leaf-list" else _check_members(inside, where, spath, F.lit(True), content, scope)
+                checks = _check_leaf(inside, where, spath, F.lit(True), syntax, semantics) if n.kind == "leaf-list" else _with_references(inside, lambda c: _check_members(c, where, spath, F.lit(True), content, scope), scope)
                 if semantics and n.kind == "list":
                     checks = [*checks, F.array_compact(F.array(*[_violation(~holds(inside, m.condition), where, spath, "semantic", m.tag, m.message) for m in n.must]))] if n.must else checks
                 return _join(checks, VIOLATION)
@@ -203,8 +229,15 @@ def _check_leaf(ctx: Context, path: Column, schema_path: str, here: Column, synt
         checks += [_violation(here & ~holds(ctx, m.condition), path, schema_path, "semantic", m.tag, m.message) for m in n.must]
         target = px.target_path(n)
         if target is not None and n.require_instance:
-            lost = ~(target == px.string(px.current())).boolean(ctx)
+            gathered = ctx.find_known(px.reference_name(ctx.nodes))
+            if gathered is not None:
+                lost = ~px.is_among(gathered, px.string_value(n, ctx.value))
+            else:  # a path that depends on more than where it begins
+                lost = ~(target == px.string(px.current())).boolean(ctx)
             checks.append(_violation(here & lost, path, schema_path, "semantic", "instance-required"))
+        paths = ctx.find_known(PATHS)
+        if n.type.base == "instance-identifier" and n.require_instance and paths is not None:
+            checks.append(_violation(here & ~px.is_among(paths, ty.normal_instance_id(ctx.value, ctx.nodes[0].ns)), path, schema_path, "semantic", "instance-required"))
     return [F.array_compact(F.array(*checks))] if checks else []
 
 
@@ -214,7 +247,27 @@ def _repeated(values: Column) -> Column:
     return let(F.array_sort(values), second)
 
 
-def _check_uniqueness(n: Node, value: Column, path: Column, schema_path: str) -> list[Column]:
+def unique_tuples(entry: Context, leaves: tuple[str, ...]) -> Column:
+    """All combinations (``u0``, ``u1``, ...) of the canonical values that an entry has at paths of leaves, defaults in use.
+
+    An entry without a value at some path has none.
+    """
+    found = []
+    for leaf in leaves:
+        path = px.here
+        for step in leaf.split("/"):
+            path = path.child(step)
+        found.append(path.strings(entry))
+
+    def product(j: int, chosen: list[Column]) -> Column:
+        if j == len(found):
+            return F.array(F.struct(*[c.alias(f"u{i}") for i, c in enumerate(chosen)]))
+        return F.flatten(F.transform(found[j], lambda v: product(j + 1, [*chosen, v])))
+
+    return product(0, [])
+
+
+def _check_uniqueness(ctx: Context, n: Node, value: Column, path: Column, schema_path: str) -> list[Column]:
     """Repeated values of a leaf-list of configuration, keys of a list, and the leaves that ``unique`` names."""
     flagged = lambda values, text, cls, tag: F.coalesce(F.transform(_repeated(values), lambda k: _violation(F.lit(True), F.concat(path, text(k)), schema_path, cls, tag)), F.array().cast(VIOLATION))
     if n.kind == "leaf-list":
@@ -228,27 +281,15 @@ def _check_uniqueness(n: Node, value: Column, path: Column, schema_path: str) ->
         whole = F.filter(keys, lambda k: _all([k[name].isNotNull() for name in n.keys]))
         out.append(flagged(whole, lambda k: selector(n, k, F.lit(0)), "semantic", "non-unique-key"))
     for leaves in n.unique:
-        pick = lambda x, leaves: F.struct(*[reduce(lambda v, s: v.getField(s), leaf.split("/"), x).alias(f"u{j}") for j, leaf in enumerate(leaves)])
-        values = F.filter(F.transform(value, bound(pick, leaves)), bound(lambda u, k: _all([u[f"u{j}"].isNotNull() for j in range(k)]), len(leaves)))
-        text = lambda u, k=len(leaves): F.concat(F.lit("["), F.concat_ws(" ", *[u[f"u{j}"].cast("string") for j in range(k)]), F.lit("]"))
-        out.append(flagged(values, text, "semantic", "data-not-unique"))
+        tuples = F.flatten(F.transform(value, bound(lambda x, leaves: F.array_distinct(unique_tuples(ctx.below(n, x), leaves)), leaves)))
+        text = lambda u, k=len(leaves): F.concat(F.lit("["), F.concat_ws(" ", *[u[f"u{j}"] for j in range(k)]), F.lit("]"))
+        out.append(flagged(tuples, text, "semantic", "data-not-unique"))
     return out
 
 
 # defaults
 
 
-def leaf_default(node: Node):
-    """The default of a leaf, or that of its type; a mandatory leaf has none."""
-    if node.mandatory or node.min_elements:
-        return None
-    if node.default is not None:
-        return node.default
-    if node.type.default is not None:
-        return [node.type.default] if node.kind == "leaf-list" else node.type.default
-    return None
-
-
 def with_defaults(ctx: Context, content: int = ALL) -> Column:
     """The value of a container, an entry or the document with all defaults in use.
 
@@ -555,6 +596,95 @@ def peek(ctx: Context, route: Route) -> Column:
     return value
 
 
+def references(df: DataFrame, model: Node, schema_path: str, doc: str = "doc") -> DataFrame:
+    """(columns of ``df``, path, value, target) of each instance of a leafref; ``target`` is the node's path, NULL if lost.
+
+    The targets of a document are gathered and sorted once, and each reference is looked up by halving.
+    """
+    own = model.data_node(schema_path)
+    chain = model.ancestry(schema_path)
+    target = px.resolve(chain, px.target_path(own))
+    if len(target) != 1:
+        raise NonexistentSchemaNode(f"target of {schema_path}")
+    to, at = "", model
+    for step in target[0]:
+        n = at.data_child(step)
+        to, at = f"{to}/{qualified(n, at)}", n
+    of, at = "", model
+    for n in chain[1:]:
+        of, at = f"{of}/{qualified(n, at)}", n
+    if px.target_path(own).base != -1:
+        raise NotImplementedError(f"{schema_path}: only paths from the root have one set of targets for a document")
+
+    def look(every: Column) -> Column:
+        pick = lambda e, sp: F.filter(every, lambda n: n["schema_path"] == sp)
+        found = F.array_sort(F.transform(pick(every, to), lambda n: F.struct(n["value"].alias("value"), n["path"].alias("path"))))
+
+        def each(targets: Column) -> Column:
+            keys = F.transform(targets, lambda t: t["value"])
+
+            def one(n: Column) -> Column:
+                hit = F.get(targets, px.place_in(keys, n["value"]))
+                return F.struct(n["path"].alias("path"), n["value"].alias("value"), F.when(hit["value"] == n["value"], hit["path"]).alias("target"))
+
+            return F.transform(pick(every, of), one)
+
+        return let(found, each)
+
+    keep = [c for c in df.columns if c != doc]
+    rows = df.select(*keep, let(nodes(document(model, F.col(doc))), look).alias("_found"))
+    return rows.select(*keep, F.explode("_found").alias("r")).select(*keep, "r.*")
+
+
+def lost_references(df: DataFrame, model: Node, schema_path: str, targets: DataFrame, target_model: Node, target_path: str) -> DataFrame:
+    """Instances of a leaf of one set of documents whose value is at no leaf of another set: (columns of ``df``, path, value).
+
+    Distinct values are looked up, so a value that many documents share is sent once a task; only lost ones come back.
+    """
+    at = lambda d, m, p: node_rows(d, m).filter(F.col("schema_path") == p)
+    given = at(df, model, schema_path)
+    have = at(targets, target_model, target_path).select(F.col("value").alias("_value"))
+    lost = given.select("value").filter("value IS NOT NULL").distinct().join(have, F.col("value") == F.col("_value"), "left_anti")
+    keep = [c for c in df.columns if c != "doc"]
+    return given.join(lost, "value", "left_semi").select(*keep, "path", "value")
+
+
+def lost_identifiers(df: DataFrame, model: Node, schema_path: str, targets: DataFrame, target_model: Node) -> DataFrame:
+    """Instance identifiers of documents that lead to no node of others: (columns of ``df``, path, value).
+
+    Paths meet by a hash, and then by themselves.
+    """
+    have = node_rows(targets, target_model).select(F.xxhash64("path").alias("_h"), F.col("path").alias("_path"))
+    given = node_rows(df, model).filter(F.col("schema_path") == schema_path)
+    given = given.withColumn("_normal", ty.normal_instance_id(F.col("value"), target_model.ns))
+    lost = given.select("_normal").distinct().withColumn("_h", F.xxhash64("_normal"))
+    lost = lost.join(have, (lost["_h"] == have["_h"]) & (lost["_normal"] == have["_path"]), "left_anti").select("_normal")
+    keep = [c for c in df.columns if c != "doc"]
+    return given.join(lost, given["_normal"].eqNullSafe(lost["_normal"]), "left_semi").select(*keep, "path", "value")
+
+
+def deref_identifiers(df: DataFrame, model: Node, schema_path: str, doc: str = "doc") -> DataFrame:
+    """(columns of ``df``, path, value, target_schema_path, target_value) of instance identifiers that lead to a node."""
+
+    def look(every: Column) -> Column:
+        def each(targets: Column) -> Column:
+            keys = F.transform(targets, lambda t: t["path"])
+
+            def one(n: Column) -> Column:
+                normal = ty.normal_instance_id(n["value"], model.ns)
+                hit = F.get(targets, px.place_in(keys, normal))
+                there = F.coalesce(hit["path"] == normal, F.lit(False))
+                return F.when(there, F.struct(n["path"].alias("path"), n["value"].alias("value"), hit["schema_path"].alias("target_schema_path"), hit["value"].alias("target_value")))
+
+            return F.array_compact(F.transform(F.filter(every, lambda n: n["schema_path"] == schema_path), one))
+
+        return let(F.array_sort(every), each)
+
+    keep = [c for c in df.columns if c != doc]
+    rows = df.select(*keep, let(nodes(document(model, F.col(doc))), look).alias("_found"))
+    return rows.select(*keep, F.explode("_found").alias("r")).select(*keep, "r.*")
+
+
 def goto(df: DataFrame, model: Node, route: Route, doc: str = "doc", into: str = "value") -> DataFrame:
     """Rows whose document has the instance, with its value; the others are left out."""
     return df.withColumn(into, peek(document(model, F.col(doc)), route)).filter(F.col(into).isNotNull())
@@ -693,24 +823,165 @@ def _merge_list(n: Node, a: Column, b: Column) -> Column:
     return F.concat(let(by_key(b), merged), added)
 
 
-# hashes and timestamps
+# hashes, differences and times
+
+HASHED = "array<struct<path:string,schema_path:string,hash:string>>"
+
+
+def _part(text: Column) -> Column:
+    """A text behind its length, so that no two sequences of parts run into the same text."""
+    return F.concat(F.length(text).cast("string"), F.lit(":"), text)
+
+
+def _hash_of(ctx: Context) -> Column:
+    """The hash of a node's value: of a leaf's canonical string, of the hashes of members by name or of entries in order."""
+    node = ctx.node
+    if node.kind in LEAVES:
+        return F.sha2(F.concat(F.lit("v"), F.coalesce(ty.canon(ctx.value, node.type), F.lit(""))), 256)
+    if node.kind == "anydata":
+        return F.sha2(F.concat(F.lit("a"), F.to_json(ctx.value)), 256)
+    parts = []
+    for n, value in sorted(_members(ctx), key=lambda m: (m[0].ns, m[0].name)):
+        own = _hash_of_list(ctx, n, value) if n.kind in ("list", "leaf-list") else _hash_of(ctx.below(n, value))
+        parts.append(F.coalesce(F.when(value.isNotNull(), F.concat(_part(F.lit(f"{n.ns}:{n.name}")), own)), F.lit("")))
+    return F.sha2(F.concat(F.lit("m"), *parts), 256)
+
+
+def _hash_of_list(ctx: Context, n: Node, value: Column) -> Column:
+    return F.sha2(F.concat(F.lit("l"), F.array_join(F.transform(value, lambda x: _hash_of(ctx.below(n, x))), "")), 256)
 
 
 def etag(ctx: Context) -> Column:
     """A hash of the value: members in the order of their names, entries in their own order."""
+    return F.when(ctx.value.isNotNull(), _hash_of(ctx))
+
 
-    def show(own: Context) -> Column:
+def hash_tree(ctx: Context) -> Column:
+    """(path, schema_path, hash) of every node and every whole list of a document, in document order."""
+
+    def below(own: Context, path: Column, schema_path: str) -> Column:
+        row = lambda at, sp, h: F.array(F.struct(at.alias("path"), F.lit(sp).alias("schema_path"), h.alias("hash")))
         parts = []
-        for n, value in sorted(_members(own), key=lambda m: (m[0].ns, m[0].name)):
-            one = bound(lambda x, n: F.coalesce(ty.canon(x, n.type), F.lit("")) if n.kind in LEAVES else F.to_json(x) if n.kind == "anydata" else show(own.below(n, x)), n)
-            text = F.concat(F.lit("["), F.array_join(F.transform(value, one), "\x1e"), F.lit("]")) if n.kind in ("list", "leaf-list") else one(value)
-            parts.append(F.coalesce(F.when(value.isNotNull(), F.concat(F.lit(f"{n.ns}:{n.name}\x1f"), text, F.lit("\x1d"))), F.lit("")))
-        return F.concat(F.lit("{"), *parts, F.lit("}"))
+        for n, value in _members(own):
+            name = qualified(n, own.node)
+            at, sp = F.concat(path, F.lit(f"/{name}")), f"{schema_path}/{name}"
+
+            def one(x: Column, where: Column, n: Node, sp: str) -> Column:
+                inside = own.below(n, x)
+                rows = row(where, sp, _hash_of(inside))
+                return F.concat(rows, below(inside, where, sp)) if n.kind in ("container", "list") else rows
+
+            if n.kind in ("list", "leaf-list"):
+                entry = lambda n, at, sp: lambda x, i: one(x, F.concat(at, selector(n, x, i)), n, sp)  # noqa: B023, E731
+                entries = F.flatten(F.transform(value, entry(n, at, sp)))
+                parts.append(F.coalesce(F.concat(row(at, sp, _hash_of_list(own, n, value)), entries), F.array().cast(HASHED)))
+            else:
+                parts.append(F.when(value.isNotNull(), one(value, at, n, sp)).otherwise(F.array().cast(HASHED)))
+        return _join(parts, HASHED)
+
+    return F.coalesce(F.when(ctx.value.isNotNull(), below(ctx, F.lit(""), "")), F.array().cast(HASHED))
+
+
+CHANGE = "array<struct<path:string,schema_path:string,change:string,old:string,new:string>>"
+
+
+def differences(node: Node, old: Column, new: Column) -> Column:
+    """What changed between two versions of a document: (path, schema_path, change, old, new) of each node.
+
+    Subtrees with equal hashes are skipped.  ``change`` is ``added``, ``removed`` (with all below), ``changed`` (leaves, with
+    their canonical values) or ``moved`` (a list with the same entries in another order).  Entries meet by their keys or
+    values; entries of lists without keys by their place.
+    """
+    none = F.array().cast(CHANGE)
+    row = lambda at, sp, change, a=None, b=None: F.array(F.struct(at.alias("path"), F.lit(sp).alias("schema_path"), F.lit(change).alias("change"), (F.lit(None).cast("string") if a is None else a).alias("old"), (F.lit(None).cast("string") if b is None else b).alias("new")))
+
+    def members(n: Node, a: Column, b: Column, path: Column, schema_path: str) -> Column:
+        parts = []
+        for c in n.data_children():
+            name = qualified(c, n)
+            at, sp = F.concat(path, F.lit(f"/{name}")), f"{schema_path}/{name}"
+            x, y = a.getField(c.name), b.getField(c.name)
+            parts.append(entries(c, x, y, at, sp) if c.kind in ("list", "leaf-list") else single(c, x, y, at, sp))
+        return _join(parts, CHANGE)
+
+    def show(c: Node, x: Column) -> Column:
+        return ty.canon(x, c.type) if c.kind in LEAVES else F.lit(None).cast("string")
 
-    return F.when(ctx.value.isNotNull(), F.sha2(show(ctx), 256))
+    def single(c: Node, x: Column, y: Column, at: Column, sp: str) -> Column:
+        if c.kind == "container":
+            below = members(c, x, y, at, sp)
+        else:
+            below = row(at, sp, "changed", show(c, x), show(c, y))
+        same = _hash_of(document(c, x)) == _hash_of(document(c, y))
+        both = F.when(same, none).otherwise(below)
+        return F.when(x.isNull() & y.isNull(), none).when(x.isNull(), row(at, sp, "added", None, show(c, y))).when(y.isNull(), row(at, sp, "removed", show(c, x))).otherwise(both)
+
+    def entries(c: Node, x: Column, y: Column, at: Column, sp: str) -> Column:
+        # (name of the entry, its hash, its place), by name; of entries with equal names the first counts
+        sign = lambda e, i: F.struct(selector(c, e, i).alias("name"), i.alias("i"), _hash_of(document(c, e)).alias("hash"))
+        signs = lambda every: F.transform(F.coalesce(every, F.array().cast(c.data_type())), sign)
+
+        def compare(s: Column) -> Column:
+            p, q = s["x"], s["y"]
+            pn, qn = (F.transform(F.array_sort(z), lambda e: e["name"]) for z in (p, q))
+
+            def found(names: Column) -> Column:
+                mine, other, others = names["p"], names["q"], names["sorted_y"]
+
+                def of_old(e: Column) -> Column:
+                    k = px.place_in(other, e["name"])
+                    twin = F.get(others, k)
+                    here = F.concat(at, e["name"])
+                    a, b = F.get(x, e["i"]), F.get(y, twin["i"])
+                    if c.kind == "list":
+                        inner = members(c, a, b, here, sp)
+                    else:
+                        inner = none
+                    gone = row(here, sp, "removed", show(c, a) if c.kind == "leaf-list" else None)
+                    return F.when(F.coalesce(twin["name"] == e["name"], F.lit(False)), F.when(twin["hash"] == e["hash"], none).otherwise(inner)).otherwise(gone)
+
+                def of_new(e: Column) -> Column:
+                    fresh = row(F.concat(at, e["name"]), sp, "added", None, show(c, F.get(y, e["i"])) if c.kind == "leaf-list" else None)
+                    return F.when(px.is_among(mine, e["name"]), none).otherwise(fresh)
+
+                both = lambda z, names: F.transform(F.filter(z, lambda e: px.is_among(names, e["name"])), lambda e: e["name"])
+                moved = F.when(both(p, other) != both(q, mine), row(at, sp, "moved")).otherwise(none)
+                return F.concat(moved, F.flatten(F.transform(p, of_old)), F.flatten(F.transform(q, of_new)))
+
+            return let(F.struct(pn.alias("p"), qn.alias("q"), F.array_sort(q).alias("sorted_y")), found)
+
+        same = x.eqNullSafe(y) if c.kind == "leaf-list" and c.type.base != "binary" else F.lit(False)
+        return F.when(same | (x.isNull() & y.isNull()), none).otherwise(let(F.struct(signs(x).alias("x"), signs(y).alias("y")), compare))
+
+    whole = F.when(_hash_of(document(node, old)) == _hash_of(document(node, new)), none).otherwise(members(node, old, new, F.lit(""), ""))
+    return F.when(old.isNull() & new.isNull(), none).when(old.isNull(), row(F.lit("/"), "", "added")).when(new.isNull(), row(F.lit("/"), "", "removed")).otherwise(whole)
 
 
 def changed_at(ctx: Context, before: Column, stamp: Column, now: Column) -> Column:
     """The time of the last change of a document: ``now`` where its hash differs from that of ``before``."""
     other = etag(document(ctx.node, before))
     return F.when(etag(ctx).eqNullSafe(other), stamp).otherwise(now)
+
+
+TIMED = "array<struct<path:string,hash:string,changed_at:timestamp>>"
+
+
+def node_times(ctx: Context, before: Column, now: Column) -> Column:
+    """(path, hash, changed_at) of every node: its time before where its hash is the same, else ``now``.
+
+    ``before`` is what this gave for the last version (NULL for the first).  As a hash covers all below, a node's time is
+    the greatest of those below it, or of what was removed there.
+    """
+    old = F.array_sort(F.coalesce(before, F.array().cast(TIMED)))
+
+    def timed(known: Column) -> Column:
+        names = F.transform(known, lambda e: e["path"])
+
+        def one(n: Column) -> Column:
+            last = F.get(known, px.place_in(names, n["path"]))
+            same = F.coalesce((last["path"] == n["path"]) & (last["hash"] == n["hash"]), F.lit(False))
+            return F.struct(n["path"].alias("path"), n["hash"].alias("hash"), F.when(same, last["changed_at"]).otherwise(now).alias("changed_at"))
+
+        return F.transform(hash_tree(ctx), one)
+
+    return let(old, timed)

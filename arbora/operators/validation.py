@@ -7,6 +7,7 @@ they shuffle; references are anti joins on the referring value, left to adaptive
 
 from __future__ import annotations
 
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions import types as ty
 from arbora.operators import paths
+from arbora.operators.editing import add_defaults
 from arbora.operators.navigation import entry_path
 from arbora.plans.model import ALL, Node
 
@@ -105,11 +107,30 @@ def duplicate_keys(df: DataFrame, keys: list[str], name: str, schema_path: str)
 
 
 def not_unique(df: DataFrame, parent: list[str], leaves: list[str], position: list[str]) -> DataFrame:
-    """Value tuples that several entries of a parent hold; entries without some of the values do not count."""
+    """Value tuples that several entries of a parent hold; entries without some of the values do not count.
+
+    A leaf-list gives a tuple for each of its values, so an entry can have several; those of one entry do not clash.
+    """
+    arrays = [c for c in leaves if df.schema[c].dataType.typeName() == "array"]
+    for c in arrays:
+        df = df.withColumn(c, F.explode(F.array_distinct(c)))
     full = df.dropna(subset=leaves)
     return full.groupBy(*parent, *leaves).agg(F.count_distinct(*position).alias("n")).filter("n > 1")
 
 
+def with_unique_defaults(df: DataFrame, node: Node, leaves: list[str]) -> DataFrame:
+    """``df`` with the defaults of these leaves where they are in use, as ``unique`` looks at them."""
+    names = [F.col(f"`{c.name}`") for c in node.data_children() if c.name in df.columns]
+    ctx = paths.document(node, F.struct(*names))
+    inner = {c.name: c for c in node.data_children()}
+    plain = lambda n: all(not isinstance(x.when, str) for x in [n, *[y for p in paths._cases_above(node, n) for y in p]])
+    filled = {c: paths.in_use(ctx, inner[c]).cast(df.schema[c].dataType) for c in leaves if c in df.columns and paths.has_defaults(inner[c]) and plain(inner[c])}
+    # conditions in SQL are the other form of ``when``
+    sql = [inner[c] for c in leaves if c in df.columns and paths.has_defaults(inner[c]) and not plain(inner[c])]
+    df = add_defaults(df, replace(node, children=tuple(sql))) if sql else df
+    return df.withColumns(filled) if filled else df
+
+
 def cardinality(parents: DataFrame, children: DataFrame, on: list[tuple[str, str]], least: int = 0, most: int | None = None) -> DataFrame:
     """Parents with too few or too many entries (none included): (keys, n, error_tag)."""
     keys = [p for p, _ in on]
@@ -142,7 +163,7 @@ def validate_list(df: DataFrame, node: Node, tables: dict[str, DataFrame], conte
         if node.keys:
             parts.append(duplicate_keys(df, list(node.keys), node.name, schema_path))
         for leaves in node.unique:
-            many = not_unique(df, [], list(leaves), list(node.keys))
+            many = not_unique(with_unique_defaults(df, node, list(leaves)), [], list(leaves), list(node.keys))
             text = F.concat_ws(" ", *[F.col(x).cast("string") for x in leaves])
             parts.append(many.select(*_violation(F.concat(F.lit(f"/{node.name}["), text, F.lit("]")), schema_path, "semantic", "data-not-unique", None)))
         refs = [c for c in node.data_children(content) if c.leafref and c.require_instance and c.name in df.columns]
