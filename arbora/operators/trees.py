@@ -396,7 +396,8 @@ def to_json(ctx: Context, keep: Filter | None = None) -> Column:
 
 
 def _escaped(s: Column) -> Column:
-    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    # a carriage return would be read as a line end
+    for a, b in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("\r", "&#13;")):
         s = F.replace(s, F.lit(a), F.lit(b))
     return s
 
@@ -425,28 +426,11 @@ def to_xml(ctx: Context, urns: dict[str, str], tag: str = "content-data", keep:
     return F.when(ctx.value.isNotNull(), F.concat(F.lit(f"<{tag}>"), members(ctx, ""), F.lit(f"</{tag}>")))
 
 
-def from_xml(text: Column, model: Node) -> Column:
-    """The document in XML text: same-named siblings are entries of a list, and prefixes of elements do not count."""
+def from_xml(text: Column, model: Node, urns: dict[str, str] | None = None) -> Column:
+    """The document in XML text, by namespaces (``urns`` by module); NULL for a text that is no XML.  See ``sources.xml``."""
+    from arbora.sources import xml
 
-    def raw(n: Node) -> str:
-        return ", ".join(f"`{c.name}`: {kind(c)}" for c in n.data_children())
-
-    def kind(c: Node) -> str:
-        one = "string" if c.kind in LEAVES else f"struct<{raw(c)}>"
-        return f"array<{one}>" if c.kind in ("list", "leaf-list") else one
-
-    def typed(own: Column, n: Node) -> Column:
-        def value(c: Node) -> Column:
-            x = own.getField(c.name)
-            one = (lambda v: ty.parse(v, c.type)) if c.kind in LEAVES else (lambda v: typed(v, c))
-            return F.transform(x, one) if c.kind in ("list", "leaf-list") else one(x) if c.kind == "leaf" else F.when(x.isNotNull(), one(x))
-
-        return F.struct(*[value(c).alias(c.name) for c in n.data_children() if c.kind != "anydata"])
-
-    schema = ", ".join(f"`{c.name}` {kind(c)}" for c in model.data_children() if c.kind != "anydata")
-    bare = F.regexp_replace(F.regexp_replace(text, r"(</?)[A-Za-z_][\w.-]*:", "$1"), r'\sxmlns(:[\w.-]+)?="[^"]*"', "")
-    own = F.from_xml(bare, schema)
-    return F.when(own.isNotNull(), typed(own, model))
+    return xml.parse(text, model, urns)[0]
 
 
 # decoding

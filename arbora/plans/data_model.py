@@ -16,6 +16,7 @@ from arbora.functions.types import Type
 from arbora.operators import navigation as nav
 from arbora.operators import paths, trees
 from arbora.plans.model import ALL, ModelError, Node, check_model
+from arbora.sources import xml
 
 
 @dataclass(frozen=True)
@@ -50,7 +51,9 @@ class DataModel:
         return df.withColumn("_v", v).select(*df.columns, trees.decode(F.col("_v"), self.root).alias("doc"), trees.decode_errors(F.col("_v"), self.root, notes).alias("errors"))
 
     def from_xml(self, df: DataFrame, text: str = "raw") -> DataFrame:
-        return df.withColumn("doc", trees.from_xml(F.col(text), self.root))
+        """``df`` with ``doc`` and ``errors`` from XML text, by the model's namespaces."""
+        doc, errors = xml.parse(F.col(text), self.root, dict(self.urns))
+        return df.withColumns({"doc": doc, "errors": errors})
 
     def at(self, doc: str = "doc") -> paths.Context:
         return paths.document(self.root, F.col(doc))
