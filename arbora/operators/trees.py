@@ -13,7 +13,7 @@ from collections.abc import Callable
 from dataclasses import replace
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from arbora.functions import types as ty
@@ -145,6 +145,46 @@ def validate(df: DataFrame, model: Node, doc: str = "doc", content: int = ALL, s
     return rows.select(*keep, F.posexplode("_found").alias("seq", "v")).select(*keep, "seq", "v.*")
 
 
+def instance_counts(model: Node, doc: Column) -> list[tuple[str, Column]]:
+    """(schema path, number of instances in a document) of each schema node, as ``nodes`` would list them."""
+    out: list[tuple[str, Column]] = []
+
+    def visit(node: Node, path: str, total: Callable[[Callable[[Column], Column]], Column]) -> None:
+        for c in node.data_children():
+            own = f"{path}/{qualified(c, node)}"
+            field = bound(lambda v, c: v.getField(c.name), c)
+            many = c.kind in ("list", "leaf-list")
+            one = lambda v, field=field, many=many: F.coalesce(F.size(field(v)).cast("long"), F.lit(0)) if many else field(v).isNotNull().cast("long")
+            out.append((own, total(lambda v, one=one: F.coalesce(one(v), F.lit(0).cast("long")))))
+            if c.kind == "container":
+                visit(c, own, lambda use, total=total, field=field: total(lambda v: use(field(v))))
+            elif c.kind == "list":
+                add = lambda use, field=field: lambda v: F.coalesce(F.aggregate(F.transform(field(v), lambda x: use(x)), F.lit(0).cast("long"), lambda a, n: a + n), F.lit(0).cast("long"))
+                visit(c, own, lambda use, total=total, add=add: total(add(use)))
+
+    visit(model, "", lambda use: use(doc))
+    return out
+
+
+def validate_counted(df: DataFrame, model: Node, doc: str = "doc", content: int = ALL, scope: str = "all") -> tuple[DataFrame, Observation]:
+    """``validate``, and how many instances each schema node has, observed while the violations are found.
+
+    ``observed_counts`` gives them once the violations were asked for; the documents are read once.
+    """
+    keep = [c for c in df.columns if c != doc]
+    seen, counts = Observation(), instance_counts(model, F.col(doc))
+    found = violations(document(model, F.col(doc)), content, scope)
+    rows = df.select(*keep, found.alias("_found"), *[n.alias(f"_n{i}") for i, (_, n) in enumerate(counts)])
+    rows = rows.observe(seen, *[F.sum(f"_n{i}").alias(path) for i, (path, _) in enumerate(counts)])
+    rows = rows.select(*keep, "_found").select(*keep, F.posexplode("_found").alias("seq", "v"))
+    return rows.select(*keep, "seq", "v.*"), seen
+
+
+def observed_counts(seen: Observation) -> dict[str, int]:
+    """The counts of ``validate_counted``, of the schema nodes that have instances; waits for the query that it belongs to."""
+    return {path: n for path, n in seen.get.items() if n}
+
+
 def _violation(bad: Column, path: Column, schema_path: str, cls: str, tag: str, message: str | None = None) -> Column:
     parts = zip(("instance_path", "schema_path", "error_class", "error_tag", "error_message"), (path, F.lit(schema_path), F.lit(cls), F.lit(tag), F.lit(message).cast("string")), strict=True)
     return F.when(bad, F.struct(*[c.alias(n) for n, c in parts]))

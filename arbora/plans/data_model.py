@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from arbora.functions.types import Type
 from arbora.operators import navigation as nav
-from arbora.operators import paths, trees
+from arbora.operators import annotations, paths, trees
 from arbora.plans.model import ALL, ModelError, Node, check_model
 from arbora.sources import xml
 
@@ -82,6 +82,17 @@ class DataModel:
         """How many instances each schema node has in all documents."""
         return self.nodes(df).groupBy("schema_path").agg(F.count("*").alias("n"))
 
+    # annotations
+
+    def notes(self, df: DataFrame, json_text: str = "raw") -> DataFrame:
+        """``df`` with ``notes``, the annotations of the document in JSON text, and ``note_errors``."""
+        known, v = dict(self.annotations), F.try_parse_json(json_text)
+        made = df.withColumn("_v", v)
+        return made.select(*df.columns, annotations.decode_notes(F.col("_v"), self.root, known).alias("notes"), annotations.note_errors(F.col("_v"), self.root, known).alias("note_errors"))
+
+    def to_annotated_json(self, doc: str = "doc", notes: str = "notes") -> Column:
+        return annotations.to_json(self.at(doc), F.col(notes), dict(self.annotations))
+
     # routes
 
     def parse_instance_id(self, text: str) -> trees.Route:
