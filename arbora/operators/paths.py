@@ -22,6 +22,7 @@ any).  The steps of an expression decide at compile time which defaults it can r
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from contextvars import ContextVar
 from dataclasses import dataclass, replace
@@ -309,6 +310,21 @@ def _merged(branches: list[Branch], root_value: Column) -> list[Branch]:
     return [own[0] if len(own) == 1 else Branch(own[0].nodes, _in_order(F.concat(*[b.rooted() for b in own])), fixed=(root_value,)) for own in by.values()]
 
 
+#: Where steps are compiled to find what an expression reads: how many of them end at each schema path (names from the root).
+_reached: ContextVar[Counter | None] = ContextVar("arbora_reached", default=None)
+
+
+def reads(ancestors: tuple[Node, ...], expression: Expr) -> set[tuple[str, ...]]:
+    """The schema paths that an expression at a schema node (given with its ancestors) looks at, defaults' conditions included."""
+    found: Counter[tuple[str, ...]] = Counter()
+    before = _reached.set(found)
+    try:
+        expression.boolean(_probe(ancestors))
+    finally:
+        _reached.reset(before)
+    return {path for path, n in found.items() if path and n > 0}
+
+
 AXES = ("self", "child", "parent", "descendant", "descendant-or-self", "ancestor", "ancestor-or-self", "preceding-sibling", "following-sibling")
 
 
@@ -332,6 +348,10 @@ def _step(branches: list[Branch], axis: str, test: str | None, outer: Context) -
         # a name or * does not match the document itself, but where it stands among its descendants; node() matches all
         out += [x for x in found if test is None or (test == "*" and (len(x.nodes) > 1 or axis == "descendant-or-self")) or test in (x.nodes[-1].name, f"{x.nodes[-1].ns}:{x.nodes[-1].name}")]
     merged = _merged(out, outer.values[0])
+    if (seen := _reached.get()) is not None:
+        # a container on the way is read as far as the path goes on only
+        seen.subtract(_named(b.nodes)[1:] for b in branches if b.one is not None and b.nodes[-1].kind == "container")
+        seen.update(_named(b.nodes)[1:] for b in merged)
     return [Branch(b.nodes, _in_order(b.column), fixed=b.shared) if axis.endswith("-sibling") else b for b in merged]
 
 
@@ -933,7 +953,7 @@ def _by_key(a: Column, b: Column) -> Column:
     return F.when(less, -1).when((a["key"] == b["key"]) & (a["at"] == b["at"]), 0).otherwise(1)
 
 
-def with_targets(ctx: Context, use: Callable[[Context], Column], entries: bool = False) -> Column:
+def with_targets(ctx: Context, use: Callable[[Context], Column], entries: bool = False, wanted: Callable[[Context], bool] | None = None) -> Column:
     """``use`` of the context, which knows the targets of the leafrefs that go down from it, gathered once.
 
     They are the sorted distinct strings of the targets, or with ``entries`` the targets themselves, sorted by theirs.
@@ -941,6 +961,8 @@ def with_targets(ctx: Context, use: Callable[[Context], Column], entries: bool =
     fields = []
     for ref in leafrefs_based_at(ctx):
         path, name = target_path(ref.node), reference_name(ref.nodes)
+        if wanted is not None and not wanted(ref):
+            continue
         if not entries:
             fields.append((name, F.array_sort(F.array_distinct(path.strings(ref)))))
             continue
@@ -1002,11 +1024,14 @@ def deref(nodes: Nodes = here) -> Nodes:
     return Nodes(find, f"deref({nodes})")
 
 
+def _probe(nodes: tuple[Node, ...]) -> Context:
+    """A context at a schema node without any data."""
+    return Context(nodes, tuple(F.lit(None).cast(entry_type(n)) for n in nodes), F.array().cast("array<int>"))
+
+
 def resolve(node: tuple[Node, ...], path: Nodes) -> list[tuple[str, ...]]:
     """The schema paths that a path can reach from a schema node (given with its ancestors), without any data."""
-    values = tuple(F.lit(None) for _ in node)
-    probe = Context(node, tuple(v.cast(n.data_type() if n.kind not in ("list", "leaf-list") else n.data_type().elementType) for v, n in zip(values, node, strict=True)), F.array().cast("array<int>"))
-    return [_named(b.nodes)[1:] for b in path.find(probe)]
+    return [_named(b.nodes)[1:] for b in path.find(_probe(node))]
 
 
 def leafref_target(ancestors: tuple[Node, ...]) -> Node:

@@ -10,6 +10,7 @@ An absent document (NULL) has no violations and no nodes, and stays NULL when it
 from __future__ import annotations
 
 from collections.abc import Callable
+from contextvars import ContextVar
 from dataclasses import replace
 from functools import reduce
 
@@ -112,11 +113,78 @@ def violations(ctx: Context, content: int = ALL, scope: str = "all") -> Column:
     return F.coalesce(F.when(ctx.value.isNotNull(), found), F.array().cast(VIOLATION))
 
 
+#: The schema paths to which a validation is limited, if it is.
+_only: ContextVar[frozenset[str] | None] = ContextVar("arbora_only", default=None)
+
+
+def _schema_path(nodes_: tuple[Node, ...]) -> str:
+    """The schema path of a node given with its ancestors, as violations name it."""
+    return "".join(f"/{qualified(n, above)}" for above, n in zip(nodes_, nodes_[1:], strict=False))
+
+
+def _plain(path: str) -> str:
+    return "/".join(step.rpartition(":")[2] for step in path.split("/"))
+
+
+def affected(model: Node, edited: list[str]) -> frozenset[str]:
+    """Schema paths whose checks an edit at these schema paths can change.
+
+    A check reads its own node with all above and below it, the other nodes of the choices it stands in, and what its
+    conditions (``when`` of its own, of choices and cases; ``must``), reference and defaults lead to.  Identifiers may lead
+    anywhere.  Values above an edited node, and those below, are edited with it.
+    """
+    changed = [tuple(_plain(e).strip("/").split("/")) if e.strip("/") else () for e in edited]
+    out: set[str] = set()
+
+    def meets(read: tuple[str, ...]) -> bool:
+        return any(e[: len(read)] == read or read[: len(e)] == e for e in changed)
+
+    def visit(chain: tuple[Node, ...], names: tuple[str, ...], holder: Node, outer: list) -> None:
+        parent = chain[-1]
+        for c in holder.children:
+            if c.kind in ("choice", "case"):
+                below = [k.name for k in c.data_children()]
+                guards = outer + ([c.when] if c.when is not None else [])
+                read = {(*names, k) for k in below} | {r for w in guards for r in px.reads(chain, w)}
+                if c.kind == "choice" and any(map(meets, read)):
+                    out.add(f"{_schema_path(chain)}/{c.name}")
+                visit(chain, names, c, guards)
+                continue
+            if c.kind not in (*LEAVES, "list", "container", "anydata"):
+                continue
+            own, path = (*chain, c), (*names, c.name)
+            read = {path}
+            for choice, _ in px._cases_above(parent, c):
+                read |= {(*names, k.name) for k in choice.data_children()}
+            conditions = [(chain, w) for w in outer] + [(own if c.kind in ("leaf", "container", "anydata") else chain, w) for w in ([c.when] if c.when is not None else [])]
+            conditions += [(own, m.condition) for m in c.must]
+            for at, w in conditions:
+                read |= px.reads(at, w)
+            target = px.target_path(c) if c.type else None
+            if target is not None:
+                read |= px.reads(own, target)
+            for leaves in c.unique:
+                for leaf in leaves:
+                    p = px.here
+                    for step in leaf.split("/"):
+                        p = p.child(step)
+                    read |= px.reads(own, p)
+            if (c.type and c.type.base == "instance-identifier" and changed) or any(map(meets, read)):
+                out.add(_schema_path(own))
+            if c.kind in ("container", "list"):
+                visit(own, path, c, [])
+
+    visit((model,), (), model, [])
+    return frozenset(out)
+
+
 def _with_references(ctx: Context, checks: Callable[[Context], list[Column]], scope: str) -> list[Column]:
     """Arrays of violations below a node, with the targets of the references that go down from it gathered once."""
     if scope == "syntax" or not px.leafrefs_based_at(ctx):
         return checks(ctx)
-    return [px.with_targets(ctx, lambda own: _join(checks(own), VIOLATION))]
+    only = _only.get()
+    wanted = None if only is None else lambda ref: _schema_path(ref.nodes) in only
+    return [px.with_targets(ctx, lambda own: _join(checks(own), VIOLATION), wanted=wanted)]
 
 
 def identifier_leaves(model: Node) -> list[tuple[str, Node]]:
@@ -126,7 +194,8 @@ def identifier_leaves(model: Node) -> list[tuple[str, Node]]:
 
 def _knowing_paths(ctx: Context, use: Callable[[Context], Column]) -> Column:
     """``use`` of the document with the sorted paths of its nodes, where its model has instance identifiers."""
-    if not identifier_leaves(ctx.node):
+    only = _only.get()
+    if not [path for path, _ in identifier_leaves(ctx.node) if only is None or _plain(path) in {_plain(p) for p in only}]:
         return use(ctx)
     every = F.array_sort(F.transform(nodes(ctx), lambda n: n["path"]))
     return let(every, lambda paths: use(replace(ctx, known=(*ctx.known, (PATHS, paths)))))
@@ -136,10 +205,17 @@ def _knowing_paths(ctx: Context, use: Callable[[Context], Column]) -> Column:
 PATHS = "//paths"
 
 
-def validate(df: DataFrame, model: Node, doc: str = "doc", content: int = ALL, scope: str = "all", first_only: bool = False) -> DataFrame:
-    """The columns of ``df`` but the document, with its violations as rows and their place ``seq``; of the first only with ``first_only``."""
+def validate(df: DataFrame, model: Node, doc: str = "doc", content: int = ALL, scope: str = "all", first_only: bool = False, only: frozenset[str] | None = None) -> DataFrame:
+    """The columns of ``df`` but the document, with its violations as rows and their place ``seq``; of the first only with ``first_only``.
+
+    With ``only``, schema paths as ``affected`` gives them, no other node is checked.
+    """
     keep = [c for c in df.columns if c != doc]
-    found = violations(document(model, F.col(doc)), content, scope)
+    before = _only.set(only)
+    try:
+        found = violations(document(model, F.col(doc)), content, scope)
+    finally:
+        _only.reset(before)
     # the array is a column of its own first: a generator over parts of a struct can lose rows when columns are pruned
     rows = df.select(*keep, (F.slice(found, 1, 1) if first_only else found).alias("_found"))
     return rows.select(*keep, F.posexplode("_found").alias("seq", "v")).select(*keep, "seq", "v.*")
@@ -195,6 +271,10 @@ def _check_members(ctx: Context, path: Column, schema_path: str, exists: Column,
     out: list[Column] = []
     syntax, semantics = scope in ("all", "syntax"), scope in ("all", "semantics")
 
+    only = _only.get()
+    checked = lambda sp: only is None or sp in only
+    entered = lambda sp: only is None or any(p.startswith(f"{sp}/") for p in only)
+
     def note(*checks: Column) -> None:
         if checks:
             out.append(F.array_compact(F.array(*checks)))
@@ -205,7 +285,7 @@ def _check_members(ctx: Context, path: Column, schema_path: str, exists: Column,
             here = [_present(ctx, c) for c in n.children]
             many = reduce(lambda a, b: a + b, [h.cast("int") for h in here], F.lit(0))
             at, spath = F.concat(path, F.lit(f"/{n.name}")), f"{schema_path}/{n.name}"
-            if syntax:
+            if syntax and checked(spath):
                 note(_violation(many > 1, at, spath, "schema", "member-not-allowed"))
                 if n.mandatory:
                     note(_violation(needed & _all([holds(ctx, w) for w in guards]) & (many == 0), at, spath, "schema", "missing-data"))
@@ -218,28 +298,30 @@ def _check_members(ctx: Context, path: Column, schema_path: str, exists: Column,
         value = ctx.value.getField(n.name)
         name = qualified(n, ctx.node)
         at, spath = F.concat(path, F.lit(f"/{name}")), f"{schema_path}/{name}"
+        if not checked(spath) and not entered(spath):
+            return
         here = _present(ctx, n)
         active = _active(ctx, n, value, outer)
-        if syntax:
+        if syntax and checked(spath):
             if outer or n.when is not None:
                 note(_violation(here & ~active, at, spath, "schema", "member-not-allowed"))
             if n.status == "obsolete":
                 note(_violation(here, at, spath, "schema", "member-not-allowed"))
             if n.kind in ("leaf", "anydata") and n.is_mandatory(content) and n.name not in ctx.node.keys:
                 note(_violation(exists & needed & active & value.isNull(), at, spath, "schema", "missing-data"))
-        if n.name in ctx.node.keys and ctx.node.kind == "list" and semantics:
+        if n.name in ctx.node.keys and ctx.node.kind == "list" and semantics and checked(spath):
             note(_violation(exists & value.isNull(), at, spath, "schema", "list-key-missing"))
         own = ctx.below(n, value)
         if n.kind == "leaf":
             out.extend(_check_leaf(own, at, spath, value.isNotNull(), syntax, semantics))
         elif n.kind == "container":
             there = value.isNotNull() if n.presence else exists & needed & active
-            if semantics:
+            if semantics and checked(spath):
                 note(*[_violation(value.isNotNull() & ~holds(own, m.condition), at, spath, "semantic", m.tag, m.message) for m in n.must])
             out.extend(_with_references(own, lambda c: _check_members(c, at, spath, there, content, scope), scope))
         elif n.kind in ("list", "leaf-list"):
             size = F.coalesce(F.size(value), F.lit(0))
-            if semantics:
+            if semantics and checked(spath):
                 if n.min_elements:
                     note(_violation(exists & needed & active & (size < n.min_elements), at, spath, "semantic", "too-few-elements"))
                 if n.max_elements is not None:
@@ -250,7 +332,7 @@ def _check_members(ctx: Context, path: Column, schema_path: str, exists: Column,
                 inside = ctx.below(n, x, F.concat(ctx.at, F.array(F.lit(0), i.cast("int"))))
                 where = F.concat(at, selector(n, x, i))
                 checks = _check_leaf(inside, where, spath, F.lit(True), syntax, semantics) if n.kind == "leaf-list" else _with_references(inside, lambda c: _check_members(c, where, spath, F.lit(True), content, scope), scope)
-                if semantics and n.kind == "list":
+                if semantics and n.kind == "list" and checked(spath):
                     checks = [*checks, F.array_compact(F.array(*[_violation(~holds(inside, m.condition), where, spath, "semantic", m.tag, m.message) for m in n.must]))] if n.must else checks
                 return _join(checks, VIOLATION)
 
@@ -483,6 +565,63 @@ def decode(doc: Column, model: Node) -> Column:
     return F.when(doc.isNotNull(), F.struct(*members(doc, model)))
 
 
+def decode_part(raw: Column, model: Node, path: str, entry: bool = False) -> Column:
+    """A VARIANT decoded by the schema node at a data path: a whole member, or with ``entry`` one entry of a list or leaf-list.
+
+    NULL where it is of another kind.  The model's root has the empty path.
+    """
+    node = model.data_node(path)
+    if entry and node.kind not in ("list", "leaf-list"):
+        raise NonexistentSchemaNode(f"{path} has no entries")
+    if node.kind in LEAVES:
+        one = lambda v: ty.decode(v, node.type)
+    elif node.kind == "anydata":
+        return raw
+    else:
+        one = lambda v: F.when(F.startswith(F.schema_of_variant(v), F.lit("OBJECT")), decode(v, node))
+    if entry or node.kind not in ("list", "leaf-list"):
+        return one(raw)
+    return F.transform(F.try_variant_get(raw, "$", "array<variant>"), one)
+
+
+def violations_at(ctx: Context, part: Column, path: str, content: int = ALL, scope: str = "all") -> Column:
+    """Violations of a part that stands alone: the document with nothing but this member, checked at and below it.
+
+    Conditions and references see no more than that; what is mandatory beside the part is not asked for.
+    """
+    steps = [s for s in path.split("/") if s]
+
+    def around(node: Node, rest: list[str]) -> Column:
+        if not rest:
+            return part
+        own = node.data_child(rest[0])
+        if own.kind == "list" and len(rest) > 1:
+            raise NonexistentSchemaNode(f"{path}: below entries of {own.name}")
+        blank = lambda c: F.lit(None).cast(c.data_type())
+        return F.struct(*[(around(own, rest[1:]) if c is own else blank(c)).alias(c.name) for c in node.data_children()])
+
+    chain = ctx.node.ancestry(path)
+    top = _schema_path(chain)
+    below = frozenset([top, *[f"{top}{p}" for p, _ in _walk_qualified(chain[-1])]])
+    before = _only.set(below)
+    try:
+        return F.when(part.isNotNull(), violations(document(ctx.node, around(ctx.node, steps)), content, scope)).otherwise(F.array().cast(VIOLATION))
+    finally:
+        _only.reset(before)
+
+
+def _walk_qualified(node: Node, path: str = ""):
+    """(schema path, node) below a node, with choices as violations name them."""
+    for c in node.children:
+        if c.kind == "choice":
+            yield f"{path}/{c.name}", c
+    for c in node.data_children():
+        own = f"{path}/{qualified(c, node)}"
+        yield own, c
+        if c.kind in ("container", "list"):
+            yield from _walk_qualified(c, own)
+
+
 def decode_errors(doc: Column, model: Node, annotations: dict[str, ty.Type] | None = None) -> Column:
     """(instance_path, error_class, error_tag) of unknown members, values of the wrong kind and unknown or ill-typed annotations.
 
