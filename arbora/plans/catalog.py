@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arbora.plans import queries_awkward, queries_axes, queries_documents, queries_linked, queries_more, queries_navigation, queries_nested, queries_validation, queries_xpath, registry  # noqa: F401
+from arbora.plans import queries_awkward, queries_axes, queries_documents, queries_linked, queries_more, queries_navigation, queries_nested, queries_parts, queries_validation, queries_xpath, registry  # noqa: F401
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
