@@ -10,12 +10,13 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from arbora.functions.types import Type
+from arbora.functions.types import BOUNDS, Type
 
 CONFIG, NONCONFIG, ALL = 1, 2, 3
 DATA = {"container", "list", "leaf", "leaf-list", "anydata", "anyxml"}
@@ -319,6 +320,33 @@ def feature_holds(condition, supported: set[str]) -> bool:
     raise ModelError(f"no feature condition: {condition}")
 
 
+def fits(kind: Type, value) -> bool:
+    """Whether a default, as a model gives it, is a value of a type: its kind, bounds, ranges, labels and lengths."""
+    if kind.base == "union":
+        return any(fits(m, value) for m in kind.members)
+    if kind.base in BOUNDS or kind.base == "decimal64":
+        try:
+            number = Decimal(str(value))
+        except InvalidOperation:
+            return False
+        if isinstance(value, bool) or (kind.base in BOUNDS and number != int(number)):
+            return False
+        limits = (BOUNDS[kind.base],) if kind.base in BOUNDS else ()
+        return all(any((a is None or number >= a) and (b is None or number <= b) for a, b in ranges) for ranges in (limits, kind.ranges) if ranges)
+    if kind.base == "boolean":
+        return isinstance(value, bool) or value in ("true", "false")
+    if kind.base == "enumeration":
+        return value in {k for k, _ in kind.enums}
+    if kind.base == "identityref":
+        return value in kind.identities
+    if kind.base == "bits":
+        given = value.split() if isinstance(value, str) else list(value)
+        return set(given) <= {k for k, _ in kind.bits} and len(set(given)) == len(given)
+    if kind.base == "string":
+        return isinstance(value, str) and (not kind.ranges or any((a or 0) <= len(value) and (b is None or len(value) <= b) for a, b in kind.ranges))
+    return True
+
+
 def check_model(root: Node) -> Node:
     """The model if it is sound: keys are leaves of their list, defaults fit their types, references lead to one leaf."""
     from arbora.operators import paths
@@ -335,6 +363,10 @@ def check_model(root: Node) -> Node:
             node.child(node.default)
         if node.kind in ("leaf", "leaf-list") and (node.path is not None or node.leafref):
             paths.leafref_target((*above, node))
+        if node.kind in ("leaf", "leaf-list") and node.default is not None:
+            for value in node.default if node.kind == "leaf-list" and not isinstance(node.default, str) else (node.default,):
+                if not fits(node.type, value):
+                    raise ModelError(f"default {value!r} of {node.name}")
         if node.kind == "leaf" and node.mandatory and node.default is not None:
             raise ModelError(f"{node.name} is mandatory and has a default")
         for c in node.children:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from arbora.functions import types as ty
 from arbora.operators import trees
 from arbora.plans.model import module_set_id
+from arbora.operators.validation import value_counts
 from arbora.plans.registry import query
 from arbora.plans.warehouse import PROPS, WAREHOUSE
 from arbora.sources import documents as src
@@ -53,6 +56,19 @@ def module_set_id_nation(t):
     return module_set_id(t["nation"].select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("revision")))
 
 
-@query()
+def _catalog_sql() -> str:
+    """A row for each list and leaf of the model, with how many of it the tables hold."""
+    rows = []
+    for lst in WAREHOUSE.data_children():
+        rows.append(f"SELECT '/{lst.name}' AS path, 'list' AS kind, count(*) AS n FROM {lst.name}")
+        rows += [f"SELECT '/{lst.name}/{c.name}', 'leaf', count({c.name}) FROM {lst.name}" for c in lst.data_children()]
+    return " UNION ALL ".join(rows)
+
+
+@query(_catalog_sql())
 def schema_catalog(t):
-    return WAREHOUSE.catalog(t.spark)
+    """The schema nodes of the model with their instances in the tables."""
+    names = [lst.name for lst in WAREHOUSE.data_children()]
+    sizes = reduce(lambda a, b: a.unionByName(b), [t[n].agg(F.count("*").alias("n")).select(F.lit(f"/{n}").alias("schema_path"), "n") for n in names])
+    every = value_counts({n: t[n] for n in names}, WAREHOUSE).unionByName(sizes)
+    return WAREHOUSE.catalog(t.spark).join(every, F.col("path") == F.col("schema_path")).select("path", "kind", "n")

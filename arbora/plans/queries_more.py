@@ -77,21 +77,35 @@ def latest_revisions(t):
     return m.latest_revisions(own.select(F.col("r_name").alias("name"), F.col("n_name").alias("revision")))
 
 
-@query("SELECT * FROM (VALUES ('/base', 'container'), ('/base/kept', 'leaf'), ('/base/more', 'leaf'), ('/base/part', 'container'), ('/base/part/size', 'leaf'), ('/base/part/unit', 'leaf')) AS v(path, kind)")
+@query(
+    "SELECT * FROM (SELECT x AS schema_path, count(*) AS n FROM part, (SELECT unnest(['/base', '/base/kept', '/base/part', '/base/part/size', '/base/part/unit']) AS x) GROUP BY x UNION ALL SELECT '/base/more', count(*) FROM part WHERE p_size > 20)"
+)
 def model_rewrites(t):
-    """A grouping with a refinement and an augment, a feature that is missing, and deviations, as a catalogue."""
+    """Parts as documents of a rewritten model: a grouping with a refinement and an augment, a feature that is missing, deviations."""
     group = (m.container("part", m.leaf("size", Type("int32"))),)
     own = m.container("root", m.container("base", m.leaf("kept", Type("string"), features=(("or", "x", ("not", "y")),)), m.leaf("gone", Type("string"), features=("y",)), m.leaf("odd", Type("string")), *m.uses(group, refine={"/part/size": {"mandatory": True}}, augment={"/part": (m.leaf("unit", Type("string")),)})))
     own = own.with_features({"z"}).deviate("/base/odd", "not-supported").augment("/base", m.leaf("more", Type("string"))).augment("/nowhere", m.leaf("lost", Type("string")))
-    return m.check_model(own).catalog(t.spark).select("path", "kind")
+    size = F.struct(F.col("p_size").cast("decimal(38,0)").alias("size"), F.col("p_brand").alias("unit"))
+    base = F.struct(F.col("p_name").alias("kept"), F.col("p_name").alias("gone"), F.col("p_type").alias("odd"), size.alias("part"), F.when(F.col("p_size") > 20, F.col("p_type")).alias("more"))
+    docs = t["part"].select(F.struct(base.alias("base")).alias("raw"))
+    docs = docs.select(trees.shape(m.check_model(own), F.col("raw")).alias("doc"))
+    return trees.node_rows(docs, own).groupBy("schema_path").agg(F.count("*").alias("n"))
+
+
+_REFERENCES = [("nation", "n_regionkey", "region", "r_regionkey"), ("supplier", "s_nationkey", "nation", "n_nationkey"), ("customer", "c_nationkey", "nation", "n_nationkey"), ("orders", "o_custkey", "customer", "c_custkey"), ("lineitem", "l_orderkey", "orders", "o_orderkey"), ("lineitem", "l_partkey", "part", "p_partkey"), ("lineitem", "l_suppkey", "supplier", "s_suppkey")]
 
 
-@query("SELECT '/' || t || '/' || c AS path, '/' || u || '/' || d AS target FROM (VALUES ('nation', 'n_regionkey', 'region', 'r_regionkey'), ('supplier', 's_nationkey', 'nation', 'n_nationkey'), ('customer', 'c_nationkey', 'nation', 'n_nationkey'), ('orders', 'o_custkey', 'customer', 'c_custkey'), ('lineitem', 'l_orderkey', 'orders', 'o_orderkey'), ('lineitem', 'l_partkey', 'part', 'p_partkey'), ('lineitem', 'l_suppkey', 'supplier', 's_suppkey')) AS v(t, c, u, d)")
+@query(" UNION ALL ".join(f"SELECT '/{t}/{c}' AS path, '/{u}/{d}' AS target, count(DISTINCT {c}) AS n_values, count(DISTINCT {c}) FILTER ({c} NOT IN (SELECT {d} FROM {u} WHERE {d} IS NOT NULL)) AS n_lost FROM {t}" for t, c, u, d in _REFERENCES))
 def leafref_targets(t):
-    """Where each reference of the model leads, by the schema alone."""
-    rows = []
+    """Where each reference of the model leads, by the schema, and how many distinct values of the tables lead nowhere."""
+    out = None
     for path, node in WAREHOUSE.walk():
-        if node.leafref:
-            found = px.resolve(WAREHOUSE.ancestry(path), px.target_path(node))
-            rows += [(path, "/" + "/".join(f)) for f in found]
-    return t.spark.createDataFrame(rows, "path string, target string")
+        if not node.leafref:
+            continue
+        ((lst, leaf),) = px.resolve(WAREHOUSE.ancestry(path), px.target_path(node))
+        given = t[path.split("/")[1]].select(F.col(node.name).alias("v")).filter("v IS NOT NULL").distinct()
+        have = t[lst].select(F.col(leaf).alias("w")).distinct()
+        counts = given.join(have, F.col("v") == F.col("w"), "left").agg(F.count("*").alias("n_values"), F.count(F.when(F.col("w").isNull(), 1)).alias("n_lost"))
+        one = counts.select(F.lit(path).alias("path"), F.lit(f"/{lst}/{leaf}").alias("target"), "n_values", "n_lost")
+        out = one if out is None else out.unionByName(one)
+    return out

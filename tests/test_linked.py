@@ -351,3 +351,17 @@ def test_axes_of_a_skewed_tree(spark, top):
     plan = nt.below(nodes.select("pre", "last"), nodes, top=top)._jdf.queryExecution().executedPlan().toString()
     assert "Cartesian" not in plan and "NestedLoop" not in plan
     assert {r.n for r in nt.count_below(nt.named(nodes, "one"), nt.named(nodes, "three")).select(F.sum("n").alias("n")).collect()} == {len(three)}
+
+
+def test_defaults_fit_their_types():
+    leaf = lambda kind, default, **more: m.container("t", m.leaf("x", kind, default=default, **more))
+    sound = [(Type("int8"), 127), (Type("uint8", ranges=((1, 5),)), 3), (Type("decimal64"), "1.50"), (Type("boolean"), True), (Type("enumeration", enums=ty.enums("a")), "a"), (Type("string", ranges=((1, 3),)), "abc"), (Type("bits", bits=ty.bits("u", "v")), "v u"), (Type("union", members=(Type("int8"), Type("string"))), "x")]
+    wrong = [(Type("int8"), 128), (Type("uint8", ranges=((1, 5),)), 6), (Type("int32"), "x"), (Type("int32"), 1.5), (Type("boolean"), "yes"), (Type("enumeration", enums=ty.enums("a")), "b"), (Type("string", ranges=((1, 3),)), "abcd"), (Type("bits", bits=ty.bits("u")), "u u"), (Type("identityref", identities=("a",)), "b")]
+    for kind, value in sound:
+        m.check_model(leaf(kind, value))
+    for kind, value in wrong:
+        with pytest.raises(m.ModelError):
+            m.check_model(leaf(kind, value))
+    # a deviation that narrows the type is seen too
+    with pytest.raises(m.ModelError):
+        m.check_model(leaf(Type("int32"), 9).deviate("/x", "replace", type=Type("int32", ranges=((0, 5),))))
