@@ -202,7 +202,7 @@ def test_streams(spark, tmp_path):
 def test_catalog_has_sql_for_each_query():
     from arbora.plans import catalog
 
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"schema_catalog"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == set()
 
 
 def test_counts_and_pointers_cover_whole_tables(spark):
