@@ -181,14 +181,20 @@ def any_pair(a: DataFrame, b: DataFrame, on: list[tuple[str, str]], left: str, o
     if op == "=":
         own = a.select(*[c for c, _ in on], left).distinct()
         return own.join(b, _on(own, b, [*on, (left, right)]), "left_semi").select(*[c for c, _ in on]).distinct()
-    ends = lambda df, keys, value, tag: df.filter(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in keys]).agg(F.min(value).alias(f"{tag}_lo"), F.max(value).alias(f"{tag}_hi"))
-    both = ends(a, [(c, c) for c, _ in on], left, "a").join(ends(b, [(d, c) for c, d in on], right, "b"), [c for c, _ in on])
+    # only the extremes that the comparison looks at
+    used = {"<": ("min", "max"), "<=": ("min", "max"), ">": ("max", "min"), ">=": ("max", "min"), "!=": ("min max", "min max")}[op]
+
+    def ends(df: DataFrame, keys: list[tuple[str, str]], value: str, tag: str, which: str) -> DataFrame:
+        made = {"min": F.min(value).alias(f"{tag}_lo"), "max": F.max(value).alias(f"{tag}_hi")}
+        return df.filter(F.col(value).isNotNull()).groupBy(*[F.col(k).alias(n) for k, n in keys]).agg(*[made[w] for w in which.split()])
+
+    both = ends(a, [(c, c) for c, _ in on], left, "a", used[0]).join(ends(b, [(d, c) for c, d in on], right, "b", used[1]), [c for c, _ in on])
     test = {
-        "<": F.col("a_lo") < F.col("b_hi"),
-        "<=": F.col("a_lo") <= F.col("b_hi"),
-        ">": F.col("a_hi") > F.col("b_lo"),
-        ">=": F.col("a_hi") >= F.col("b_lo"),
-        "!=": (F.col("a_lo") != F.col("b_hi")) | (F.col("a_hi") != F.col("b_lo")),
+        "<": "a_lo < b_hi",
+        "<=": "a_lo <= b_hi",
+        ">": "a_hi > b_lo",
+        ">=": "a_hi >= b_lo",
+        "!=": "a_lo <> b_hi OR a_hi <> b_lo",
     }[op]
     return both.filter(test).select(*[c for c, _ in on])
 

@@ -13,9 +13,9 @@ from arbora.functions import types as ty
 from arbora.plans.model import Node
 
 
-def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """One document per line, as ``doc`` (VARIANT; NULL where the text is no JSON) and ``raw``."""
-    return spark.read.text(path).select(F.col("value").alias("raw"), F.try_parse_json("value").alias("doc"))
+def read_json(spark: SparkSession, path: str, whole: bool = False) -> DataFrame:
+    """One document per line, or with ``whole`` one per file over as many lines as it has, as ``doc`` (VARIANT; NULL where the text is no JSON) and ``raw``."""
+    return spark.read.text(path, wholetext=whole).select(F.col("value").alias("raw"), F.try_parse_json("value").alias("doc"))
 
 
 def read_yaml(spark: SparkSession, path: str) -> DataFrame:

@@ -73,3 +73,12 @@ def test_parts_are_decoded_and_checked_alone(spark):
     assert [int(e.k) for e in by[4].p] == [1, 1] and by[4].e is None and (int(by[5].e.k), int(by[5].e.v)) == (1, 3) and by[5].p is None and int(by[2].a) == 7
     with pytest.raises(m.NonexistentSchemaNode):
         tr.decode_part(F.col("v"), MODEL, "/c", entry=True)
+
+
+def test_documents_over_several_lines(spark, tmp_path):
+    from arbora.sources import documents
+
+    (tmp_path / "a.json").write_text('{"a":\n 7,\n "n": [\n{"k": 1}]}\n')
+    (tmp_path / "b.json").write_text("{\n")
+    got = documents.read_json(spark, str(tmp_path), whole=True).select(tr.decode(F.col("doc"), MODEL).alias("d")).collect()
+    assert sorted(str(r.d and (int(r.d.a), [int(n.k) for n in r.d.n])) for r in got) == ["(7, [1])", "None"]
