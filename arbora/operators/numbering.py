@@ -38,10 +38,8 @@ def with_places(df: DataFrame, order: list[str | Column], into: str = "place", s
     dealt = spark.read.schema(dealt.schema).parquet(path)
     own = F.shiftright("_id", 33)
     sizes = {r["p"]: r["n"] for r in dealt.groupBy(own.alias("p")).agg(F.count("*").alias("n")).collect()}  # one row a range
-    before, rows = start, []
-    for p in sorted(sizes):
-        rows.append((p, before))
-        before += sizes[p]
-    offsets = spark.createDataFrame(rows, "_p long, _before long")
-    placed = dealt.join(F.broadcast(offsets), own == F.col("_p"))
-    return placed.withColumn(into, F.col("_before") + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id", "_p", "_before")
+    before = [start]
+    for p in range(max(sizes, default=0)):
+        before.append(before[-1] + sizes.get(p, 0))
+    offset = F.get(F.array(*[F.lit(n).cast("long") for n in before]), own.cast("int"))
+    return dealt.withColumn(into, offset + F.col("_id").bitwiseAND((1 << 33) - 1)).drop("_id")
