@@ -123,7 +123,11 @@ def descendants(tables: dict[str, DataFrame], leaf_of: dict[str, str]) -> DataFr
 
 
 def nest(parent: DataFrame, child: DataFrame, keys: list[tuple[str, str]], order: list[str], name: str) -> DataFrame:
-    """Entries of ``child`` as an array of structs in their parents, in order; parents without any get an empty array."""
+    """Entries of ``child`` as an array of structs in their parents, in order; parents without any get an empty array.
+
+    All entries of a parent are one array of one row, so this is for parents whose entries fit into a task; where one may
+    hold a third of all rows, leave the lists as tables (``nodetable`` has the axes between them).
+    """
     columns = [*order, *[c for c in child.columns if c not in order]]
     grouped = child.groupBy(*[F.col(c).alias(f"_{c}") for _, c in keys]).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias(name))
     cond = reduce(lambda a, b: a & b, [parent[p] == grouped[f"_{c}"] for p, c in keys])
