@@ -180,11 +180,12 @@ def insert_entry(array: Column, index: int, value: Column, after: bool = False)
 def etag(columns: list[str]) -> Column:
     """A hash of a row's value that does not depend on the order of its members.
 
-    Every part stands behind its length, and NULL is told from any text.
+    Names and values in turn, joined by the unit separator.  Within them it is escaped, as is the escape character, and
+    NULL is an escape of its own, so different rows are different texts.
     """
-    part = lambda x: F.concat(F.length(x).cast("string"), F.lit(":"), x)
-    parts = [x for c in sorted(columns) for x in (part(F.lit(c)), F.coalesce(part(F.col(f"`{c}`").cast("string")), F.lit("-")))]
-    return F.sha2(F.concat(*parts), 256)
+    part = lambda x: F.replace(F.replace(x, F.lit("\x1b"), F.lit("\x1b0")), F.lit("\x1f"), F.lit("\x1b1"))
+    parts = [x for c in sorted(columns) for x in (part(F.lit(c)), F.coalesce(part(F.col(f"`{c}`").cast("string")), F.lit("\x1b2")))]
+    return F.sha2(F.concat_ws("\x1f", *parts), 256)
 
 
 def encode_json(df: DataFrame, node: Node, keep: Callable[[str], Column | bool] | None = None) -> Column:

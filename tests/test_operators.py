@@ -1,5 +1,6 @@
 """Models, validation, navigation, edits, documents and streams on small fixtures."""
 
+import hashlib
 import json
 
 import pytest
@@ -133,6 +134,14 @@ def test_edits(spark):
     assert all(r.e == r.f for r in tags) and len({r.e for r in tags}) == 3
 
 
+def test_etag_is_the_hash_of_names_and_values(spark):
+    rows = [("a", "b"), (None, "a"), ("\x1b2", "a"), ("a\x1f", "b"), ("a\x1b", "b"), ("a\x1b1", "b"), ("a\x1fq\x1fb", None), ("", ""), (None, None)]
+    tags = {(r.p, r.q): r.e for r in spark.createDataFrame(rows, "p string, q string").select("p", "q", ed.etag(["q", "p"]).alias("e")).collect()}
+    assert len(set(tags.values())) == len(rows)
+    for p, q in [("a", "b"), ("", "")]:
+        assert tags[p, q] == hashlib.sha256(f"p\x1f{p}\x1fq\x1f{q}".encode()).hexdigest()
+
+
 def test_routes(spark):
     assert nav.route_from_instance_id("/m:c/list[k='a/b'][j=\"2\"]/leaf[.='x']") == [("c", {}), ("list", {"k": "a/b", "j": "2"}), ("leaf", {".": "x"})]
     assert nav.route_from_instance_id("/m:c/leaf[3]") == [("c", {}), ("leaf", {"#": 2})]
