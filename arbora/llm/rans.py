@@ -203,23 +203,29 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int, text:
 
     def segments(batches) -> Iterator[pa.RecordBatch]:
         enc = tokens.encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
-        shard, before, names, parts, held = TaskContext.get().partitionId(), 0, [], [], 0
+        shard, before, names, lengths, parts, held = TaskContext.get().partitionId(), 0, [], [], [], 0
 
         def flush():
-            lengths = np.array([len(p) // 4 for p in parts], np.int64)
-            data = encode_segment(names, lengths, np.frombuffer(b"".join(parts), "<u4"))
-            cols = [pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([int(lengths.sum())], pa.int64()), pa.array([data], pa.binary())]
+            data = encode_segment(names, np.concatenate(lengths), np.concatenate(parts))
+            cols = [pa.array([shard], pa.int32()), pa.array([before], pa.int64()), pa.array([len(names)], pa.int64()), pa.array([held], pa.int64()), pa.array([data], pa.binary())]
             return pa.RecordBatch.from_arrays(cols, names=["shard", "before", "n_docs", "n_ids", "data"])
 
         for batch in batches:
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                names.append(d)
-                parts.append(enc.encode(t.as_py()) + end)
-                held += len(parts[-1]) // 4
-                if held >= SEGMENT_IDS:
-                    yield flush()
-                    before, names, parts, held = before + held, [], [], 0
+            doc_ids = batch.column(0).to_pylist()
+            for first, ids, own in enc.encode_all(batch.column(1), end_id):
+                edges = np.concatenate([[0], np.cumsum(own)])
+                i = 0
+                while i < len(own):
+                    # up to the document that fills the segment
+                    j = min(int(np.searchsorted(edges[1:], edges[i] + SEGMENT_IDS - held)) + 1, len(own))
+                    names += doc_ids[first + i : first + j]
+                    lengths.append(own[i:j])
+                    parts.append(ids[edges[i] : edges[j]])
+                    held += int(edges[j] - edges[i])
+                    i = j
+                    if held >= SEGMENT_IDS:
+                        yield flush()
+                        before, names, lengths, parts, held = before + held, [], [], [], 0
         if names:
             yield flush()
 

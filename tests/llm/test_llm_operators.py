@@ -6,6 +6,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,6 +49,30 @@ def test_tokens_equal_the_library(spark):
         assert enc.encode(t) == enc.whole(t or "")
 
 
+def test_tokens_of_slices_equal_the_library(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 300)
+    texts = [None, *odd_texts(random.Random(4)), "x", "\n", " ", "", "dogs' ab'' o'er ab's c%%%\nDe&&&", "é a\u0301 \u0301b", None]
+    for enc in (tokens.Encoder(tokenizer_path(), limit=20), tokens.Encoder(tokens.public_path("byte_bpe_50k.json"))):
+        column, at, got = pa.array(["cut off", *texts])[1:], 0, []
+        for first, ids, lengths in enc.encode_all(column, 7):
+            assert first == len(got) and len(ids) == lengths.sum()
+            got += [own.astype("<u4").tobytes() for own in np.split(ids, np.cumsum(lengths)[:-1])]
+            at += 1
+        assert at > 1 and got == [enc.whole(t or "") + b"\7\0\0\0" for t in texts]
+        assert list(enc.encode_all(column[:0], 7)) == []
+
+
+def test_tokens_take_each_word_to_the_library_once(monkeypatch):
+    enc, calls = tokens.Encoder(tokenizer_path()), []
+    monkeypatch.setattr(enc, "whole", lambda t, whole=enc.whole: calls.append(t) or whole(t))
+    words = [f"w{chr(97 + a)}{chr(97 + b)}" for a in range(26) for b in range(26)]
+    got = enc.encode(" ".join([w + marks for w in words for marks in ("%%%", "&&&", "!?")]))
+    # the marks alone take the whole path, not each word with its marks
+    assert sorted(calls) == ["!?", "%%%", "&&&"]
+    monkeypatch.undo()
+    assert got == enc.whole(" ".join([w + marks for w in words for marks in ("%%%", "&&&", "!?")]))
+
+
 def test_rans_round_trip_and_partial_decoding():
     rng = np.random.default_rng(2)
     for n, top in ((0, 10), (1, 10), (63, 5), (70_000, 49_000), (200_000, 300), (5000, 1)):
