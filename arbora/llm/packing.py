@@ -53,17 +53,18 @@ def cut(docs: DataFrame, tokenizer: str, end_id: int, size: int) -> DataFrame:
 
     def pieces(batches):
         enc = tokens.encoder(tokenizer)
-        end = np.array([end_id], "<u4").tobytes()
         names = [c.split()[0] for c in PIECES.split(", ")]
         for batch in batches:
-            rows: list[tuple] = []
-            for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids = enc.encode(t.as_py()) + end
-                n = len(ids) // 4
-                rows += [(d, k, a, min(size, n - a), zlib.crc32(ids[4 * a : 4 * (a + size)])) for k, a in enumerate(range(0, n, size))]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(names)
-            kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=names)
+            for first, ids, lengths in enc.encode_all(batch.column(1), end_id):
+                count = -(-lengths // size)
+                doc = np.repeat(np.arange(len(lengths)), count)
+                piece = np.arange(len(doc)) - (np.cumsum(count) - count)[doc]
+                length = np.minimum(size, lengths[doc] - size * piece)
+                begin = (np.cumsum(lengths) - lengths)[doc] + size * piece
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crcs = [zlib.crc32(raw[4 * a : 4 * b]) for a, b in zip(begin.tolist(), (begin + length).tolist(), strict=True)]
+                cols = [batch.column(0).take(pa.array(first + doc)), pa.array(piece, pa.int32()), pa.array(size * piece), pa.array(length), pa.array(crcs, pa.int64())]
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(pieces, PIECES)
 

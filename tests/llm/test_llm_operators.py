@@ -73,6 +73,15 @@ def test_tokens_take_each_word_to_the_library_once(monkeypatch):
     assert got == enc.whole(" ".join([w + marks for w in words for marks in ("%%%", "&&&", "!?")]))
 
 
+def test_words_kept_by_the_encoder_are_bounded(monkeypatch):
+    monkeypatch.setattr(tokens, "SLICE", 100)
+    enc = tokens.Encoder(tokenizer_path(), limit=200)
+    names = [f"{chr(97 + a)}{chr(97 + b)}{chr(97 + c)}." for a in range(10) for b in range(10) for c in range(10)]
+    list(enc.encode_all(pa.array(names), 1))
+    # both halves, and a slice more in each
+    assert len(enc.cores.new) + len(enc.cores.old) <= 260 and not hasattr(enc, "chunks")
+
+
 def test_rans_round_trip_and_partial_decoding():
     rng = np.random.default_rng(2)
     for n, top in ((0, 10), (1, 10), (63, 5), (70_000, 49_000), (200_000, 300), (5000, 1)):
