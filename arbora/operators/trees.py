@@ -827,21 +827,21 @@ def lost_identifiers(df: DataFrame, model: Node, schema_path: str, targets: Data
 
 
 def deref_identifiers(df: DataFrame, model: Node, schema_path: str, doc: str = "doc") -> DataFrame:
-    """(columns of ``df``, path, value, target_schema_path, target_value) of instance identifiers that lead to a node."""
+    """(columns of ``df``, path, value, target_schema_path, target_value) of instance identifiers that lead to a node.
 
-    def look(every: Column) -> Column:
-        def each(targets: Column) -> Column:
-            keys = F.transform(targets, lambda t: t["path"])
-
-            def one(n: Column) -> Column:
-                normal = ty.normal_instance_id(n["value"], model.ns)
-                hit = F.get(targets, px.place_in(keys, normal))
-                there = F.coalesce(hit["path"] == normal, F.lit(False))
-                return F.when(there, F.struct(n["path"].alias("path"), n["value"].alias("value"), hit["schema_path"].alias("target_schema_path"), hit["value"].alias("target_value")))
-
-            return F.array_compact(F.transform(F.filter(every, lambda n: n["schema_path"] == schema_path), one))
+    The nodes of a document are sorted by their paths once, and each identifier is looked up by halving.
+    """
 
-        return let(F.array_sort(every), each)
+    def look(every: Column) -> Column:
+        def one(targets: Column, keys: Column) -> Callable[[Column], Column]:
+            answer = lambda n: F.struct(n["path"].alias("path"), n["value"].alias("value"), n["hit"]["schema_path"].alias("target_schema_path"), n["hit"]["value"].alias("target_value"))
+            there = lambda n: F.when(F.coalesce(n["hit"]["path"] == n["normal"], F.lit(False)), answer(n))
+            found = lambda n: lambda normal: let(F.struct(n["path"].alias("path"), n["value"].alias("value"), normal.alias("normal"), F.get(targets, px.place_in(keys, normal)).alias("hit")), there)
+            return lambda n: let(ty.normal_instance_id(n["value"], model.ns), found(n))
+
+        given = F.filter(every, lambda n: n["schema_path"] == schema_path)
+        each = lambda targets: let(F.transform(targets, lambda t: t["path"]), lambda keys: F.array_compact(F.transform(given, one(targets, keys))))
+        return let(F.sort_array(every), each)
 
     keep = [c for c in df.columns if c != doc]
     rows = df.select(*keep, let(nodes(document(model, F.col(doc))), look).alias("_found"))

@@ -232,6 +232,23 @@ def test_instance_identifiers(spark):
     assert sorted((r.i, r.value) for r in lost) == sorted((0, b) for b in bad)
 
 
+def test_identifiers_of_large_documents(spark, tmp_path):
+    seconds = []
+    for n in (200, 1_600):
+        entries = F.transform(F.sequence(F.col("id") + 1, F.col("id") + n), lambda x: F.struct(x.cast("string").alias("id"), (x * 3).cast("decimal(38,0)").alias("v"), F.array().cast("array<string>").alias("tag")))
+        to = F.transform(F.sequence(F.col("id") + 1, F.col("id") + n), lambda x: F.concat(F.lit("/m:a[id='"), F.when(x == 5, n + 1).otherwise((x * 7919) % n + 1).cast("string"), F.lit("']/v")))
+        parts = {"a": entries, "to": to}
+        members = [parts.get(c.name, F.lit(None).cast(c.data_type())).alias(c.name) for c in IDENTIFIED.data_children()]
+        spark.range(1).select(F.col("id").cast("int").alias("i"), F.struct(*members).alias("doc")).write.parquet(f"{tmp_path}/{n}")
+        df = spark.read.parquet(f"{tmp_path}/{n}")
+        start = time.time()
+        found = tr.deref_identifiers(df, IDENTIFIED, "/m:to").collect()
+        seconds.append(time.time() - start)
+        want = {(f"/m:a[id='{k}']/v", str(3 * k)) for x in range(1, n + 1) if x != 5 and (k := x * 7919 % n + 1)}
+        assert {(r.value, r.target_value) for r in found} == want and len(found) == n - 1
+    assert seconds[1] < 8 * 3 * max(seconds[0], 1)  # 8 times the entries
+
+
 # hashes and differences
 
 
