@@ -781,17 +781,14 @@ def references(df: DataFrame, model: Node, schema_path: str, doc: str = "doc") -
 
     def look(every: Column) -> Column:
         pick = lambda e, sp: F.filter(every, lambda n: n["schema_path"] == sp)
-        found = F.array_sort(F.transform(pick(every, to), lambda n: F.struct(n["value"].alias("value"), n["path"].alias("path"))))
+        named = F.filter(pick(every, to), lambda n: n["value"].isNotNull())
+        found = F.sort_array(F.transform(named, lambda n: F.struct(n["value"].alias("value"), n["path"].alias("path"))))
 
-        def each(targets: Column) -> Column:
-            keys = F.transform(targets, lambda t: t["value"])
-
-            def one(n: Column) -> Column:
-                hit = F.get(targets, px.place_in(keys, n["value"]))
-                return F.struct(n["path"].alias("path"), n["value"].alias("value"), F.when(hit["value"] == n["value"], hit["path"]).alias("target"))
-
-            return F.transform(pick(every, of), one)
+        def one(targets: Column, keys: Column) -> Callable[[Column], Column]:
+            answer = lambda n: lambda hit: F.struct(n["path"].alias("path"), n["value"].alias("value"), F.when(hit["value"] == n["value"], hit["path"]).alias("target"))
+            return lambda n: let(F.get(targets, px.place_in(keys, n["value"])), answer(n))
 
+        each = lambda targets: let(F.transform(targets, lambda t: t["value"]), lambda keys: F.transform(pick(every, of), one(targets, keys)))
         return let(found, each)
 
     keep = [c for c in df.columns if c != doc]

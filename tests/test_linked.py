@@ -209,6 +209,21 @@ def test_references_of_large_documents(spark, tmp_path):
     assert seconds[1] < 8 * 3 * max(seconds[0], 1)  # 8 times the entries; the square would be 69 times the time
 
 
+def test_targets_of_references_in_large_documents(spark, tmp_path):
+    seconds = []
+    for n in (500, 4_000):
+        entry = lambda x, n=n: F.struct(x.cast("decimal(38,0)").alias("id"), F.when(x == 5, 0).otherwise((x * 7919) % n + 1).cast("decimal(38,0)").alias("ref"), F.lit(None).cast("decimal(38,0)").alias("free"))
+        value = F.struct(F.transform(F.sequence(F.col("id") + 1, F.col("id") + n), lambda x: entry(x)).alias("a"), F.array().cast(LINKED.data_child("g").data_type()).alias("g"))  # noqa: B023
+        spark.range(1).select(F.col("id").cast("int").alias("i"), value.alias("doc")).write.parquet(f"{tmp_path}/{n}")
+        df = spark.read.parquet(f"{tmp_path}/{n}")
+        start = time.time()
+        found = tr.references(df, LINKED, "/a/ref").collect()
+        seconds.append(time.time() - start)
+        want = {(f"/a[id='{x}']/ref", None if x == 5 else f"/a[id='{x * 7919 % n + 1}']/id") for x in range(1, n + 1)}
+        assert {(r.path, r.target) for r in found} == want and len(found) == n
+    assert seconds[1] < 8 * 3 * max(seconds[0], 1)  # 8 times the entries
+
+
 IDENTIFIED = m.container(
     "t",
     m.list_("a", "id", m.leaf("id", TEXT), m.leaf("v", INT, ns="m"), m.leaf_list("tag", TEXT, ns="m"), ns="m"),
