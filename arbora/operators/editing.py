@@ -79,30 +79,46 @@ def insert(df: DataFrame, parent: list[str], order: list[str], new: DataFrame, a
     return old.unionByName(extra).withColumn("_pos", at).drop("_side")
 
 
-def merge(df: DataFrame, changes: DataFrame, keys: list[str], members: str = "_set", deleted: str = "_deleted") -> DataFrame:
-    """Entries matched by keys take the members that ``changes`` has; unmatched ones are added.
-
-    Where ``changes`` has a column ``_set`` (names of members), the members named there are taken, NULL included, and no
-    others; without it a NULL says that a member is not changed.  Entries with a true ``_deleted`` go.
+def _taken(c: str, given: list[str], marks: list[str], members: str, old: bool) -> Column:
+    """A member after a merge, of an entry ``a`` changed by ``b``, or (without ``old``) of ``b`` alone."""
+    was = F.col(f"a.{c}") if old else F.lit(None)
+    if c not in given:
+        return was.alias(c)
+    if members not in marks:
+        return F.coalesce(F.col(f"b.{c}"), was).alias(c)
+    named = F.coalesce(F.array_contains(f"b.{members}", c), F.lit(False))
+    return F.when(named, F.col(f"b.{c}")).otherwise(was).alias(c)
+
+
+def _merged_parts(df: DataFrame, changes: DataFrame, keys: list[str], members: str, deleted: str, also: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """The entries of ``df`` after their changes, and those that only ``changes`` has, with ``also`` beside them.
+
+    Two joins instead of a full outer one: where a key is a constant of its own on each side, Spark makes the condition of
+    the join FALSE, and a full outer join of that compares every pair of rows.
     """
     names = [c for c in df.columns if c not in keys]
     given = [c for c in names if c in changes.columns]
     marks = [c for c in (members, deleted) if c in changes.columns]
-    a = df.withColumn("_old", F.lit(True)).alias("a")
-    b = changes.select(*keys, *given, *marks, F.lit(True).alias("_new")).alias("b")
-    joined = a.join(b, keys, "full_outer")
+    stays = ~F.coalesce(F.col(f"b.{deleted}"), F.lit(False)) if deleted in marks else F.lit(True)
+    a, b = df.alias("a"), changes.alias("b")
+    kept = a.join(changes.select(*keys, *given, *marks).alias("b"), keys, "left").filter(stays)
+    added = b.filter(stays).join(df.select(*keys), keys, "left_anti")
+    kinds = {c: df.schema[c].dataType for c in names}
+    fresh = {c: _taken(c, given, marks, members, False) if c in given else F.lit(None).cast(kinds[c]).alias(c) for c in names}
+    return (
+        kept.select(*keys, *[_taken(c, given, marks, members, True) for c in names]).select(*df.columns),
+        added.select(*[fresh.get(c, F.col(f"b.{c}")) for c in df.columns], *also),
+    )
 
-    def taken(c: str) -> Column:
-        if c not in given:
-            return F.col(f"a.{c}").alias(c)
-        if members not in marks:
-            return F.coalesce(F.col(f"b.{c}"), F.col(f"a.{c}")).alias(c)
-        named = F.coalesce(F.array_contains(f"b.{members}", c), F.lit(False))
-        return F.when(named, F.col(f"b.{c}")).otherwise(F.col(f"a.{c}")).alias(c)
 
-    if deleted in marks:
-        joined = joined.filter(~F.coalesce(F.col(f"b.{deleted}"), F.lit(False)))
-    return joined.select(*keys, *[taken(c) for c in names]).select(*df.columns)
+def merge(df: DataFrame, changes: DataFrame, keys: list[str], members: str = "_set", deleted: str = "_deleted") -> DataFrame:
+    """Entries matched by keys take the members that ``changes`` has; unmatched ones are added.
+
+    Where ``changes`` has a column ``_set`` (names of members), the members named there are taken, NULL included, and no
+    others; without it a NULL says that a member is not changed.  Entries with a true ``_deleted`` go.
+    """
+    kept, added = _merged_parts(df, changes, keys, members, deleted, [])
+    return kept.unionByName(added)
 
 
 def merge_ordered(df: DataFrame, changes: DataFrame, keys: list[str], parent: list[str] | None = None, place: str = "place") -> DataFrame:
@@ -113,20 +129,19 @@ def merge_ordered(df: DataFrame, changes: DataFrame, keys: list[str], parent: li
     first, so a parent that a third of them share is no window of its own.
     """
     parent = parent or []
-    gone = F.coalesce(F.col("_deleted"), F.lit(False)) if "_deleted" in changes.columns else F.lit(False)
-    merged = merge(df, changes.drop(place), keys)
-    added = changes.filter(~gone).join(df.select(*keys), keys, "left_anti")
-    ranked = with_places(added.select(*keys, *[p for p in parent if p not in keys], F.col(place).alias("_own")), [*parent, "_own", *[k for k in keys if k not in parent]], "_at")
+    ups = [f"_up{i}" for i in range(len(parent))]
+    also = [F.col(f"b.{c}").alias(name) for c, name in zip([*parent, "_own"], [*ups, "_own"], strict=True)]
+    kept, added = _merged_parts(df, changes.withColumnRenamed(place, "_own"), keys, "_set", "_deleted", also)
+    ranked = with_places(added, [*ups, "_own", *[k for k in keys if k not in parent]], "_at")
     if parent:
-        first = ranked.groupBy(*parent).agg(F.min("_at").alias("_first"))
-        top = df.groupBy(*parent).agg((F.max(place) + 1).alias("_top"))
-        ranked = ranked.join(first, parent).join(top, parent, "left")
+        first = ranked.groupBy(*ups).agg(F.min("_at").alias("_first"))
+        top = df.groupBy(*[F.col(p).alias(up) for p, up in zip(parent, ups, strict=True)]).agg((F.max(place) + 1).alias("_top"))
+        ranked = ranked.join(first, ups, "left").join(top, ups, "left")
     else:
         top = df.agg((F.max(place) + 1).alias("_top"))
         ranked = ranked.withColumn("_first", F.lit(0)).crossJoin(F.broadcast(top))  # one row
-    ranked = ranked.select(*keys, (F.coalesce("_top", F.lit(0)) + F.col("_at") - F.col("_first")).alias("_new_place"))
-    placed = merged.join(ranked, keys, "left")
-    return placed.withColumn(place, F.coalesce(place, "_new_place").cast("long")).select(*df.columns)
+    new_place = (F.coalesce("_top", F.lit(0)) + F.col("_at") - F.col("_first")).cast("long").alias(place)
+    return kept.withColumn(place, F.col(place).cast("long")).unionByName(ranked.select(*[new_place if c == place else F.col(c) for c in df.columns]))
 
 
 @dataclass(frozen=True)
@@ -138,8 +153,11 @@ class ListTable:
     above: int = 0
 
 
-def merge_tree(old: dict[str, DataFrame], new: dict[str, DataFrame], lists: list[ListTable], place: str = "place") -> dict[str, DataFrame]:
-    """Every list of a tree merged with its changes, from the top down; lists without changes lose what stood below deleted entries."""
+def merge_tree(old: dict[str, DataFrame], new: dict[str, DataFrame], lists: list[ListTable], place: str = "place", wanted: list[str] | None = None) -> dict[str, DataFrame]:
+    """Every list of a tree merged with its changes, from the top down; lists without changes lose what stood below deleted entries.
+
+    With ``wanted``, names of lists, the others are not merged; of them only what is deleted is looked at.
+    """
     out: dict[str, DataFrame] = {}
     lost: tuple[DataFrame, tuple[str, ...]] | None = None
     for own in lists:
@@ -149,7 +167,8 @@ def merge_tree(old: dict[str, DataFrame], new: dict[str, DataFrame], lists: list
             gone = lost[0].select(*[F.col(k).alias(n) for k, n in zip(lost[1], parent, strict=True)])
             df = df.join(gone, parent, "left_anti")
             changes = changes.join(gone, parent, "left_anti") if changes is not None else None
-        out[own.name] = df if changes is None else merge_ordered(df, changes, list(own.keys), parent, place)
+        if wanted is None or own.name in wanted:
+            out[own.name] = df if changes is None else merge_ordered(df, changes, list(own.keys), parent, place)
         removed = changes.filter("_deleted").select(*own.keys) if changes is not None and "_deleted" in changes.columns else None
         if lost is not None:
             above = old[own.name].join(gone, parent, "left_semi").select(*own.keys)

@@ -185,7 +185,7 @@ def etags_tell_rows_apart(t):
 # merged trees
 
 
-def _merged_tree(t):
+def _merged_tree(t, name):
     people = t["customer"].select(F.col("c_custkey").alias("custkey"), F.col("c_name").alias("name"), F.col("c_custkey").alias("place"))
     orders = t["orders"].select(F.col("o_custkey").alias("custkey"), F.col("o_orderkey").alias("orderkey"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("place"))
     lines = t["lineitem"].filter("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("orderkey")).agg(F.max(F.col("l_quantity").cast("double")).alias("quantity"))
@@ -196,7 +196,7 @@ def _merged_tree(t):
     fresh = orders.filter("orderkey % 9 = 5").select("custkey", (-F.col("orderkey")).alias("orderkey"), F.lit("N").alias("status"), "place", F.array(F.lit("status")).alias("_set"))
     more = lines.filter("orderkey % 4 = 1").select("custkey", "orderkey", F.lit(2).alias("linenumber"), F.lit(1.0).alias("quantity"), F.lit(5).cast("long").alias("place"))
     lists = [ed.ListTable("customer", ("custkey",)), ed.ListTable("orders", ("custkey", "orderkey"), 1), ed.ListTable("lineitem", ("custkey", "orderkey", "linenumber"), 2)]
-    return ed.merge_tree({"customer": people, "orders": orders, "lineitem": lines}, {"customer": gone.unionByName(added), "orders": blank.unionByName(fresh), "lineitem": more}, lists)
+    return ed.merge_tree({"customer": people, "orders": orders, "lineitem": lines}, {"customer": gone.unionByName(added), "orders": blank.unionByName(fresh), "lineitem": more}, lists, wanted=[name])[name]
 
 
 _KEPT = "o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 = 3)"
@@ -204,7 +204,7 @@ _KEPT = "o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_custkey % 10 =
 
 @query("SELECT c_custkey AS custkey, c_name AS name, c_custkey AS place FROM customer WHERE c_custkey % 10 <> 3 UNION ALL SELECT c_custkey + 1000000, 'new', (SELECT max(c_custkey) + 1 FROM customer) + row_number() OVER (ORDER BY c_custkey DESC) - 1 FROM customer WHERE c_custkey % 10 = 4")
 def merge_tree_customers(t):
-    return _merged_tree(t)["customer"]
+    return _merged_tree(t, "customer")
 
 
 @query(
@@ -212,7 +212,7 @@ def merge_tree_customers(t):
 UNION ALL SELECT o_custkey, -o_orderkey, 'N', (SELECT max(o_orderkey) + 1 FROM orders b WHERE b.o_custkey = a.o_custkey) + row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1 FROM orders a WHERE o_orderkey % 9 = 5 AND {_KEPT}"""
 )
 def merge_tree_orders(t):
-    return _merged_tree(t)["orders"]
+    return _merged_tree(t, "orders")
 
 
 @query(
@@ -220,4 +220,4 @@ def merge_tree_orders(t):
 SELECT o_custkey AS custkey, l_orderkey AS orderkey, 1 AS linenumber, q AS quantity, 0 AS place FROM l UNION ALL SELECT o_custkey, l_orderkey, 2, 1.0, 1 FROM l WHERE l_orderkey % 4 = 1"""
 )
 def merge_tree_lines(t):
-    return _merged_tree(t)["lineitem"]
+    return _merged_tree(t, "lineitem")

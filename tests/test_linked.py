@@ -329,6 +329,20 @@ def test_merge_of_a_tree_keeps_order(spark):
     assert same["two"].count() == 4
 
 
+def test_merge_where_a_key_is_a_constant_of_each_side(spark):
+    base = spark.range(6).select(F.col("id").alias("k"))
+    old = base.select("k", F.lit(1).alias("n"), F.col("k").alias("x"), F.lit(0).cast("long").alias("place"))
+    new = base.filter("k % 2 = 0").select("k", F.lit(2).alias("n"), (F.col("k") + 100).alias("x"), F.lit(7).cast("long").alias("place"))
+    merged = [ed.merge(old, new, ["k", "n"]), ed.merge_ordered(old, new, ["k", "n"], ["k"])]
+    for df, at in zip(merged, (7, 1), strict=True):
+        assert "NestedLoop" not in df._jdf.queryExecution().executedPlan().toString()
+        assert sorted(map(tuple, df.collect())) == sorted([(k, 1, k, 0) for k in range(6)] + [(k, 2, k + 100, at) for k in (0, 2, 4)])
+    lists = [ed.ListTable("one", ("k",)), ed.ListTable("two", ("k", "n"), 1)]
+    gone = spark.createDataFrame([(2, True)], "k long, _deleted boolean")
+    below = ed.merge_tree({"one": base, "two": old}, {"one": gone.withColumn("place", F.lit(0)), "two": new}, lists, wanted=["two"])
+    assert list(below) == ["two"] and sorted(map(tuple, below["two"].select("k", "n").collect())) == [(0, 1), (0, 2), (1, 1), (3, 1), (4, 1), (4, 2), (5, 1)]
+
+
 def test_encoding_with_a_filter(spark):
     node = m.list_("l", "k", m.leaf("k", INT), m.leaf("v", TEXT), m.leaf("w", TEXT))
     df = spark.createDataFrame([(1, "a", "b"), (2, "c", "d")], "k int, v string, w string")
