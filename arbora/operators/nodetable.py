@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from arbora.functions import types as ty
@@ -38,30 +39,41 @@ class Level:
         return [c for c in self.node.data_children() if c.kind == "leaf" and c.name in self.df.columns]
 
 
-def _own(level: Level, depth: int, path: str) -> DataFrame:
-    """Keys (``k0``, ``k1``, ...) and ``_leaves`` of each entry, with a number that tells repeated entries apart."""
+def _own(level: Level, depth: int) -> DataFrame:
+    """Keys (``k0``, ``k1``, ...) and the canonical values of each entry's leaves, NULL for those that it lacks."""
     keys = [F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(level.keys)]
-    cells = [
-        F.struct(F.lit(i + 1).alias("at"), F.lit(c.name).alias("name"), F.lit(f"{path}/{c.name}").alias("schema_path"), ty.canon(F.col(f"`{c.name}`"), c.type).alias("value"))
-        for i, c in enumerate(level.leaves())
-    ]
-    kind = "array<struct<at:int,name:string,schema_path:string,value:string>>"
-    leaves = F.filter(F.array(*cells), lambda x: x["value"].isNotNull()) if cells else F.array().cast(kind)
-    return level.df.select(*keys, leaves.alias("_leaves"), F.lit(depth).alias("level"))
+    cells = [ty.canon(F.col(f"`{c.name}`"), c.type) for c in level.leaves()]
+    values = F.array(*cells) if cells else F.array()
+    return level.df.select(*keys, values.cast("array<string>").alias("_values"), F.lit(depth).alias("level"))
+
+
+def _nodes_of(level: Level, path: str) -> Column:
+    """An entry's own node and those of its leaves, in order."""
+    leaves = level.leaves()
+    row = lambda at, name, schema_path, value: F.struct(at.cast("int").alias("at"), name.alias("name"), schema_path.alias("schema_path"), value.cast("string").alias("value"))
+    element = F.array(row(F.lit(0), F.lit(level.node.name), F.lit(path), F.lit(None)))
+    if not leaves:
+        return element
+    names, paths = (F.array(*[F.lit(x) for x in xs]) for xs in zip(*[(c.name, f"{path}/{c.name}") for c in leaves], strict=True))
+    each = F.transform("_values", lambda v, i: row(i + 1, F.get(names, i), F.get(paths, i), v))
+    return F.concat(element, F.filter(each, lambda n: n["value"].isNotNull()))
 
 
 def number_nodes(levels: list[Level]) -> DataFrame:
-    """(pre, last, level, kind, name, schema_path, value and the keys k0, k1, ...) of all nodes, one level below the other."""
+    """(pre, last, level, kind, name, schema_path, value and the keys k0, k1, ...) of all nodes, one level below the other.
+
+    Entries are put in order with the values of their leaves; only then, in their place, they become nodes.
+    """
     h = len(levels)
     names = [f"k{i}" for i in range(h)]
     paths = [""]
     for lv in levels:
         paths.append(f"{paths[-1]}/{lv.node.name}")
-    own = [_own(lv, d, paths[d + 1]) for d, lv in enumerate(levels)]
+    own = [_own(lv, d) for d, lv in enumerate(levels)]
     # sizes from the lowest level up, added up before they are shuffled
     sized: list[DataFrame] = [None] * h
     for d in reversed(range(h)):
-        size = F.size("_leaves").cast("long")
+        size = F.size(F.array_compact("_values")).cast("long")
         if d + 1 == h:
             sized[d] = own[d].withColumn("size", size)
             continue
@@ -70,13 +82,11 @@ def number_nodes(levels: list[Level]) -> DataFrame:
     parts = []
     for d, df in enumerate(sized):
         missing = [F.lit(None).cast(levels[-1].df.schema[levels[-1].keys[i]].dataType).alias(names[i]) for i in range(d + 1, h)]
-        element = F.struct(F.lit(0).alias("at"), F.lit(levels[d].node.name).alias("name"), F.lit(paths[d + 1]).alias("schema_path"), F.lit(None).cast("string").alias("value"))
-        # what repeats a key keeps its leaves next to it
-        tie = F.monotonically_increasing_id() if d + 1 == h else F.lit(0).cast("long")
-        rows = df.select(*names[: d + 1], *missing, tie.alias("_tie"), "level", "size", F.concat(F.array(element), "_leaves").alias("_nodes"))
-        parts.append(rows.select(*names, "_tie", "level", "size", F.explode("_nodes").alias("n")).select(*names, "_tie", "level", "size", "n.*"))
+        parts.append(df.select(*names[: d + 1], *missing, "level", "size", "_values"))
     every = reduce(DataFrame.unionByName, parts)
-    placed = with_places(every, [F.asc_nulls_first(n) for n in names] + ["_tie", "at"], "pre")
+    nodes = reduce(lambda made, d: made.when(F.col("level") == d, _nodes_of(levels[d], paths[d + 1])), range(1, h), F.when(F.col("level") == 0, _nodes_of(levels[0], paths[1])))
+    exploded = lambda df: df.select(*names, "level", "size", F.explode(nodes).alias("n")).select(*names, "level", "size", "n.*")
+    placed = with_places(every, [*[F.asc_nulls_first(n) for n in names], "level"], "pre", then=exploded)
     entry = F.col("at") == 0
     return placed.select(
         "pre",
@@ -113,9 +123,20 @@ def below(outer: DataFrame, inner: DataFrame, or_self: bool = False, top: int =
 
 
 def descendants(context: DataFrame, nodes: DataFrame, name: str | None = None, or_self: bool = False, top: int = TOP) -> DataFrame:
-    """The nodes below those of a node-set, each once; of this name only, if one is given."""
+    """The nodes below those of a node-set, each once; of this name only, if one is given.
+
+    Which context nodes they are below is not asked, so a node travels once, to its range of ``2 ** top`` places.  An interval
+    goes to all ranges it reaches into; in each, a node is below one if the furthest end of those that begin before it is.
+    """
     own = nodes if name is None else named(nodes, name)
-    return below(context.select("pre", "last"), own, or_self, top).select(*nodes.columns).dropDuplicates(["pre"])
+    block = lambda x: F.shiftright(x, top)
+    points = own.select("*", block("pre").alias("_b"), F.col("pre").alias("_at"), F.lit(1).alias("_turn"), F.lit(None).cast("long").alias("_reach"))
+    spans = context.select("pre", "last", F.explode(F.sequence(block("pre"), block("last"))).alias("_b"))
+    start = F.greatest("pre", F.shiftleft("_b", top) - 1)  # before all of a range, if it begins in an earlier one
+    spans = spans.select("_b", start.alias("_at"), F.lit(0 if or_self else 2).alias("_turn"), F.col("last").alias("_reach"))
+    so_far = W.partitionBy("_b").orderBy("_at", "_turn").rowsBetween(W.unboundedPreceding, W.currentRow)
+    reached = points.unionByName(spans, allowMissingColumns=True).withColumn("_reach", F.max("_reach").over(so_far))
+    return reached.filter((F.col("_turn") == 1) & (F.col("_reach") >= F.col("pre"))).dropDuplicates(["_b", "pre"]).select(*nodes.columns)
 
 
 def ancestors(context: DataFrame, nodes: DataFrame, name: str | None = None, or_self: bool = False, top: int = TOP) -> DataFrame:
